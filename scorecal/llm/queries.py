@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorecal.llm import sql
 from scorecal.llm.exact_dedup import exact_dedup
+from scorecal.llm.line_dedup import line_dedup
 from scorecal.llm.near_dedup import near_dedup
 from scorecal.llm.packing import pack
 
@@ -25,6 +26,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), k=3, num=85, den=100)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -35,6 +40,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
