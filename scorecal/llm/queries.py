@@ -9,6 +9,7 @@ from scorecal.llm.exact_dedup import exact_dedup
 from scorecal.llm.line_dedup import line_dedup
 from scorecal.llm.near_dedup import near_dedup
 from scorecal.llm.packing import pack
+from scorecal.llm.substrings import substring_dedup
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -34,6 +35,10 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {"op10_exact_dedup": sql.EXACT_DEDUP}
