@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorecal.llm import sql
 from scorecal.llm.exact_dedup import exact_dedup
+from scorecal.llm.langid import identify_languages
 from scorecal.llm.line_dedup import line_dedup
 from scorecal.llm.near_dedup import near_dedup
 from scorecal.llm.packing import pack
+from scorecal.llm.quality_model import score_quality
 from scorecal.llm.substrings import substring_dedup
 
 
@@ -35,10 +37,18 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -47,7 +57,9 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {"op10_exact_dedup": sql.EXACT_DEDUP}
