@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scorecal.llm import sql
 from scorecal.llm.exact_dedup import exact_dedup
 from scorecal.llm.langid import identify_languages
+from scorecal.llm.licenses import LONGEST, RULES, SENTENCES, SHORTEST, scan_licenses
 from scorecal.llm.line_dedup import line_dedup
 from scorecal.llm.near_dedup import near_dedup
 from scorecal.llm.packing import pack
@@ -41,6 +42,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
@@ -58,8 +63,12 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL = {"op10_exact_dedup": sql.EXACT_DEDUP}
+ORACLE_SQL = {
+    "op6_license_scan": sql.license_scan(SENTENCES, RULES, SHORTEST, 4 * LONGEST),
+    "op10_exact_dedup": sql.EXACT_DEDUP,
+}

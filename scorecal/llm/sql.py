@@ -14,3 +14,35 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, pos = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def license_scan(known: dict[str, str], rules: list, shortest: int, longest: int) -> str:
+    """SQL of the licence scan; the sentence and rule tables are the operator's parameters."""
+    table = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in known.items())
+    cases = ", ".join(f"CASE WHEN regexp_matches(w, {_text(',' + ',([^,]+,)*'.join(parts) + ',')}) THEN {_text(name + '|' + kind)} END" for name, kind, parts in rules)
+    return rf"""
+WITH known(sentence, id) AS (VALUES {table}),
+s AS (
+  SELECT doc_id, r, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))) AS line,
+         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)), 1) AS pos
+  FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
+), n AS (
+  SELECT r, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), '\.([^0-9]|$)', ' \1', 'g'), '\s+', ' ', 'g')) AS sentence
+  FROM s WHERE length(line) BETWEEN {shortest} AND {longest}
+), f AS (
+  SELECT r, count(*) AS k, string_agg(id, ',' ORDER BY pos) AS ids FROM n JOIN known USING (sentence) GROUP BY r
+), d AS (
+  SELECT doc_id, coalesce(k, 0) AS k, coalesce(ids, '') AS ids, ',' || coalesce(ids, '') || ',' AS w
+  FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) LEFT JOIN f USING (r)
+), h AS (SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL) AS hits FROM d),
+u AS (SELECT *, list_filter(hits, lambda x, i: list_position(hits, x) = i) AS first_hits FROM h)
+SELECT doc_id, k AS n_license_sentences, ids AS sentence_ids,
+       array_to_string(list_transform(first_hits, lambda x: split_part(x, '|', 1)), ',') AS licenses,
+       coalesce(split_part(first_hits[1], '|', 1), 'none') AS license,
+       coalesce(split_part(first_hits[1], '|', 2), 'none') AS kind
+FROM u
+"""
