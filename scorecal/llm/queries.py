@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorecal.llm import sql
 from scorecal.llm.exact_dedup import exact_dedup
 from scorecal.llm.langid import identify_languages
 from scorecal.llm.licenses import LONGEST, RULES, SENTENCES, SHORTEST, scan_licenses
 from scorecal.llm.line_dedup import line_dedup
+from scorecal.llm.mixing import mix_sources
 from scorecal.llm.near_dedup import near_dedup
 from scorecal.llm.packing import pack
 from scorecal.llm.quality_model import score_quality
@@ -38,6 +40,20 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+# The tree of the documents table: domains are ranges of source numbers.
+def levels() -> dict[str, Column]:
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"), F.lit(99))
+    return {"domain": F.when(number < 5, "hub").when(number < 15, "web").otherwise("tail"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+WEIGHTS = {"domain": {"hub": 3, "web": 5, "tail": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "*": 1}}
+DOMAIN_SQL = "CASE WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 99) < 5 THEN 'hub' WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 99) < 15 THEN 'web' ELSE 'tail' END"
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir), levels(), WEIGHTS, share=1.0, max_epochs=3, seed=7)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
@@ -62,6 +78,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_source_mixing": op4_source_mixing,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
@@ -69,6 +86,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op4_source_mixing": sql.mixing(DOMAIN_SQL, WEIGHTS, 1.0, 3, 7),
     "op6_license_scan": sql.license_scan(SENTENCES, RULES, SHORTEST, 4 * LONGEST),
     "op10_exact_dedup": sql.EXACT_DEDUP,
 }

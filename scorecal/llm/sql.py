@@ -46,3 +46,46 @@ SELECT doc_id, k AS n_license_sentences, ids AS sentence_ids,
        coalesce(split_part(first_hits[1], '|', 2), 'none') AS kind
 FROM u
 """
+
+
+def mixing(domain: str, weights: dict[str, dict[str, int]], share: float, max_epochs: int, seed: int) -> str:
+    """SQL of the mix by domain, lang and source of ``documents``."""
+    levels = ["domain", "lang", "source"]
+
+    def weight(level: str) -> str:
+        own = weights.get(level, {})
+        cases = "".join(f" WHEN {_text(k)} THEN {v}" for k, v in own.items() if k != "*")
+        other = own.get("*", 1)
+        return f"CASE {level}{cases} ELSE {other} END" if cases else str(other)
+
+    parts = [
+        f"""WITH rows AS (
+  SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents)""",
+        f"""n3 AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS supply, {weight("source")} AS w,
+  CASE WHEN {weight("source")} > 0 THEN sum(tokens)::BIGINT * {max_epochs} ELSE 0 END AS c FROM rows GROUP BY ALL)""",
+        f"n2 AS (SELECT domain, lang, {weight('lang')} AS w, CASE WHEN {weight('lang')} > 0 THEN sum(c)::BIGINT ELSE 0 END AS c FROM n3 GROUP BY domain, lang)",
+        f"n1 AS (SELECT domain, {weight('domain')} AS w, CASE WHEN {weight('domain')} > 0 THEN sum(c)::BIGINT ELSE 0 END AS c FROM n2 GROUP BY domain)",
+        f"a0 AS (SELECT least(floor((SELECT sum(tokens) FROM rows) * {share})::BIGINT, (SELECT sum(c) FROM n1)::BIGINT) AS b)",
+    ]
+    for depth in (1, 2, 3):
+        family, keys = ", ".join(levels[: depth - 1]), ", ".join(levels[:depth])
+        over = f"PARTITION BY {family}" if family else ""
+        using = f"JOIN a{depth - 1} USING ({family})" if family else "CROSS JOIN a0"
+        parts.append(
+            f"""o{depth} AS (SELECT {keys}, w, c, b,
+  c * sum(w) OVER ({over} ORDER BY CASE WHEN w > 0 THEN c / w ELSE 1e300 END, {levels[depth - 1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= (b - coalesce(sum(c) OVER ({over} ORDER BY CASE WHEN w > 0 THEN c / w ELSE 1e300 END, {levels[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS filled
+  FROM n{depth} {using})"""
+        )
+        parts.append(
+            f"""a{depth} AS (SELECT {keys}, (CASE WHEN filled THEN c ELSE coalesce(
+  (w * (b - sum(CASE WHEN filled THEN c ELSE 0 END) OVER ({over}))) // nullif(sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({over}), 0), 0) END)::BIGINT AS b FROM o{depth})"""
+        )
+    parts.append("leaf AS (SELECT domain, lang, source, supply, b, CASE WHEN supply > 0 THEN b // supply ELSE 0 END AS epochs FROM n3 JOIN a3 USING (domain, lang, source))")
+    parts.append(
+        f"""taken AS (SELECT doc_id, domain, lang, source, tokens, epochs,
+  sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= b - epochs * supply AS more
+  FROM rows JOIN leaf USING (domain, lang, source))"""
+    )
+    return ",\n".join(parts) + "\nSELECT doc_id, domain, lang, source, tokens, (epochs + CASE WHEN more THEN 1 ELSE 0 END)::BIGINT AS copies FROM taken WHERE epochs > 0 OR more"
