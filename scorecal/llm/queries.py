@@ -14,6 +14,8 @@ from scorecal.llm.mixing import mix_sources
 from scorecal.llm.near_dedup import near_dedup
 from scorecal.llm.packing import pack
 from scorecal.llm.quality_model import score_quality
+from scorecal.llm.quality_rules import RULES as QUALITY_RULES
+from scorecal.llm.quality_rules import apply_quality_rules
 from scorecal.llm.substrings import substring_dedup
 
 
@@ -66,6 +68,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), risk=0.02, delta=0.05)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -82,11 +88,13 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
     "op4_source_mixing": sql.mixing(DOMAIN_SQL, WEIGHTS, 1.0, 3, 7),
     "op6_license_scan": sql.license_scan(SENTENCES, RULES, SHORTEST, 4 * LONGEST),
+    "op8_quality_rules": sql.quality_rules(QUALITY_RULES, 0.02, 0.05),
     "op10_exact_dedup": sql.EXACT_DEDUP,
 }
