@@ -15,7 +15,7 @@ from scorecal.llm.text import Words, mix, slices, utf8
 
 LAST = 2**63 - 1
 WORDS = 4  # signature words: 128 minima of 2 bits
-SUMMARY = "doc_id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
+SUMMARY = "doc_id long, h long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
 
 
 def shingles(column: pa.Array, k: int, lower: bool) -> list[np.ndarray]:
@@ -49,7 +49,7 @@ def _summary(k: int, lower: bool, bands: int, rows: int):
             n = np.array([len(x) for x in sets])
             digests = np.array([_digest(x) if len(x) else (0, 0) for x in sets], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists, *(pa.array(sigs[:, i].copy()) for i in range(WORDS))], [x.split()[0] for x in SUMMARY.split(", ")])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists, *(pa.array(sigs[:, i].copy()) for i in range(WORDS))], [x.split()[0] for x in SUMMARY.split(", ")])
 
     return run
 
@@ -87,7 +87,8 @@ def near_dedup(
     ``slack`` (4.5 standard deviations) below the threshold.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the
-    smallest id reachable), kept (doc_id = component_id).  A text with fewer
+    smallest id reachable), kept (doc_id = component_id), text_hash (xxhash64 of
+    the text).  A text with fewer
     than k words is one shingle; a text without words, or null, has none and is
     linked with nothing.  Null ids link, and sort after all others; they are
     never a component's id unless all its ids are null.  Rows that repeat an
@@ -95,7 +96,7 @@ def near_dedup(
     marked alike.  An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     every = scratch.save(rows_in.mapInArrow(_summary(k, lower, bands, rows), SUMMARY), "summary")
     sigs = [f"s{i}" for i in range(WORDS)]
     classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in sigs))
@@ -106,14 +107,28 @@ def near_dedup(
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = classes.join(ids, "id").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "id", "d1", "d2")
-        found = rows_in.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text").join(wanted, "doc")
-        found = found.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc", "id", "h"])  # no shuffle: the join dealt by doc
+        found = rows_in.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "h", "text").join(wanted, "doc")
+        found = found.dropDuplicates(["doc", "id", "h"])  # no shuffle: the join dealt by doc
         return found.select("id", "text", "d1", "d2").mapInArrow(_texts_of(k, lower), "id long, text string")
 
     found = similar_components(classes.select("id", "n", *sigs), members, texts, lambda c: shingles(c, k, lower), scratch, num, den, num / den - slack)
     named = classes.join(found, classes.id == found.v, "left").select("n", "d1", "d2", "doc_id", F.coalesce("m", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("n", "d1", "d2", "component_id")
-    out = every.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
+    out = every.select("doc_id", "h", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("h").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each component, and its own columns.
+
+    Of rows with the same id and text one stays.  Documents without words are
+    linked with nothing and stay.  In a component whose ids are all null, each
+    different text stays.
+    """
+    columns = docs.columns
+    marks = near_dedup(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("text_hash").alias("h")).distinct()
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *key).join(marks, ["doc", "h"])
+    return whole.dropDuplicates(["doc", "h"]).select(*(F.col("row").getField(c).alias(c) for c in columns))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 
 from scorecal.llm import sql
+from scorecal.llm.corpus import DOMAIN_SQL, WEIGHTS, documents, levels, tokenizer_path
 from scorecal.llm.exact_dedup import exact_dedup
 from scorecal.llm.langid import identify_languages
 from scorecal.llm.licenses import LONGEST, RULES, SENTENCES, SHORTEST, scan_licenses
@@ -19,17 +20,6 @@ from scorecal.llm.quality_rules import apply_quality_rules
 from scorecal.llm.substrings import substring_dedup
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Place of a public vocabulary file; every worker has the same installation."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), k=3, num=85, den=100)
 
@@ -42,16 +32,6 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
-# The tree of the documents table: domains are ranges of source numbers.
-def levels() -> dict[str, Column]:
-    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)"), F.lit(99))
-    return {"domain": F.when(number < 5, "hub").when(number < 15, "web").otherwise("tail"), "lang": F.col("lang"), "source": F.col("source")}
-
-
-WEIGHTS = {"domain": {"hub": 3, "web": 5, "tail": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "*": 1}}
-DOMAIN_SQL = "CASE WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 99) < 5 THEN 'hub' WHEN coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 99) < 15 THEN 'web' ELSE 'tail' END"
-
-
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), levels(), WEIGHTS, share=1.0, max_epochs=3, seed=7)
 
@@ -80,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -91,6 +75,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {
     "op4_source_mixing": sql.mixing(DOMAIN_SQL, WEIGHTS, 1.0, 3, 7),
