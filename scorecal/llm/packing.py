@@ -44,14 +44,48 @@ class Encoder:
     always splits, so the ids are those of the whole text.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.width[number] = len(token)  # a byte-level token has one letter for each byte
         self.remember = remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode chunks, end to end as far as that leaves their ids alone, and file the ids."""
+        spaced = [c for c in new if c[:1] == b" " and len(c) > 1 and _FOLLOWS[c[1]]]
+        rest = [c for c in new if not (c[:1] == b" " and len(c) > 1 and _FOLLOWS[c[1]])]
+        runs, size = [[]], 0
+        for c in spaced:
+            if size > 1 << 16:
+                runs.append([])
+                size = 0
+            runs[-1].append(c)
+            size += len(c)
+        runs += [[c] for c in rest]
+        runs = [r for r in runs if r]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            edge = np.concatenate([[0], np.cumsum(self.width[ids])])
+            ends = np.searchsorted(edge, np.cumsum([len(c) for c in run]))
+            n, used = len(self.known), self.at[len(self.known)]
+            while n + len(run) >= len(self.at):
+                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            while used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[used : used + len(ids)] = ids
+            self.at[n + 1 : n + 1 + len(run)] = used + ends
+            self.known.update(zip(run, range(n, n + len(run)), strict=True))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and n + 1 offsets."""
@@ -66,18 +100,17 @@ class Encoder:
         hashes = np.concatenate([rolling(_letters(data, s, e), s_, e_) for s, e, s_, e_ in _blocks(starts, ends)])
         _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        chunks = [raw[starts[i] : ends[i]] for i in sample]
+        chunks = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
         if len(self.known) > self.remember:
-            self.known.clear()
+            self._forget()
         new = [c for c in chunks if c not in self.known]
-        for chunk, found in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.known[chunk] = np.asarray(found.ids, np.uint32)
-        ids = [self.known[c] for c in chunks]
-        size = np.array([len(x) for x in ids])
-        flat, begin = np.concatenate(ids), np.concatenate([[0], np.cumsum(size)[:-1]])
-        length = size[which]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[which]
+        begin = self.at[number]
+        length = self.at[number + 1] - begin
         out = np.concatenate([[0], np.cumsum(length)])
-        return flat[np.repeat(begin[which] - out[:-1], length) + np.arange(out[-1])], out[np.searchsorted(edges, offsets)]
+        return self.flat[np.repeat(begin - out[:-1], length) + np.arange(out[-1])], out[np.searchsorted(edges, offsets)]
 
 
 def _letters(data: np.ndarray, s: int, e: int) -> np.ndarray:
