@@ -46,19 +46,24 @@ def _forest(limit: int):
     return run
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", limit: int = 1_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", edges_per_task: int = 500_000) -> DataFrame:
     """(v, m) for every node but the smallest of its component: m is that smallest node.
 
-    ``edges`` has two long columns; a node without edges has no row.  Each
-    round unions within partitions, then links every node's larger neighbours
-    to its smallest neighbour and its smaller ones likewise, until all edges
-    form stars.  Hubs are handled by partial aggregation and a join, so no
-    task needs a whole neighbourhood.
+    ``edges`` has two long columns; a node without edges has no row.  Tasks
+    first union ``edges_per_task`` edges each, so their number follows the
+    edges.  Where there are several, each round links every node's larger
+    neighbours to its smallest neighbour and its smaller ones likewise, until
+    all edges form stars.  Hubs are handled by partial aggregation and a join,
+    so no task needs a whole neighbourhood.
     """
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
-    now = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m")
-    step = 0
-    now = scratch.save(now.mapInArrow(_forest(limit), EDGE).distinct(), f"{name}{step}")
+    given = scratch.save(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m"), f"{name}_edges")
+    tasks = max(1, -(-given.count() // edges_per_task))
+    limit, step = 2 * edges_per_task, 0
+    now = scratch.save(given.coalesce(tasks).mapInArrow(_forest(limit), EDGE), f"{name}{step}")
+    scratch.drop(f"{name}_edges")
+    if tasks == 1:
+        return now  # one union-find has seen all edges
     while _unfinished(now):
         both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("least")).select(F.col("v").alias("u"), F.least("u", "least").alias("least"))

@@ -5,28 +5,33 @@ Shared by the document and the line operator.  An item is a set known by a
 packed signature, from which the similarity of a candidate pair is estimated
 with correction for chance collisions.
 
-Pairs are never emitted for whole buckets.  First every member of a bucket is
-compared with one member (another one in each bucket), and each item verifies
-only its best such candidate; near copies fall into components by that alone.
-Then, for buckets that still hold several components, members outside the
-bucket's largest component meet all its other components in blocks, and the
-estimate decides within the join which pairs come out.  Every pair of items
-that share a band, pass the estimate and are not yet connected gets verified on
-the full sets, so no link between components is lost.
+No table ever holds the pairs of a bucket; what is stored grows with the items.
+
+1. Every member of a bucket is compared with one member (another one in each
+   bucket) and each item verifies only its best such candidate.  Near copies
+   fall into components by that alone.
+2. In buckets that still hold several components, the members outside the
+   largest one meet all others in blocks.  Pairs that the estimate finds
+   plausible are not written but joined into families, as forests.
+3. Within a family the same is done once more, with the full sets at hand:
+   plausible pairs of different components are verified, and the links found
+   come out as forests.  A plausible pair always shares its family, so no link
+   between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorecal.llm.graph import connected_components
+from scorecal.llm.graph import EDGE, connected_components
 from scorecal.llm.scratch import Scratch
-from scorecal.llm.text import mix
+from scorecal.llm.text import mix, slices
 
 B = 2  # bits kept of each minimum
 LANES = 64 // B
@@ -76,12 +81,12 @@ def similarity_numpy(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - differ / (LANES * a.shape[-1])) - chance) / (1 - chance)
 
 
-def _plausible(num: int, den: int, words: int, floor: float) -> Column:
-    """Sizes allow the similarity, and the estimate is not far below it."""
+def _plausible(num: int, den: int, words: int, floor: float, least: int) -> Column:
+    """As ``_Plausible``, for the columns of a pair."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     ok = den * small >= num * large
     if words:
-        ok = ok & (similarity([F.col(f"s{i}_a") for i in range(words)], [F.col(f"s{i}_b") for i in range(words)]) >= floor)
+        ok = ok & ((small < least) | (similarity([F.col(f"s{i}_a") for i in range(words)], [F.col(f"s{i}_b") for i in range(words)]) >= floor))
     return ok
 
 
@@ -117,6 +122,7 @@ def similar_components(
     num: int,
     den: int,
     floor: float,
+    least: int = 0,
 ) -> DataFrame:
     """Components of items whose sets have den * intersection >= num * union.
 
@@ -124,10 +130,11 @@ def similar_components(
     members: key, id - the buckets with two members or more; both are read
     more than once and should be written tables.  texts(ids) gives (id, text)
     for a table of ids, and sets(texts) a sorted distinct array for each text.
+    ``floor`` is the least estimate that is verified, of sets of ``least`` and more.
     Returns (v, m) as ``connected_components`` does.
     """
     words = sum(c.startswith("s") for c in items.columns)
-    plausible = _plausible(num, den, words, floor)
+    plausible = _plausible(num, den, words, floor, least)
     estimate = similarity([F.col(f"s{i}_a") for i in range(words)], [F.col(f"s{i}_b") for i in range(words)]) if words else F.lit(0.0)
 
     spread = F.xxhash64("key", "id")
@@ -147,22 +154,177 @@ def similar_components(
     by_root = now.groupBy("key", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
     rest = now.join(open_.select("key", "size", "main"), "key").join(items, "id")
-    rest = scratch.save(rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size"), "open")
-    probe = rest.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    build = rest.withColumn("block", F.pmod(F.hash("id", "key"), F.col("blocks")))
-    rename = lambda df, s: df.select("key", "block", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("key", "block", "blocks")))
-    pairs = rename(probe, "a").join(rename(build, "b"), ["key", "block"]).where("root_a <> root_b and (root_b = main_b or id_a < id_b)").where(plausible)
-    pairs = pairs.select(F.greatest("id_a", "id_b").alias("id_a"), F.least("id_a", "id_b").alias("id_b")).distinct()
-    tried = best.select(F.greatest("id_a", "id_b").alias("id_a"), F.least("id_a", "id_b").alias("id_b"))
-    pairs = scratch.save(pairs.join(tried, ["id_a", "id_b"], "left_anti"), "pairs")
-    text = scratch.save(texts(pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct()), "text2")
-    more = _verified(pairs, text, sets, num, den)
+    check = _Plausible(num, den, words, floor, least)
+    forest = _blocked(rest.withColumnRenamed("key", "group"), []).mapInArrow(_family_edges(check), EDGE)
+    family = connected_components(forest, scratch, "family")
+    family = scratch.save(family.select(F.col("v").alias("id"), F.col("m").alias("group")).union(family.select("m", "m").distinct()), "families")
+
+    now = scratch.save(root(family).join(items, "id"), "open")
+    by_root = now.groupBy("group", "root").agg(F.count("*").alias("c"))
+    size = by_root.groupBy("group").agg(F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    full = scratch.save(texts(now.select("id")).mapInArrow(_packed(sets), "id long, items binary"), "sets")
+    rest = now.join(size, "group").join(full, "id")
+    more = _blocked(rest, ["items"]).mapInArrow(_links(check), EDGE)
     out = connected_components(found.union(more), scratch, "second")
-    scratch.drop("best", "text1", "linked1", "open", "pairs", "text2")
+    scratch.drop("best", "text1", "linked1", "families", "open", "sets")
     return out
 
 
+def _blocked(rest: DataFrame, more: list[str]) -> DataFrame:
+    """Each group in blocks of members; those outside its main root go to every block of it.
+
+    Tasks get whole (group, block) runs, the block's own members first.
+    """
+    words = [c for c in rest.columns if c.startswith("s") and c[1:].isdigit()]
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.hash("id", "group"), blocks)
+    probe = F.col("root") != F.col("main")
+    every = F.when(probe, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    rows = rest.select("group", F.explode(every).alias("block"), own.alias("own"), "id", "root", probe.alias("probe"), "n", *words, *more)
+    rows = rows.select("*", (F.col("own") == F.col("block")).alias("member")).drop("own")
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.col("member").desc(), "id")
+
+
+class _Plausible:
+    """Sizes allow the similarity, and the estimate of large enough sets is not far below it."""
+
+    def __init__(self, num: int, den: int, words: int, floor: float, least: int):
+        self.num, self.den, self.words, self.floor, self.least = num, den, words, floor, least
+
+    def __call__(self, n: np.ndarray, sig: np.ndarray, i: int, to: slice) -> np.ndarray:
+        small, large = np.minimum(n[i], n[to]), np.maximum(n[i], n[to])
+        ok = self.den * small >= self.num * large
+        if self.words:
+            at = np.flatnonzero(ok)
+            ok[at] = (small[at] < self.least) | (similarity_numpy(sig[i], sig[to][at]) >= self.floor)
+        return ok
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+    """Columns of each (group, block) run; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def take() -> dict:
+        table = pa.Table.from_batches(held)
+        return {c: table.column(c).to_pylist() if c == "items" else table.column(c).to_numpy() for c in names}
+
+    for batch in batches:
+        group, block = batch.column("group").to_numpy(), batch.column("block").to_numpy()
+        edges = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if key != (group[a], block[a]):
+                if held:
+                    yield take()
+                held, key = [], (group[a], block[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield take()
+
+
+class _Union:
+    def __init__(self, roots: np.ndarray):
+        """Items with the same root begin together."""
+        _, first = np.unique(roots, return_inverse=True)
+        at = np.full(first.max() + 1, -1)
+        self.parent = list(range(len(roots)))
+        for i, r in enumerate(first):
+            if at[r] < 0:
+                at[r] = i
+            self.parent[i] = int(at[r])
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _signature(run: dict) -> np.ndarray:
+    words = sorted((c for c in run if c.startswith("s") and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    return np.stack([run[c].view(np.uint64) for c in words], axis=1) if words else np.zeros((len(run["id"]), 0), np.uint64)
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["v", "m"])
+
+
+def _names(batch_schema: pa.Schema) -> list[str]:
+    return [c for c in batch_schema.names if c not in ("group", "block")]
+
+
+def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    first = next(batches, None)
+    if first is not None:
+        yield from _runs(chain([first], batches), _names(first.schema))
+
+
+def _family_edges(plausible: _Plausible):
+    """Forests of the plausible pairs of different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = []
+        for r in _each_run(batches):
+            sig, members = _signature(r), slice(0, int(r["member"].sum()))
+            union = _Union(np.arange(len(r["id"])))
+            for i in np.flatnonzero(r["probe"]):
+                ok = plausible(r["n"], sig, i, members) & (r["root"][members] != r["root"][i])
+                edges.extend((int(r["id"][i]), int(r["id"][j])) for j in np.flatnonzero(ok) if union.join(int(i), int(j)))
+            if len(edges) > 50_000:
+                yield _edge_batch(edges)
+                edges = []
+        yield _edge_batch(edges)
+
+    return run
+
+
+def _packed(sets: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.record_batch([batch.column("id"), pa.array([x.tobytes() for x in sets(batch.column("text"))], pa.binary())], ["id", "items"])
+
+    return run
+
+
+def _links(plausible: _Plausible):
+    """Forests of the pairs that are similar on their full sets."""
+    num, den = plausible.num, plausible.den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = []
+        for r in _each_run(batches):
+            sig, members = _signature(r), slice(0, int(r["member"].sum()))
+            full = [np.frombuffer(x, np.uint64) for x in r["items"]]
+            union = _Union(r["root"])
+            for i in np.flatnonzero(r["probe"]):
+                to = [j for j in np.flatnonzero(plausible(r["n"], sig, i, members)) if union.find(int(j)) != union.find(int(i))]
+                own = full[i]
+                for at in range(0, len(to), 64):
+                    part = [j for j in to[at : at + 64] if union.find(int(j)) != union.find(int(i))]
+                    if not part:
+                        continue
+                    every = np.concatenate([full[j] for j in part])
+                    place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                    both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate([[0], np.cumsum([len(full[j]) for j in part])[:-1]]))
+                    for j, k in zip(part, both, strict=True):
+                        if den * k >= num * (len(own) + len(full[j]) - k) and union.join(int(i), int(j)):
+                            edges.append((int(r["id"][i]), int(r["id"][j])))
+            if len(edges) > 50_000:
+                yield _edge_batch(edges)
+                edges = []
+        yield _edge_batch(edges)
+
+    return run
+
+
 def _verified(pairs: DataFrame, text: DataFrame, sets: Callable, num: int, den: int) -> DataFrame:
     full = pairs.select("id_a", "id_b").join(text.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     full = full.join(text.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
-    return full.mapInArrow(_verifier(sets, num, den), "v long, m long")
+    return full.mapInArrow(_verifier(sets, num, den), EDGE)

@@ -44,13 +44,31 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[: n + 1]
 
 
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[s:e] for each pair; equal slices hash alike."""
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+
+
+def prefixes(values: np.ndarray) -> np.ndarray:
+    """Running sums from which ``spans`` and ``windows`` take hashes."""
     n = len(values)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(values * _power(_BASE, n)[:n], out=prefix[1:])
-    span = (prefix[ends] - prefix[starts]) * _power(_INVERSE, n)[starts]
-    return mix(span + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return prefix
+
+
+def spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[s:e] for each pair; equal slices hash alike."""
+    span = (prefix[ends] - prefix[starts]) * _power(_INVERSE, len(prefix) - 1)[starts]
+    return mix(span + (ends - starts).astype(np.uint64) * _LENGTH)
+
+
+def windows(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all slices of k values, as ``spans`` gives them."""
+    n = max(0, len(prefix) - k)
+    return mix((prefix[k:] - prefix[:n]) * _power(_INVERSE, len(prefix) - 1)[:n] + np.uint64(k * int(_LENGTH) % 2**64))
+
+
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return spans(prefixes(values), starts, ends)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

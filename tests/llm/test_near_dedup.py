@@ -102,5 +102,6 @@ def test_components_of_a_long_path(spark):
     random.Random(0).shuffle(order)
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (7000, 7000)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(8)
-    got = {r.v: r.m for r in connected_components(df, Scratch(spark, "t"), limit=5).collect()}
+    got = {r.v: r.m for r in connected_components(df, Scratch(spark, "t"), edges_per_task=5).collect()}
     assert got == {i: 0 for i in range(1, n)} | {1001: 1000}
+    assert {r.v: r.m for r in connected_components(df, Scratch(spark, "t")).collect()} == got
