@@ -35,7 +35,8 @@ from scorecal.llm.text import Words, sliding_min, slices
 LAST = 2**63 - 1
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 SUMMARY = "doc_id long, doc long, n_words long, sha string, anchors array<long>"
-WINDOWS = "h long, doc long, sha string, pos int, from_doc long, from_sha string, from_pos int"
+WINDOWS = "h long, doc long, sha string, pos int, more binary, from_doc long, from_sha string, from_pos int"
+MARKED = "doc long, sha string, anchors array<long>, text string"
 ASKED = "doc long, sha string, from_doc long, from_sha string, from_pos int"
 
 
@@ -75,6 +76,11 @@ def _own(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tu
             yield batch, words
 
 
+def _right_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, _ in _own(batches):
+        yield batch.select(_names(MARKED))
+
+
 def _windows(width: int, gram: int, limit: int):
     """Windows with recurring anchors; those met before in the task, in a smaller document, are settled here."""
 
@@ -94,6 +100,17 @@ def _windows(width: int, gram: int, limit: int):
             new[1:] = h[1:] != h[:-1]
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
             settled = ids[d] > ids[d[start]]
+            # a window that a document repeats is one row, with its other places packed
+            again = ~new & (d == np.concatenate([d[:1], d[:-1]])) & ~settled
+            more = np.full(len(h), None, object)
+            if again.any():
+                lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+                at = np.flatnonzero(again)
+                for head, rows in zip(*(lambda u, i: (u, np.split(at, i[1:])))(*np.unique(lead[at], return_index=True)), strict=True):
+                    more[head] = p[rows].astype(np.int32).tobytes()
+                keep = ~again
+                renumber = np.cumsum(keep) - 1
+                h, d, p, more, settled, start = h[keep], d[keep], p[keep], more[keep], settled[keep], renumber[start[keep]]
             for at in range(0, len(h), 1 << 17):
                 part = slice(at, at + (1 << 17))
                 none = ~settled[part]
@@ -103,6 +120,7 @@ def _windows(width: int, gram: int, limit: int):
                         pa.array(ids[d[part]]),
                         shas.take(pa.array(d[part])),
                         pa.array(p[part].astype(np.int32)),
+                        pa.array(more[part], pa.binary()),
                         pa.array(ids[d[start[part]]], mask=none),
                         shas.take(pa.array(d[start[part]], mask=none)),
                         pa.array(p[start[part]].astype(np.int32), mask=none),
@@ -110,7 +128,8 @@ def _windows(width: int, gram: int, limit: int):
                     _names(WINDOWS),
                 )
 
-        for batch, words in _own(batches):
+        for batch in slices(batches, "text"):
+            words = Words.of(batch.column("text"))
             wanted = batch.column("anchors")
             grams, first = words.grams(width)
             for i, (doc, sha, anchors) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("sha").to_pylist(), _anchors(words, width, gram), strict=True)):
@@ -136,9 +155,13 @@ def _cover(width: int):
             out = []
             for doc, sha, found in zip(batch.column("doc").to_pylist(), batch.column("sha").to_pylist(), batch.column("found"), strict=True):
                 table = found.values
-                pos = np.asarray(table.field("pos"))
+                pos, source = np.asarray(table.field("pos")), np.arange(len(table))
+                packed = table.field("more")
+                for i in np.flatnonzero(np.asarray(packed.is_valid())):
+                    places = np.frombuffer(packed[int(i)].as_py(), np.int32)
+                    pos, source = np.concatenate([pos, places]), np.concatenate([source, np.full(len(places), i)])
                 order = np.argsort(pos, kind="stable")
-                pos = pos[order]
+                pos, order = pos[order], source[order]
                 keep, at = [], 0
                 while at < len(pos):
                     keep.append(at)
@@ -167,8 +190,8 @@ def _passages(width: int):
     schema = "shard int, first long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _own(batches):
-            out = []
+        for batch in slices(batches, "text"):
+            words, out = Words.of(batch.column("text")), []
             raw = words.data.tobytes()
             for i, (doc, asked) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 for a in asked:
@@ -227,9 +250,6 @@ def _stream(width: int, limit: int, with_text: bool):
                         m.trie.make_automaton()
                     ready = True
                 words = text.encode().split()
-                joined = b" ".join(words)
-                if hashlib.sha256(joined).hexdigest() != sha:
-                    continue  # another row with the same id
                 covered = np.zeros(len(words), bool)
                 for m in machines:
                     if m.size:
@@ -278,28 +298,30 @@ def substring_dedup(
     marked = anchors.join(met, "anchor").groupBy("doc", "sha").agg(F.collect_list("anchor").alias("anchors"))
     marked = scratch.save(marked, "marked")
 
-    text = rows.select("doc", "text")
-    windows = text.join(marked, "doc").mapInArrow(_windows(width, gram, memory), WINDOWS)
+    # The text of these documents alone takes part in what follows.
+    held = scratch.save(rows.select("doc", "text").join(marked, "doc").mapInArrow(_right_rows, MARKED), "held")
+    windows = held.mapInArrow(_windows(width, gram, memory), WINDOWS)
     windows = scratch.save(windows, "windows")
     start = F.min(F.struct("doc", "sha", "pos")).over(Window.partitionBy("h"))
-    far = windows.where("from_doc is null").select("h", "doc", "sha", "pos").withColumn("s", start).where("s.doc < doc")
-    far = far.select("doc", "sha", "pos", F.col("s.doc").alias("from_doc"), F.col("s.sha").alias("from_sha"), F.col("s.pos").alias("from_pos"))
+    far = windows.where("from_doc is null").select("h", "doc", "sha", "pos", "more").withColumn("s", start).where("s.doc < doc")
+    far = far.select("doc", "sha", "pos", "more", F.col("s.doc").alias("from_doc"), F.col("s.sha").alias("from_sha"), F.col("s.pos").alias("from_pos"))
     recurring = windows.where("from_doc is not null").select(*far.columns).unionByName(far)
-    found = recurring.groupBy("doc", "sha").agg(F.collect_list(F.struct("pos", "from_doc", "from_sha", "from_pos")).alias("found"))
+    found = recurring.groupBy("doc", "sha").agg(F.collect_list(F.struct("pos", "more", "from_doc", "from_sha", "from_pos")).alias("found"))
     asked = scratch.save(found.mapInArrow(_cover(width), ASKED), "asked")
 
     targets = asked.select("doc", "sha").distinct()
     shards = F.pmod(F.hash("doc"), F.lit(max(1, -(-targets.count() // shard_docs)))).cast("int")
     orders = asked.select(F.col("from_doc").alias("doc"), F.col("from_sha").alias("sha"), F.col("from_pos").alias("pos"), shards.alias("shard")).distinct()
     orders = orders.groupBy("doc", "sha").agg(F.collect_list(F.struct("pos", "shard")).alias("asked"))
-    passages = text.join(orders, "doc").mapInArrow(_passages(width), "shard int, first long, text string").distinct()
+    text = held.select("doc", "sha", "text")
+    passages = text.join(orders, ["doc", "sha"]).mapInArrow(_passages(width), "shard int, first long, text string").distinct()
     none = F.lit(None)
     feed = passages.select("shard", "first", none.cast("long").alias("doc"), none.cast("string").alias("sha"), "text").unionByName(
-        text.join(targets, "doc").select(shards.alias("shard"), none.cast("long").alias("first"), "doc", "sha", "text")
+        text.join(targets, ["doc", "sha"]).select(shards.alias("shard"), none.cast("long").alias("first"), "doc", "sha", "text")
     )
     streamed = feed.repartition("shard").sortWithinPartitions("shard", F.col("doc").asc_nulls_first()).mapInArrow(_stream(width, memory, with_text), REMOVED)
     removed = scratch.save(streamed.dropDuplicates(["doc", "sha"]), "removed")
-    scratch.drop("marked", "windows", "asked")
+    scratch.drop("marked", "held", "windows", "asked")
 
     out = every.drop("anchors").join(heads, "sha", "left").join(removed, ["doc", "sha"], "left")
     copy = F.col("head") < F.col("doc")
