@@ -79,12 +79,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: in
     """Learn from about ``per_class`` labelled texts of each class among the ids where ``learn`` holds.
 
     ``learn`` is an expression of the column ``id``.  The bounded sample is
-    the rows whose hash falls under per_class / rows.
+    the rows whose hash falls under per_class / rows; its ids, of which there
+    are about 2 * per_class whatever the tables' sizes, are broadcast.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1)).dropDuplicates(["id"])
     size = known.groupBy("label").agg(F.count("*").alias("of"))
     drawn = known.join(F.broadcast(size), "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0) * per_class / F.col("of"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn.select("id", "label"), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select("id", "label")), "id")
     rows = rows.select(F.xxhash64("id", "text").alias("key"), "label", "text").mapInArrow(_features, "key long, label int, at binary").collect()
     rows.sort(key=lambda r: r["key"])
     positive = np.array([r["label"] == 1 for r in rows], bool)
