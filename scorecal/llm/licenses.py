@@ -1,13 +1,14 @@
 """Licence recognition by sentence rules, in DataFrame expressions only.
 
-A text is cut into sentences, each is normalised, known ones become
-identifiers, and the identifiers in their order are matched against ordered
-rules.  Text never leaves its row and nothing is shuffled.
+A text is normalised with marks where sentences end or may end, known sentences
+between marks become identifiers, and the identifiers in their order are matched
+against ordered rules.  Text never leaves its row and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,15 +83,44 @@ LONGEST = 60 + max(map(len, SENTENCES))
 SHORTEST = min(map(len, SENTENCES))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text: lines, cut after . ! ? ; : that white space follows."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
+# Marks put into a text: a sentence's certain end, and a place where it may end or go on.
+END, MAYBE = "\x01", "\x02"
+_WHITE = r"\x20\x09-\x0D"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; letters and digits, and dots between digits, parted by one blank."""
-    plain = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\.([^0-9]|$)", " $1"), r"\s+", " "))
+def marked(text: Column) -> Column:
+    """Words of a text, parted by blanks and marks.
+
+    Words are lower-case letters and digits, and dots before digits.  Blank
+    lines and . ! ? that white space follows end a sentence.  At other line
+    ends and after ; : it may end or go on, so that wrapped sentences are found
+    as well as lines.  Comment leaders go with the line end before them.
+    """
+    x = F.concat(F.lit("\n"), F.translate(F.lower(text), END + MAYBE, "  "), F.lit("\n\n"))
+    x = F.regexp_replace(x, r"\n[^\p{L}\p{N}]*\n", END + "\n")
+    x = F.regexp_replace(x, r"\n[^\p{L}\p{N}.\n]*(?:\.[^\p{L}\p{N}.\n]+)?(?:(?:dnl|rem)[\x20\x09]+)?", MAYBE)
+    x = F.regexp_replace(x, rf"\bv\.[{_WHITE}{MAYBE}]+(?=[0-9])", "v" + MAYBE)
+    x = F.regexp_replace(x, rf"[.!?][{_WHITE}{MAYBE}]+", END)
+    x = F.regexp_replace(x, rf"[;:][{_WHITE}{MAYBE}]+", MAYBE)
+    x = F.regexp_replace(x, r"\.(?![0-9])", " ")
+    return F.regexp_replace(x, rf"[^a-z0-9.{END}{MAYBE}]+", " ")
+
+
+def known_pattern(known: dict[str, str]) -> str:
+    """Matches a mark and a known sentence, the longest, that another mark follows."""
+    longest = sorted(known, key=lambda s: (-len(s), s))
+    parts = (f"[ {MAYBE}]+".join(map(re.escape, s.split(" "))) for s in longest)
+    return f"[{END}{MAYBE}] *({'|'.join(parts)})(?= *[{END}{MAYBE}])"
+
+
+def hint_pattern(known: dict[str, str]) -> str:
+    """Matches every lower-case text that holds a known sentence: each has one of these words."""
+    left, words = {s: set(s.split(" ")) for s in known}, []
+    while left:
+        count = Counter(w for own in left.values() for w in own)
+        words.append(max(count, key=lambda w: (len(w) > 5, count[w], len(w), w)))
+        left = {s: own for s, own in left.items() if words[-1] not in own}
+    return "|".join(map(re.escape, words))
 
 
 def rule_pattern(parts: list[str]) -> str:
@@ -108,14 +138,16 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: lis
     null and empty texts have no sentences.  Repeated rows each get a row; an
     empty table gives none; other columns are not read.
 
+    A sentence may be wrapped over lines, with comment leaders; a blank line ends it.
+
     ``known`` maps normalised sentences to identifiers and ``rules`` lists
     (licence, kind, identifiers in order).
     """
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    pieces = F.filter(sentences(F.coalesce(F.col(text_col), F.lit(""))), lambda s: F.length(s).between(SHORTEST, 4 * LONGEST))
-    # most sentences are told apart by a word that all known ones of their kind share
-    hint = r"(?i)licen[cs]|reserved|permi|redistribut|warrant|dedicated|merchantab|endorse|copyright"
-    ids = F.filter(F.transform(F.filter(pieces, lambda s: F.rlike(s, F.lit(hint))), lambda s: table[normalised(s)]), lambda x: x.isNotNull())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.regexp_extract_all(marked(text), F.lit(known_pattern(known)), F.lit(1))
+    ids = F.transform(found, lambda s: table[F.regexp_replace(s, f"[ {MAYBE}]+", " ")])
+    ids = F.when(F.lower(text).rlike(hint_pattern(known)), ids).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids"))
     joined = F.array_join("ids", ",")
     wrapped = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))

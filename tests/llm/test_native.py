@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
@@ -44,6 +45,84 @@ def test_licenses(spark):
     assert out.count() == len(ODD) + len(texts) and licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", ";; ", "! ", "dnl ", '.\\" '])
+def test_wrapped_licenses(spark, leader):
+    texts = {
+        "Apache-2.0": APACHE,
+        "MIT": "\n\n".join("\n".join(textwrap.wrap(x, 76)) for x in MIT),
+        "GPL-3.0-or-later": GPL.format(":", ",", 3),
+        "GPL-2.0-or-later": GPL.format(";", ";", 2),
+        "BSD-2-Clause,LicenseRef-Reserved": BSD,
+        "BSD-3-Clause,BSD-2-Clause,LicenseRef-Reserved": BSD + NAMES,
+        "ISC": ISC,
+        "MPL-2.0": MPL,
+    }
+    for end in ("\n", "\r\n"):
+        rows = [(i, end.join((leader + line).rstrip() for line in t.split("\n"))) for i, t in enumerate(texts.values())]
+        got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [r.licenses for r in sorted(got, key=lambda r: r.doc_id)] == list(texts)
+
+
+def test_license_hint_follows_known_sentences(spark):
+    df = spark.createDataFrame([(1, "Use it\nfreely, friend."), (2, "Use it\n\nfreely, friend.")], "doc_id long, text string")
+    got = licenses.scan_licenses(df, {"use it freely friend": "free"}, [("Free", "open", ["free"])]).collect()
+    assert {r.doc_id: r.license for r in got} == {1: "Free", 2: "none"}
+
+
+def test_license_scan_of_long_runs(spark):
+    odd = ["\n" * 200_000, "license " + "\n * " * 100_000, "license" + ". " * 100_000, "license" + ";" * 300_000, "license." + "." * 300_000]
+    df = spark.createDataFrame([(i, x + "\nReleased under the MIT License.") for i, x in enumerate(odd)], "doc_id long, text string")
+    assert [r.license for r in licenses.scan_licenses(df).collect()] == ["MIT"] * len(odd)
+
+
 def brute_mix(rows, weights, share, max_epochs, seed):
     """The same rule, by water filling with repeated passes and a sorted walk."""
     def split(budget, children):  # children: {name: (weight, cap)}
