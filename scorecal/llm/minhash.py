@@ -11,7 +11,7 @@ No table ever holds the pairs of a bucket; what is stored grows with the items.
    bucket) and each item verifies only its best such candidate.  Near copies
    fall into components by that alone.
 2. In buckets that still hold several components, the members outside the
-   largest one meet all others in blocks.  Pairs that the estimate finds
+   largest one meet all others in pairs of blocks.  Pairs that the estimate finds
    plausible are not written but joined into families, as forests.
 3. Within a family the same is done once more, with the full sets at hand:
    plausible pairs of different components are verified, and the links found
@@ -152,8 +152,8 @@ def similar_components(
 
     now = root(members)
     by_root = now.groupBy("key", "root").agg(F.count("*").alias("n"))
-    open_ = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    rest = now.join(open_.select("key", "size", "main"), "key").join(items, "id")
+    open_ = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
+    rest = now.join(open_.select("key", "size", "top", "main"), "key").join(items, "id")
     check = _Plausible(num, den, words, floor, least)
     forest = _blocked(rest.withColumnRenamed("key", "group"), []).mapInArrow(_family_edges(check), EDGE)
     family = connected_components(forest, scratch, "family")
@@ -161,7 +161,7 @@ def similar_components(
 
     now = scratch.save(root(family).join(items, "id"), "open")
     by_root = now.groupBy("group", "root").agg(F.count("*").alias("c"))
-    size = by_root.groupBy("group").agg(F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    size = by_root.groupBy("group").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("main"))
     full = scratch.save(texts(now.select("id")).mapInArrow(_packed(sets), "id long, items binary"), "sets")
     rest = now.join(size, "group").join(full, "id")
     more = _blocked(rest, ["items"]).mapInArrow(_links(check), EDGE)
@@ -171,17 +171,22 @@ def similar_components(
 
 
 def _blocked(rest: DataFrame, more: list[str]) -> DataFrame:
-    """Each group in blocks of members; those outside its main root go to every block of it.
+    """Each group as pairs of blocks: those outside its main root meet one another and the main root.
 
-    Tasks get whole (group, block) runs, the block's own members first.
+    Both sides are cut into blocks of about BLOCK members by a hash.  Tasks get
+    whole (group, pair of blocks) runs of two blocks at most: ``probe`` flags
+    the first block's members, ``member`` the second's, who come first; a block
+    also meets itself.  Members of the main root never meet one another.
     """
     words = [c for c in rest.columns if c.startswith("s") and c[1:].isdigit()]
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.hash("id", "group"), blocks)
     probe = F.col("root") != F.col("main")
-    every = F.when(probe, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    rows = rest.select("group", F.explode(every).alias("block"), own.alias("own"), "id", "root", probe.alias("probe"), "n", *words, *more)
-    rows = rows.select("*", (F.col("own") == F.col("block")).alias("member")).drop("own")
+    first = F.ceil((F.col("size") - F.col("top")) / BLOCK)
+    second = F.ceil(F.col("top") / BLOCK)
+    number = F.pmod(F.xxhash64("id", "group"), F.when(probe, first).otherwise(second))
+    rows = rest.withColumn("place", F.when(probe, number).otherwise(first + number)).withColumn("blocks", first + second)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(probe, F.col("blocks")).otherwise(first) - 1)))
+    i, j = F.least("place", "other"), F.greatest("place", "other")
+    rows = rows.select("group", (i * F.col("blocks") + j).alias("block"), "id", "root", (F.col("place") == i).alias("probe"), (F.col("place") == j).alias("member"), "n", *words, *more)
     return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.col("member").desc(), "id")
 
 

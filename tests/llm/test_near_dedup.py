@@ -72,6 +72,29 @@ def test_large_group_with_weak_links(spark):
     assert run(spark, rows, k=3, num=85, den=100) == brute_force(rows, 3, 85, 100)
 
 
+def test_runs_hold_two_blocks_and_all_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    n, main = 600, 200  # ids below ``main`` have one root, the others are apart
+    rest = spark.range(n).selectExpr("id", f"if(id < {main}, -1L, id) as root", "7L as group", f"{n}L as size", f"{main}L as top", "-1L as main", "5L as n", "id as s0")
+    runs = {}
+    for r in minhash._blocked(rest, []).collect():
+        runs.setdefault((r.group, r.block), []).append(r)
+    assert max(map(len, runs.values())) <= 4 * 32, "two blocks, whose sizes vary as hashes do"
+    met = set()
+    for rows in runs.values():
+        members = [r.id for r in rows if r.member]
+        assert [r.id for r in rows[: len(members)]] == members and all(r.member or r.probe for r in rows)
+        met |= {frozenset((r.id, m)) for r in rows if r.probe for m in members if m != r.id}
+    assert met == {frozenset(x) for x in combinations(range(n), 2) if max(x) >= main}
+
+
+def test_small_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = near_copies(150, 1, 5, edits=9) + near_copies(60, 2, 8, edits=14)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert run(spark, rows, k=3, num=85, den=100) == brute_force(rows, 3, 85, 100)
+
+
 def test_query_matches_brute_force(spark):
     from scorecal.llm.queries import op1_minhash_near_dedup
 
