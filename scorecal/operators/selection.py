@@ -26,13 +26,25 @@ def with_folds(df: DataFrame, key: Sequence[str], folds: int = 5, seed: int = 0,
 
 
 def _tie_folds(ties: DataFrame, folds: int) -> DataFrame:
-    """A tie table dealt into folds: label counts of each score go round by thinning."""
-    u = lambda f, salt: F.pmod(F.xxhash64("x", F.lit(salt)) + f, F.lit(folds))
-    rows = ties.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    part = lambda c, salt: F.floor(F.col(c) / folds) + (u(F.col("fold"), salt) < F.pmod(F.floor(F.col(c)), F.lit(folds))).cast("int")
-    rows = rows.withColumn("_pos", part("wy", 1)).withColumn("_neg", F.floor((F.floor(F.col("w")) - F.floor(F.col("wy"))) / folds) + (u(F.col("fold"), 2) < F.pmod(F.floor(F.col("w")) - F.floor(F.col("wy")), F.lit(folds))).cast("int"))
-    rows = rows.withColumn("w", (F.col("_pos") + F.col("_neg")).cast("double")).withColumn("wy", F.col("_pos").cast("double")).where("w > 0")
-    return rows.withColumn("n", F.col("w").cast("long")).withColumn("y", F.col("wy") / F.col("w")).drop("_pos", "_neg")
+    """A tie table dealt into folds: the labels' weights of each score go round by thinning.
+
+    They are dealt in units of the score's mean row weight, and a unit's
+    fraction goes to one fold, so the folds' weights sum to the table's.  A
+    score of one row falls into one fold, whatever its weight.
+    """
+    rows = ties.where("w > 0").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rows = rows.withColumn("_pos", F.col("wy")).withColumn("_neg", F.col("w") - F.col("wy"))
+    for salt, c in ((1, "_pos"), (2, "_neg")):
+        some = F.col(c) > F.col("w") * 1e-14  # less is rounding of the sums
+        raw = F.col(c) * F.col("n") / F.col("w")
+        units = F.when((F.round(raw) >= 1) & (F.abs(raw - F.round(raw)) < 1e-9), F.round(raw)).otherwise(raw)
+        each = F.floor(units / folds)
+        turn = F.pmod(F.xxhash64("x", F.lit(salt)) + F.col("fold"), F.lit(folds))
+        dealt = each + F.least(F.lit(1.0), F.greatest(F.lit(0.0), units - folds * each - turn))
+        rows = rows.withColumn(f"{c}_n", F.when(some, dealt).otherwise(0.0)).withColumn(c, F.when(some, F.col(c) * dealt / units).otherwise(0.0))
+    rows = rows.withColumn("w", F.col("_pos") + F.col("_neg")).withColumn("wy", F.col("_pos")).where("w > 0")
+    rows = rows.withColumn("n", F.greatest(F.lit(1), F.round(F.col("_pos_n") + F.col("_neg_n"))).cast("long"))
+    return rows.withColumn("y", F.col("wy") / F.col("w")).drop("_pos", "_neg", "_pos_n", "_neg_n")
 
 
 def select_setting(ties: DataFrame, make: Callable, grid: Sequence, folds: int = 5, scoring: str = "log_loss"):

@@ -206,3 +206,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(str, df.collect()))
     assert key(spark.table("bins").select("window_start", "bin", "n", F.round("sum_score", 6))) == key(windowed_bins(rows).select("window_start", "bin", "n", F.round("sum_score", 6)))
+
+
+def test_folds_keep_fractions_of_weights(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(x), float(rng.random() < x), float(w)) for x, w in zip(rng.random(300), rng.random(300) / 150, strict=True)]
+    rows += [(0.5, float(i % 3 == 0), 0.001) for i in range(60)]
+    df = spark.createDataFrame(rows, "score double, label double, w double")
+    ties = tie_table(df, weight="w")
+    held = selection._tie_folds(ties, 5).toPandas()
+    want = ties.toPandas().set_index("x").sort_index()
+    got = held.groupby("x")[["w", "wy", "n"]].sum()
+    assert len(got) == len(want) and np.allclose(got["w"], want["w"], rtol=1e-9) and np.allclose(got["wy"], want["wy"], rtol=1e-9, atol=1e-15)
+    assert (got["n"] == want["n"]).all() and held["x"].value_counts().drop(0.5).eq(1).all()
+    assert held[held["x"] == 0.5]["n"].tolist() == [12] * 5 and held.groupby("fold")["w"].sum().min() > 0.1 * want["w"].sum()
+    best = selection.select_setting(ties, lambda a: C.MonotoneSpline(n_knots=5, alpha=a), [0.1, 1e6], 3)
+    scaled = tie_table(df.withColumn("w", F.col("w") * 1024), weight="w")
+    assert best == selection.select_setting(scaled, lambda a: C.MonotoneSpline(n_knots=5, alpha=a), [0.1, 1e6], 3)
+    rounded = tie_table(df.selectExpr("round(score, 1) as score", "label"))
+    counts = selection._tie_folds(rounded, 5).toPandas()
+    assert (counts["w"] == counts["n"]).all() and (counts["w"] % 1 == 0).all() and (counts["wy"] % 1 == 0).all()
