@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorecal.llm.heap import frugal
 from scorecal.llm.scratch import Scratch
 
 EDGE = "v long, m long"
@@ -60,7 +61,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", e
     given = scratch.save(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m"), f"{name}_edges")
     tasks = max(1, -(-given.count() // edges_per_task))
     limit, step = 2 * edges_per_task, 0
-    now = scratch.save(given.coalesce(tasks).mapInArrow(_forest(limit), EDGE), f"{name}{step}")
+    now = scratch.save(given.coalesce(tasks).mapInArrow(frugal(_forest(limit)), EDGE), f"{name}{step}")
     scratch.drop(f"{name}_edges")
     if tasks == 1:
         return now  # one union-find has seen all edges
@@ -68,12 +69,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", e
         both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("least")).select(F.col("v").alias("u"), F.least("u", "least").alias("least"))
         large = both.join(least, both.v == least.u).where("m > u").select(F.col("m").alias("v"), F.col("least").alias("m")).where("v > m").distinct()
-        large = large.mapInArrow(_forest(limit), EDGE)
+        large = large.mapInArrow(frugal(_forest(limit)), EDGE)
         root = large.groupBy("v").agg(F.min("m").alias("root"))
         small = large.join(root, "v")
         small = small.select("v", F.col("root").alias("m")).unionByName(small.select(F.col("m").alias("v"), F.col("root").alias("m")))
         step += 1
-        now = scratch.save(small.where("v > m").distinct().mapInArrow(_forest(limit), EDGE).distinct(), f"{name}{step}")
+        now = scratch.save(small.where("v > m").distinct().mapInArrow(frugal(_forest(limit)), EDGE).distinct(), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")
     return now
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorecal.llm.heap import frugal
 from scorecal.llm.minhash import LANES, band_keys, minima, signatures, similar_components
 from scorecal.llm.scratch import Scratch
 from scorecal.llm.text import Words, mix, slices, utf8
@@ -97,7 +98,7 @@ def near_dedup(
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    every = scratch.save(rows_in.mapInArrow(_summary(k, lower, bands, rows), SUMMARY), "summary")
+    every = scratch.save(rows_in.mapInArrow(frugal(_summary(k, lower, bands, rows)), SUMMARY), "summary")
     sigs = [f"s{i}" for i in range(WORDS)]
     classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in sigs))
     classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -109,7 +110,7 @@ def near_dedup(
         wanted = classes.join(ids, "id").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "id", "d1", "d2")
         found = rows_in.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "h", "text").join(wanted, "doc")
         found = found.dropDuplicates(["doc", "id", "h"])  # no shuffle: the join dealt by doc
-        return found.select("id", "text", "d1", "d2").mapInArrow(_texts_of(k, lower), "id long, text string")
+        return found.select("id", "text", "d1", "d2").mapInArrow(frugal(_texts_of(k, lower)), "id long, text string")
 
     found = similar_components(classes.select("id", "n", *sigs), members, texts, lambda c: shingles(c, k, lower), scratch, num, den, num / den - slack)
     named = classes.join(found, classes.id == found.v, "left").select("n", "d1", "d2", "doc_id", F.coalesce("m", "id").alias("root"))

@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecal.llm.text import rolling, slices, utf8
+from scorecal.llm.heap import frugal
+from scorecal.llm.text import same_spans, slices, span_hashes, utf8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _KINDS = [pa.int64()] * 7
@@ -41,15 +42,16 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizer, encoding each distinct chunk once.
 
     Chunks begin at texts and at spaces where the tokenizer's own pattern
-    always splits, so the ids are those of the whole text.
+    always splits, so the ids are those of the whole text.  Added tokens of the
+    vocabulary hold no space, so none lies across chunks.  Chunks that hash
+    alike are compared byte for byte.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
@@ -87,6 +89,18 @@ class Encoder:
             self.at[n + 1 : n + 1 + len(run)] = used + ends
             self.known.update(zip(run, range(n, n + len(run)), strict=True))
 
+    @staticmethod
+    def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each distinct chunk, and which of them each chunk is."""
+        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        like, size = sample[which], ends - starts
+        apart = size != size[like]
+        apart[~apart] = ~same_spans(data, starts[~apart], starts[like[~apart]], size[~apart])
+        for i in np.flatnonzero(apart):  # a hash that two chunks share: the second stands for itself
+            which[i] = len(sample)
+            sample = np.append(sample, i)
+        return sample, which
+
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and n + 1 offsets."""
         data, offsets = utf8(column)
@@ -97,13 +111,13 @@ class Encoder:
         if len(edges) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts, ends = edges[:-1], edges[1:]
-        hashes = np.concatenate([rolling(_letters(data, s, e), s_, e_) for s, e, s_, e_ in _blocks(starts, ends)])
-        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes = np.concatenate([span_hashes(data[s:e], s_, e_) for s, e, s_, e_ in _blocks(starts, ends)])
+        sample, which = self._distinct(data, starts, ends, hashes)
         raw = data.tobytes()
         chunks = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
         if len(self.known) > self.remember:
             self._forget()
-        new = [c for c in chunks if c not in self.known]
+        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
         if new:
             self._learn(new)
         number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[which]
@@ -113,12 +127,6 @@ class Encoder:
         return self.flat[np.repeat(begin - out[:-1], length) + np.arange(out[-1])], out[np.searchsorted(edges, offsets)]
 
 
-def _letters(data: np.ndarray, s: int, e: int) -> np.ndarray:
-    from scorecal.llm.text import _BYTE
-
-    return _BYTE[data[s:e]]
-
-
 def _blocks(starts: np.ndarray, ends: np.ndarray, size: int = 2 << 20) -> Iterator[tuple]:
     at = 0
     while at < len(starts):
@@ -218,4 +226,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, min_cut: int = 6
         bins.close()
         yield bins.take()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), PIECES)

@@ -1,7 +1,8 @@
 """Vectorised word and character hashing for Arrow batches.
 
 A word is a run of bytes other than space and ``\\t \\n \\v \\f \\r``.  All hashes
-are 64-bit and the same on every worker.
+are 64-bit and the same on every worker.  They are chains of non-linear mixing
+steps, so that no pattern within words or among them makes two collide.
 """
 
 from __future__ import annotations
@@ -10,65 +11,104 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
+_LONG = 64  # bytes of a word beyond which xxHash takes over
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_JOIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    known = _powers.get(base)
-    if known is None or len(known) <= n:
-        step = np.full(max(n, BLOCK) + 1, base, np.uint64)
-        step[0] = 1
-        known = _powers[base] = np.multiply.accumulate(step)
-    return known[: n + 1]
-
-
-_LENGTH = np.uint64(0xD6E8FEB86659FD93)
-
-
-def prefixes(values: np.ndarray) -> np.ndarray:
-    """Running sums from which ``spans`` and ``windows`` take hashes."""
-    n = len(values)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power(_BASE, n)[:n], out=prefix[1:])
-    return prefix
-
-
-def spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[s:e] for each pair; equal slices hash alike."""
-    span = (prefix[ends] - prefix[starts]) * _power(_INVERSE, len(prefix) - 1)[starts]
-    return mix(span + (ends - starts).astype(np.uint64) * _LENGTH)
-
-
-def windows(prefix: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all slices of k values, as ``spans`` gives them."""
-    n = max(0, len(prefix) - k)
-    return mix((prefix[k:] - prefix[:n]) * _power(_INVERSE, len(prefix) - 1)[:n] + np.uint64(k * int(_LENGTH) % 2**64))
-
-
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans(prefixes(values), starts, ends)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    return mix(a * _JOIN + b)
+
+
+def windows(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all slices of k values, built from slices of 1, 2, 4, ... values."""
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    out, have, part, width = None, 0, values, 1
+    while k:
+        if k & 1:
+            out = part if out is None else join(out[: len(part) - have], part[have:])
+            have += width
+        k >>= 1
+        if k:
+            part = join(part[:-width], part[width:])
+            width *= 2
+    return out
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def byte_windows(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k bytes; without collisions up to 8."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eights = _eights(data)
+    if k <= 8:
+        return mix((eights[:n] & _MASK[k]) + np.uint64(k))
+    out = mix(eights[:n] + np.uint64(k))
+    for at in range(8, k, 8):
+        out = join(out, eights[at : at + n] & _MASK[min(k - at, 8)])
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans, eight bytes a step; of long spans by xxHash."""
+    eights, size = _eights(data), ends - starts
+    out = mix(size.astype(np.uint64) + _JOIN)
+    live = np.flatnonzero(size <= _LONG)
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = join(out[live], eights[at] & _MASK[np.minimum(left, 8)])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of both spans of each pair, of the same size, are equal."""
+    eights = _eights(data)
+    out = np.ones(len(starts), bool)
+    live = np.flatnonzero(starts != others)
+    long = live[size[live] > _LONG]
+    live = live[size[live] <= _LONG]
+    a, b, left = starts[live], others[live], size[live]
+    while len(live):
+        mask = _MASK[np.minimum(left, 8)]
+        equal = (eights[a] & mask) == (eights[b] & mask)
+        out[live[~equal]] = False
+        more = equal & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for i in long:
+        out[i] = np.array_equal(data[starts[i] : starts[i] + size[i]], data[others[i] : others[i] + size[i]])
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +151,13 @@ class Words:
         self.starts = np.flatnonzero(inside & before)
         self.ends = np.flatnonzero(inside & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        table = _LOWER if lower else _BYTE
+        data = _LOWER[data] if lower else data
         parts, word = [], 0
-        while word < len(self.starts):  # blocks of whole words keep the power tables short
+        while word < len(self.starts):  # blocks of whole words
             origin = self.starts[word]
             stop = max(word + 1, int(np.searchsorted(self.ends, origin + BLOCK, side="right")))
-            s, e = self.starts[word:stop], self.ends[word:stop]
-            parts.append(rolling(table[data[origin : e[-1]]], s - origin, e - origin))
+            begin, end = self.starts[word:stop], self.ends[word:stop]
+            parts.append(span_hashes(data[origin : end[-1]], begin - origin, end - origin))
             word = stop
         self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
@@ -143,8 +183,7 @@ class Words:
         step = 1 << 20
         for at in range(0, total - k + 1, step):
             stop = min(at + step, total - k + 1)
-            s = np.arange(stop - at)
-            parts.append(rolling(self.hashes[at : stop + k - 1], s, s + k))
+            parts.append(windows(self.hashes[at : stop + k - 1], k))
         every = np.concatenate(parts)
         whole = np.zeros(total - k + 1, bool)
         for lo, n in zip(self.first[:-1], count, strict=True):

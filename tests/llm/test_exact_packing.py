@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +47,6 @@ def check_packing(pieces, docs, capacity):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
@@ -70,6 +70,24 @@ def check_packing(pieces, docs, capacity):
     return padding / sum(p.length for p in pieces)
 
 
+def test_packing_of_thue_morse_words(spark):
+    from tests.llm.test_line_dedup import thue_morse
+
+    docs = list(enumerate(f"{a} {b}" for n in (512, 1024, 4096) for a, b in (thue_morse(n), thue_morse(n)[::-1])))
+    check_packing(pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), tokenizer_path(), 2048, 16).collect(), docs, 2048)
+
+
+def test_chunks_that_hash_alike_are_told_apart(monkeypatch):
+    from scorecal.llm import packing
+
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = pa.array(["some words of the same length: cats dogs birds", "dogs cats cows dogs", None, "x" * 200 + " " + "y" * 200])
+    encode = packing.Encoder(tokenizer_path())
+    ids, at = encode(texts)
+    want = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
 @pytest.mark.parametrize("capacity", [64, 2048])
 def test_packing_round_trip(spark, capacity):
     docs = [(i, t) for i, (_, t) in enumerate(ODD)] + [(100 + i, "Ünï word's  x\n\n y 12 ### " * (i % 90)) for i in range(200)]
