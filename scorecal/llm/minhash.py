@@ -22,7 +22,6 @@ No table ever holds the pairs of a bucket; what is stored grows with the items.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecal.llm.graph import EDGE, connected_components
+from scorecal.llm.heap import frugal
 from scorecal.llm.scratch import Scratch
 from scorecal.llm.text import mix, slices
 
@@ -94,6 +94,17 @@ def _side(items: DataFrame, side: str) -> DataFrame:
     return items.select(*(F.col(c).alias(f"{c}_{side}") for c in items.columns))
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted distinct arrays share."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y):
+        return 0
+    place = np.searchsorted(x, y)
+    place[place == len(x)] = 0
+    return int(np.count_nonzero(x[place] == y))
+
+
 def _verifier(sets: Callable, num: int, den: int):
     """Keep pairs with den * intersection >= num * union on the full sets."""
 
@@ -105,7 +116,7 @@ def _verifier(sets: Callable, num: int, den: int):
                 left, right = sets(batch.column("text_a")), sets(batch.column("text_b"))
                 keep = []
                 for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = _common(x, y)
                     keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
                 kept = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.record_batch([kept.column("id_a"), kept.column("id_b")], ["v", "m"])
@@ -155,16 +166,16 @@ def similar_components(
     open_ = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
     rest = now.join(open_.select("key", "size", "top", "main"), "key").join(items, "id")
     check = _Plausible(num, den, words, floor, least)
-    forest = _blocked(rest.withColumnRenamed("key", "group"), []).mapInArrow(_family_edges(check), EDGE)
+    forest = _blocked(rest.withColumnRenamed("key", "group"), []).mapInArrow(frugal(_family_edges(check)), EDGE)
     family = connected_components(forest, scratch, "family")
     family = scratch.save(family.select(F.col("v").alias("id"), F.col("m").alias("group")).union(family.select("m", "m").distinct()), "families")
 
     now = scratch.save(root(family).join(items, "id"), "open")
     by_root = now.groupBy("group", "root").agg(F.count("*").alias("c"))
     size = by_root.groupBy("group").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    full = scratch.save(texts(now.select("id")).mapInArrow(_packed(sets), "id long, items binary"), "sets")
+    full = scratch.save(texts(now.select("id")).mapInArrow(frugal(_packed(sets)), "id long, items binary"), "sets")
     rest = now.join(size, "group").join(full, "id")
-    more = _blocked(rest, ["items"]).mapInArrow(_links(check), EDGE)
+    more = _blocked(rest, ["items"]).mapInArrow(frugal(_links(check)), EDGE)
     out = connected_components(found.union(more), scratch, "second")
     scratch.drop("best", "text1", "linked1", "families", "open", "sets")
     return out
@@ -196,54 +207,67 @@ class _Plausible:
     def __init__(self, num: int, den: int, words: int, floor: float, least: int):
         self.num, self.den, self.words, self.floor, self.least = num, den, words, floor, least
 
-    def __call__(self, n: np.ndarray, sig: np.ndarray, i: int, to: slice) -> np.ndarray:
-        small, large = np.minimum(n[i], n[to]), np.maximum(n[i], n[to])
+    def __call__(self, n: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = self.den * small >= self.num * large
         if self.words:
             at = np.flatnonzero(ok)
-            ok[at] = (small[at] < self.least) | (similarity_numpy(sig[i], sig[to][at]) >= self.floor)
+            ok[at] = (small[at] < self.least) | (similarity_numpy(sig[i[at]], sig[j[at]]) >= self.floor)
         return ok
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
-    """Columns of each (group, block) run; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def take() -> dict:
-        table = pa.Table.from_batches(held)
-        return {c: table.column(c).to_pylist() if c == "items" else table.column(c).to_numpy() for c in names}
-
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of whole (group, block) runs; one run at most is held back."""
+    held = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         group, block = batch.column("group").to_numpy(), batch.column("block").to_numpy()
-        edges = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1
-        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
-            if a == b:
-                continue
-            if key != (group[a], block[a]):
-                if held:
-                    yield take()
-                held, key = [], (group[a], block[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield take()
+        last = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _meetings(batch: pa.RecordBatch, limit: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of each probe and each member of its run, each pair once, about ``limit`` at a time."""
+    group, block = batch.column("group").to_numpy(), batch.column("block").to_numpy()
+    probe, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("probe", "member"))
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (block[1:] != block[:-1])
+    start, run = np.flatnonzero(new), np.cumsum(new) - 1
+    members = np.add.reduceat(member.astype(np.int64), start)
+    row = np.flatnonzero(probe)
+    count = members[run[row]]
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < len(row):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        n = count[at:stop]
+        i = np.repeat(row[at:stop], n)
+        j = np.arange(total[stop] - total[at]) - np.repeat(total[at:stop] - total[at], n) + np.repeat(start[run[row[at:stop]]], n)
+        once = (j < i) | ~(member[i] & probe[j])  # a block that meets itself has both orders
+        once &= i != j
+        yield i[once], j[once]
+        at = stop
 
 
 class _Union:
-    def __init__(self, roots: np.ndarray):
-        """Items with the same root begin together."""
-        _, first = np.unique(roots, return_inverse=True)
-        at = np.full(first.max() + 1, -1)
-        self.parent = list(range(len(roots)))
-        for i, r in enumerate(first):
-            if at[r] < 0:
-                at[r] = i
-            self.parent[i] = int(at[r])
+    def __init__(self, names: np.ndarray):
+        """Rows with the same name begin together."""
+        _, first, of = np.unique(names, return_index=True, return_inverse=True)
+        self.parent = first[of].tolist()
 
     def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
     def join(self, a: int, b: int) -> bool:
@@ -251,41 +275,37 @@ class _Union:
         self.parent[max(a, b)] = min(a, b)
         return a != b
 
-
-def _signature(run: dict) -> np.ndarray:
-    words = sorted((c for c in run if c.startswith("s") and c[1:].isdigit()), key=lambda c: int(c[1:]))
-    return np.stack([run[c].view(np.uint64) for c in words], axis=1) if words else np.zeros((len(run["id"]), 0), np.uint64)
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs lie in different parts."""
+        label = np.array(self.parent)
+        while (label[label] != label).any():
+            label = label[label]
+        return label[i] != label[j]
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["v", "m"])
+def _signature(batch: pa.RecordBatch) -> np.ndarray:
+    words = sorted((c for c in batch.schema.names if c.startswith("s") and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in words], axis=1) if words else np.zeros((batch.num_rows, 0), np.uint64)
 
 
-def _names(batch_schema: pa.Schema) -> list[str]:
-    return [c for c in batch_schema.names if c not in ("group", "block")]
-
-
-def _each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    first = next(batches, None)
-    if first is not None:
-        yield from _runs(chain([first], batches), _names(first.schema))
+def _edge_batch(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["v", "m"])
 
 
 def _family_edges(plausible: _Plausible):
     """Forests of the plausible pairs of different roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = []
-        for r in _each_run(batches):
-            sig, members = _signature(r), slice(0, int(r["member"].sum()))
-            union = _Union(np.arange(len(r["id"])))
-            for i in np.flatnonzero(r["probe"]):
-                ok = plausible(r["n"], sig, i, members) & (r["root"][members] != r["root"][i])
-                edges.extend((int(r["id"][i]), int(r["id"][j])) for j in np.flatnonzero(ok) if union.join(int(i), int(j)))
-            if len(edges) > 50_000:
-                yield _edge_batch(edges)
-                edges = []
-        yield _edge_batch(edges)
+        for batch in _whole_runs(batches):
+            ids, root, n, sig = (batch.column("id").to_numpy(), batch.column("root").to_numpy(), batch.column("n").to_numpy(), _signature(batch))
+            union, edges = _Union(np.arange(batch.num_rows)), []
+            for i, j in _meetings(batch):
+                open_ = (root[i] != root[j]) & union.apart(i, j)
+                i, j = i[open_], j[open_]
+                ok = plausible(n, sig, i, j)
+                edges.extend(pair for pair in zip(i[ok].tolist(), j[ok].tolist(), strict=True) if union.join(*pair))
+            yield _edge_batch(ids, edges)
 
     return run
 
@@ -303,33 +323,35 @@ def _links(plausible: _Plausible):
     num, den = plausible.num, plausible.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = []
-        for r in _each_run(batches):
-            sig, members = _signature(r), slice(0, int(r["member"].sum()))
-            full = [np.frombuffer(x, np.uint64) for x in r["items"]]
-            union = _Union(r["root"])
-            for i in np.flatnonzero(r["probe"]):
-                to = [j for j in np.flatnonzero(plausible(r["n"], sig, i, members)) if union.find(int(j)) != union.find(int(i))]
-                own = full[i]
-                for at in range(0, len(to), 64):
-                    part = [j for j in to[at : at + 64] if union.find(int(j)) != union.find(int(i))]
-                    if not part:
+        for batch in _whole_runs(batches):
+            ids, n, sig, items = batch.column("id").to_numpy(), batch.column("n").to_numpy(), _signature(batch), batch.column("items")
+            # rows of one root are of one part, within a run as between runs
+            union, edges = _Union(batch.column("root").to_numpy()), []
+            for i, j in _meetings(batch):
+                open_ = union.apart(i, j)
+                i, j = i[open_], j[open_]
+                ok = plausible(n, sig, i, j)
+                own, of = None, -1
+                for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    if union.find(a) == union.find(b):
                         continue
-                    every = np.concatenate([full[j] for j in part])
-                    place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                    both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate([[0], np.cumsum([len(full[j]) for j in part])[:-1]]))
-                    for j, k in zip(part, both, strict=True):
-                        if den * k >= num * (len(own) + len(full[j]) - k) and union.join(int(i), int(j)):
-                            edges.append((int(r["id"][i]), int(r["id"][j])))
-            if len(edges) > 50_000:
-                yield _edge_batch(edges)
-                edges = []
-        yield _edge_batch(edges)
+                    if a != of:
+                        own, of = _frombuffer(items, a), a
+                    other = _frombuffer(items, b)
+                    both = _common(own, other)
+                    if den * both >= num * (len(own) + len(other) - both):
+                        union.join(a, b)
+                        edges.append((a, b))
+            yield _edge_batch(ids, edges)
 
     return run
 
 
+def _frombuffer(items: pa.Array, i: int) -> np.ndarray:
+    return np.frombuffer(items[i].as_buffer(), np.uint64)
+
+
 def _verified(pairs: DataFrame, text: DataFrame, sets: Callable, num: int, den: int) -> DataFrame:
     full = pairs.select("id_a", "id_b").join(text.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     full = full.join(text.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
-    return full.mapInArrow(_verifier(sets, num, den), EDGE)
+    return full.mapInArrow(frugal(_verifier(sets, num, den)), EDGE)

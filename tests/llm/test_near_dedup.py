@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scorecal.llm import minhash, near_dedup as nd
+from scorecal.llm import minhash
+from scorecal.llm import near_dedup as nd
 from scorecal.llm.graph import connected_components
 from scorecal.llm.scratch import Scratch
 
@@ -105,6 +106,14 @@ def test_query_matches_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_thue_morse_words_are_different(spark):
+    from tests.llm.test_line_dedup import thue_morse
+
+    words = [w for n in (1024, 4096) for w in thue_morse(n)]
+    rows = list(enumerate([*words, *(f"{a} x {b}" for a in words for b in words)]))
+    assert run(spark, rows, k=3, num=85, den=100) == brute_force(rows, 3, 85, 100)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
