@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs carry a bound on false rejection.
 
 Only DataFrame expressions.  Each rule rejects documents from a cutoff of one
-statistic on.  In every stratum the labelled good documents test the cutoffs
-of a rule from the mildest on; a cutoff is taken while the exact binomial
-test shows, at the corrected level, that it rejects at most the allowed share of
-good documents, and the first failure ends the rule's sequence.
+statistic on, and has as many cutoffs as the others: step i takes every rule's
+i-th cutoff, and later steps are stricter.  In every stratum the labelled good
+documents test the steps from the mildest on; a step is taken while the exact
+binomial test shows, at the corrected level, that its rules together reject at most
+the allowed share of good documents, and the first failure ends the sequence.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorecal.llm.scratch import Scratch
 
@@ -22,12 +22,12 @@ WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 # Rules: statistic as (numerator, denominator) of the base columns, and its
-# cutoffs from the mildest to the strictest.
+# cutoffs from the mildest to the strictest, one for each step.
 RULES = {
-    "symbols": ("n_symbols", "n_words", [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1]),
-    "repeated_words": ("n_repeat_words", "n_words", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2]),
-    "duplicate_lines": ("n_dup_lines", "n_lines", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2]),
-    "word_length": ("word_chars", "n_words", [60.0, 40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0]),
+    "symbols": ("n_symbols", "n_words", [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2]),
+    "repeated_words": ("n_repeat_words", "n_words", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3]),
+    "duplicate_lines": ("n_dup_lines", "n_lines", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3]),
+    "word_length": ("word_chars", "n_words", [60.0, 40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0]),
 }
 
 
@@ -102,33 +102,40 @@ def _statistic(top: str, bottom: str) -> Column:
     return F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(bottom).cast("double")), F.lit(0.0))
 
 
-def certified_cutoffs(stats: DataFrame, good: DataFrame, risk: float, delta: float, rules: dict = RULES) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected) for the rules that some cutoff of is certified.
+def _reaches(rules: dict, step: int) -> Column:
+    """Whether some rule's statistic reaches its cutoff at this step."""
+    return reduce(lambda x, y: x | y, (_statistic(a, b) >= F.lit(float(cuts[step])) for a, b, cuts in rules.values()))
 
-    stats: doc_id, stratum and base columns; good: doc_id of labelled good
-    documents, each once.  ``risk`` is the allowed share of good documents
-    rejected by all rules together, split evenly; with probability 1 - delta it
-    holds in all strata at once, by Bonferroni's correction over strata and
-    rules and fixed-sequence testing within a rule.
+
+def certified_steps(stats: DataFrame, good: DataFrame, risk: float, delta: float, rules: dict = RULES) -> DataFrame:
+    """(stratum, step, n_good, n_rejected) for the strata of which some step is certified.
+
+    stats: doc_id, stratum, digest and base columns; good: doc_id of labelled
+    good documents, each once.  Copies of a text are no independent trials, so a
+    stratum counts each digest once.  ``risk`` is the allowed share of good
+    documents that the rules of a step reject together; with probability 1 -
+    delta it holds in all strata at once, by Bonferroni's correction over strata and
+    fixed-sequence testing within a stratum.  Without any rejected, a stratum needs
+    ln(delta / strata) / ln(1 - risk) good documents.
     """
-    share = risk / len(rules)
-    held = stats.join(good, "doc_id")
-    wide = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((_statistic(a, b) >= F.lit(float(c))).cast("long")).alias(f"{r}:{i}") for r, (a, b, cuts) in rules.items() for i, c in enumerate(cuts)))
-    tests = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}:{i}`").alias("k")) for r, (_, _, cuts) in rules.items() for i, c in enumerate(cuts))))
-    strata = F.count("*").over(Window.partitionBy())
-    long = wide.withColumn("strata", strata).select("stratum", "n", "strata", tests.alias("t")).select("stratum", "n", "strata", "t.*")
-    passed = binomial_tail(F.col("k"), F.col("n"), share) <= delta / (F.col("strata") * len(rules))
-    order = Window.partitionBy("stratum", "rule").orderBy("i")
-    sequence = long.withColumn("passed", passed).withColumn("all", F.min(F.col("passed").cast("int")).over(order) == 1).where("all")
-    best = sequence.groupBy("stratum", "rule").agg(F.max(F.struct("i", "cutoff", "n", "k")).alias("b"))
-    return best.select("stratum", "rule", F.col("b.cutoff").alias("cutoff"), F.col("b.n").alias("n_good"), F.col("b.k").alias("n_rejected"))
+    steps = range(len(next(iter(rules.values()))[2]))
+    if any(len(cuts) != len(steps) for _, _, cuts in rules.values()):
+        raise ValueError("all rules need the same number of cutoffs")
+    held = stats.join(good, "doc_id").dropDuplicates(["stratum", "digest"])
+    wide = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(_reaches(rules, i).cast("long")).alias(f"k{i}") for i in steps))
+    strata = wide.agg(F.count("*").alias("strata"))  # one row
+    tests = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in steps)))
+    long = wide.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", tests.alias("t")).select("stratum", "n", "strata", "t.*")
+    failed = binomial_tail(F.col("k"), F.col("n"), risk) > delta / F.col("strata")
+    ends = long.withColumn("failed", failed).groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("failed"), F.col("i"))), F.lit(len(steps))).alias("end"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", "k"))).alias("k"))
+    return ends.where("end > 0").select("stratum", (F.col("end") - 1).alias("step"), F.col("n").alias("n_good"), F.col("k")[F.col("end") - 1].alias("n_rejected"))
 
 
 def apply_quality_rules(
     docs: DataFrame,
     labels: DataFrame,
     stratum: Column | None = None,
-    risk: float = 0.02,
+    risk: float = 0.04,
     delta: float = 0.05,
     rules: dict = RULES,
     id_col: str = "doc_id",
@@ -139,9 +146,10 @@ def apply_quality_rules(
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text.  base_failed: fewer than
     50 words, or more than half of them in repeated 3-word windows.  kept is
-    false if base_failed or if a rule's statistic reaches the cutoff certified
-    in the row's stratum (``lang`` unless given; null is a stratum '').  A rule
-    without a certified cutoff, as where labels are few, rejects nothing.
+    false if base_failed or if a rule's statistic reaches its cutoff at the last step
+    certified in the row's stratum (``lang`` unless given; null is a stratum
+    '').  In a stratum without a certified step, as where good labels are too
+    few, the rules reject nothing.
 
     Returns one row per input row: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, n_lines (lines with a
@@ -153,13 +161,13 @@ def apply_quality_rules(
     scratch = Scratch(docs.sparkSession, "quality_rules")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = F.coalesce((F.col("lang") if stratum is None else stratum).cast("string"), F.lit(""))
-    stats = docs.select(F.col(id_col).cast("long").alias("doc_id"), kind.alias("stratum"), *(c.alias(n) for n, c in base_columns(text).items()))
-    stats = scratch.save(stats.select("doc_id", "stratum", "counted.n_words", "word_chars", "n_symbols", "line_counts.n_dup_lines", "counted.n_repeat_words", "line_counts.n_lines"), "stats")
+    stats = docs.select(F.col(id_col).cast("long").alias("doc_id"), kind.alias("stratum"), F.md5(text).alias("digest"), *(c.alias(n) for n, c in base_columns(text).items()))
+    stats = scratch.save(stats.select("doc_id", "stratum", "digest", "counted.n_words", "word_chars", "n_symbols", "line_counts.n_dup_lines", "counted.n_repeat_words", "line_counts.n_lines"), "stats")
     good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("y")).where("y = 1").select("doc_id")
-    cuts = certified_cutoffs(stats, good, risk, delta, rules)
-    cuts = scratch.save(cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")), "cutoffs")
-    out = stats.join(cuts, "stratum", "left")
-    hits = F.filter(F.array(*(F.when(_statistic(a, b) >= F.col("cuts")[r], F.lit(r)) for r, (a, b, _) in rules.items())), lambda x: x.isNotNull())
+    steps = scratch.save(certified_steps(stats, good, risk, delta, rules).select("stratum", "step"), "steps")
+    out = stats.join(steps, "stratum", "left")
+    cutoff = {r: F.get(F.array(*(F.lit(float(c)) for c in cuts)), F.col("step")) for r, (_, _, cuts) in rules.items()}
+    hits = F.filter(F.array(*(F.when(_statistic(a, b) >= cutoff[r], F.lit(r)) for r, (a, b, _) in rules.items())), lambda x: x.isNotNull())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("rejected_by", F.array_join(hits, ","))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~failed & (F.col("rejected_by") == "")).alias("kept"), "n_lines", "rejected_by")

@@ -49,7 +49,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), risk=0.02, delta=0.05)
+    return apply_quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), risk=0.04, delta=0.05)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_source_mixing": sql.mixing(DOMAIN_SQL, WEIGHTS, 1.0, 3, 7),
     "op6_license_scan": sql.license_scan(SENTENCES, RULES, SHORTEST, 4 * LONGEST),
-    "op8_quality_rules": sql.quality_rules(QUALITY_RULES, 0.02, 0.05),
+    "op8_quality_rules": sql.quality_rules(QUALITY_RULES, 0.04, 0.05),
     "op10_exact_dedup": sql.EXACT_DEDUP,
 }

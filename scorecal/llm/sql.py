@@ -93,7 +93,6 @@ def mixing(domain: str, weights: dict[str, dict[str, int]], share: float, max_ep
 
 def quality_rules(rules: dict, risk: float, delta: float) -> str:
     """SQL of the quality rules with language strata."""
-    share = risk / len(rules)
     tests = ", ".join(f"({_text(r)}, {i}, {c}::DOUBLE)" for r, (_, _, cuts) in rules.items() for i, c in enumerate(cuts))
     value = "CASE rule " + " ".join(f"WHEN {_text(r)} THEN coalesce({a}::DOUBLE / nullif({b}, 0), 0)" for r, (a, b, _) in rules.items()) + " END"
     order = ", ".join(f"({_text(r)}, {i})" for i, r in enumerate(rules))
@@ -104,23 +103,22 @@ g AS (SELECT r, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS g F
 twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
 rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([p, p + 1, p + 2]) AS p FROM twice) GROUP BY r),
 s AS (
-  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  SELECT doc_id, stratum, t, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines)::BIGINT AS n_lines, d.r
   FROM d JOIN w USING (r) LEFT JOIN rep USING (r)
 ), tests(rule, i, cutoff) AS (VALUES {tests}), ranks(rule, pos) AS (VALUES {order}),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-k AS (
-  SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE {value} >= cutoff) AS k
-  FROM s JOIN good USING (doc_id) CROSS JOIN tests GROUP BY stratum, rule, i, cutoff
-), f AS (
-  SELECT *, (CASE WHEN k < n * {share} THEN list_sum(list_transform(range(0, k + 1), lambda j:
-    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) ELSE 1 END)
-    <= {delta} / ((SELECT count(DISTINCT stratum) FROM k) * {len(rules)}) AS passed FROM k
+good AS (SELECT min(r) AS r FROM s WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) GROUP BY stratum, t),
+h AS (SELECT stratum, r, i, bool_or({value} >= cutoff) AS hit FROM s JOIN good USING (r) CROSS JOIN tests GROUP BY stratum, r, i),
+k AS (SELECT stratum, i, count(*) AS n, count(*) FILTER (WHERE hit) AS k FROM h GROUP BY stratum, i),
+f AS (
+  SELECT *, (CASE WHEN k < n * {risk} THEN list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) ELSE 1 END)
+    <= {delta} / (SELECT count(DISTINCT stratum) FROM k) AS passed FROM k
 ), best AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM f) WHERE ok GROUP BY stratum, rule
+  SELECT stratum, max(i) AS i FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum ORDER BY i) AS ok FROM f) WHERE ok GROUP BY stratum
 ), hit AS (
-  SELECT r, string_agg(rule, ',' ORDER BY pos) AS rejected_by FROM s JOIN best USING (stratum) JOIN ranks USING (rule) WHERE {value} >= cutoff GROUP BY r
+  SELECT r, string_agg(rule, ',' ORDER BY pos) AS rejected_by FROM s JOIN best USING (stratum) JOIN tests USING (i) JOIN ranks USING (rule) WHERE {value} >= cutoff GROUP BY r
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
