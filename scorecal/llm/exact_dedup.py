@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorecal.llm.heap import frugal
 from scorecal.llm.scratch import Scratch
 from scorecal.llm.text import slices
 
@@ -122,8 +123,9 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
 
 
 def owner(a: tuple, b: tuple) -> tuple:
-    """Merge two terminals: the smallest (-code points, doc_id, row) owns, members add up."""
-    return min(a[0], b[0]), a[1] + b[1], a[2] + b[2]
+    """Merge b into terminal a: the smallest (-code points, doc_id, row) owns, members are added in place."""
+    a[2].extend(b[2])
+    return min(a[0], b[0]), a[1] + b[1], a[2]
 
 
 def _key(sha: bytes, raw: bytes) -> bytes:
@@ -222,9 +224,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.translate(text, " \t\n\x0b\f\r", "").alias("norm"),
         F.char_length(text).cast("long").alias("chars"),
     )
-    local = scratch.save(rows.mapInArrow(_local_round(memory), LOCAL), "local")
+    local = scratch.save(rows.mapInArrow(frugal(_local_round(memory)), LOCAL), "local")
     classes = local.where(F.col("norm").isNotNull()).drop("doc_id", "row", "n_chars")
-    owners = classes.repartition("n_bytes", "text_sha256").mapInArrow(_global_round(memory), GLOBAL)
+    owners = classes.repartition("n_bytes", "text_sha256").mapInArrow(frugal(_global_round(memory)), GLOBAL)
     return (
         local.select("doc_id", "row", "class", "text_sha256")
         .join(owners, "class")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecal.llm.features import byte_grams, hinge, probability, shape_grams, sigmoid_fit, word_shapes
+from scorecal.llm.heap import frugal
 from scorecal.llm.text import BLOCK, Words, slices
 
 BITS = 16
@@ -41,6 +42,16 @@ def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray
     return ratio
 
 
+class Constant:
+    """Without labelled texts of both classes: the smoothed share of label 1 for every text."""
+
+    def __init__(self, positive: int, n: int):
+        self.share = (positive + 1) / (n + 2)
+
+    def score(self, at: np.ndarray) -> float:
+        return self.share
+
+
 class QualityModel:
     """weights already hold the ratios; margin = sum of weights over indicators / norm of the scaled indicators."""
 
@@ -75,22 +86,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("key"), batch.column("label"), pa.array([x.astype(np.int32).tobytes() for x in found])], ["key", "label", "at"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | Constant:
     """Learn from about ``per_class`` labelled texts of each class among the ids where ``learn`` holds.
 
     ``learn`` is an expression of the column ``id``.  The bounded sample is
     the rows whose hash falls under per_class / rows; its ids, of which there
-    are about 2 * per_class whatever the tables' sizes, are broadcast.
+    are about 2 * per_class whatever the tables' sizes, are broadcast.  An id
+    with several labels counts by the least.  Without texts of both classes the
+    score is a constant, the smoothed share of label 1 among those drawn.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1)).dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
+    known = known.groupBy("id").agg(F.min("label").alias("label"))
     size = known.groupBy("label").agg(F.count("*").alias("of"))
     drawn = known.join(F.broadcast(size), "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0) * per_class / F.col("of"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select("id", "label")), "id")
-    rows = rows.select(F.xxhash64("id", "text").alias("key"), "label", "text").mapInArrow(_features, "key long, label int, at binary").collect()
+    rows = rows.select(F.xxhash64("id", "text").alias("key"), "label", "text").mapInArrow(frugal(_features), "key long, label int, at binary").collect()
     rows.sort(key=lambda r: r["key"])
     positive = np.array([r["label"] == 1 for r in rows], bool)
     if not positive.any() or positive.all():
-        raise ValueError("labelled texts of both classes are needed")
+        return Constant(int(positive.sum()), len(rows))
     return QualityModel([np.frombuffer(r["at"], np.int32).astype(np.int64) for r in rows], positive)
 
 
@@ -100,7 +114,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     Labels are learned from ids whose crc32(id as text) mod 5 is not 0; the
     others are held out (a null id is not).  The score, from 0 to 1, is the
     probability of label 1; predicted is 1 where it reaches ``threshold``.
-    Null and empty texts get the score of a text without n-grams.  Rows that
+    Null and empty texts get the score of a text without n-grams.  Without labels
+    of both classes all rows get one score (see ``fit_quality``).  Rows that
     repeat an id are scored each by its own text.  An empty table gives an
     empty result.
     """
@@ -118,5 +133,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
             scores = [own.score(indicators(words, i, shapes, seen)) for i in range(batch.num_rows)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), "doc_id long, score double")
     return out.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorecal.llm.heap import frugal
 from scorecal.llm.scratch import Scratch
 from scorecal.llm.text import Words, sliding_min, slices
 
@@ -265,7 +266,7 @@ def substring_dedup(
     docs: DataFrame,
     width: int = 50,
     gram: int = 25,
-    shard_docs: int = 2000,
+    shard_docs: int = 1000,
     memory: int = 2_000_000,
     with_text: bool = False,
     id_col: str = "doc_id",
@@ -286,7 +287,7 @@ def substring_dedup(
     """
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = scratch.save(rows.mapInArrow(_summary(width, gram), SUMMARY), "summary")
+    every = scratch.save(rows.mapInArrow(frugal(_summary(width, gram)), SUMMARY), "summary")
 
     # Rows with the same words: those after the smallest id repeat it whole.
     heads = every.where(F.col("n_words") >= width).groupBy("sha").agg(F.min("doc").alias("head"))
@@ -299,27 +300,28 @@ def substring_dedup(
     marked = scratch.save(marked, "marked")
 
     # The text of these documents alone takes part in what follows.
-    held = scratch.save(rows.select("doc", "text").join(marked, "doc").mapInArrow(_right_rows, MARKED), "held")
-    windows = held.mapInArrow(_windows(width, gram, memory), WINDOWS)
+    held = scratch.save(rows.select("doc", "text").join(marked, "doc").mapInArrow(frugal(_right_rows), MARKED), "held")
+    windows = held.mapInArrow(frugal(_windows(width, gram, memory)), WINDOWS)
     windows = scratch.save(windows, "windows")
     start = F.min(F.struct("doc", "sha", "pos")).over(Window.partitionBy("h"))
     far = windows.where("from_doc is null").select("h", "doc", "sha", "pos", "more").withColumn("s", start).where("s.doc < doc")
     far = far.select("doc", "sha", "pos", "more", F.col("s.doc").alias("from_doc"), F.col("s.sha").alias("from_sha"), F.col("s.pos").alias("from_pos"))
     recurring = windows.where("from_doc is not null").select(*far.columns).unionByName(far)
     found = recurring.groupBy("doc", "sha").agg(F.collect_list(F.struct("pos", "more", "from_doc", "from_sha", "from_pos")).alias("found"))
-    asked = scratch.save(found.mapInArrow(_cover(width), ASKED), "asked")
+    asked = scratch.save(found.mapInArrow(frugal(_cover(width)), ASKED), "asked")
 
     targets = asked.select("doc", "sha").distinct()
     shards = F.pmod(F.hash("doc"), F.lit(max(1, -(-targets.count() // shard_docs)))).cast("int")
     orders = asked.select(F.col("from_doc").alias("doc"), F.col("from_sha").alias("sha"), F.col("from_pos").alias("pos"), shards.alias("shard")).distinct()
-    orders = orders.groupBy("doc", "sha").agg(F.collect_list(F.struct("pos", "shard")).alias("asked"))
+    # the first document of a common passage is asked by every shard: 64 of them to a row
+    orders = orders.groupBy("doc", "sha", F.floor(F.col("shard") / 64).alias("part")).agg(F.collect_list(F.struct("pos", "shard")).alias("asked"))
     text = held.select("doc", "sha", "text")
-    passages = text.join(orders, ["doc", "sha"]).mapInArrow(_passages(width), "shard int, first long, text string").distinct()
+    passages = text.join(orders.drop("part"), ["doc", "sha"]).mapInArrow(frugal(_passages(width)), "shard int, first long, text string").distinct()
     none = F.lit(None)
     feed = passages.select("shard", "first", none.cast("long").alias("doc"), none.cast("string").alias("sha"), "text").unionByName(
         text.join(targets, ["doc", "sha"]).select(shards.alias("shard"), none.cast("long").alias("first"), "doc", "sha", "text")
     )
-    streamed = feed.repartition("shard").sortWithinPartitions("shard", F.col("doc").asc_nulls_first()).mapInArrow(_stream(width, memory, with_text), REMOVED)
+    streamed = feed.repartition("shard").sortWithinPartitions("shard", F.col("doc").asc_nulls_first()).mapInArrow(frugal(_stream(width, memory, with_text)), REMOVED)
     removed = scratch.save(streamed.dropDuplicates(["doc", "sha"]), "removed")
     scratch.drop("marked", "held", "windows", "asked")
 

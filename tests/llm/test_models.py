@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from scorecal.llm import features, langid
@@ -49,8 +48,56 @@ def test_quality_odd_rows(spark):
     got = [r for r in score_quality(base.union(rows).withColumn("label", F.lit(0)), labels, per_class=50).collect() if (r.doc_id or 0) <= 5]
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert score_quality(base.limit(0), labels).count() == 0
-    with pytest.raises(ValueError):
-        score_quality(base, labels.where("quality = 1")).count()
+    few = base.limit(20)
+    for known, want in ((labels.where("quality is null"), 0.5), (labels.where("quality = 1"), None)):
+        scores = {r.score for r in score_quality(few, known).collect()}
+        assert len(scores) == 1 and (want is None and scores.pop() > 0.5 or scores == {want})
+
+
+def test_several_labels_of_an_id_count_by_the_least(spark):
+    docs = spark.createDataFrame([(i, "good text here" if i % 2 else "### $$$ %%%") for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(i, 1) for i in range(1, 60)], "doc_id long, quality int")
+    once = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    a, b = ({r.doc_id: r.score for r in score_quality(docs, x.repartition(n)).collect()} for x, n in ((labels, 7), (once, 2)))
+    assert a == b and min(a[i] for i in a if i % 2) > max(a[i] for i in a if not i % 2)
+
+
+def test_hinge_reaches_the_optimum():
+    """Dual coordinate descent against projected gradient ascent of the same dual, by brute force."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 6))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=40) > 0, 1.0, -1.0)
+    cost = np.full(40, 0.7)
+    got = features.hinge([(np.arange(6), row) for row in x], y, 6, cost, epochs=400)
+    gram, a = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(40)
+    for _ in range(8_000):
+        a = np.clip(a + (1 - gram @ a) / np.linalg.norm(gram, 2), 0, cost)
+    assert np.allclose(got, (a * y) @ x, atol=2e-3)
+
+
+def test_duels_choose_by_votes():
+    """``Round.winner`` against a plain count of the pairwise winners."""
+    rng = np.random.default_rng(1)
+    base = rng.random((4, 1 << langid.BITS)) ** 6
+    texts = [(i % 4, base[i % 4] * rng.random(1 << langid.BITS)) for i in range(80)]
+    rows = [(np.flatnonzero(v > 0.2), v[v > 0.2]) for _, v in texts]
+    found = langid.Round(rows, np.array(["abcd"[k] for k, _ in texts]))
+    for _, v in texts[:12]:
+        votes = dict.fromkeys("abcd", 0)
+        for (a, b), w, fit in zip(found.pairs, found.weights, found.fits, strict=True):
+            votes[found.names[a] if features.probability(w @ v, fit) >= 0.5 else found.names[b]] += 1
+        name, p = found.winner(v)
+        assert votes[name] == max(votes.values()) and 0 <= p <= 1
+
+
+def test_many_unlisted_languages_share_families(spark):
+    rows = [(i, f"{chr(97 + i % 40 % 26)}{i % 40}word " * 8, f"x{i % 40:02d}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, words string, lang string")
+    assert len({langid.family_of(sorted({r[2] for r in rows}))[r[2]] for r in rows}) == 4
+    got = langid.identify_languages(docs, text_col="words").collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.9
+    few = {r.lang_pred for r in langid.identify_languages(docs, F.lit(True), text_col="words", max_languages=3).collect()}
+    assert few <= {"x00", "x01", "x02"}, "the most frequent, then the first by name"
 
 
 def test_counts_over_blocks_are_those_of_the_whole(monkeypatch):
