@@ -20,8 +20,8 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
 
     def task(batches: Iterator) -> Iterator:
         pa.set_memory_pool(pa.system_memory_pool())
-        _call("mallopt", MMAP_THRESHOLD, 32 << 20)
-        _call("mallopt", TRIM_THRESHOLD, 256 << 20)
+        _call("mallopt", MMAP_THRESHOLD, 8 << 20)
+        _call("mallopt", TRIM_THRESHOLD, 64 << 20)
         _call("mallopt", TOP_PAD, 8 << 20)
         yield from run(batches)
         _call("malloc_trim", 0)
