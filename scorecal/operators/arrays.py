@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorecal.operators.ties import By
+from scorecal.operators.ties import By, validated
 
 
 def clip_to_range(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -22,10 +22,4 @@ def value_groups(df: DataFrame, value: str, tolerance: float = 1e-10, by: By = (
     return groups.groupBy(*by, "group").agg(F.min("value").alias("value"), F.sum("n").alias("n"))
 
 
-def validated(df: DataFrame, score: str = "score", label: str = "label", allow_nan: bool = False, unit: bool = False) -> DataFrame:
-    """Fails at run time on nulls, on NaN unless allowed, and with ``unit`` on scores outside [0, 1]."""
-    p, y = F.col(score).cast("double"), F.col(label).cast("double")
-    bad = p.isNull() | y.isNull()
-    bad = bad if allow_nan else bad | F.isnan(p) | F.isnan(y)
-    bad = bad | (p < 0) | (p > 1) if unit else bad
-    return df.withColumn(score, F.when(bad, F.raise_error(F.lit("invalid score or label")).cast("double")).otherwise(p))
+__all__ = ["clip_to_range", "validated", "value_groups"]

@@ -21,9 +21,11 @@ from pyspark.sql.window import Window
 from scorecal.functions import kernels
 from scorecal.functions import scores as S
 from scorecal.operators.curves import apply_linear, apply_step
-from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_fit, running_max, step_knots
-from scorecal.operators.ties import By, checked_weights, ordered, tie_table
+from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_blocks, running_max, step_knots
+from scorecal.operators.keep import kept
+from scorecal.operators.ties import By, checked_weights, join_by, ordered, tie_table
 
+# The grids of settings chosen by cross-validation.
 EPSILON_GRID = [0.0, 0.001, 0.005, 0.01, 0.05]
 LAM_GRID = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
 ALPHA_GRID = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
@@ -44,7 +46,7 @@ class Model:
         if self.out_of_bounds == "clip":
             return out
         span = self.knots.groupBy(*self.by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-        out = out.join(span, list(self.by)) if self.by else out.crossJoin(span)
+        out = join_by(out, span, self.by)
         outside = (F.col(score) < F.col("_lo")) | (F.col(score) > F.col("_hi"))
         told = F.lit(float("nan")) if self.out_of_bounds == "nan" else F.raise_error(F.lit("score outside the fitted range"))
         return out.withColumn(output, F.when(outside, told.cast("double")).otherwise(F.col(output))).drop("_lo", "_hi")
@@ -61,7 +63,7 @@ class Model:
 
 @dataclass(kw_only=True)
 class Calibrator:
-    """Settings of a calibrator; ``fit`` leaves them as they are."""
+    """Settings of a calibrator; ``fit`` leaves them as they are and writes the knots once."""
 
     digits: int | None = None
     weighted = True
@@ -71,7 +73,9 @@ class Calibrator:
             if not self.weighted:
                 raise ValueError(f"{type(self).__name__} takes no weights")
             df = checked_weights(df, weight)
-        return self.fit_ties(tie_table(df, score, label, weight, by, self.digits), by)
+        model = self.fit_ties(tie_table(df, score, label, weight, by, self.digits), by)
+        model.knots = kept(model.knots)
+        return model
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         raise NotImplementedError
@@ -96,7 +100,7 @@ class Isotonic(Calibrator):
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.out_of_bounds not in ("clip", "nan", "raise"):
             raise ValueError("out_of_bounds must be clip, nan or raise")
-        knots = step_knots(pav_fit(ties.where("w > 0"), by, increasing=self.increasing), by)
+        knots = step_knots(pav_blocks(ties.where("w > 0"), by, increasing=self.increasing), by)
         y = F.col("y")
         y = y if self.y_min is None else F.greatest(y, F.lit(float(self.y_min)))
         y = y if self.y_max is None else F.least(y, F.lit(float(self.y_max)))
@@ -110,7 +114,7 @@ class CentredIsotonic(Calibrator):
     clip_output: bool = True
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
-        return Model(centred_knots(pav_fit(ties, by), by).withColumn("y", _clip(F.col("y"), self.clip_output)), by)
+        return Model(centred_knots(pav_blocks(ties, by), by).withColumn("y", _clip(F.col("y"), self.clip_output)), by)
 
 
 @dataclass(kw_only=True)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from scorecal.functions import scores as S
 from scorecal.operators.curves import apply_linear, apply_step
-from scorecal.operators.isotonic import pav_fit, step_knots
-from scorecal.operators.ties import By, tie_table
+from scorecal.operators.isotonic import pav_blocks, pav_fit, step_knots
+from scorecal.operators.ties import By, join_by, tie_table
 
 
 def reliability_curve(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, by: By = ()) -> DataFrame:
@@ -34,18 +34,20 @@ def _total(kind: str, p: Column) -> Column:
     raise ValueError(f"score must be brier or log, not {kind!r}")
 
 
-def score_decomposition(df: DataFrame, score: str = "score", label: str = "label", kind: str = "brier", weight: str | None = None, by: By = (), fit: DataFrame | None = None) -> DataFrame:
+def score_decomposition(df: DataFrame, score: str = "score", label: str = "label", kind: str = "brier", weight: str | None = None, by: By = (), ties: DataFrame | None = None) -> DataFrame:
     """(by, mean_score, mcb, dsc, unc), where mean_score = mcb - dsc + unc.
 
-    Both scores are linear in a 0/1 label, so all three means are sums over the
-    tie table.  ``fit`` may hand in a fitted tie table.
+    Both scores are linear in a 0/1 label, so the mean score is a sum over the
+    tie table and the calibrated one a sum over the isotonic blocks.  ``ties``
+    may hand in a tie table.
     """
-    ties = pav_fit(tie_table(df, score, label, weight, by), by) if fit is None else fit
-    base = ties.groupBy(*by).agg((F.sum("wy") / F.sum("w")).alias("_base"))
-    rows = ties.join(base, list(by)) if by else ties.crossJoin(base)
-    means = rows.groupBy(*by).agg(*((F.sum(_total(kind, F.col(c))) / F.sum("w")).alias(n) for c, n in (("x", "mean_score"), ("z", "_calibrated"), ("_base", "unc"))))
+    t = tie_table(df, score, label, weight, by) if ties is None else ties
+    own = t.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"), F.sum(_total(kind, F.col("x"))).alias("_s"))
+    fit = pav_blocks(t, by).groupBy(*by).agg(F.sum(_total(kind, F.col("value"))).alias("_z"))
+    base = _total(kind, F.col("wy") / F.col("w"))
+    means = join_by(own, fit, by).select(*by, *((c / F.col("w")).alias(n) for c, n in ((F.col("_s"), "mean_score"), (F.col("_z"), "_calibrated"), (base, "unc"))))
     return means.select(*by, "mean_score", (F.col("mean_score") - F.col("_calibrated")).alias("mcb"), (F.col("unc") - F.col("_calibrated")).alias("dsc"), "unc")
 
 
-def isotonic_knots(fit: DataFrame, by: By = ()) -> DataFrame:
-    return step_knots(fit, by)
+def isotonic_knots(ties: DataFrame, by: By = ()) -> DataFrame:
+    return step_knots(pav_blocks(ties, by), by)

@@ -12,10 +12,9 @@ from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
 from scorecal.operators.corp import score_decomposition
-from scorecal.operators.isotonic import pav_fit
 from scorecal.operators.metrics import basic_metrics, equal_mass_errors, smooth_error, sweep_error
 from scorecal.operators.resample import bootstrap_ci
-from scorecal.operators.ties import By, ordered, tie_table
+from scorecal.operators.ties import By, join_by, ordered, tie_table
 
 
 def plateaus(df: DataFrame, score: str = "score", calibrated: str = "calibrated", label: str | None = None, min_width: int = 2, by: By = ()) -> DataFrame:
@@ -48,7 +47,7 @@ def plateau_quality(df: DataFrame, score: str = "score", calibrated: str = "cali
     """Mean over plateaus of exp(-label variance - distance of the width from a tenth of all rows); 1 without any."""
     found = plateaus(df, score, calibrated, label, by=by)
     n = df.groupBy(*by).agg((F.count("*") * 0.1).alias("tenth"))
-    rows = n.join(found, list(by), "left") if by else n.join(found, F.lit(True), "left")
+    rows = join_by(n, found, by, "left")
     one = F.exp(-F.col("label_var") - F.abs(F.col("width") - F.col("tenth")) / F.col("tenth"))
     return rows.groupBy(*by).agg(F.coalesce(F.avg(one), F.lit(1.0)).alias("plateau_quality"))
 
@@ -95,12 +94,12 @@ def calibration_report(df: DataFrame, score: str = "score", label: str = "label"
     base = base.withColumn("bias", F.col("mean_prediction") - F.col("base_rate")).withColumn("distinct_ratio", F.col("n_distinct") / F.col("n")).withColumn("n_bins", F.lit(n_bins))
     parts = [
         base,
-        score_decomposition(df, by=by, fit=pav_fit(ties, by)).withColumnRenamed("mean_score", "brier"),
+        score_decomposition(df, by=by, ties=ties).withColumnRenamed("mean_score", "brier"),
         smooth_error(df, by=by, ties=ties).withColumnRenamed("sigma", "smece_sigma"),
         equal_mass_errors(df, n_bins=n_bins, by=by, ties=ties).select(*by, F.col("debiased").alias("debiased_ece"), F.col("plugin_l2").alias("plugin_ece")),
         sweep_error(df, score, label, by=by),
     ]
-    out = reduce(lambda a, b: a.join(b, list(by)) if by else a.crossJoin(b), parts)
+    out = reduce(lambda a, b: join_by(a, b, by), parts)
     if ci and not by:
         found = bootstrap_ci(df, ["brier", "smece", "debiased_ece"], score=score, label=label, **how)
         packed = found.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*[c for c in found.columns if c != "metric"])))).alias("intervals"))

@@ -8,13 +8,14 @@ scores, only its blocks.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
-from scorecal.operators.ties import By, ordered
+from scorecal.operators.ties import By, join_by, ordered
 
 CHUNKS = 256
 
@@ -54,30 +55,55 @@ def pav_fit(ties: DataFrame, by: By = (), target: str = "y", increasing: bool =
         return pdf[[*keys, "_chunk", "_block", "z"]]
 
     final = blocks.groupBy(*keys).applyInPandas(second, _typed(ties, by) + "_chunk int, _block long, z double")
-    return local.drop("_z").join(final, [*keys, "_chunk", "_block"]).drop("_chunk", "_block")
+    return join_by(local.drop("_z"), final, [*keys, "_chunk", "_block"]).drop("_chunk", "_block")
 
 
-def blocks(fit: DataFrame, by: By = (), value: str = "z") -> DataFrame:
-    """Runs of equal fitted value: (by, block, x_lo, x_hi, value, n, w, centre)."""
-    new = (F.col(value) != F.lag(value).over(ordered(by))).cast("int")
-    runs = fit.withColumn("block", F.sum(F.coalesce(new, F.lit(0))).over(ordered(by).rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "block").agg(
-        F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.first(value).alias("value"), F.sum("n").alias("n"), F.sum("w").alias("w"),
-        F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")), F.avg("x")).alias("centre"),
-    )
+def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True) -> DataFrame:
+    """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre); last is the segment's last block.
+
+    Chunks leave their blocks only, so a task of the second round holds no more
+    than a segment's blocks.  ``centre`` is the mean score by weight, or of the
+    distinct scores where a block has no weight.
+    """
+    sign = 1.0 if increasing else -1.0
+    keys = list(by)
+    sums = ["n", "w", "wy", "_wx", "_x", "_k"]
+
+    def merged(pdf: pd.DataFrame, z: np.ndarray) -> dict:
+        first = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
+        last = np.append(first[1:], len(z)) - 1
+        return {"x_lo": pdf["x_lo"].to_numpy()[first], "x_hi": pdf["x_hi"].to_numpy()[last], "value": z[first]} | {c: np.add.reduceat(pdf[c].to_numpy(), first) for c in sums}
+
+    def framed(pdf: pd.DataFrame, names: list[str], found: dict) -> pd.DataFrame:
+        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(found["value"]) for c in names} | found)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x_lo")
+        return framed(pdf, [*keys, "_chunk"], merged(pdf, sign * kernels.pava(sign * pdf["_t"].to_numpy(), pdf["w"].to_numpy())))
+
+    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x_lo")
+        found = merged(pdf, sign * kernels.pava(sign * pdf["value"].to_numpy(), pdf["w"].to_numpy()))
+        w = found["w"]
+        found["centre"] = np.where(w > 0, found["_wx"] / np.where(w > 0, w, 1), found["_x"] / found["_k"])
+        n = len(w)
+        return framed(pdf, keys, {"block": np.arange(n), "last": np.full(n, n - 1)} | {c: v for c, v in found.items() if c[0] != "_"})
+
+    x = F.col("x")
+    rows = ties.select(*by, _chunk(x).alias("_chunk"), x.alias("x_lo"), x.alias("x_hi"), F.col(target).alias("_t"), F.col("n").cast("long").alias("n"), "w", "wy", (x * F.col("w")).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
+    shape = "x_lo double, x_hi double, value double, n long, w double, wy double"
+    local = rows.groupBy(*keys, "_chunk").applyInPandas(first, _typed(ties, by) + f"_chunk int, {shape}, _wx double, _x double, _k long")
+    return local.groupBy(*keys).applyInPandas(second, _typed(ties, by) + f"block long, last long, {shape}, centre double")
 
 
-def centred_knots(fit: DataFrame, by: By = ()) -> DataFrame:
-    """(by, x, y): each block at its weighted centre, the outer blocks at their inner ends."""
-    runs = blocks(fit, by)
-    last = F.max("block").over(Window.partitionBy(*by))
-    x = F.when(last == 0, F.col("centre")).when(F.col("block") == 0, F.col("x_hi")).when(F.col("block") == last, F.col("x_lo")).otherwise(F.col("centre"))
-    return runs.select(*by, x.alias("x"), F.col("value").alias("y"))
+def centred_knots(runs: DataFrame, by: By = ()) -> DataFrame:
+    """(by, x, y) from blocks: each at its weighted centre, the outer ones at their inner ends."""
+    inner = F.when(F.col("block") == 0, F.col("x_hi")).when(F.col("block") == F.col("last"), F.col("x_lo"))
+    return runs.select(*by, F.when(F.col("last") == 0, F.col("centre")).otherwise(F.coalesce(inner, "centre")).alias("x"), F.col("value").alias("y"))
 
 
-def step_knots(fit: DataFrame, by: By = ()) -> DataFrame:
-    """(by, x, y): both ends of each block, so that lines between them run across the gaps."""
-    runs = blocks(fit, by)
+def step_knots(runs: DataFrame, by: By = ()) -> DataFrame:
+    """(by, x, y) from blocks: both ends of each, so that lines between them run across the gaps."""
     ends = F.explode(F.array_distinct(F.array("x_lo", "x_hi")))
     return runs.select(*by, ends.alias("x"), F.col("value").alias("y"))
 

@@ -12,11 +12,12 @@ from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
 from scorecal.functions import scores as S
-from scorecal.operators.ties import By, bin_summaries, equal_mass_bins, ordered, tie_table
+from scorecal.operators.ties import By, bin_summaries, equal_mass_bins, join_by, ordered, tie_table, validated
 
 
 def basic_metrics(df: DataFrame, score: str = "score", label: str = "label", by: By = ()) -> DataFrame:
-    """n, base_rate, mean_prediction, bias, mean_calibration_error, brier, log_loss."""
+    """n, base_rate, mean_prediction, bias, mean_calibration_error, brier, log_loss; a null score or label is an error."""
+    df = validated(df, score, label)
     p, y = F.col(score).cast("double"), F.col(label).cast("double")
     return df.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(y).alias("base_rate"), F.avg(p).alias("mean_prediction"), (F.avg(p) - F.avg(y)).alias("bias"),
@@ -25,7 +26,7 @@ def basic_metrics(df: DataFrame, score: str = "score", label: str = "label", by:
 
 
 def _bins(df: DataFrame, score: str, label: str, by: By, index: Column) -> DataFrame:
-    return df.groupBy(*by, index.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(score).cast("double")).alias("conf"), F.avg(F.col(label).cast("double")).alias("acc"))
+    return validated(df, score, label).groupBy(*by, index.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col(score).cast("double")).alias("conf"), F.avg(F.col(label).cast("double")).alias("acc"))
 
 
 def uniform_errors(df: DataFrame, score: str = "score", label: str = "label", n_bins: int = 10, by: By = ()) -> DataFrame:
@@ -47,8 +48,7 @@ def _with_edges(df: DataFrame, over: str, n_bins: int, strategy: str, by: By) ->
         span = span.select(*by, F.array(*(F.col("_lo") + k * step for k in range(n_bins)), F.col("_hi")).alias("_e"))
     else:
         raise ValueError(f"strategy must be uniform or quantile, not {strategy!r}")
-    joined = df.join(span, list(by)) if by else df.crossJoin(span)
-    return joined, S.bin_index(x, [F.col("_e")[k] for k in range(n_bins + 1)])
+    return join_by(df, span, by), S.bin_index(x, [F.col("_e")[k] for k in range(n_bins + 1)])
 
 
 def binned_calibration_error(df: DataFrame, score: str = "score", label: str = "label", x: str | None = None, n_bins: int = 10, strategy: str = "uniform", by: By = ()) -> DataFrame:
@@ -67,7 +67,7 @@ def calibration_curve(df: DataFrame, score: str = "score", label: str = "label",
     found = _bins(rows, score, label, by, index)
     groups = found.select(*by).distinct() if by else df.sparkSession.range(1).select()
     spine = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    out = spine.join(found, [*by, "bin"], "left")
+    out = join_by(spine, found, [*by, "bin"], "left")
     return out.select(*by, "bin", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("acc", "conf")), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -118,15 +118,14 @@ def sweep_error(df: DataFrame, score: str = "score", label: str = "label", by: B
     try:
         while True:
             block = bin_sensitivity(df, range(first, first + step), by=by, ties=live)
-            block = (block.join(top, list(by)) if by else block.crossJoin(top)).where(F.col("n_bins") <= F.col("_rows")).cache()
+            block = join_by(block, top, by).where(F.col("n_bins") <= F.col("_rows")).cache()
             bad = block.where(~F.col("monotone")).groupBy(*by).agg(F.min("n_bins").alias("_stop"))
-            kept = block.join(bad, list(by), "left") if by else block.crossJoin(bad)
-            kept = kept.where(F.col("_stop").isNull() | (F.col("n_bins") < F.col("_stop")))
+            kept = join_by(block, bad, by, "left").where(F.col("_stop").isNull() | (F.col("n_bins") < F.col("_stop")))
             done.append(kept.select(*by, "n_bins", F.col("plugin").alias("sweep_ece"), F.col("occupied").alias("sweep_bins")))
             ended = top.where(F.col("_rows") < first + step).select(*by) if by else None
             closed = bad.select(*by).union(ended).distinct() if by else None
             if by:
-                live = live.join(closed, list(by), "left_anti")
+                live = join_by(live, closed.withColumn("_closed", F.lit(True)), by, "left").where("_closed is null").drop("_closed")
                 if live.isEmpty():
                     break
             elif bad.where("_stop is not null").count() or top.first()["_rows"] < first + step:
@@ -146,7 +145,7 @@ def rank_metrics(df: DataFrame, a: str, b: str, by: By = ()) -> DataFrame:
         return t.withColumn(f"_r_{c}", hi - (F.col("_n") - 1) / 2).drop("_n")
 
     cells = df.groupBy(*by, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).agg(F.count("*").alias("_k"))
-    j = cells.join(ranks(a), [*by, a]).join(ranks(b), [*by, b])
+    j = join_by(join_by(cells, ranks(a), [*by, a]), ranks(b), [*by, b])
     k, u, v = F.col("_k"), F.col(f"_r_{a}"), F.col(f"_r_{b}")
     sums = j.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * u).alias("u"), F.sum(k * v).alias("v"), F.sum(k * u * u).alias("uu"), F.sum(k * v * v).alias("vv"), F.sum(k * u * v).alias("uv"))
     top = F.col("n") * F.col("uv") - F.col("u") * F.col("v")
@@ -190,22 +189,22 @@ def tie_preservation(df: DataFrame, original: str, calibrated: str, by: By = ())
     cells = df.groupBy(*by, F.col(original).alias("_o"), F.col(calibrated).alias("_c")).agg(F.count("*").alias("k"))
     kept = cells.groupBy(*by).agg(F.sum(pairs(F.col("k"))).alias("kept"), F.sum("k").alias("n"))
     one = lambda c, name: cells.groupBy(*by, c).agg(F.sum("k").alias("k")).groupBy(*by).agg(F.sum(pairs(F.col("k"))).alias(name))
-    j = lambda a, b: a.join(b, list(by)) if by else a.crossJoin(b)
-    t = j(j(kept, one("_o", "tied_o")), one("_c", "tied_c"))
+    t = join_by(join_by(kept, one("_o", "tied_o"), by), one("_c", "tied_c"), by)
     share = F.coalesce(F.try_divide(F.col("kept"), F.col("tied_o")), F.lit(1.0))
     new = F.coalesce(F.try_divide(F.col("tied_c") - F.col("kept"), pairs(F.col("n"))), F.lit(0.0))
     return t.select(*by, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - new)).alias("tie_preservation"))
 
 
-def smooth_grid(df: DataFrame, m: int, score: str = "score", label: str = "label", by: By = (), ties: DataFrame | None = None) -> DataFrame:
+def smooth_grid(df: DataFrame, m: int | Column, score: str = "score", label: str = "label", by: By = (), ties: DataFrame | None = None) -> DataFrame:
     """(by, i, residual, mass): sums of p - y and of rows on m grid points of [0, 1].
 
     Each row is split between its two neighbours; this is the only pass over
     the rows that kernel smoothing needs, and leaves m rows a segment.
     """
     t = tie_table(df, score, label, by=by) if ties is None else ties
+    m = F.lit(m) if isinstance(m, int) else m
     place = F.col("x") * (m - 1)
-    lo = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(m - 2)).cast("int")
+    lo = F.least(F.greatest(F.floor(place), F.lit(0)), m - 2).cast("int")
     rows = t.select(*by, "x", "n", "wy", lo.alias("_lo"), (place - lo).alias("_f"))
     parts = F.explode(F.array(F.struct(F.col("_lo").alias("i"), (1 - F.col("_f")).alias("s")), F.struct((F.col("_lo") + 1).alias("i"), F.col("_f").alias("s"))))
     rows = rows.select(*by, (F.col("x") * F.col("n") - F.col("wy")).alias("r"), "n", parts.alias("p"))
@@ -218,7 +217,8 @@ def smooth_error(df: DataFrame, sigma: float | None = None, score: str = "score"
         raise ValueError("sigma must be positive")
     t = tie_table(df, score, label, by=by) if ties is None else ties
     wanted = sorted({kernels.grid_size(sigma)} if sigma else {kernels.grid_size(k / 1024) for k in range(1, 1025)})
-    grids = reduce(DataFrame.unionByName, (smooth_grid(df, m, by=by, ties=t).withColumn("m", F.lit(m)) for m in wanted))
+    every = t.withColumn("m", F.explode(F.array(*map(F.lit, wanted))))  # all sizes in one aggregation
+    grids = smooth_grid(df, F.col("m"), by=[*by, "m"], ties=every)
     keys = list(by)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

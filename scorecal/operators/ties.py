@@ -7,6 +7,7 @@ run on it only.  ``by`` columns make every result per segment in one pass.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,36 @@ from pyspark.sql.window import Window
 By = Sequence[str]
 
 
+def join_by(left: DataFrame, right: DataFrame, by: By, how: str = "inner") -> DataFrame:
+    """Join on segment columns, whose nulls are equal; without any, every row with every row.
+
+    The segment columns are the left side's.
+    """
+    named = right.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(c for c in right.columns if c not in by))
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)) if by else None
+    out = left.join(named, on, how) if by else left.crossJoin(named) if how == "inner" else left.join(named, F.lit(True), how)
+    return out.drop(*(f"_by_{c}" for c in by))
+
+
+def validated(df: DataFrame, score: str = "score", label: str = "label", allow_nan: bool = False, unit: bool = False) -> DataFrame:
+    """Fails at run time on a null score or label, on NaN unless allowed, and with ``unit`` on scores outside [0, 1]."""
+    p, y = F.col(score).cast("double"), F.col(label).cast("double")
+    bad = p.isNull() | y.isNull()
+    bad = bad if allow_nan else bad | F.isnan(p) | F.isnan(y)
+    bad = bad | (p < 0) | (p > 1) if unit else bad
+    return df.withColumn(score, F.when(bad, F.raise_error(F.lit("invalid score or label")).cast("double")).otherwise(p))
+
+
 def tie_table(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, by: By = (), digits: int | None = None) -> DataFrame:
     """(by, x, n, w, wy, y): rows, weight, weighted labels and mean label of each distinct score.
 
-    A group of zero weight has y = 0.  ``digits`` rounds scores first, which
+    A group of zero weight has y = 0.  A null or NaN score or label is an
+    error at run time; segments of null are segments.  ``digits`` rounds scores first, which
     bounds the table at 10**digits + 1 rows a segment for scores in [0, 1].
     """
     x = F.col(score).cast("double")
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    df = validated(df, score, label)
     rows = df.select(*by, (F.round(x, digits) if digits is not None else x).alias("x"), F.col(label).cast("double").alias("_y"), w.alias("_w"))
     out = rows.groupBy(*by, "x").agg(F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("wy"))
     return out.withColumn("y", F.coalesce(F.try_divide("wy", "w"), F.lit(0.0)))

@@ -162,9 +162,9 @@ def q_equal_mass(spark, sf):
 MANY = "tb AS (SELECT l_returnflag, n_bins, x, n, wy FROM t CROSS JOIN (SELECT unnest(range(2, 51)) AS n_bins) b)"
 
 
-@query("bin_sensitivity", with_(VIEW, ties_sql(), MANY, mass_sql("n_bins", "l_returnflag, n_bins", "tb")) + f"SELECT l_returnflag, n_bins::INT AS n_bins, {r6('plugin', 'debiased')}, occupied FROM (SELECT l_returnflag, n_bins, sum(n / total * abs(conf - acc)) AS plugin, sqrt(greatest({TERMS}, 0)) AS debiased, count(*) AS occupied FROM g GROUP BY l_returnflag, n_bins)")
+@query("bin_sensitivity", with_(VIEW, ties_sql(), MANY, mass_sql("n_bins", "l_returnflag, n_bins", "tb")) + f"SELECT l_returnflag, n_bins::INT AS n_bins, {r6('plugin', 'debiased')}, occupied, monotone FROM (SELECT l_returnflag, n_bins, sum(n / total * abs(conf - acc)) AS plugin, sqrt(greatest({TERMS}, 0)) AS debiased, count(*) AS occupied, coalesce(bool_and(acc >= prior), true) AS monotone FROM (SELECT *, lag(acc) OVER (PARTITION BY l_returnflag, n_bins ORDER BY bin) AS prior FROM g) GROUP BY l_returnflag, n_bins)")
 def q_sensitivity(spark, sf):
-    return rounded(metrics.bin_sensitivity(scored_lineitem(spark, sf), by=FLAG).drop("monotone"), "plugin", "debiased")
+    return rounded(metrics.bin_sensitivity(scored_lineitem(spark, sf), by=FLAG), "plugin", "debiased")
 
 
 SWEEP = "tb AS (SELECT l_returnflag, n_bins, x, n, wy FROM t CROSS JOIN (SELECT unnest(range(1, 400)) AS n_bins) b)"
@@ -227,9 +227,9 @@ def q_auc(spark, sf):
     return rounded(metrics.auc(scored_lineitem(spark, sf, 6), by=FLAG), "auc")
 
 
-@query("unique_value_counts", with_(VIEW6) + "SELECT l_returnflag, count(DISTINCT score) AS n_unique, count(DISTINCT p_true) AS n_unique_original FROM (SELECT l_returnflag, round_even(score, 2) AS score, round_even(p_true, 2) AS p_true FROM v) GROUP BY l_returnflag")
+@query("unique_value_counts", with_(VIEW6) + "SELECT l_returnflag, count(DISTINCT score) AS n_unique, count(DISTINCT p_true) AS n_unique_original, count(DISTINCT score) / count(DISTINCT p_true) AS preservation_ratio FROM (SELECT l_returnflag, round_even(score, 2) AS score, round_even(p_true, 2) AS p_true FROM v) GROUP BY l_returnflag")
 def q_unique(spark, sf):
-    return metrics.unique_value_counts(scored_lineitem(spark, sf, 6), "score", "p_true", 2, FLAG).drop("preservation_ratio")
+    return metrics.unique_value_counts(scored_lineitem(spark, sf, 6), "score", "p_true", 2, FLAG)
 
 
 @query("diversity_index", with_(VIEW) + f"SELECT l_returnflag, {r6('diversity', to=9)} FROM (SELECT l_returnflag, count(DISTINCT score) / count(*) AS diversity FROM v GROUP BY l_returnflag)")
@@ -433,9 +433,10 @@ def q_top_label(spark, sf):
     return rounded(multiclass.top_label_ece(class_probabilities(spark, sf), by=FLAG), "top_label_ece")
 
 
-@query("miscalibration_profile", with_(CLASSES, REST, ties_sql(), fit_sql(), BASE, BRIER) + "SELECT round(mean_mcb, 6) AS mean_mcb, round(spread, 6) AS spread, CASE WHEN mean_mcb <= 1e-6 THEN 'none' WHEN spread <= 0.25 THEN 'global' ELSE 'per class' END AS reading FROM (SELECT avg(sx - sc) AS mean_mcb, stddev_pop(sx - sc) / avg(sx - sc) AS spread FROM d)")
+@query("miscalibration_profile", with_(CLASSES, REST, ties_sql(), fit_sql(), BASE, BRIER) + "SELECT round(mean_mcb, 6) AS mean_mcb, round(spread, 6) AS spread, CASE WHEN mean_mcb <= 1e-6 THEN 'none' WHEN spread <= 0.25 THEN 'global' ELSE 'per class' END AS reading, worst FROM (SELECT string_agg(l_returnflag::VARCHAR, ',' ORDER BY sx - sc DESC) AS worst, avg(sx - sc) AS mean_mcb, stddev_pop(sx - sc) / avg(sx - sc) AS spread FROM d)")
 def q_profile(spark, sf):
-    return rounded(multiclass.miscalibration_profile(class_probabilities(spark, sf)).drop("worst"), "mean_mcb", "spread")
+    out = multiclass.miscalibration_profile(class_probabilities(spark, sf))
+    return rounded(out.withColumn("worst", F.array_join(F.col("worst").cast("array<string>"), ",")), "mean_mcb", "spread")
 
 
 @query("temperature_apply", with_(CLASSES, f"q AS (SELECT *, [exp(ln(greatest(p0, {EPS})) / 1.5), exp(ln(greatest(p1, {EPS})) / 1.5), exp(ln(greatest(p2, {EPS})) / 1.5)] AS e FROM pr)") + "SELECT l_returnflag, " + ", ".join(f"round(avg(e[{i + 1}] / list_sum(e)), 6) AS c{i}" for i in range(3)) + " FROM q GROUP BY l_returnflag")
@@ -518,12 +519,13 @@ def q_docs(spark, sf):
 EVENTS = "SELECT ts, least(1.0, value / 100) AS score, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS label FROM events"
 
 
-@query("event_windows", f"WITH v AS ({EVENTS}), b AS (SELECT date_trunc('day', ts) AS w, {UBIN} AS bin, count(*) AS n, sum(score) AS s, sum(label) AS l FROM v GROUP BY ALL) SELECT strftime(w, '%Y-%m-%d') AS day, round(sum(abs(s - l)) / sum(n), 6) AS ece, sum(n)::BIGINT AS n FROM b GROUP BY w")
+@query("event_windows", f"WITH v AS ({EVENTS}), b AS (SELECT date_trunc('day', ts) AS w, {UBIN} AS bin, count(*) AS n, sum(score::DECIMAL(18, 9))::DOUBLE AS s, sum(label::DECIMAL(18, 9))::DOUBLE AS l FROM v GROUP BY ALL) SELECT strftime(w, '%Y-%m-%d') AS day, round(sum(abs(s - l)) / sum(n) + 1e-10, 6) AS ece, sum(n)::BIGINT AS n FROM b GROUP BY w")
 def q_events(spark, sf):
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
     v = spark.sql(EVENTS).select("ts", F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label"))
     out = window_errors(windowed_bins(v))
-    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "ece", "n"), "ece")
+    # sums of few decimals over counts fall on halves of the last digit; a little more puts both sides above
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), (F.col("ece") + 1e-10).alias("ece"), "n"), "ece")
 
 
 @query("synthetic_designs")
