@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecal.operators.isotonic import _chunk
-from scorecal.operators.ties import By, ordered
+from scorecal.operators.ties import By, axis_chunk, ordered
 
 
 def _segments(knots: DataFrame, by: By) -> DataFrame:
@@ -24,13 +23,13 @@ def _segments(knots: DataFrame, by: By) -> DataFrame:
     own = part(x, F.coalesce("_x1", high), x, y, F.coalesce("_x1", x), F.coalesce("_y1", y))
     before = F.when(F.col("_first"), part(low, x, x, y, x, y))
     rows = inner.select(*by, F.explode(F.filter(F.array(before, own), lambda s: s.isNotNull())).alias("s")).select(*by, "s.*")
-    return rows.select("*", F.explode(F.sequence(_chunk(F.col("lo")), _chunk(F.col("hi")))).alias("_chunk"))
+    return rows.select("*", F.explode(F.sequence(axis_chunk(F.col("lo")), axis_chunk(F.col("hi")))).alias("_chunk"))
 
 
 def _apply(df: DataFrame, knots: DataFrame, score: str, output: str, by: By, step: bool) -> DataFrame:
     seg = _segments(knots, by)
     s = F.col(score).cast("double")
-    rows = df.withColumn("_chunk", _chunk(F.when(F.isnan(s), None).otherwise(s)))
+    rows = df.withColumn("_chunk", axis_chunk(F.when(F.isnan(s), None).otherwise(s)))
     named = seg.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(F.col(c).alias(f"_{c}") for c in ("lo", "hi", "x0", "y0", "x1", "y1")), F.col("_chunk").alias("_seg"))
     on = (F.col("_chunk") == F.col("_seg")) & (s >= F.col("_lo")) & (s < F.col("_hi"))
     for c in by:

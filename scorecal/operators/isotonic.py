@@ -1,13 +1,15 @@
 """Isotonic projection of tie tables, in two rounds.
 
-A segment's scores are dealt into chunks of the score axis.  Each chunk is
-pooled on its own, which keeps every block boundary that the whole could have,
-and the blocks of all chunks are pooled again.  So no task needs a segment's
-scores, only its blocks.
+A segment's scores are dealt into chunks of the score axis.  Stretches of each
+chunk are pooled on their own, which keeps every block boundary that the whole
+could have, and the blocks of all stretches are pooled again.  So no task needs a
+segment's scores, only its blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,14 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
-from scorecal.operators.ties import By, join_by, ordered
-
-CHUNKS = 256
-
-
-def _chunk(x: Column) -> Column:
-    """A step function of the score that rises with it; scores outside [0, 1] share the outer chunks."""
-    return F.greatest(F.lit(0), F.least(F.lit(CHUNKS - 1), F.floor(F.least(F.greatest(x, F.lit(-1.0)), F.lit(2.0)) * CHUNKS))).cast("int")
+from scorecal.operators.curves import apply_step
+from scorecal.operators.ties import By, axis_chunk, ordered
 
 
 def _typed(df: DataFrame, by: By) -> str:
@@ -34,66 +30,61 @@ def pav_fit(ties: DataFrame, by: By = (), target: str = "y", increasing: bool =
 
     Scores of zero weight take part as points without weight.
     """
-    sign = 1.0 if increasing else -1.0
-    rows = ties.withColumn("_chunk", _chunk(F.col("x")))
-    keys = list(by)
+    starts = pav_blocks(ties, by, target, increasing).select(*by, F.col("x_lo").alias("x"), F.col("value").alias("y"))
+    return apply_step(ties, starts, "x", "z", by)
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        z = kernels.pava(sign * pdf[target].to_numpy(), pdf["w"].to_numpy())
-        pdf["_block"] = (pd.Series(z).diff().fillna(0) != 0).cumsum().to_numpy().astype("int64")
-        pdf["_z"] = sign * z
-        return pdf
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _block long, _z double"
-    local = rows.groupBy(*keys, "_chunk").applyInPandas(first, schema)
-    blocks = local.groupBy(*keys, "_chunk", "_block").agg(F.sum("w").alias("w"), F.first("_z").alias("_z"))
+SUMS = ["n", "w", "wy", "_wx", "_x", "_k"]
+BLOCKS = "x_lo double, x_hi double, value double, n long, w double, wy double"
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_chunk", "_block"])
-        pdf["z"] = sign * kernels.pava(sign * pdf["_z"].to_numpy(), pdf["w"].to_numpy())
-        return pdf[[*keys, "_chunk", "_block", "z"]]
 
-    final = blocks.groupBy(*keys).applyInPandas(second, _typed(ties, by) + "_chunk int, _block long, z double")
-    return join_by(local.drop("_z"), final, [*keys, "_chunk", "_block"]).drop("_chunk", "_block")
+def _merged(rows: dict[str, np.ndarray], z: np.ndarray, edges: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Neighbouring rows of equal z as one, never across ``edges``; and each block's first row."""
+    new = np.concatenate([[True], z[1:] != z[:-1]])
+    new[edges] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(z)) - 1
+    return {"x_lo": rows["x_lo"][first], "x_hi": rows["x_hi"][last], "value": z[first]} | {c: np.add.reduceat(rows[c], first) for c in SUMS}, first
 
 
 def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True) -> DataFrame:
     """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre); last is the segment's last block.
 
-    Chunks leave their blocks only, so a task of the second round holds no more
-    than a segment's blocks.  ``centre`` is the mean score by weight, or of the
-    distinct scores where a block has no weight.
+    ``centre`` is the mean score by weight, or of the distinct scores where a
+    block has no weight.
     """
     sign = 1.0 if increasing else -1.0
     keys = list(by)
-    sums = ["n", "w", "wy", "_wx", "_x", "_k"]
-
-    def merged(pdf: pd.DataFrame, z: np.ndarray) -> dict:
-        first = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
-        last = np.append(first[1:], len(z)) - 1
-        return {"x_lo": pdf["x_lo"].to_numpy()[first], "x_hi": pdf["x_hi"].to_numpy()[last], "value": z[first]} | {c: np.add.reduceat(pdf[c].to_numpy(), first) for c in sums}
-
-    def framed(pdf: pd.DataFrame, names: list[str], found: dict) -> pd.DataFrame:
-        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(found["value"]) for c in names} | found)
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x_lo")
-        return framed(pdf, [*keys, "_chunk"], merged(pdf, sign * kernels.pava(sign * pdf["_t"].to_numpy(), pdf["w"].to_numpy())))
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pooled(pdf: pd.DataFrame, edges: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        rows = {c: pdf[c].to_numpy() for c in ("x_lo", "x_hi", "value", *SUMS)}
+        parts = zip(np.split(sign * rows["value"], edges[1:]), np.split(rows["w"], edges[1:]), strict=True)
+        return _merged(rows, sign * np.concatenate([kernels.pava(v, w) for v, w in parts]), edges)
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by segment, chunk and score; each batch is pooled within segments and chunks."""
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            names = np.stack([pd.factorize(pdf[c])[0] for c in [*keys, "_chunk"]])
+            edges = np.concatenate([[0], 1 + np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0))])
+            found, first = pooled(pdf, edges)
+            yield pdf[keys].iloc[first].reset_index(drop=True).assign(**found)
+
+    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x_lo")
-        found = merged(pdf, sign * kernels.pava(sign * pdf["value"].to_numpy(), pdf["w"].to_numpy()))
-        w = found["w"]
+        found, first = pooled(pdf, np.zeros(1, int))
+        w, n = found["w"], len(first)
         found["centre"] = np.where(w > 0, found["_wx"] / np.where(w > 0, w, 1), found["_x"] / found["_k"])
-        n = len(w)
-        return framed(pdf, keys, {"block": np.arange(n), "last": np.full(n, n - 1)} | {c: v for c, v in found.items() if c[0] != "_"})
+        out = pdf[keys].iloc[first].reset_index(drop=True)
+        return out.assign(block=np.arange(n), last=np.full(n, n - 1), **{c: v for c, v in found.items() if c[0] != "_"})
 
     x = F.col("x")
-    rows = ties.select(*by, _chunk(x).alias("_chunk"), x.alias("x_lo"), x.alias("x_hi"), F.col(target).alias("_t"), F.col("n").cast("long").alias("n"), "w", "wy", (x * F.col("w")).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
-    shape = "x_lo double, x_hi double, value double, n long, w double, wy double"
-    local = rows.groupBy(*keys, "_chunk").applyInPandas(first, _typed(ties, by) + f"_chunk int, {shape}, _wx double, _x double, _k long")
-    return local.groupBy(*keys).applyInPandas(second, _typed(ties, by) + f"block long, last long, {shape}, centre double")
+    wy = F.col("wy") if "wy" in ties.columns else F.col("w") * F.col(target)
+    rows = ties.select(*by, axis_chunk(x).alias("_chunk"), x.alias("x_lo"), x.alias("x_hi"), F.col(target).alias("value"), F.col("n").cast("long").alias("n"), "w", wy.alias("wy"), (x * F.col("w")).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
+    rows = rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "x_lo")
+    local = rows.mapInPandas(stretches, _typed(ties, by) + f"{BLOCKS}, _wx double, _x double, _k long")
+    return local.groupBy(*keys).applyInPandas(segment, _typed(ties, by) + f"block long, last long, {BLOCKS}, centre double")
 
 
 def centred_knots(runs: DataFrame, by: By = ()) -> DataFrame:

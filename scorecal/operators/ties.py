@@ -51,6 +51,14 @@ def tie_table(df: DataFrame, score: str = "score", label: str = "label", weight:
     return out.withColumn("y", F.coalesce(F.try_divide("wy", "w"), F.lit(0.0)))
 
 
+CHUNKS = 256
+
+
+def axis_chunk(x: Column) -> Column:
+    """A step function of the score that rises with it; scores outside [0, 1] share the outer chunks."""
+    return F.greatest(F.lit(0), F.least(F.lit(CHUNKS - 1), F.floor(F.least(F.greatest(x, F.lit(-1.0)), F.lit(2.0)) * CHUNKS))).cast("int")
+
+
 def checked_weights(df: DataFrame, weight: str) -> DataFrame:
     """Fails at run time on a weight that is null, negative or not finite."""
     w = F.col(weight).cast("double")
