@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorecal.llm.scratch import Scratch
 
@@ -123,9 +124,9 @@ def certified_steps(stats: DataFrame, good: DataFrame, risk: float, delta: float
         raise ValueError("all rules need the same number of cutoffs")
     held = stats.join(good, "doc_id").dropDuplicates(["stratum", "digest"])
     wide = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(_reaches(rules, i).cast("long")).alias(f"k{i}") for i in steps))
-    strata = wide.agg(F.count("*").alias("strata"))  # one row
+    strata = F.count("*").over(Window.partitionBy())  # of one row for each stratum
     tests = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in steps)))
-    long = wide.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", tests.alias("t")).select("stratum", "n", "strata", "t.*")
+    long = wide.withColumn("strata", strata).select("stratum", "n", "strata", tests.alias("t")).select("stratum", "n", "strata", "t.*")
     failed = binomial_tail(F.col("k"), F.col("n"), risk) > delta / F.col("strata")
     ends = long.withColumn("failed", failed).groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("failed"), F.col("i"))), F.lit(len(steps))).alias("end"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("i", "k"))).alias("k"))
     return ends.where("end > 0").select("stratum", (F.col("end") - 1).alias("step"), F.col("n").alias("n_good"), F.col("k")[F.col("end") - 1].alias("n_rejected"))
