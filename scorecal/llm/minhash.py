@@ -164,7 +164,9 @@ def similar_components(
     now = root(members)
     by_root = now.groupBy("key", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    rest = now.join(open_.select("key", "size", "top", "main"), "key").join(items, "id")
+    # Sizes are written: Spark broadcasts a small table, and can split a large group beside a written one.
+    open_ = scratch.save(open_.select("key", "size", "top", "main"), "buckets")
+    rest = now.join(open_, "key").join(items, "id")
     check = _Plausible(num, den, words, floor, least)
     forest = _blocked(rest.withColumnRenamed("key", "group"), []).mapInArrow(frugal(_family_edges(check)), EDGE)
     family = connected_components(forest, scratch, "family")
@@ -173,11 +175,12 @@ def similar_components(
     now = scratch.save(root(family).join(items, "id"), "open")
     by_root = now.groupBy("group", "root").agg(F.count("*").alias("c"))
     size = by_root.groupBy("group").agg(F.sum("c").alias("size"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    size = scratch.save(size, "sizes")
     full = scratch.save(texts(now.select("id")).mapInArrow(frugal(_packed(sets)), "id long, items binary"), "sets")
     rest = now.join(size, "group").join(full, "id")
     more = _blocked(rest, ["items"]).mapInArrow(frugal(_links(check)), EDGE)
     out = connected_components(found.union(more), scratch, "second")
-    scratch.drop("best", "text1", "linked1", "families", "open", "sets")
+    scratch.drop("best", "text1", "linked1", "buckets", "families", "open", "sizes", "sets")
     return out
 
 
