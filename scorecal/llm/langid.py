@@ -156,6 +156,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text_col: st
     def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return frugal(_guesses(held))(texts)
 
+    guess = guess.asNondeterministic()  # a filter on its result would evaluate it once more
     letters = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
     names = docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), guess(letters).alias("guess"))
