@@ -68,8 +68,14 @@ def learning_curve(df: DataFrame, key: list[str], sizes: list[int], n_trials: in
     top = max(sizes)
     h = F.xxhash64(*key, F.lit(seed), "trial")
     total = df.count()
-    near = trials.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < F.lit((1 << 30) * min(1.0, 2.0 * top / max(total, 1) + 1e-4)))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("trial").orderBy(F.pmod("h", F.lit(1 << 30)), *key)))
+    share = min(1.0, 2.0 * top / max(total, 1) + 1e-4)
+    while True:  # wide enough for every trial: one pass, seldom two
+        near = trials.withColumn("h", F.pmod(h, F.lit(1 << 30))).where(F.col("h") < F.lit(int((1 << 30) * share)))
+        held = {r["trial"]: r["count"] for r in near.groupBy("trial").count().collect()} if share < 1 else {}
+        if share == 1 or all(held.get(t, 0) >= min(top, total) for t in range(n_trials)):
+            break
+        share = min(1.0, 2 * share)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("trial").orderBy("h", *key)))
     rows = ranked.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("r <= size")
     own = ["size", "trial"]
 

@@ -226,3 +226,31 @@ def test_folds_keep_fractions_of_weights(spark):
     rounded = tie_table(df.selectExpr("round(score, 1) as score", "label"))
     counts = selection._tie_folds(rounded, 5).toPandas()
     assert (counts["w"] == counts["n"]).all() and (counts["w"] % 1 == 0).all() and (counts["wy"] % 1 == 0).all()
+
+
+def test_bca_acceleration_is_that_of_all_rows(spark):
+    rows = [(round(i % 7 / 7, 3), float(i % 7 > 3 or i % 5 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "score double, label double")
+    named = {m: resample.METRICS[m] for m in ("brier", "debiased_ece", "mcb")}
+    cells = df.groupBy(F.col("score").alias("x"), F.col("label").alias("y")).agg(F.count("*").cast("double").alias("n"))
+    got = resample.accelerations(cells, named)
+    x, y = (np.array(c) for c in zip(*rows, strict=True))
+    for m, f in named.items():
+        left = []
+        for i in range(len(rows)):
+            at = sorted((a, b) for j, (a, b) in enumerate(zip(x, y, strict=True)) if j != i)
+            keys = sorted(set(at))
+            left.append(f(*(np.array(c, float) for c in zip(*keys, strict=True)), np.array([at.count(k) for k in keys], float)))
+        c = np.mean(left) - np.array(left)
+        assert got[m] == pytest.approx((c**3).sum() / (6 * (c**2).sum() ** 1.5), abs=1e-9)
+    found = resample.bootstrap_ci(df, ["brier"], n_resamples=60, method="bca").first()
+    assert found.lower <= found.estimate <= found.upper
+    assert resample.accelerations(cells.limit(0), named) == {}
+
+
+def test_learning_curve_samples_are_whole(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 100 / 100).alias("score"), (F.pmod(F.xxhash64("id"), F.lit(2))).cast("double").alias("label"))
+    sizes = {r["size"]: r.trials for r in diagnostics.learning_curve(rows, ["id"], [10, 5000], 3).collect()}
+    assert sizes == {10: 3, 5000: 3}
+    few = diagnostics.learning_curve(rows, ["id"], [1], 5).collect()
+    assert [(r["size"], r.trials, r.diversity) for r in few] == [(1, 5, 1.0)]
