@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorecal.llm import sql
 from scorecal.llm.corpus import DOMAIN_SQL, WEIGHTS, documents, levels, tokenizer_path
+from scorecal.llm.divergence import SQL as DIVERGENCE_SQL
+from scorecal.llm.divergence import source_divergence
 from scorecal.llm.exact_dedup import exact_dedup
+from scorecal.llm.importance import importance_resample
 from scorecal.llm.langid import identify_languages
 from scorecal.llm.licenses import LONGEST, RULES, SENTENCES, SHORTEST, scan_licenses
 from scorecal.llm.line_dedup import line_dedup
@@ -60,6 +63,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir), min_docs=30, top=50)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5, min_words=20, buckets=10000, seed=42)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -75,6 +86,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
@@ -82,4 +95,5 @@ ORACLE_SQL = {
     "op6_license_scan": sql.license_scan(SENTENCES, RULES, SHORTEST, 4 * LONGEST),
     "op8_quality_rules": sql.quality_rules(QUALITY_RULES, 0.04, 0.05),
     "op10_exact_dedup": sql.EXACT_DEDUP,
+    "op11_source_divergence": DIVERGENCE_SQL.format(min_docs=30, top=50),
 }
