@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorecal.llm import sql
 from scorecal.llm.corpus import DOMAIN_SQL, WEIGHTS, documents, levels, tokenizer_path
@@ -16,6 +17,7 @@ from scorecal.llm.licenses import LONGEST, RULES, SENTENCES, SHORTEST, scan_lice
 from scorecal.llm.line_dedup import line_dedup
 from scorecal.llm.mixing import mix_sources
 from scorecal.llm.near_dedup import near_dedup
+from scorecal.llm.neighbours import nearest
 from scorecal.llm.packing import pack
 from scorecal.llm.quality_model import score_quality
 from scorecal.llm.quality_rules import RULES as QUALITY_RULES
@@ -67,6 +69,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir), min_docs=30, top=50)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5, min_words=20, buckets=10000, seed=42)
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
