@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from operator import itemgetter
 from zlib import crc32
 
@@ -22,8 +22,8 @@ from scorecal.llm.scratch import Scratch
 from scorecal.operators.ties import join_by
 
 TABLE = lowering(b"")
-HELD = 1 << 18  # entries that a task holds before it sends them on
-SENT = 2 << 20  # bytes of kept terms that may go to every task
+HELD = 1 << 19  # entries that a task holds before it sends them on
+SENT = 8 << 20  # bytes of kept terms that may go to every task
 SHARD = 4 << 20  # bytes of kept terms in one automaton beyond that
 SIDE, TERMS = 64, 2048  # sources on a side, and terms, of one block of pairs
 GROUP = ["lang", "source"]
@@ -31,10 +31,14 @@ GROUP = ["lang", "source"]
 
 def _given_out(held: dict, names: list[str]) -> pa.RecordBatch:
     """{group: {term: n}} as rows of the group's columns, term and n."""
-    rows = [(*group, term, n) for group, own in held.items() for term, n in own.items()]
-    columns = list(zip(*rows, strict=True)) or [()] * (len(names))
-    terms = pa.array(columns[-2], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:-2]), terms, pa.array(columns[-1], pa.int64())], names)
+    terms, counts, sizes = [], [], []
+    for own in held.values():
+        terms += own.keys()
+        counts += own.values()
+        sizes.append(len(own))
+    at = pa.array(np.repeat(np.arange(len(sizes)), np.array(sizes, int)))
+    groups = [pa.array([g[i] for g in held], pa.string()).take(at) for i in range(len(names) - 2)]
+    return pa.RecordBatch.from_arrays([*groups, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names)
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +60,9 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 class Recount:
     """Occurrences of kept terms, found by one automaton whose words carry a blank on either side."""
 
-    def __init__(self, kept: dict[bytes, set[str]]):
-        self.terms, self.langs = list(kept), list(kept.values())
+    def __init__(self, kept: dict[bytes, Collection[str]]):
+        same = {}  # one set for all terms of the same languages
+        self.terms, self.langs = list(kept), [same.setdefault(frozenset(x), x) for x in kept.values()]
         self.automaton = ahocorasick.Automaton()
         for i, term in enumerate(self.terms):
             self.automaton.add_word(f" {term.decode()} ", i)
@@ -105,7 +110,7 @@ def _recount_in_shards(docs: DataFrame, kept: DataFrame, size: int, shard: int)
     """
     spark = docs.sparkSession
     shards = -(-size // shard)
-    salts = max(1, docs.rdd.getNumPartitions() // shards)
+    salts = max(1, 2 * docs.rdd.getNumPartitions() // shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
@@ -159,9 +164,8 @@ def postings(docs: DataFrame, kept: DataFrame, sent: int = SENT, shard: int = SH
     """
     size = kept.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
     if size <= sent:
-        by_term: dict[bytes, set[str]] = {}
-        for r in kept.select(F.col("term").cast("binary").alias("term"), "lang").collect():  # of checked size
-            by_term.setdefault(bytes(r["term"]), set()).add(r["lang"])
+        every = kept.groupBy(F.col("term").cast("binary").alias("term")).agg(F.collect_set("lang").alias("langs")).collect()  # of checked size
+        by_term = {bytes(r["term"]): tuple(sorted(r["langs"])) for r in every}
         counts = docs.mapInArrow(frugal(_recount_by(docs.sparkSession.sparkContext.broadcast(by_term))), COUNTED)
     else:
         counts = _recount_in_shards(docs, kept, size, shard)
