@@ -1,8 +1,7 @@
 """Monotone calibrators: fit on rows, keep knots, transform without a shuffle of the fit.
 
-Every calibrator fits one map per segment of ``by`` in one pass.  Those that
-need a sequential solver run it on a segment's tie table, whose size is
-bounded by rounding scores to ``digits`` decimals.
+Every calibrator fits one map per segment of ``by`` in one pass, on the scores
+as they are; ``digits`` rounds them first, only where it is given.
 """
 
 from __future__ import annotations
@@ -16,13 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
 from scorecal.functions import scores as S
 from scorecal.operators.curves import apply_linear, apply_step
-from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_blocks, running_max, step_knots
+from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_blocks, step_knots, with_running_max
 from scorecal.operators.keep import kept
+from scorecal.operators.ranges import Stretches, running, with_neighbours
 from scorecal.operators.ties import By, checked_weights, join_by, ordered, tie_table
 
 # The grids of settings chosen by cross-validation.
@@ -31,6 +30,9 @@ LAM_GRID = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]
 ALPHA_GRID = [0.0, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 
 
+RANKS = 4096  # scores in a stretch of ranks
+
+
 @dataclass
 class Model:
     """A fitted map: knots (by, x, y), joined by lines or steps, and the chosen settings."""
@@ -56,9 +58,10 @@ class Model:
 
     def check_monotonic(self, strict: bool = False) -> DataFrame:
         """(by, monotonic) of the knots."""
-        rise = F.col("y") - F.lag("y").over(ordered(self.by))
+        placed = Stretches(self.knots.select("x")).of(self.knots, "x")
+        rise = F.col("y") - F.col("before")
         bad = (rise <= 0) if strict else (rise < 0)
-        return self.knots.withColumn("_bad", F.coalesce(bad, F.lit(False))).groupBy(*self.by).agg((~F.max("_bad")).alias("monotonic"))
+        return with_neighbours(placed, F.col("y"), self.by).withColumn("_bad", F.coalesce(bad, F.lit(False))).groupBy(*self.by).agg((~F.max("_bad")).alias("monotonic"))
 
 
 @dataclass(kw_only=True)
@@ -174,7 +177,6 @@ class NearlyIsotonic(Calibrator):
     clip_output: bool = True
     cv: int = 5
     scoring: str = "log_loss"
-    digits: int | None = 4
     weighted = False
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
@@ -206,7 +208,6 @@ class MonotoneSpline(Calibrator):
     cv: int = 5
     scoring: str = "log_loss"
     points: int = 2001
-    digits: int | None = 6
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.link not in ("logit", "identity"):
@@ -250,7 +251,6 @@ class SmoothedIsotonic(Calibrator):
     min_window: int = 5
     max_window: int | None = None
     clip_output: bool = True
-    digits: int | None = 4
     weighted = False
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
@@ -281,28 +281,37 @@ class DecisionAwareIsotonic(Calibrator):
     clip_output: bool = True
 
     def bounds(self, ties: DataFrame, by: By = ()) -> DataFrame:
-        """The tie table with bound: the least step from the score before it."""
+        """The tie table with bound: the least step from the score before it.
+
+        Sums over neighbouring scores are taken in stretches of ranks that
+        overlap by a window.
+        """
         z = NormalDist().inv_cdf(1 - self.alpha / 2)
-        w = ordered(by)
+        ties = kept(ties)
+        ends = ties.groupBy(*by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+        ranked = join_by(running(ties, {"_rank": F.lit(1)}, by).drop("_part"), ends, by)
+        stretch = lambda rank: F.floor(rank / max(RANKS, self.window))
+        rank = F.col("_rank")
+        rows = ranked.withColumn("_in", F.explode(F.array_distinct(F.array(*(stretch(rank + d) for d in (0, self.window, -self.window))))))
+        w = ordered([*by, "_in"], "_rank")
         left, right = w.rowsBetween(-self.window, -1), w.rowsBetween(0, self.window - 1)
         wl, yl, wr, yr = F.sum("w").over(left), F.sum("wy").over(left), F.sum("w").over(right), F.sum("wy").over(right)
         p_l, p_r = F.try_divide(yl, wl), F.try_divide(yr, wr)
         pool = F.try_divide(yl + yr, wl + wr)
         se = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), wl) + F.try_divide(F.lit(1.0), wr)))
-        lo, hi = F.min("x").over(Window.partitionBy(*by)), F.max("x").over(Window.partitionBy(*by))
-        scale = F.when(hi > lo, hi - lo).otherwise(1.0)
-        mid = ((F.col("x") + F.lag("x").over(w)) / 2 - lo) / scale
-        if self.thresholds:
-            part = self.threshold_weights or (1.0,) * len(self.thresholds)
+        scale = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+        mid = ((F.col("x") + F.lag("x").over(w)) / 2 - F.col("_lo")) / scale
+        part = self.threshold_weights or (1.0,) * len(self.thresholds)
+        if sum(part) > 0:
             near = reduce(lambda a, b: a + b, (a * S.triangle(mid - t, self.bandwidth) for t, a in zip(self.thresholds, part, strict=True))) / (sum(part) + 1e-12)
         else:
             near = F.lit(1.0)
-        rows = ties.withColumn("_near", F.when(F.lag("x").over(w).isNotNull(), near)).withColumn("_gap", p_r - p_l).withColumn("_se", se)
-        top = F.max("_near").over(Window.partitionBy(*by))
-        e = F.col("_near") / top if self.thresholds else F.col("_near")
-        e = F.when(top > 0, e).otherwise(F.col("_near"))
+        rows = rows.withColumns({"_near": F.when(rank > 1, near), "_gap": p_r - p_l, "_se": se})
+        rows = kept(rows.where(stretch(rank) == F.col("_in")).select(*ties.columns, "_near", "_gap", "_se"))
+        rows = join_by(rows, rows.groupBy(*by).agg(F.max("_near").alias("_top")), by)
+        e = F.when((F.col("_top") > 0) & F.lit(sum(part) > 0), F.col("_near") / F.col("_top")).otherwise(F.col("_near"))
         bound = self.gamma * e * F.greatest(F.lit(0.0), F.col("_gap") - z * F.col("_se")) - (1 - e) * z * F.col("_se")
-        return rows.withColumn("bound", F.coalesce(bound, F.lit(0.0))).drop("_near", "_gap", "_se")
+        return rows.withColumn("bound", F.coalesce(bound, F.lit(0.0))).drop("_near", "_gap", "_se", "_top")
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         fit = bounded_fit(self.bounds(ties, by), "bound", by)
@@ -311,7 +320,7 @@ class DecisionAwareIsotonic(Calibrator):
 
 def enforce_monotonic(df: DataFrame, value: str, by: By = (), order: str = "x") -> DataFrame:
     """Running maximum along ``order``; for tie tables and knots."""
-    return df.withColumn(value, running_max(df, value, by, order))
+    return with_running_max(df, value, by, order)
 
 
 @dataclass(kw_only=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorecal.functions import scores as S
 from scorecal.operators.curves import apply_linear, apply_step
 from scorecal.operators.isotonic import pav_blocks, pav_fit, step_knots
+from scorecal.operators.keep import kept
 from scorecal.operators.ties import By, join_by, tie_table
 
 
@@ -41,7 +42,7 @@ def score_decomposition(df: DataFrame, score: str = "score", label: str = "label
     tie table and the calibrated one a sum over the isotonic blocks.  ``ties``
     may hand in a tie table.
     """
-    t = tie_table(df, score, label, weight, by) if ties is None else ties
+    t = kept(tie_table(df, score, label, weight, by) if ties is None else ties)
     own = t.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"), F.sum(_total(kind, F.col("x"))).alias("_s"))
     fit = pav_blocks(t, by).groupBy(*by).agg(F.sum(_total(kind, F.col("value"))).alias("_z"))
     base = _total(kind, F.col("wy") / F.col("w"))

@@ -14,7 +14,9 @@ from scorecal.functions import kernels
 from scorecal.operators.corp import score_decomposition
 from scorecal.operators.metrics import basic_metrics, equal_mass_errors, smooth_error, sweep_error
 from scorecal.operators.resample import bootstrap_ci
-from scorecal.operators.ties import By, join_by, ordered, tie_table
+from scorecal.operators.keep import kept
+from scorecal.operators.ranges import Stretches, running, with_neighbours
+from scorecal.operators.ties import By, join_by, tie_table, with_ranks
 
 
 def plateaus(df: DataFrame, score: str = "score", calibrated: str = "calibrated", label: str | None = None, min_width: int = 2, by: By = ()) -> DataFrame:
@@ -26,12 +28,15 @@ def plateaus(df: DataFrame, score: str = "score", calibrated: str = "calibrated"
     """
     y = F.col(label).cast("double") if label else F.lit(None).cast("double")
     cells = df.groupBy(*by, F.col(score).cast("double").alias("x"), F.col(calibrated).cast("double").alias("z")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    w = ordered(by, "x", "z")
-    new = F.coalesce((F.col("z") != F.lag("z").over(w)).cast("int"), F.lit(0))
-    runs = cells.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = kept(cells)
+    stretches = Stretches(cells.select("x"))
+    near = with_neighbours(stretches.of(cells, "x"), F.col("z"), by, ["x", "z"])
+    new = kept(near.withColumn("_new", F.coalesce((F.col("z") != F.col("before")).cast("int"), F.lit(0))).drop("before", "after", "_part"))
+    runs = running(new, {"run": F.col("_new")}, by, ["x", "z"], stretches)
     m = F.sum("s") / F.sum("n")
     out = runs.groupBy(*by, "run").agg(F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.first("z").alias("value"), F.sum("n").alias("width"), F.greatest(F.sum("q") / F.sum("n") - m * m, F.lit(0.0)).alias("label_var"))
-    out = out.where(F.col("width") >= min_width).withColumn("plateau_id", F.row_number().over(ordered(by, "run")) - 1)
+    wide = kept(out.where(F.col("width") >= min_width))
+    out = running(wide, {"_count": F.lit(1)}, by, "run").withColumn("plateau_id", (F.col("_count") - 1).cast("int"))
     density = F.when(F.col("width") < 5, "very_sparse").when(F.col("width") < 10, "sparse").otherwise("adequate")
     return out.select(*by, "plateau_id", "x_lo", "x_hi", "value", "width", "label_var", density.alias("density"))
 
@@ -55,8 +60,9 @@ def plateau_quality(df: DataFrame, score: str = "score", calibrated: str = "cali
 def change_positions(df: DataFrame, score: str = "score", calibrated: str = "calibrated", precision: int = 6, by: By = ()) -> DataFrame:
     """Scores where the rounded output changes."""
     cells = df.groupBy(*by, F.col(score).alias("x")).agg(F.bround(F.min(calibrated), precision).alias("z"))
-    before = F.lag("z").over(ordered(by))
-    return cells.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col("z"))).drop("_b")
+    cells = kept(cells)
+    near = with_neighbours(Stretches(cells.select("x")).of(cells, "x"), F.col("z"), by)
+    return near.where(F.col("before").isNull() | (F.col("before") != F.col("z"))).select(*cells.columns)
 
 
 def learning_curve(df: DataFrame, key: list[str], sizes: list[int], n_trials: int = 10, seed: int = 0, score: str = "score", label: str = "label") -> DataFrame:
@@ -94,7 +100,8 @@ def calibration_report(df: DataFrame, score: str = "score", label: str = "label"
     plugin_ece, sweep_ece, sweep_bins, n_bins, n_distinct, distinct_ratio and,
     with ``ci`` and no segments, intervals for brier, smece and debiased_ece.
     """
-    ties = tie_table(df, score, label, by=by).cache()
+    ties = kept(tie_table(df, score, label, by=by))
+    ranked = with_ranks(ties, by)
     rows = ties.select(*by, F.col("x").alias("score"), "n", "wy")
     base = rows.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("wy") / F.sum("n")).alias("base_rate"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean_prediction"), F.count("*").alias("n_distinct"))
     base = base.withColumn("bias", F.col("mean_prediction") - F.col("base_rate")).withColumn("distinct_ratio", F.col("n_distinct") / F.col("n")).withColumn("n_bins", F.lit(n_bins))
@@ -102,8 +109,8 @@ def calibration_report(df: DataFrame, score: str = "score", label: str = "label"
         base,
         score_decomposition(df, by=by, ties=ties).withColumnRenamed("mean_score", "brier"),
         smooth_error(df, by=by, ties=ties).withColumnRenamed("sigma", "smece_sigma"),
-        equal_mass_errors(df, n_bins=n_bins, by=by, ties=ties).select(*by, F.col("debiased").alias("debiased_ece"), F.col("plugin_l2").alias("plugin_ece")),
-        sweep_error(df, score, label, by=by),
+        equal_mass_errors(df, n_bins=n_bins, by=by, ranked=ranked).select(*by, F.col("debiased").alias("debiased_ece"), F.col("plugin_l2").alias("plugin_ece")),
+        sweep_error(df, score, label, by=by, ranked=ranked),
     ]
     out = reduce(lambda a, b: join_by(a, b, by), parts)
     if ci and not by:

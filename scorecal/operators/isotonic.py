@@ -1,9 +1,12 @@
-"""Isotonic projection of tie tables, in two rounds.
-
-A segment's scores are dealt into chunks of the score axis.  Stretches of each
-chunk are pooled on their own, which keeps every block boundary that the whole
-could have, and the blocks of all stretches are pooled again.  So no task needs a
-segment's scores, only its blocks.
+"""Isotonic projection of tie tables, without a task that needs a segment's scores or its blocks.
+
+Stretches of the score axis are pooled on their own, which keeps every block
+boundary that the whole could have.  Where a segment is left with few blocks,
+one task pools them.  Otherwise the boundaries are points of the cumulative
+sum diagram (weight, weighted target), whose lower convex hull is the fit.
+Each round spans a coarse hull over some of the points and drops those that
+lie above it or above the line between their neighbours, until what is left
+is convex.
 """
 
 from __future__ import annotations
@@ -12,13 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
-from scorecal.operators.curves import apply_step
-from scorecal.operators.ties import By, axis_chunk, ordered
+from scorecal.operators.curves import apply_linear, apply_step
+from scorecal.operators.keep import kept
+from scorecal.operators.ranges import Stretches, running, with_neighbours
+from scorecal.operators.ties import By, join_by
+
+MEET = 1 << 14  # blocks of a segment that may meet in one task
+EVENLY = 32  # points of each stretch that span the coarse hull, beside some at its ends
 
 
 def _typed(df: DataFrame, by: By) -> str:
@@ -30,12 +38,14 @@ def pav_fit(ties: DataFrame, by: By = (), target: str = "y", increasing: bool =
 
     Scores of zero weight take part as points without weight.
     """
+    ties = kept(ties)
     starts = pav_blocks(ties, by, target, increasing).select(*by, F.col("x_lo").alias("x"), F.col("value").alias("y"))
-    return apply_step(ties, starts, "x", "z", by)
+    return apply_step(ties, kept(starts), "x", "z", by)
 
 
-SUMS = ["n", "w", "wy", "_wx", "_x", "_k"]
+SUMS = ["n", "w", "wy", "_wv", "_wx", "_x", "_k"]
 BLOCKS = "x_lo double, x_hi double, value double, n long, w double, wy double"
+LOCAL = BLOCKS + ", _wv double, _wx double, _x double, _k long"
 
 
 def _merged(rows: dict[str, np.ndarray], z: np.ndarray, edges: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -47,44 +57,117 @@ def _merged(rows: dict[str, np.ndarray], z: np.ndarray, edges: np.ndarray) -> tu
     return {"x_lo": rows["x_lo"][first], "x_hi": rows["x_hi"][last], "value": z[first]} | {c: np.add.reduceat(rows[c], first) for c in SUMS}, first
 
 
-def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True) -> DataFrame:
-    """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre); last is the segment's last block.
+def _pooled(pdf: pd.DataFrame, edges: np.ndarray, sign: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    rows = {c: pdf[c].to_numpy() for c in ("x_lo", "x_hi", "value", *SUMS)}
+    parts = zip(np.split(sign * rows["value"], edges[1:]), np.split(rows["w"], edges[1:]), strict=True)
+    return _merged(rows, sign * np.concatenate([kernels.pava(v, w) for v, w in parts]), edges)
 
-    ``centre`` is the mean score by weight, or of the distinct scores where a
-    block has no weight.
-    """
-    sign = 1.0 if increasing else -1.0
-    keys = list(by)
 
-    def pooled(pdf: pd.DataFrame, edges: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        rows = {c: pdf[c].to_numpy() for c in ("x_lo", "x_hi", "value", *SUMS)}
-        parts = zip(np.split(sign * rows["value"], edges[1:]), np.split(rows["w"], edges[1:]), strict=True)
-        return _merged(rows, sign * np.concatenate([kernels.pava(v, w) for v, w in parts]), edges)
+def _local_blocks(ties: DataFrame, by: By, target: str, sign: float, stretches: Stretches) -> DataFrame:
+    """Blocks of each stretch, or of parts of it, with _part."""
+    keys = [*by, "_part"]
 
-    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come by segment, chunk and score; each batch is pooled within segments and chunks."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by segment, stretch and score; each batch is pooled within segments and stretches."""
         for pdf in batches:
             if not len(pdf):
                 continue
-            names = np.stack([pd.factorize(pdf[c])[0] for c in [*keys, "_chunk"]])
+            names = np.stack([pd.factorize(pdf[c])[0] for c in keys])
             edges = np.concatenate([[0], 1 + np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0))])
-            found, first = pooled(pdf, edges)
+            found, first = _pooled(pdf, edges, sign)
             yield pdf[keys].iloc[first].reset_index(drop=True).assign(**found)
 
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
+    x, w, v = F.col("x"), F.col("w"), F.col(target)
+    wy = F.col("wy") if "wy" in ties.columns else w * v
+    rows = stretches.of(ties, "x").select(*keys, x.alias("x_lo"), x.alias("x_hi"), v.alias("value"), F.col("n").cast("long").alias("n"), "w", wy.alias("wy"), (w * v).alias("_wv"), (x * w).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "x_lo").mapInPandas(run, _typed(ties, by) + f"_part int, {LOCAL}")
+
+
+def _in_one_task(local: DataFrame, by: By, sign: float) -> DataFrame:
+    """Blocks of segments whose local blocks are few, pooled by the same kernel."""
+    keys = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x_lo")
-        found, first = pooled(pdf, np.zeros(1, int))
-        w, n = found["w"], len(first)
-        found["centre"] = np.where(w > 0, found["_wx"] / np.where(w > 0, w, 1), found["_x"] / found["_k"])
+        found, first = _pooled(pdf, np.zeros(1, int), sign)
         out = pdf[keys].iloc[first].reset_index(drop=True)
-        return out.assign(block=np.arange(n), last=np.full(n, n - 1), **{c: v for c, v in found.items() if c[0] != "_"})
+        return out.assign(block=np.arange(len(first)), last=np.full(len(first), len(first) - 1), **{c: found[c] for c in found if c != "_wv"})
+
+    return local.groupBy(*keys).applyInPandas(run, _typed(local, by) + f"block long, last long, {BLOCKS}, _wx double, _x double, _k long")
 
-    x = F.col("x")
-    wy = F.col("wy") if "wy" in ties.columns else F.col("w") * F.col(target)
-    rows = ties.select(*by, axis_chunk(x).alias("_chunk"), x.alias("x_lo"), x.alias("x_hi"), F.col(target).alias("value"), F.col("n").cast("long").alias("n"), "w", wy.alias("wy"), (x * F.col("w")).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
-    rows = rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "x_lo")
-    local = rows.mapInPandas(stretches, _typed(ties, by) + f"{BLOCKS}, _wx double, _x double, _k long")
-    return local.groupBy(*keys).applyInPandas(segment, _typed(ties, by) + f"block long, last long, {BLOCKS}, centre double")
+
+def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The lower convex hull of points sorted by at_w, from (0, 0) on, as its points."""
+    at: list[tuple[float, float]] = [(0.0, 0.0)]
+    for w, s in zip(pdf["at_w"].tolist(), pdf["at_s"].tolist(), strict=True):
+        if w == 0:
+            continue
+        while len(at) > 1 and (at[-1][1] - at[-2][1]) / (at[-1][0] - at[-2][0]) >= (s - at[-1][1]) / (w - at[-1][0]):
+            at.pop()
+        at.append((w, s))
+    return pd.DataFrame(at, columns=["x", "y"])
+
+
+def _convex_points(points: DataFrame, by: By, evenly: int) -> DataFrame:
+    """The points (by, _part, x_lo, at_w, at_s) that are on the lower convex hull.
+
+    A point above a line between two others is not, whichever those are, so
+    every round drops rightly; it ends when each is below its neighbours' line.
+    """
+    keys = list(by)
+    origin = F.struct(F.lit(0.0).alias("at_w"), F.lit(0.0).alias("at_s"))
+    slope = lambda a, b: (b["at_s"] - a["at_s"]) / (b["at_w"] - a["at_w"])
+    live = points
+    while True:
+        own = Window.partitionBy(*by, "_part")
+        placed = live.withColumn("_r", F.row_number().over(own.orderBy("at_w")) - 1).withColumn("_c", F.count("*").over(own))
+        back = F.col("_c") - 1 - F.col("_r")
+        power = lambda c: F.bit_count(c + 1) == 1
+        some = placed.where(power(F.col("_r")) | power(back) | (F.col("_r") % F.ceil(F.col("_c") / evenly) == 0)).select(*by, "at_w", "at_s")
+
+        def span(pdf: pd.DataFrame) -> pd.DataFrame:
+            hull = _hull(pdf.sort_values("at_w"))
+            return pdf[keys].iloc[:1].loc[lambda d: d.index.repeat(len(hull))].reset_index(drop=True).assign(x=hull["x"], y=hull["y"])
+
+        hull = kept(some.groupBy(*keys).applyInPandas(span, _typed(points, by) + "x double, y double"))
+        lined = apply_linear(live, hull, "at_w", "_line", by).where(F.col("at_s") <= F.col("_line") + F.abs("_line") * 1e-12).drop("_line")
+        near = with_neighbours(kept(lined), F.struct("at_w", "at_s"), by, "at_w")
+        here, before = F.struct("at_w", "at_s"), F.when(F.col("before").isNotNull(), F.col("before")).otherwise(origin)
+        above = F.col("after").isNotNull() & (F.col("at_w") > 0) & (slope(before, here) >= slope(here, F.col("after")))
+        judged = kept(near.withColumn("_above", F.coalesce(above, F.lit(False))).drop("before", "after"))
+        live = judged.where("not _above").drop("_above")
+        if judged.where("_above").isEmpty():
+            return live
+
+
+def _by_hull(local: DataFrame, by: By, sign: float, stretches: Stretches, evenly: int) -> DataFrame:
+    placed = kept(running(local.drop("_part"), {"at_w": F.col("w"), "at_s": sign * F.col("_wv")}, by, "x_lo", stretches))
+    near = with_neighbours(placed.select(*by, "_part", "x_lo", "at_w", "at_s"), F.col("at_w"), by, "x_lo")
+    points = near.where("after is null or after > at_w").drop("before", "after")  # of equal weights the last
+    ends = _convex_points(kept(points), by, evenly).select(*by, "x_lo", F.lit(1).alias("_end"))
+    rows = join_by(placed.drop("_part"), ends, [*by, "x_lo"], "left").withColumn("_end", F.coalesce("_end", F.lit(0)))
+    rows = running(kept(rows), {"_through": F.col("_end")}, by, "x_lo", stretches).withColumn("block", (F.col("_through") - F.col("_end")).cast("long"))
+    total = F.sum("_wv")
+    value = F.when(F.count("*") == 1, F.first("value")).when(F.sum("w") > 0, F.try_divide(total, F.sum("w"))).otherwise(F.min_by("value", "x_lo"))
+    blocks = rows.groupBy(*by, "block").agg(F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), value.alias("value"), *(F.sum(c).alias(c) for c in SUMS if c != "_wv"))
+    return join_by(blocks, blocks.groupBy(*by).agg(F.max("block").alias("last")), by)
+
+
+def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True, meet: int = MEET, stretches: Stretches | None = None, evenly: int = EVENLY) -> DataFrame:
+    """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre); last is the segment's last block.
+
+    ``centre`` is the mean score by weight, or of the distinct scores where a
+    block has no weight.  Up to ``meet`` blocks of a segment are pooled in one
+    task, more by convex hulls.
+    """
+    sign = 1.0 if increasing else -1.0
+    ties = kept(ties)
+    found = stretches or Stretches(ties.select("x"))
+    local = kept(_local_blocks(ties, by, target, sign, found))
+    most = local.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    blocks = _in_one_task(local, by, sign) if most <= meet else _by_hull(local, by, sign, found, evenly)
+    centre = F.when(F.col("w") > 0, F.try_divide("_wx", "w")).otherwise(F.col("_x") / F.col("_k"))
+    return blocks.withColumn("centre", centre).select(*by, "block", "last", "x_lo", "x_hi", "value", "n", "w", "wy", "centre")
 
 
 def centred_knots(runs: DataFrame, by: By = ()) -> DataFrame:
@@ -102,11 +185,14 @@ def step_knots(runs: DataFrame, by: By = ()) -> DataFrame:
 def bounded_fit(ties: DataFrame, least_step: float | str, by: By = ()) -> DataFrame:
     """As ``pav_fit``, with neighbours rising by ``least_step`` (a number or a column) or more."""
     step = F.lit(float(least_step)) if not isinstance(least_step, str) else F.col(least_step)
-    first = F.row_number().over(ordered(by)) == 1
-    shift = F.sum(F.when(first, F.lit(0.0)).otherwise(step)).over(ordered(by).rowsBetween(Window.unboundedPreceding, 0))
-    moved = ties.withColumn("_shift", shift).withColumn("_moved", F.col("y") - F.col("_shift"))
-    return pav_fit(moved, by, "_moved").withColumn("z", F.col("z") + F.col("_shift")).drop("_shift", "_moved")
+    ties = kept(ties.withColumn("_step", step))
+    first = ties.groupBy(*by).agg(F.min_by("_step", "x").alias("_first"))
+    shifted = join_by(running(ties, {"_shift": F.col("_step")}, by).drop("_part"), first, by).withColumn("_shift", F.col("_shift") - F.col("_first"))
+    moved = kept(shifted.withColumn("_moved", F.col("y") - F.col("_shift")))
+    return pav_fit(moved, by, "_moved").withColumn("z", F.col("z") + F.col("_shift")).drop("_shift", "_moved", "_step", "_first")
 
 
-def running_max(df: DataFrame, value: str, by: By = (), order: str = "x") -> Column:
-    return F.max(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+def with_running_max(df: DataFrame, value: str, by: By = (), order: str = "x") -> DataFrame:
+    """df with ``value`` replaced by its running maximum along ``order``."""
+    out = running(kept(df), by=by, order=order, tops={"_top": F.col(value)})
+    return out.withColumn(value, F.col("_top")).select(*df.columns)

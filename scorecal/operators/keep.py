@@ -9,12 +9,17 @@ def kept(df: DataFrame) -> DataFrame:
     """df computed once and written under ``spark.checkpoint.dir``.
 
     Where it is unset, a local session uses ``/tmp/checkpoints``; a cluster
-    session must name a shared folder.
+    session must name a shared folder.  What has been written already is
+    returned as it is.
     """
+    if getattr(df, "_scorecal_kept", False):
+        return df
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(named or "/tmp/checkpoints")
-    return df.checkpoint()
+    written = df.checkpoint()
+    written._scorecal_kept = True
+    return written

@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
 from scorecal.functions import scores as S
-from scorecal.operators.ties import By, bin_summaries, equal_mass_bins, join_by, ordered, tie_table, validated
+from scorecal.operators.keep import kept
+from scorecal.operators.ranges import running
+from scorecal.operators.ties import By, join_by, ordered, summaries_of, tie_table, validated, with_ranks
 
 
 def basic_metrics(df: DataFrame, score: str = "score", label: str = "label", by: By = ()) -> DataFrame:
@@ -36,12 +37,32 @@ def uniform_errors(df: DataFrame, score: str = "score", label: str = "label", n_
     return bins.groupBy(*by).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
+def quantiles(df: DataFrame, column: str, at: list[float], by: By = ()) -> DataFrame:
+    """(by, _e): the exact quantiles, between neighbouring ranks in a line; ranks come from counts of equal values.
+
+    Null and NaN take no part.
+    """
+    x = F.col(column).cast("double")
+    sound = df.where(x.isNotNull() & ~F.isnan(x))
+    counts = kept(sound.groupBy(*by, x.alias("x")).agg(F.count("*").alias("n")))
+    ranked = join_by(running(counts, {"hi": F.col("n")}, by).drop("_part"), counts.groupBy(*by).agg((F.sum("n") - 1).alias("_top")), by)
+    place = F.col("_top") * F.col("at")
+    every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("at")) for k, q in enumerate(at)))
+    inside = lambda r: (r >= F.col("hi") - F.col("n")) & (r < F.col("hi"))
+    ends = lambda s: (inside(F.floor(F.col("_top") * s["at"])), inside(F.ceil(F.col("_top") * s["at"])))
+    hits = F.transform(F.filter(every, lambda s: ends(s)[0] | ends(s)[1]), lambda s: F.struct(s["k"].alias("k"), s["at"].alias("at"), ends(s)[0].alias("low"), ends(s)[1].alias("high")))
+    rows = ranked.select(*by, "x", "_top", F.explode(hits).alias("s")).select(*by, "x", "_top", "s.*")
+    each = rows.groupBy(*by, "k").agg(F.max(F.when(F.col("low"), F.col("x"))).alias("a"), F.max(F.when(F.col("high"), F.col("x"))).alias("b"), F.first(place - F.floor(place)).alias("part"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda s: s["v"]).alias("_e"))
+
+
 def _with_edges(df: DataFrame, over: str, n_bins: int, strategy: str, by: By) -> tuple[DataFrame, Column]:
     """df with its segment's edges, and the bin index; quantile edges interpolate linearly."""
     at = [k / n_bins for k in range(n_bins + 1)]
     x = F.col(over).cast("double")
     if strategy == "quantile":
-        span = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, at))).alias("_e"))
+        span = quantiles(df, over, at, by)
     elif strategy == "uniform":
         span = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
         step = (F.col("_hi") - F.col("_lo")) / n_bins
@@ -77,10 +98,10 @@ def _gap_terms(bins: DataFrame) -> DataFrame:
     return bins.withColumn("_gap", gap).withColumn("_share", F.col("n") / F.col("total")).withColumn("_unbiased", F.when(F.col("n") > 1, gap * gap - noise).otherwise(0.0))
 
 
-def equal_mass_errors(df: DataFrame, score: str = "score", label: str = "label", n_bins: int = 15, by: By = (), ties: DataFrame | None = None) -> DataFrame:
+def equal_mass_errors(df: DataFrame, score: str = "score", label: str = "label", n_bins: int = 15, by: By = (), ranked: DataFrame | None = None) -> DataFrame:
     """plugin_l1, plugin_l2, debiased_squared and debiased over equal-mass, tie-safe bins."""
-    t = tie_table(df, score, label, by=by) if ties is None else ties
-    terms = _gap_terms(bin_summaries(equal_mass_bins(t, n_bins, by), by))
+    r = with_ranks(tie_table(df, score, label, by=by), by) if ranked is None else ranked
+    terms = _gap_terms(summaries_of(r, [n_bins], by))
     out = terms.groupBy(*by).agg(
         F.sum(F.col("_share") * F.abs("_gap")).alias("plugin_l1"),
         F.sqrt(F.sum(F.col("_share") * F.col("_gap") * F.col("_gap"))).alias("plugin_l2"),
@@ -89,62 +110,54 @@ def equal_mass_errors(df: DataFrame, score: str = "score", label: str = "label",
     return out.withColumn("debiased", F.sqrt("debiased_squared"))
 
 
-def bin_sensitivity(df: DataFrame, bins: range = range(2, 51), score: str = "score", label: str = "label", by: By = (), ties: DataFrame | None = None) -> DataFrame:
-    """(by, n_bins, plugin, debiased, occupied, monotone) for each number of bins, from one tie table."""
-    t = tie_table(df, score, label, by=by) if ties is None else ties
-    many = t.withColumn("n_bins", F.explode(F.array(*map(F.lit, bins))))
+def bin_sensitivity(df: DataFrame, bins: range = range(2, 51), score: str = "score", label: str = "label", by: By = (), ranked: DataFrame | None = None) -> DataFrame:
+    """(by, n_bins, plugin, debiased, occupied, monotone) for each number of bins, from one table of running sums."""
+    r = with_ranks(tie_table(df, score, label, by=by), by) if ranked is None else ranked
     own = [*by, "n_bins"]
-    found = bin_summaries(equal_mass_bins(many, F.col("n_bins"), own), own)
-    falls = (F.col("acc") < F.lag("acc").over(ordered(own, "bin"))).cast("int")
-    terms = _gap_terms(found.withColumn("_falls", F.coalesce(falls, F.lit(0))))
-    out = terms.groupBy(*own).agg(
+    falls = (F.col("acc") < F.lag("acc").over(ordered(own, "bin"))).cast("int")  # over bins
+    terms = _gap_terms(summaries_of(r, bins, by).withColumn("_falls", F.coalesce(falls, F.lit(0))))
+    return terms.groupBy(*own).agg(
         F.sum(F.col("_share") * F.abs("_gap")).alias("plugin"),
         F.sqrt(F.greatest(F.sum(F.col("_share") * F.col("_unbiased")), F.lit(0.0))).alias("debiased"),
         F.count("*").alias("occupied"),
         (F.max("_falls") == 0).alias("monotone"),
     )
-    return out
 
 
-def sweep_error(df: DataFrame, score: str = "score", label: str = "label", by: By = (), step: int = 64) -> DataFrame:
+def sweep_error(df: DataFrame, score: str = "score", label: str = "label", by: By = (), step: int = 64, ranked: DataFrame | None = None) -> DataFrame:
     """sweep_ece (l1) and sweep_bins: bins grow while their label means keep rising.
 
-    Numbers of bins are tried in blocks of ``step``, all segments at once; the
-    segments that pass a whole block go on to the next.
+    Numbers of bins are tried in blocks of ``step``, all segments at once, on
+    one table of running sums; the segments that pass a whole block go on to
+    the next.
     """
-    t = tie_table(df, score, label, by=by).cache()
-    top = t.groupBy(*by).agg(F.sum("n").alias("_rows"))
-    done, first, live = [], 1, t
-    try:
-        while True:
-            block = bin_sensitivity(df, range(first, first + step), by=by, ties=live)
-            block = join_by(block, top, by).where(F.col("n_bins") <= F.col("_rows")).cache()
-            bad = block.where(~F.col("monotone")).groupBy(*by).agg(F.min("n_bins").alias("_stop"))
-            kept = join_by(block, bad, by, "left").where(F.col("_stop").isNull() | (F.col("n_bins") < F.col("_stop")))
-            done.append(kept.select(*by, "n_bins", F.col("plugin").alias("sweep_ece"), F.col("occupied").alias("sweep_bins")))
-            ended = top.where(F.col("_rows") < first + step).select(*by) if by else None
-            closed = bad.select(*by).union(ended).distinct() if by else None
-            if by:
-                live = join_by(live, closed.withColumn("_closed", F.lit(True)), by, "left").where("_closed is null").drop("_closed")
-                if live.isEmpty():
-                    break
-            elif bad.where("_stop is not null").count() or top.first()["_rows"] < first + step:
-                break
-            first += step
-        every = reduce(DataFrame.unionByName, done)
-        return every.groupBy(*by).agg(F.max_by("sweep_ece", "n_bins").alias("sweep_ece"), F.max_by("sweep_bins", "n_bins").alias("sweep_bins"))
-    finally:
-        t.unpersist()
+    r = with_ranks(tie_table(df, score, label, by=by), by) if ranked is None else ranked
+    top = kept(r.groupBy(*by).agg(F.first("total").alias("_rows")))
+    done, first, live, open_ = [], 1, r, top
+    while True:
+        block = join_by(bin_sensitivity(df, range(first, first + step), by=by, ranked=live), open_, by).where(F.col("n_bins") <= F.col("_rows"))
+        stop = F.min(F.when(~F.col("monotone"), F.col("n_bins")))
+        best = block.groupBy(*by).agg(stop.alias("_stop"), F.first("_rows").alias("_rows"), F.collect_list(F.struct("n_bins", "plugin", "occupied")).alias("_tried"))
+        risen = F.filter("_tried", lambda s: F.col("_stop").isNull() | (s["n_bins"] < F.col("_stop")))
+        best = kept(best.withColumn("_last", F.array_max(risen)))
+        done.append(best.where("_last is not null").select(*by, F.col("_last.n_bins").alias("n_bins"), F.col("_last.plugin").alias("sweep_ece"), F.col("_last.occupied").alias("sweep_bins")))
+        first += step
+        open_ = best.where(F.col("_stop").isNull() & (F.col("_rows") >= first)).select(*by, "_rows")
+        if open_.isEmpty():
+            break
+        live = join_by(r, open_.drop("_rows").withColumn("_open", F.lit(True)), by).drop("_open") if by else r
+    every = reduce(DataFrame.unionByName, done)
+    return every.groupBy(*by).agg(F.max_by("sweep_ece", "n_bins").alias("sweep_ece"), F.max_by("sweep_bins", "n_bins").alias("sweep_bins"))
 
 
 def rank_metrics(df: DataFrame, a: str, b: str, by: By = ()) -> DataFrame:
     """spearman of two columns by average ranks; NaN where one is constant."""
+    cells = kept(df.groupBy(*by, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).agg(F.count("*").alias("_k")))
+
     def ranks(c: str) -> DataFrame:
-        t = df.groupBy(*by, F.col(c).cast("double").alias(c)).agg(F.count("*").alias("_n"))
-        hi = F.sum("_n").over(ordered(by, c).rowsBetween(Window.unboundedPreceding, 0))
-        return t.withColumn(f"_r_{c}", hi - (F.col("_n") - 1) / 2).drop("_n")
+        t = kept(cells.groupBy(*by, c).agg(F.sum("_k").alias("_n")))
+        return running(t, {"_hi": F.col("_n")}, by, c).select(*by, c, (F.col("_hi") - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
 
-    cells = df.groupBy(*by, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).agg(F.count("*").alias("_k"))
     j = join_by(join_by(cells, ranks(a), [*by, a]), ranks(b), [*by, b])
     k, u, v = F.col("_k"), F.col(f"_r_{a}"), F.col(f"_r_{b}")
     sums = j.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(k * u).alias("u"), F.sum(k * v).alias("v"), F.sum(k * u * u).alias("uu"), F.sum(k * v * v).alias("vv"), F.sum(k * u * v).alias("uv"))
@@ -155,9 +168,8 @@ def rank_metrics(df: DataFrame, a: str, b: str, by: By = ()) -> DataFrame:
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: By = ()) -> DataFrame:
     """Chance that a positive outranks a negative, ties counting half; null with one class only."""
-    t = tie_table(df, score, label, by=by).withColumn("neg", F.col("n") - F.col("wy"))
-    before = F.coalesce(F.sum("neg").over(ordered(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = t.withColumn("wins", F.col("wy") * (before + F.col("neg") / 2))
+    t = kept(tie_table(df, score, label, by=by).withColumn("neg", F.col("n") - F.col("wy")))
+    wins = running(t, {"_upto": F.col("neg")}, by).withColumn("wins", F.col("wy") * (F.col("_upto") - F.col("neg") / 2))
     return wins.groupBy(*by).agg(F.try_divide(F.sum("wins"), F.sum("wy") * F.sum("neg")).alias("auc"))
 
 

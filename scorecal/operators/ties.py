@@ -6,25 +6,14 @@ run on it only.  ``by`` columns make every result per segment in one pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-By = Sequence[str]
-
-
-def join_by(left: DataFrame, right: DataFrame, by: By, how: str = "inner") -> DataFrame:
-    """Join on segment columns, whose nulls are equal; without any, every row with every row.
-
-    The segment columns are the left side's.
-    """
-    named = right.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(c for c in right.columns if c not in by))
-    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)) if by else None
-    out = left.join(named, on, how) if by else left.crossJoin(named) if how == "inner" else left.join(named, F.lit(True), how)
-    return out.drop(*(f"_by_{c}" for c in by))
+from scorecal.operators.keep import kept
+from scorecal.operators.ranges import running
+from scorecal.operators.segments import By, join_by, ordered
 
 
 def validated(df: DataFrame, score: str = "score", label: str = "label", allow_nan: bool = False, unit: bool = False) -> DataFrame:
@@ -51,14 +40,6 @@ def tie_table(df: DataFrame, score: str = "score", label: str = "label", weight:
     return out.withColumn("y", F.coalesce(F.try_divide("wy", "w"), F.lit(0.0)))
 
 
-CHUNKS = 256
-
-
-def axis_chunk(x: Column) -> Column:
-    """A step function of the score that rises with it; scores outside [0, 1] share the outer chunks."""
-    return F.greatest(F.lit(0), F.least(F.lit(CHUNKS - 1), F.floor(F.least(F.greatest(x, F.lit(-1.0)), F.lit(2.0)) * CHUNKS))).cast("int")
-
-
 def checked_weights(df: DataFrame, weight: str) -> DataFrame:
     """Fails at run time on a weight that is null, negative or not finite."""
     w = F.col(weight).cast("double")
@@ -66,37 +47,51 @@ def checked_weights(df: DataFrame, weight: str) -> DataFrame:
     return df.withColumn(weight, F.when(bad, F.raise_error(F.lit("weights must be finite and not negative"))).otherwise(w))
 
 
-def ordered(by: By, *order: Column | str):
-    return Window.partitionBy(*by).orderBy(*(order or ("x",)))
+def with_ranks(ties: DataFrame, by: By = ()) -> DataFrame:
+    """A tie table with lo and hi, the counts of rows before and through each score, sx and sy, the sums of scores and labels through it, and total; written once."""
+    ties = kept(ties)
+    sums = {"hi": F.col("n"), "sx": F.col("x") * F.col("n"), "sy": F.col("wy")}
+    rows = running(ties, sums, by).withColumn("lo", F.col("hi") - F.col("n"))
+    return kept(join_by(rows.drop("_part"), ties.groupBy(*by).agg(F.sum("n").alias("total")), by))
 
 
-def with_ranks(ties: DataFrame, by: By = ()) -> DataFrame:
-    """Adds lo and hi, the counts of rows before and through each score, and total."""
-    hi = F.sum("n").over(ordered(by).rowsBetween(Window.unboundedPreceding, 0))
-    return ties.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+def cuts_through(rank: Column, bins: Column) -> Column:
+    """How many of the ideal cuts, at ranks floor(k * total / bins), lie at or below a rank."""
+    b = F.least(bins.cast("long"), F.col("total"))
+    top = (rank + 1) * b - 1
+    return F.least(b - 1, (top - F.pmod(top, F.col("total"))) / F.col("total"))
 
 
 def equal_mass_bins(ties: DataFrame, n_bins: int | Column, by: By = ()) -> DataFrame:
-    """Adds bin: equal-mass bins of rows that never split a tie.
+    """Adds bin, which rises along the scores: a cut that falls inside a tie moves to its end.
 
-    The ideal cuts are at ranks floor(k * total / B); one that falls inside a
-    tie moves to its end.  K(t) counts the cuts at or below rank t, so a bin
-    ends with a score across which K grows.
+    Scores of one bin have as many cuts at or below the rank before them.
     """
-    t = with_ranks(ties, by)
     wanted = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
-    t = t.withColumn("_b", F.least(wanted.cast("long"), F.col("total")))
-    below = lambda r: F.least(F.col("_b") - 1, (((r + 1) * F.col("_b") - 1) - F.pmod((r + 1) * F.col("_b") - 1, F.col("total"))) / F.col("total"))
-    edge = ((below(F.col("hi")) - below(F.col("lo")) > 0) & (F.col("hi") < F.col("total"))).cast("int")
-    before = F.coalesce(F.sum(edge).over(ordered(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.withColumn("bin", before.cast("int")).drop("_b")
+    cut = with_ranks(ties, by).withColumn("_cuts", cuts_through(F.col("lo"), wanted).cast("int"))
+    own = [*by, "_cuts"]
+    numbers = cut.select(*own).distinct().withColumn("bin", F.row_number().over(ordered(by, "_cuts")) - 1)  # over bins
+    return join_by(cut, numbers, own).drop("_cuts")
 
 
 def bin_summaries(binned: DataFrame, by: By = ()) -> DataFrame:
-    """(by, bin, n, conf, acc) of rows in each bin, and total."""
+    """(by, bin, n, conf, acc, total) of rows in each bin."""
     return binned.groupBy(*by, "bin").agg(
         F.sum("n").alias("n"),
         (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("conf"),
         (F.sum("wy") / F.sum("n")).alias("acc"),
         F.first("total").alias("total"),
     )
+
+
+def summaries_of(ranked: DataFrame, bins: Iterable[int], by: By = ()) -> DataFrame:
+    """(by, n_bins, bin, n, conf, acc, total) for each number of bins, from one table of ``with_ranks``.
+
+    Only the scores at which a bin ends are taken, with the sums through them.
+    """
+    ends = lambda b: (cuts_through(F.col("hi"), b) > cuts_through(F.col("lo"), b)) | (F.col("hi") == F.col("total"))
+    edges = ranked.select(*by, "hi", "sx", "sy", "total", F.explode(F.filter(F.array(*map(F.lit, bins)), ends)).alias("n_bins"))
+    along = ordered([*by, "n_bins"], "hi")  # over bins
+    own = lambda c: F.col(c) - F.coalesce(F.lag(c).over(along), F.lit(0))
+    rows = edges.select(*by, "n_bins", (F.row_number().over(along) - 1).alias("bin"), own("hi").alias("n"), own("sx").alias("_x"), own("sy").alias("_y"), "total")
+    return rows.select(*by, "n_bins", "bin", "n", (F.col("_x") / F.col("n")).alias("conf"), (F.col("_y") / F.col("n")).alias("acc"), "total")

@@ -13,7 +13,7 @@ from scorecal.functions import scores as S
 from scorecal.operators import calibrators as C
 from scorecal.operators import corp, diagnostics, metrics, multiclass, resample, selection
 
-from scorecal.operators.ties import equal_mass_bins, tie_table
+from scorecal.operators.ties import bin_summaries, equal_mass_bins, tie_table
 from scorecal.plans import bench_grid, plot_data
 from scorecal.sources.scored import CLASS_PROBS, SCORED_DOCS, SCORED_LINEITEM, class_probabilities, scored_lineitem, synthetic
 from scorecal.streaming.monitor import window_errors, windowed_bins
@@ -145,8 +145,6 @@ TERMS = "sum(n / total * CASE WHEN n > 1 THEN (conf - acc) * (conf - acc) - acc
 
 @query("equal_mass_bins", with_(VIEW, ties_sql(), mass_sql("15")) + f"SELECT l_returnflag, bin::INT AS bin, n::BIGINT AS n, {r6('conf', 'acc')} FROM g")
 def q_bins(spark, sf):
-    from scorecal.operators.ties import bin_summaries
-
     out = bin_summaries(equal_mass_bins(tie_table(scored_lineitem(spark, sf), by=FLAG), 15, FLAG), FLAG)
     return rounded(out.drop("total"), "conf", "acc")
 

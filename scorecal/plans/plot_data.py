@@ -9,7 +9,7 @@ from scorecal.functions import scores as S
 from scorecal.operators.corp import reliability_curve, score_decomposition
 from scorecal.operators.metrics import bin_sensitivity, sweep_error
 from scorecal.operators.resample import resampling_bands
-from scorecal.operators.ties import By
+from scorecal.operators.ties import By, tie_table, with_ranks
 
 
 def reliability_diagram(df: DataFrame, score: str = "score", label: str = "label", bands: str | None = None, **how) -> DataFrame:
@@ -43,5 +43,6 @@ def map_on_grid(model, points: int = 500) -> DataFrame:
 
 
 def ece_bin_sensitivity(df: DataFrame, bins: range = range(2, 51), by: By = ()) -> DataFrame:
-    found, line = bin_sensitivity(df, bins, by=by).select(*by, "n_bins", "plugin", "debiased"), sweep_error(df, by=by)
+    ranked = with_ranks(tie_table(df, by=by), by)
+    found, line = bin_sensitivity(df, bins, by=by, ranked=ranked).select(*by, "n_bins", "plugin", "debiased"), sweep_error(df, by=by, ranked=ranked)
     return found.join(line, list(by)) if by else found.crossJoin(line)
