@@ -38,6 +38,21 @@ class Stretches:
         held = Counter(bisect_right(self.cuts, c) for c in cuts)
         self.weights = [max(1, held[p]) for p in range(len(self.cuts) + 1)]
 
+    @classmethod
+    def of_distinct(cls, values: DataFrame, rows: int = STRETCH, each: int = 64) -> Stretches:
+        """Cuts between distinct values, from those of the smallest hashes: the same however the table is laid out."""
+        (name,) = values.columns
+        own = cls.__new__(cls)
+        parts = min(MOST, values.count() // rows + 1)
+        own.cuts, own.weights = [], [1]
+        if parts > 1:
+            share = min(1.0, parts * each / (rows * (parts - 1)))
+            some = values.where(F.pmod(F.xxhash64(F.col(name)), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+            found = sorted(float(r[0]) for r in some.collect())  # about ``each`` a stretch
+            own.cuts = sorted({found[k * len(found) // parts] for k in range(1, parts)} if found else ())
+            own.weights = [1] * (len(own.cuts) + 1)
+        return own
+
     def __len__(self) -> int:
         return len(self.cuts) + 1
 
