@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scorecal.llm.heap import frugal
 from scorecal.llm.scratch import Scratch
@@ -282,8 +281,9 @@ def substring_dedup(
     Other columns are not read; an empty table gives no rows.
 
     ``gram`` sets the length of an anchor, ``shard_docs`` the documents of a
-    shard, and ``memory`` bounds the windows and the automaton words that a
-    task holds at once; beyond it a task starts another automaton.
+    shard.  ``memory`` bounds the windows that a task holds at once, and shards
+    are as many as it takes for the passages that one asks for to have about
+    half as many words, or those of one document.
     """
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -296,6 +296,7 @@ def substring_dedup(
 
     anchors = first.select("doc", "sha", F.explode("anchors").alias("anchor"))
     met = anchors.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor")
+    met = scratch.save(met, "met")  # a table, so that the join with it can be broadcast or split
     marked = anchors.join(met, "anchor").groupBy("doc", "sha").agg(F.collect_list("anchor").alias("anchors"))
     marked = scratch.save(marked, "marked")
 
@@ -303,15 +304,17 @@ def substring_dedup(
     held = scratch.save(rows.select("doc", "text").join(marked, "doc").mapInArrow(frugal(_right_rows), MARKED), "held")
     windows = held.mapInArrow(frugal(_windows(width, gram, memory)), WINDOWS)
     windows = scratch.save(windows, "windows")
-    start = F.min(F.struct("doc", "sha", "pos")).over(Window.partitionBy("h"))
-    far = windows.where("from_doc is null").select("h", "doc", "sha", "pos", "more").withColumn("s", start).where("s.doc < doc")
+    alone = windows.where("from_doc is null")
+    starts = alone.groupBy("h").agg(F.min(F.struct("doc", "sha", "pos")).alias("s"), F.max("doc").alias("most")).where("s.doc < most").select("h", "s")
+    far = alone.select("h", "doc", "sha", "pos", "more").join(scratch.save(starts, "starts"), "h").where("s.doc < doc")
     far = far.select("doc", "sha", "pos", "more", F.col("s.doc").alias("from_doc"), F.col("s.sha").alias("from_sha"), F.col("s.pos").alias("from_pos"))
     recurring = windows.where("from_doc is not null").select(*far.columns).unionByName(far)
     found = recurring.groupBy("doc", "sha").agg(F.collect_list(F.struct("pos", "more", "from_doc", "from_sha", "from_pos")).alias("found"))
     asked = scratch.save(found.mapInArrow(frugal(_cover(width)), ASKED), "asked")
 
     targets = asked.select("doc", "sha").distinct()
-    shards = F.pmod(F.hash("doc"), F.lit(max(1, -(-targets.count() // shard_docs)))).cast("int")
+    n_shards = max(1, -(-targets.count() // shard_docs), -(-2 * width * asked.count() // memory))
+    shards = F.pmod(F.hash("doc"), F.lit(n_shards)).cast("int")
     orders = asked.select(F.col("from_doc").alias("doc"), F.col("from_sha").alias("sha"), F.col("from_pos").alias("pos"), shards.alias("shard")).distinct()
     # the first document of a common passage is asked by every shard: 64 of them to a row
     orders = orders.groupBy("doc", "sha", F.floor(F.col("shard") / 64).alias("part")).agg(F.collect_list(F.struct("pos", "shard")).alias("asked"))
@@ -323,7 +326,7 @@ def substring_dedup(
     )
     streamed = feed.repartition("shard").sortWithinPartitions("shard", F.col("doc").asc_nulls_first()).mapInArrow(frugal(_stream(width, memory, with_text)), REMOVED)
     removed = scratch.save(streamed.dropDuplicates(["doc", "sha"]), "removed")
-    scratch.drop("marked", "held", "windows", "asked")
+    scratch.drop("met", "marked", "held", "windows", "starts", "asked")
 
     out = every.drop("anchors").join(heads, "sha", "left").join(removed, ["doc", "sha"], "left")
     copy = F.col("head") < F.col("doc")
