@@ -47,16 +47,25 @@ def vector(data: np.ndarray) -> np.ndarray:
 
 
 class Duel:
-    """A linear SVM between two classes, with a probability for the first."""
+    """A linear SVM between two classes, with a probability for the first.
+
+    The probability is fitted to margins of two further machines, each on the
+    half of the rows that the other has learned from.
+    """
 
     def __init__(self, rows: list, first: np.ndarray):
-        half = np.arange(len(rows)) % 5 == 0 if len(rows) >= 20 else np.zeros(len(rows), bool)
         labels = np.where(first, 1.0, -1.0)
-        share = np.array([np.mean(labels == y) for y in labels])
-        train = np.flatnonzero(~half)
-        self.weights = hinge([rows[i] for i in train], labels[train], 1 << BITS, 0.5 / np.maximum(share[train], 1e-9) * 10)
-        check = np.flatnonzero(half) if half.any() else train
-        self.fit = sigmoid_fit(np.array([np.dot(self.weights[rows[i][0]], rows[i][1]) for i in check]), labels[check])
+        cost = np.where(first, 0.5 / max(first.mean(), 1e-9), 0.5 / max((~first).mean(), 1e-9)) * 10
+        learn = lambda at: hinge([rows[i] for i in at], labels[at], 1 << BITS, cost[at])
+        order = np.argsort(~first, kind="stable")
+        half = np.zeros(len(rows), bool)
+        half[order[::2]] = True  # of either class
+        margins = np.zeros(len(rows))
+        for own in (half, ~half):
+            weights = learn(np.flatnonzero(~own))
+            margins[own] = [np.dot(weights[rows[i][0]], rows[i][1]) for i in np.flatnonzero(own)]
+        self.fit = sigmoid_fit(margins, labels)
+        self.weights = learn(np.arange(len(rows)))
 
 
 class Round:
@@ -112,7 +121,7 @@ def fit_languages(docs: DataFrame, learn: Column, per_language: int = 600, max_l
     """Learn from about ``per_language`` texts of each language among the rows where ``learn`` holds.
 
     The sample is the rows whose hash falls under per_language / rows, so its
-    size is bounded whatever the table's, and what reaches the driver is each
+    size is bounded whatever the table's; repeated rows count once, and what reaches the driver is each
     text's hashed counts, of at most 2**15 features.  Of more than
     ``max_languages`` languages the most frequent ones are learned, then the
     first by name, which bounds the model: at most some 1700 duels of 128 KB.
@@ -126,6 +135,7 @@ def fit_languages(docs: DataFrame, learn: Column, per_language: int = 600, max_l
     share = F.create_map(*(F.lit(x) for lang, of in sorted(size.items()) for x in (lang, per_language / of)))
     drawn = usable.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     drawn = drawn.where(F.pmod("key", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    drawn = drawn.dropDuplicates(["key"])  # a repeated row counts once
     rows = sorted(drawn.mapInArrow(frugal(_vectors), "key long, lang string, at binary, value binary").collect(), key=lambda r: r["key"])
     return LanguageModel([(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(float)) for r in rows], [r["lang"] for r in rows])
 
@@ -167,8 +177,10 @@ def identify_languages(docs: DataFrame, learn: Column | None = None, per_languag
     """doc_id, held_out, lang_pred, score for every row; ``learn`` marks the rows to learn from.
 
     By default those are the rows whose crc32(id as text) mod 3 is not 1; the
-    others are held out.  A null id is not held out.  An empty table gives an
-    empty result.
+    others are held out.  A null id is not held out.  Texts of any length count
+    whole.  Repeated rows get the same answer each and are learned once; of
+    tied votes the language that is first by name wins.  Other columns are not
+    read; an empty table gives an empty result.
     """
     held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
     model = fit_languages(docs, ~held_out if learn is None else learn, per_language, max_languages, lang_col, text_col, id_col)

@@ -55,16 +55,20 @@ class Constant:
 class QualityModel:
     """weights already hold the ratios; margin = sum of weights over indicators / norm of the scaled indicators."""
 
-    def __init__(self, rows: list[np.ndarray], positive: np.ndarray, cost: float = 5.0):
-        check = np.arange(len(rows)) % 5 == 0 if len(rows) >= 20 else np.zeros(len(rows), bool)
-        train = np.flatnonzero(~check)
-        self.ratio = log_count_ratios([rows[i] for i in train], positive[train])
-        scaled = [(rows[i], self._scaled(rows[i])) for i in train]
+    def __init__(self, rows: list[np.ndarray], positive: np.ndarray, cost: float = 5.0, fit: bool = True):
         labels = np.where(positive, 1.0, -1.0)
-        share = np.where(positive[train], positive[train].mean(), 1 - positive[train].mean())
-        self.weights = hinge(scaled, labels[train], SIZE + 1, cost * 0.5 / np.maximum(share, 1e-9))
-        of = np.flatnonzero(check) if check.any() else train
-        self.fit = sigmoid_fit(np.array([self.margin(rows[i]) for i in of]), labels[of])
+        self.ratio = log_count_ratios(rows, positive)
+        share = np.where(positive, positive.mean(), 1 - positive.mean())
+        self.weights = hinge([(x, self._scaled(x)) for x in rows], labels, SIZE + 1, cost * 0.5 / np.maximum(share, 1e-9))
+        if fit:  # to margins of two further models, each on the half of the rows that the other has learned from
+            order = np.argsort(~positive, kind="stable")
+            half = np.zeros(len(rows), bool)
+            half[order[::2]] = True  # of either class
+            margins = np.zeros(len(rows))
+            for own in (half, ~half):
+                other = QualityModel([rows[i] for i in np.flatnonzero(~own)], positive[~own], cost, fit=False)
+                margins[own] = [other.margin(rows[i]) for i in np.flatnonzero(own)]
+            self.fit = sigmoid_fit(margins, labels)
 
     def _scaled(self, at: np.ndarray) -> np.ndarray:
         x = self.ratio[at]
@@ -92,7 +96,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: in
     ``learn`` is an expression of the column ``id``.  The bounded sample is
     the rows whose hash falls under per_class / rows; its ids, of which there
     are about 2 * per_class whatever the tables' sizes, are broadcast.  An id
-    with several labels counts by the least.  Without texts of both classes the
+    with several labels counts by the least, one with several texts by one of them.  Without texts of both classes the
     score is a constant, the smoothed share of label 1 among those drawn.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
@@ -100,6 +104,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, per_class: in
     size = known.groupBy("label").agg(F.count("*").alias("of"))
     drawn = known.join(F.broadcast(size), "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(1_000_003.0) * per_class / F.col("of"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select("id", "label")), "id")
+    # an id counts once, by the text of its smallest hash
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("key"), "label", "text").mapInArrow(frugal(_features), "key long, label int, at binary").collect()
     rows.sort(key=lambda r: r["key"])
     positive = np.array([r["label"] == 1 for r in rows], bool)

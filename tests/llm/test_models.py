@@ -1,9 +1,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from scorecal.llm import features, langid
+from scorecal.llm import features, langid, quality_model
 from scorecal.llm.queries import op5_language_id, op9_quality_classifier
 from scorecal.llm.quality_model import score_quality
 
@@ -106,3 +107,33 @@ def test_counts_over_blocks_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(features, "BLOCK", 64)
     assert (features.counts(data, (1, 2, 3), 12) == want).all()
     assert want.sum() == 1000 + 999 + 998
+
+
+def test_repeated_rows_are_drawn_once(spark):
+    """An id or row that is repeated 10^5 times must not fill the driver."""
+    base = spark.createDataFrame([(i, ("der Hund und die Katze " if i % 2 else "the dog and the cat ") * (i % 7 + 1), "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    many = base.unionByName(base.where("doc_id = 1").crossJoin(spark.range(100_000).select()))
+    labels = base.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    drawn = {}
+
+    def seen(rows, names, _held=langid.LanguageModel):
+        drawn["lang"] = len(rows)
+        return _held(rows, names)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "LanguageModel", seen)
+        patch.setattr(quality_model, "QualityModel", lambda rows, positive: drawn.update(quality=len(rows)) or quality_model.Constant(1, 2))
+        langid.fit_languages(many, F.lit(True), per_language=1_000_000)
+        quality_model.fit_quality(many, labels, F.lit(True), per_class=1_000_000)
+    assert drawn == {"lang": 60, "quality": 60}
+
+
+def test_ratios_are_those_of_plain_counts():
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(50) < 0.2) for _ in range(30)]
+    positive = rng.random(30) < 0.5
+    got = quality_model.log_count_ratios(rows, positive)
+    for f in range(50):
+        p = 1 + sum(f in set(r.tolist()) for r, y in zip(rows, positive, strict=True) if y)
+        q = 1 + sum(f in set(r.tolist()) for r, y in zip(rows, positive, strict=True) if not y)
+        assert got[f] == pytest.approx(np.log((p / (positive.sum() + 2)) / (q / ((~positive).sum() + 2))))
