@@ -7,7 +7,7 @@ as they are; ``digits`` rounds them first, only where it is given.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 from statistics import NormalDist
 
@@ -76,11 +76,22 @@ class Calibrator:
             if not self.weighted:
                 raise ValueError(f"{type(self).__name__} takes no weights")
             df = checked_weights(df, weight)
-        model = self.fit_ties(tie_table(df, score, label, weight, by, self.digits), by)
+        settings = self.chosen(df, score, label, weight, by) if self.automatic() else None
+        ties = kept(tie_table(df, score, label, weight, by, self.digits))
+        model = self.fit_ties(ties if settings is None else join_by(ties, settings, by), by)
         model.knots = kept(model.knots)
         return model
 
+    def automatic(self) -> bool:
+        """Whether settings are left to cross-validation."""
+        return False
+
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+        """(by, ...): the settings of each segment, by cross-validation on its rows."""
+        raise NotImplementedError
+
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
+        """The map of a tie table, which has the columns of ``chosen`` where settings were left to choose."""
         raise NotImplementedError
 
     def fit_transform(self, df: DataFrame, score: str = "score", label: str = "label", output: str = "calibrated", **more) -> DataFrame:
@@ -131,34 +142,53 @@ class RelaxedIsotonic(Calibrator):
     scoring: str = "log_loss"
     seed: int = 0
 
-    def resolve(self, ties: DataFrame) -> tuple[float, float]:
-        epsilon, slope = self.epsilon, self.min_slope
-        if epsilon == "auto" and slope != "auto" and slope > 0:
-            epsilon = 0.0
-        if epsilon == "auto":
-            from scorecal.operators.selection import select_setting
-
-            epsilon = select_setting(ties, lambda e: replace(self, epsilon=e, min_slope=0.0), EPSILON_GRID, self.cv, self.scoring)
-        if slope == "auto":
-            slope = 0.01 / max(1, ties.count()) if self.epsilon == "auto" and epsilon == 0 else 0.0
-        if min(epsilon, slope) < 0 or (epsilon > 0 and slope > 0):
-            raise ValueError("epsilon and min_slope must not be negative, nor both positive")
-        return float(epsilon), float(slope)
+    def automatic(self) -> bool:
+        return self.epsilon == "auto" and not (self.min_slope != "auto" and self.min_slope > 0)
+
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+        from scorecal.operators.selection import select_by_cv
+
+        clip = self.clip_output
+
+        def fitted(x, y, w, n, epsilon):
+            z = kernels.bounded_steps(y, w, np.full(len(x) - 1, -epsilon))
+            z = np.clip(z, 0, 1) if clip else z
+            return lambda at: np.interp(at, x, z)
+
+        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed)
+        return found.select(*by, F.element_at(F.array(*map(F.lit, EPSILON_GRID)), F.col("setting") + 1).alias("epsilon"))
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
-        epsilon, slope = self.resolve(ties)
-        fit = bounded_fit(ties, slope - epsilon, by)
+        epsilon = F.col("epsilon") if "epsilon" in ties.columns else F.lit(0.0 if self.epsilon == "auto" else float(self.epsilon))
+        slope = 0.0 if self.min_slope == "auto" else float(self.min_slope)
+        fixed = 0.0 if self.epsilon == "auto" else float(self.epsilon)
+        if min(fixed, slope) < 0 or (fixed > 0 and slope > 0):
+            raise ValueError("epsilon and min_slope must not be negative, nor both positive")
+        least = F.lit(slope)
+        if self.min_slope == "auto" and self.epsilon == "auto":
+            ties = join_by(ties, ties.groupBy(*by).agg(F.count("*").alias("_m")), by)
+            least = F.when(epsilon == 0, F.lit(0.01) / F.col("_m")).otherwise(0.0)
+        ties = kept(ties.withColumn("_least", least - epsilon))
+        fit = bounded_fit(ties, "_least", by)
         knots = fit.select(*by, "x", _clip(F.col("z"), self.clip_output).alias("y"))
-        return Model(knots, by, params={"epsilon": epsilon, "min_slope": slope})
+        return Model(knots, by, params=_settings(ties, by, "epsilon") or {"epsilon": fixed, "min_slope": slope})
+
 
+def _settings(ties: DataFrame, by: By, *names: str) -> dict:
+    """The chosen settings: values without segments, a table (by, ...) with them."""
+    if not set(names) <= set(ties.columns):
+        return {}
+    found = ties.groupBy(*by).agg(*(F.first(n).alias(n) for n in names))
+    return {"chosen": found} if by else found.first().asDict()
 
-def _grouped(ties: DataFrame, by: By, kernel) -> DataFrame:
-    """Knots of a kernel(x, y, w, n) -> (x, y) run on each segment's tie table."""
+
+def _grouped(ties: DataFrame, by: By, kernel, *settings: str) -> DataFrame:
+    """Knots of a kernel(x, y, w, n, *settings) -> (x, y) run on each segment's tie table."""
     keys = list(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
-        x, y = kernel(*(pdf[c].to_numpy() for c in ("x", "y", "w", "n")))
+        x, y = kernel(*(pdf[c].to_numpy() for c in ("x", "y", "w", "n")), *(pdf[c].iloc[0] for c in settings if c in pdf))
         out = pd.DataFrame({"x": x, "y": y})
         for c in reversed(keys):
             out.insert(0, c, pdf[c].iloc[0])
@@ -182,17 +212,29 @@ class NearlyIsotonic(Calibrator):
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.method not in ("path", "cvx"):  # both have the same optimum
             raise ValueError("method must be path or cvx")
-        lam, clip = self.lam, self.clip_output
-        if lam == "auto":
-            from scorecal.operators.selection import select_setting
-
-            lam = select_setting(ties, lambda v: replace(self, lam=v), LAM_GRID, self.cv, self.scoring)
+        fixed, clip = self.lam, self.clip_output
 
-        def kernel(x, y, w, n):
+        def kernel(x, y, w, n, lam=fixed):
             z = kernels.nearly_isotonic(y, w, lam)
             return x, np.clip(z, 0, 1) if clip else z
 
-        return Model(_grouped(ties, by, kernel), by, params={"lam": lam})
+        return Model(_grouped(ties, by, kernel, "lam"), by, params=_settings(ties, by, "lam") or {"lam": fixed})
+
+    def automatic(self) -> bool:
+        return self.lam == "auto"
+
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+        from scorecal.operators.selection import select_by_cv
+
+        clip = self.clip_output
+
+        def fitted(x, y, w, n, lam):
+            z = kernels.nearly_isotonic(y, w, lam)
+            z = np.clip(z, 0, 1) if clip else z
+            return lambda at: np.interp(at, x, z)
+
+        found = select_by_cv(df, fitted, LAM_GRID, score, label, weight, by, self.cv, self.scoring)
+        return found.select(*by, F.element_at(F.array(*map(F.lit, LAM_GRID)), F.col("setting") + 1).alias("lam"))
 
 
 @dataclass(kw_only=True)
@@ -212,26 +254,45 @@ class MonotoneSpline(Calibrator):
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.link not in ("logit", "identity"):
             raise ValueError("link must be logit or identity")
-        own = self
-        if "auto" in (self.alpha, self.n_knots):
-            from scorecal.operators.selection import select_setting
+        fixed = (self.n_knots, self.alpha)
+        degree, kind, link, clip, points = self.degree, self.knots, self.link, self.clip_output, self.points
 
-            counts = [5, 10, 20] if self.n_knots == "auto" else [self.n_knots]
-            alphas = ALPHA_GRID if self.alpha == "auto" else [self.alpha]
-            grid = [(k, a) for k in counts for a in alphas]
-            best = select_setting(ties, lambda s: replace(self, n_knots=s[0], alpha=s[1]), grid, self.cv, self.scoring)
-            own = replace(self, n_knots=best[0], alpha=best[1])
-        n_knots, degree, kind, alpha, link, clip, points = own.n_knots, own.degree, own.knots, own.alpha, own.link, own.clip_output, own.points
-
-        def kernel(x, y, w, n):
-            at = kernels.knots_for(x, n, n_knots, kind)
-            beta = kernels.fit_spline(kernels.spline_design(x, at, degree), y, w, alpha, link)
+        def kernel(x, y, w, n, n_knots=fixed[0], alpha=fixed[1]):
+            at, predict = _spline(x, y, w, n, int(n_knots), float(alpha), degree, kind, link, clip)
             grid = np.unique(np.concatenate([np.linspace(at[0], at[-1], points), at, x[:: max(1, len(x) // points)]]))
-            z = kernels.predict_spline(beta, kernels.spline_design(grid, at, degree), link)
-            z = np.maximum.accumulate(z)
-            return grid, np.clip(z, 0, 1) if clip else z
+            return grid, np.maximum.accumulate(predict(grid))
+
+        return Model(_grouped(ties, by, kernel, "n_knots", "alpha"), by, params=_settings(ties, by, "n_knots", "alpha") or {"n_knots": fixed[0], "alpha": fixed[1]})
+
+    def automatic(self) -> bool:
+        return "auto" in (self.alpha, self.n_knots)
+
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+        from scorecal.operators.selection import select_by_cv
+
+        counts = [5, 10, 20] if self.n_knots == "auto" else [self.n_knots]
+        alphas = ALPHA_GRID if self.alpha == "auto" else [self.alpha]
+        grid = [(k, float(a)) for k in counts for a in alphas]
+        degree, kind, link, clip = self.degree, self.knots, self.link, self.clip_output
+
+        def fitted(x, y, w, n, setting):
+            return _spline(x, y, w, n, *setting, degree, kind, link, clip)[1]
+
+        found = select_by_cv(df, fitted, grid, score, label, weight, by, self.cv, self.scoring)
+        each = F.element_at(F.array(*(F.struct(F.lit(k).alias("n_knots"), F.lit(a).alias("alpha")) for k, a in grid)), F.col("setting") + 1)
+        return found.select(*by, each["n_knots"].alias("n_knots"), each["alpha"].alias("alpha"))
+
+
+def _spline(x, y, w, n, n_knots: int, alpha: float, degree: int, kind: str, link: str, clip: bool):
+    """The knots of a fitted spline, and its function."""
+    at = kernels.knots_for(x, n, n_knots, kind)
+    beta = kernels.fit_spline(kernels.spline_design(x, at, degree), y, w, alpha, link)
+
+    def predict(scores: np.ndarray) -> np.ndarray:
+        z = kernels.predict_spline(beta, kernels.spline_design(scores, at, degree), link)
+        return np.clip(z, 0, 1) if clip else z
 
-        return Model(_grouped(ties, by, kernel), by, params={"n_knots": n_knots, "alpha": alpha})
+    return at, predict
 
 
 @dataclass(kw_only=True)

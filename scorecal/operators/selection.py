@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecal.functions import scores as S
-from scorecal.operators.ties import By, tie_table
+from scorecal.operators.keep import kept
+from scorecal.operators.ranges import Stretches, running
+from scorecal.operators.ties import By, join_by, tie_table, validated
 
 SCORINGS = {"log_loss": "log", "brier": "brier"}
 
@@ -25,6 +29,114 @@ def with_folds(df: DataFrame, key: Sequence[str], folds: int = 5, seed: int = 0,
     return df.withColumn(name, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds)).cast("int"))
 
 
+def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", folds: int = 5, seed: int = 0, name: str = "fold", by: By = ()) -> DataFrame:
+    """Folds whose rows of each 0/1 label differ by one at most, per segment.
+
+    Rows are ranked within segment and label by a hash of the key, in stretches
+    of the hash, and dealt in turn.  A segment has as many folds as its rarer
+    label has rows, if those are fewer, and two at least; other labels than
+    0 and 1 are one class.
+    """
+    if folds < 2:
+        raise ValueError("folds must be 2 or more")
+    hashed = kept(df.withColumn("_hash", F.xxhash64(*key, F.lit(seed))).withColumn("_y", F.col(label).cast("double")))
+    sound = F.col("_y").isin(0.0, 1.0)
+    counts = hashed.groupBy(*by).agg(F.min(F.coalesce(sound, F.lit(False))).alias("_binary"), F.count_if("_y = 0").alias("_no"), F.count_if("_y = 1").alias("_yes"), F.count("*").alias("_all"))
+    rarer = F.when(~F.col("_binary"), F.col("_all")).when(F.least("_no", "_yes") > 0, F.least("_no", "_yes")).otherwise(F.greatest("_no", "_yes"))
+    counts = counts.select(*by, "_binary", F.greatest(F.lit(2), F.least(F.lit(folds), rarer, F.col("_all"))).alias("_folds"))
+    rows = join_by(hashed, counts, by).withColumn("_class", F.when(F.col("_binary"), F.col("_y")).otherwise(0.0))
+    ranked = running(rows, {"_rank": F.lit(1)}, [*by, "_class"], ["_hash", *key], Stretches(hashed.select("_hash")))
+    fold = F.pmod(F.col("_rank") - 1 + F.when(F.col("_class") == 1, F.floor(F.col("_folds") / 2)).otherwise(0), F.col("_folds"))
+    return ranked.withColumn(name, fold.cast("int")).select(*df.columns, name)
+
+
+def _thinned(cells: DataFrame, by: By, most: int, seed: int) -> DataFrame:
+    """Cells with n drawn binomially so that a segment keeps about ``most`` rows; segments of fewer are whole."""
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("_all"))
+    rows = join_by(cells, cells.groupBy(*by).agg(F.sum("n").alias("_all")), by).withColumn("_share", share).withColumn("_seed", F.xxhash64("x", "y", "w", F.lit(seed)))
+
+    @F.pandas_udf("long")
+    def drawn(n: pd.Series, share: pd.Series, seed: pd.Series) -> pd.Series:
+        """From a hash of the cell, so that the draw does not depend on the table's layout."""
+        out = n.to_numpy().copy()
+        one = seed.to_numpy().view(np.uint64).astype(float) / 2.0**64 < share.to_numpy()
+        part = share.to_numpy() < 1
+        out[part & (out == 1)] = one[part & (out == 1)]
+        for i in np.flatnonzero(part & (n.to_numpy() > 1)):
+            out[i] = np.random.Generator(np.random.PCG64(int(seed.iloc[i]) % 2**63)).binomial(int(n.iloc[i]), float(share.iloc[i]))
+        return pd.Series(out)
+
+    return rows.withColumn("n", drawn("n", "_share", "_seed")).where("n > 0").select(*cells.columns)
+
+
+def dealt_folds(y: np.ndarray, folds: int, seed: int) -> np.ndarray:
+    """Stratified folds of the rows of one segment's sample, in its order."""
+    binary = bool(np.isin(y, (0.0, 1.0)).all())
+    counts = np.bincount(y.astype(int)) if binary else np.array([len(y)])
+    k = int(max(2, min(folds, counts[counts > 0].min(), len(y))))
+    rng, out = np.random.Generator(np.random.PCG64(seed)), np.empty(len(y), int)
+    for c, label in enumerate((0.0, 1.0) if binary else (None,)):
+        at = np.flatnonzero(y == label) if binary else np.arange(len(y))
+        out[rng.permutation(at)] = (np.arange(len(at)) + c * (k // 2)) % k
+    return out
+
+
+def held_out_losses(rows: pd.DataFrame, fitted: Callable, settings: Sequence, folds: int, scoring: str, seed: int) -> list[float]:
+    """The mean held-out score of each setting on one segment's rows (x, y, w)."""
+    rows = rows.sort_values(["x", "y", "w"])
+    x, y, w = (rows[c].to_numpy(float) for c in ("x", "y", "w"))
+    fold = dealt_folds(y, folds, seed)
+    out = []
+    for setting in settings:
+        total = weight = 0.0
+        for k in np.unique(fold):
+            train, held = fold != k, fold == k
+            at, which = np.unique(x[train], return_inverse=True)
+            tw, twy, n = (np.bincount(which, v) for v in (w[train], w[train] * y[train], np.ones(train.sum())))
+            try:
+                p = fitted(at, np.divide(twy, tw, out=np.zeros(len(at)), where=tw > 0), tw, n, setting)(x[held])
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+                total = float("nan")
+                break
+            q = np.clip(p, S.EPS, 1 - S.EPS)
+            loss = -(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q)) if scoring == "log_loss" else (y[held] - p) ** 2
+            total, weight = total + float(np.dot(w[held], loss)), weight + float(w[held].sum())
+        out.append(total / weight if weight > 0 else float("nan"))
+    return out
+
+
+def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str = "score", label: str = "label", weight: str | None = None, by: By = (), folds: int = 5, scoring: str = "log_loss", max_rows: int = 20_000, seed: int = 0) -> DataFrame:
+    """(by, setting): for each segment the place of the first best of ``settings`` by its held-out score.
+
+    ``fitted(x, y, w, n, setting)`` fits a tie table and returns a function of
+    scores.  As selection only has to rank settings, a segment takes part with
+    about ``max_rows`` rows, drawn by hash; folds are of rows, stratified, and
+    fits see the weights of their rows.  Each setting of each segment is a task.
+    """
+    if scoring not in SCORINGS:
+        raise ValueError(f"scoring must be one of {sorted(SCORINGS)}")
+    if not settings:
+        raise ValueError("the grid is empty")
+    keys = list(by)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = validated(df, score, label).select(*by, F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
+    cells = kept(rows.groupBy(*by, "x", "y", "w").agg(F.count("*").alias("n")))
+    sample = kept(_thinned(cells, by, max_rows, seed)).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["setting"].iloc[0])
+        whole = pdf.loc[pdf.index.repeat(pdf["n"].astype(int)), ["x", "y", "w"]]
+        (loss,) = held_out_losses(whole, fitted, [settings[i]], folds, scoring, seed)
+        return pdf[keys].iloc[:1].assign(setting=i, loss=loss)
+
+    types = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    every = sample.groupBy(*keys, "setting").applyInPandas(scored, types + "setting int, loss double").where("loss is not null and not isnan(loss)")
+    found = kept(every.groupBy(*by).agg(F.min_by("setting", F.struct("loss", "setting")).alias("setting")))
+    if found.where("setting is null").count() or found.isEmpty():
+        raise ValueError("no setting could be scored")
+    return found
+
+
 def _tie_folds(ties: DataFrame, folds: int) -> DataFrame:
     """A tie table dealt into folds: the labels' weights of each score go round by thinning.
 
@@ -75,10 +187,22 @@ def select_setting(ties: DataFrame, make: Callable, grid: Sequence, folds: int =
     return grid[found["i"]]
 
 
-def cross_val_calibrate(df: DataFrame, calibrator, key: Sequence[str], score: str = "score", label: str = "label", folds: int = 5, seed: int = 0, output: str = "calibrated", by: By = ()) -> DataFrame:
-    """df with each row's output of the map fitted on the other folds."""
-    dealt = with_folds(df, key, folds, seed, "_fold")
-    ties = tie_table(dealt, score, label, by=[*by, "_fold"], digits=calibrator.digits)
+def cross_val_calibrate(df: DataFrame, calibrator, key: Sequence[str], score: str = "score", label: str = "label", folds: int = 5, seed: int = 0, output: str = "calibrated", by: By = (), stratified: bool = False) -> DataFrame:
+    """df with each row's output of the map fitted on the other folds.
+
+    Folds come from a hash of the key, without moving a row, or are
+    ``stratified`` exactly.  Settings that are ``auto`` are chosen anew on each
+    fold's training rows.
+    """
+    dealt = kept(stratified_folds(df, key, label, folds, seed, "_fold", by)) if stratified else with_folds(df, key, folds, seed, "_fold")
+    own = [*by, "_fold"]
+    if calibrator.automatic():
+        train = dealt.withColumn("_to", F.explode(F.array(*map(F.lit, range(folds))))).where("_fold <> _to").drop("_fold").withColumnRenamed("_to", "_fold")
+        held = join_by(train, dealt.select(*own).distinct().withColumn("_held", F.lit(True)), own).drop("_held")
+        return calibrator.fit(held, score, label, by=own).transform(dealt, score, output).drop("_fold")
+    ties = tie_table(dealt, score, label, by=own, digits=calibrator.digits)
     others = ties.withColumn("_to", F.explode(F.array(*map(F.lit, range(folds))))).where("_fold <> _to")
     train = others.groupBy(*by, F.col("_to").alias("_fold"), "x").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("wy").alias("wy")).withColumn("y", F.coalesce(F.try_divide("wy", "w"), F.lit(0.0)))
-    return calibrator.fit_ties(train, [*by, "_fold"]).transform(dealt, score, output).drop("_fold")
+    model = calibrator.fit_ties(train, own)
+    model.knots = kept(model.knots)
+    return model.transform(dealt, score, output).drop("_fold")

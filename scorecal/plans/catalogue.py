@@ -1,11 +1,14 @@
 """Registered calibration queries and the SQL that checks them.
 
-Oracles use another formulation where there is one: isotonic fits by the
-max-min formula over all intervals of the tie table, bins by literal edges.
+Queries run on scores of nine decimals, which keep all prices of the table
+apart.  Oracles use another formulation where there is one: isotonic fits by
+the convex hull of the cumulative sum diagram, bins by literal edges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +18,15 @@ from scorecal.operators import corp, diagnostics, metrics, multiclass, resample,
 
 from scorecal.operators.ties import bin_summaries, equal_mass_bins, tie_table
 from scorecal.plans import bench_grid, plot_data
-from scorecal.sources.scored import CLASS_PROBS, SCORED_DOCS, SCORED_LINEITEM, class_probabilities, scored_lineitem, synthetic
+from scorecal.sources.scored import CLASS_PROBS, DESIGNS, SCORED_DOCS, SCORED_LINEITEM, UNIFORMS, class_probabilities, lineitem_uniforms, scored_lineitem, synthetic
 from scorecal.streaming.monitor import window_errors, windowed_bins
 
 FLAG = ["l_returnflag"]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# Common SQL: the scored view at two decimals, tie tables, and fits by max-min.
-VIEW = f"v AS ({SCORED_LINEITEM.format(dp=2)})"
+# Common SQL: the scored view, tie tables, and fits by convex hulls.
+VIEW = f"v AS ({SCORED_LINEITEM.format(dp=9)})"
 VIEW6 = f"v AS ({SCORED_LINEITEM.format(dp=6)})"
 
 
@@ -32,17 +35,17 @@ def ties_sql(by: str = "l_returnflag", view: str = "v", w: str = "1.0") -> str:
 
 
 def fit_sql(by: str = "l_returnflag", y: str = "y", ties: str = "t", out: str = "f") -> str:
-    """Weighted isotonic fit z by max over starts of min over ends of interval means."""
+    """Weighted isotonic fit z: means between the points of the lower convex hull of (weight, weighted y), found by dropping points above their neighbours' line until none is."""
+    o = f"OVER (PARTITION BY {by} ORDER BY i)"
     return f"""{out}_r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY x) AS i FROM {ties}),
-{out}_c AS (SELECT *, sum(w) OVER (PARTITION BY {by} ORDER BY i) AS cw, sum(w * {y}) OVER (PARTITION BY {by} ORDER BY i) AS cy FROM {out}_r),
-{out}_m AS (SELECT a.{by}, a.i AS i0, b.i AS i1, (b.cy - a.cy + a.w * a.{y}) / (b.cw - a.cw + a.w) AS m FROM {out}_c a JOIN {out}_c b ON a.{by} = b.{by} AND a.i <= b.i),
-{out}_s AS (SELECT {by}, i0, i1, min(m) OVER (PARTITION BY {by}, i0 ORDER BY i1 DESC) AS low FROM {out}_m),
-{out}_z AS (SELECT {by}, i1 AS i, max(low) AS z FROM {out}_s GROUP BY {by}, i1),
-{out} AS (SELECT r.*, z FROM {out}_r r JOIN {out}_z USING ({by}, i))"""
+{out}_h AS (SELECT {by}, 0::BIGINT AS i, 0.0::DOUBLE AS cw, 0.0::DOUBLE AS cy, 0 AS round FROM {out}_r GROUP BY {by} UNION ALL SELECT {by}, i, sum(w) {o}, sum(w * {y}) {o}, 0 FROM {out}_r
+  UNION ALL SELECT {by}, i, cw, cy, round + 1 FROM (SELECT *, bool_or(above) OVER () AS more FROM (SELECT *, coalesce((cy - lag(cy) {o}) / (cw - lag(cw) {o}) >= (lead(cy) {o} - cy) / (lead(cw) {o} - cw), false) AS above FROM {out}_h)) WHERE more AND NOT above),
+{out}_s AS (SELECT {by}, lag(i) {o} AS i0, i AS i1 FROM {out}_h WHERE round = (SELECT max(round) FROM {out}_h)),
+{out} AS (SELECT r.*, sum(w * {y}) OVER (PARTITION BY r.{by}, i1) / sum(w) OVER (PARTITION BY r.{by}, i1) AS z FROM {out}_r r JOIN {out}_s s ON r.{by} = s.{by} AND r.i > s.i0 AND r.i <= s.i1)"""
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
 def query(name: str, oracle: str | None = None):
@@ -238,7 +241,7 @@ def q_diversity(spark, sf):
 TIED = "x AS (SELECT l_returnflag, score AS o, round(score, 1) AS c, count(*) AS k FROM v GROUP BY ALL), p AS (SELECT l_returnflag, sum(k * (k - 1) / 2) AS kept, sum(k) AS n FROM x GROUP BY l_returnflag), po AS (SELECT l_returnflag, sum(k * (k - 1) / 2) AS t FROM (SELECT l_returnflag, o, sum(k) AS k FROM x GROUP BY ALL) GROUP BY l_returnflag), pc AS (SELECT l_returnflag, sum(k * (k - 1) / 2) AS t FROM (SELECT l_returnflag, c, sum(k) AS k FROM x GROUP BY ALL) GROUP BY l_returnflag)"
 
 
-@query("tie_preservation", with_(VIEW, TIED) + "SELECT l_returnflag, round(greatest(0, least(1, kept / po.t - (pc.t - kept) / (n * (n - 1) / 2))), 6) AS tie_preservation FROM p JOIN po USING (l_returnflag) JOIN pc USING (l_returnflag)")
+@query("tie_preservation", with_(VIEW, TIED) + "SELECT l_returnflag, round(greatest(0, least(1, coalesce(kept / nullif(po.t, 0), 1) - coalesce((pc.t - kept) / nullif(n * (n - 1) / 2, 0), 0))), 6) AS tie_preservation FROM p JOIN po USING (l_returnflag) JOIN pc USING (l_returnflag)")
 def q_ties_kept(spark, sf):
     df = scored_lineitem(spark, sf).withColumn("calibrated", F.round("score", 1))
     return rounded(metrics.tie_preservation(df, "score", "calibrated", FLAG), "tie_preservation")
@@ -290,16 +293,16 @@ LINES = "g AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(x) OVER
 PER_SCORE = "SELECT l_returnflag, x AS score, n, round(calibrated, 9) + 0.0 AS calibrated FROM o"
 
 
-def applied(model: C.Model, df: DataFrame) -> DataFrame:
+def applied(model: C.Model, df: DataFrame, to: int = 9) -> DataFrame:
     """The map's output at each distinct score, of rows sent through transform."""
     out = model.transform(df)
-    return rounded(out.groupBy("l_returnflag", "score").agg(F.count("*").alias("n"), F.first("calibrated").alias("calibrated")), "calibrated", to=9)
+    return rounded(out.groupBy("l_returnflag", "score").agg(F.count("*").alias("n"), F.first("calibrated").alias("calibrated")), "calibrated", to=to)
 
 
-def fitted(make, sf_view: int = 2):
+def fitted(make, to: int = 9):
     def run(spark, sf):
-        df = scored_lineitem(spark, sf, sf_view)
-        return applied(make().fit(df, by=FLAG), df)
+        df = scored_lineitem(spark, sf)
+        return applied(make().fit(df, by=FLAG), df, to)
 
     return run
 
@@ -319,9 +322,10 @@ def bounded_sql(step: str) -> str:
     return shift + ", " + fit_sql(y="ys", ties="tt")
 
 
-BOUNDED = f"SELECT l_returnflag, x AS score, n, {r6('calibrated', to=9)} FROM (SELECT *, least(greatest(z + shift, 0), 1) AS calibrated FROM f)"
-query("relaxed_epsilon", with_(VIEW, ties_sql(), bounded_sql("-0.01")) + BOUNDED)(fitted(lambda: C.RelaxedIsotonic(epsilon=0.01)))
-query("relaxed_min_slope", with_(VIEW, ties_sql(), bounded_sql("0.005")) + BOUNDED)(fitted(lambda: C.RelaxedIsotonic(min_slope=0.005)))
+# Targets less a running sum of bounds are as large as that sum, which leaves fewer digits.
+BOUNDED = f"SELECT l_returnflag, x AS score, n, {r6('calibrated')} FROM (SELECT *, least(greatest(z + shift, 0), 1) AS calibrated FROM f)"
+query("relaxed_epsilon", with_(VIEW, ties_sql(), bounded_sql("-0.01")) + BOUNDED)(fitted(lambda: C.RelaxedIsotonic(epsilon=0.01), 6))
+query("relaxed_min_slope", with_(VIEW, ties_sql(), bounded_sql("0.005")) + BOUNDED)(fitted(lambda: C.RelaxedIsotonic(min_slope=0.005), 6))
 
 CDI = C.DecisionAwareIsotonic(thresholds=(0.3, 0.7), threshold_weights=(1.0, 2.0), window=10, bandwidth=0.1)
 CDI_Z = repr(C.NormalDist().inv_cdf(0.975))
@@ -341,7 +345,7 @@ def q_cdi_bounds(spark, sf):
     return rounded(out.select("l_returnflag", "x", "bound"), "bound")
 
 
-query("cdi_apply", with_(VIEW, ties_sql(), CDI_SQL, bounded_sql("bound").replace("FROM t)", "FROM q4)", 1)) + BOUNDED)(fitted(lambda: CDI))
+query("cdi_apply", with_(VIEW, ties_sql(), CDI_SQL, bounded_sql("bound").replace("FROM t)", "FROM q4)", 1)) + BOUNDED.replace("calibrated, 6", "calibrated, 4"))(fitted(lambda: CDI, 4))
 
 query("nearly_isotonic_apply")(fitted(lambda: C.NearlyIsotonic(lam=5.0)))
 query("spline_apply")(fitted(lambda: C.MonotoneSpline(alpha=0.1)))
@@ -352,14 +356,14 @@ query("smoothed_adaptive_apply")(fitted(lambda: C.SmoothedIsotonic(adaptive=True
 
 @query("spline_auto")
 def q_spline_auto(spark, sf):
-    model = C.MonotoneSpline(n_knots=10, alpha="auto").fit(scored_lineitem(spark, sf))
-    return rounded(model.knots.where(F.col("x").isin(*[k / 20 for k in range(21)])), "y").withColumn("alpha", F.lit(float(model.params["alpha"])))
+    model = C.MonotoneSpline(n_knots=10, alpha="auto").fit(scored_lineitem(spark, sf), weight="weight", by=FLAG)
+    return rounded(plot_data.map_on_grid(model, 21).join(model.params["chosen"], FLAG), "y")
 
 
 @query("relaxed_auto")
 def q_relaxed_auto(spark, sf):
-    model = C.RelaxedIsotonic(epsilon="auto", min_slope="auto").fit(scored_lineitem(spark, sf))
-    return rounded(model.knots, "y")
+    model = C.RelaxedIsotonic(epsilon="auto", min_slope="auto").fit(scored_lineitem(spark, sf), weight="weight", by=FLAG)
+    return rounded(model.knots.join(model.params["chosen"], FLAG), "y")
 
 
 @query("platt")
@@ -459,12 +463,12 @@ def q_report(spark, sf):
 
 @query("bootstrap_ci")
 def q_bootstrap(spark, sf):
-    return rounded(resample.bootstrap_ci(scored_lineitem(spark, sf), ["brier", "debiased_ece", "mcb"], n_resamples=200, digits=2), "estimate", "lower", "upper", "bias")
+    return rounded(resample.bootstrap_ci(scored_lineitem(spark, sf), ["brier", "debiased_ece", "mcb"], n_resamples=200), "estimate", "lower", "upper", "bias")
 
 
 @query("consistency_bands")
 def q_bands(spark, sf):
-    return rounded(resample.resampling_bands(scored_lineitem(spark, sf), n_resamples=200, digits=2), "lower", "upper")
+    return rounded(resample.resampling_bands(scored_lineitem(spark, sf), n_resamples=200), "lower", "upper")
 
 
 CELLS = "c AS (SELECT l_returnflag AS dataset, l_linestatus AS model, (l_orderkey % 10)::INT AS seed, 'raw' AS method, (score - label) * (score - label) AS s FROM v UNION ALL SELECT l_returnflag, l_linestatus, (l_orderkey % 10)::INT, 'truth', (p_true - label) * (p_true - label) FROM v), g AS (SELECT dataset, model, seed, method, avg(s) AS brier FROM c GROUP BY ALL)"
@@ -517,26 +521,34 @@ def q_docs(spark, sf):
 EVENTS = "SELECT ts, least(1.0, value / 100) AS score, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS label FROM events"
 
 
-@query("event_windows", f"WITH v AS ({EVENTS}), b AS (SELECT date_trunc('day', ts) AS w, {UBIN} AS bin, count(*) AS n, sum(score::DECIMAL(18, 9))::DOUBLE AS s, sum(label::DECIMAL(18, 9))::DOUBLE AS l FROM v GROUP BY ALL) SELECT strftime(w, '%Y-%m-%d') AS day, round(sum(abs(s - l)) / sum(n) + 1e-10, 6) AS ece, sum(n)::BIGINT AS n FROM b GROUP BY w")
+# Sums of scores are whole multiples of 1e-4, so millionths are rounded in whole numbers, halves up.
+@query("event_windows", f"WITH v AS ({EVENTS}), b AS (SELECT date_trunc('day', ts) AS w, {UBIN} AS bin, count(*) AS n, sum(score) AS s, sum(label) AS l FROM v GROUP BY ALL), g AS (SELECT w, round(sum(abs(s - l)) * 1e4)::BIGINT AS gap, sum(n)::BIGINT AS n FROM b GROUP BY w) SELECT strftime(w, '%Y-%m-%d') AS day, (200 * gap + n) // (2 * n) AS ece_millionths, n FROM g")
 def q_events(spark, sf):
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
     v = spark.sql(EVENTS).select("ts", F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label"))
-    out = window_errors(windowed_bins(v))
-    # sums of few decimals over counts fall on halves of the last digit; a little more puts both sides above
-    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), (F.col("ece") + 1e-10).alias("ece"), "n"), "ece")
+    gap = F.round(F.col("ece") * F.col("n") * 1e4).cast("long")
+    out = window_errors(windowed_bins(v)).withColumn("gap", gap)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), F.expr("(200 * gap + n) div (2 * n)").alias("ece_millionths"), "n")
 
 
-@query("synthetic_designs")
-def q_synthetic(spark, sf):
-    from functools import reduce
+def _designs_sql() -> str:
+    one = "SELECT '{d}' AS l_returnflag, {s} AS score, CASE WHEN u3 < {p} THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM u"
+    parts = []
+    for d, (mean, deviation, slope, shift) in DESIGNS.items():
+        z = f"(sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) * {deviation} + {mean})"
+        score = f"1 / (1 + exp(-({z} * {slope} + {shift})))"
+        parts.append(one.format(d=d, s=f"round({score}, 2)" if d == "heavy_tie" else score, p=f"1 / (1 + exp(-{z}))"))
+    parts.append(one.format(d="nonmonotone", s="u1", p="least(greatest(u1 + 0.25 * sin(2 * pi() * u1), 0.01), 0.99)"))
+    return " UNION ALL ".join(parts)
+
 
-    names = ["overconfident", "underconfident", "prior_shift", "heavy_tie", "rare_event", "small_n", "nonmonotone"]
-    rows = reduce(DataFrame.unionByName, (synthetic(spark, d, 2000).withColumn("design", F.lit(d)) for d in names))
+@query("synthetic_designs", f"WITH u AS ({UNIFORMS}), v AS ({_designs_sql()}), q AS (SELECT *, least(greatest(score, {EPS}), 1 - {EPS}) AS c FROM v) SELECT l_returnflag AS design, n, {r6(*BASIC)} FROM (SELECT l_returnflag, count(*) AS n, avg(label) AS base_rate, avg(score) AS mean_prediction, avg(score) - avg(label) AS bias, abs(avg(score) - avg(label)) AS mean_calibration_error, avg((score - label) * (score - label)) AS brier, avg(-(label * ln(c) + (1 - label) * ln(1 - c))) AS log_loss FROM q GROUP BY l_returnflag)")
+def q_synthetic(spark, sf):
+    """A draw of every design for each row of lineitem."""
+    rows = reduce(DataFrame.unionByName, (synthetic(spark, d, uniforms=lineitem_uniforms(spark, sf)).withColumn("design", F.lit(d)) for d in [*DESIGNS, "nonmonotone"]))
     return rounded(metrics.basic_metrics(rows, by=["design"]), *BASIC)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brier decomposition by return flag."""
     return q_brier(spark, sf_dir)
-
-

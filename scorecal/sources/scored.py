@@ -21,7 +21,7 @@ from (select *, (l_extendedprice-900.0)/104200.0*0.98+0.01 as p_true,
 """
 
 
-def scored_lineitem(spark: SparkSession, sf_dir: str, dp: int = 2) -> DataFrame:
+def scored_lineitem(spark: SparkSession, sf_dir: str, dp: int = 9) -> DataFrame:
     """Overconfident scores of lineitem rows; few columns reach the scan."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
     return spark.sql(SCORED_LINEITEM.format(dp=dp))
@@ -59,20 +59,33 @@ DESIGNS = {
 }
 
 
-def synthetic(spark: SparkSession, design: str, n: int = 4000, seed: int = 0) -> DataFrame:
-    """(id, score, p_true, label) of a named design, generated in place by seeded expressions."""
-    if design == "small_n":
-        n = min(n, 300)
-    base = spark.range(n)
+#: Three numbers in (0, 1) for each row of lineitem, the same in Spark and in DuckDB.
+UNIFORMS = "SELECT " + ", ".join(f"((l_orderkey * {a} + l_linenumber * {b} + l_partkey * {c}) % 1000003 + 0.5e0) / 1000003.0e0 AS u{i}" for i, (a, b, c) in enumerate([(2654435761, 40503, 97), (1597334677, 50021, 193), (3812015801, 60013, 389)], 1)) + " FROM lineitem"
+
+
+def lineitem_uniforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return spark.sql(UNIFORMS)
+
+
+def synthetic(spark: SparkSession, design: str, n: int = 4000, seed: int = 0, uniforms: DataFrame | None = None) -> DataFrame:
+    """(score, p_true, label) of a named design, a row for each row of ``uniforms`` (u1, u2, u3), or n seeded ones.
+
+    Log-odds are normal by the Box-Muller formula of u1 and u2; labels compare u3.
+    """
+    if uniforms is None:
+        n = min(n, 300) if design == "small_n" else n
+        uniforms = spark.range(n).select("id", *(F.rand(seed + i).alias(f"u{i}") for i in (1, 2, 3)))
+    u1, u2 = F.greatest("u1", F.lit(1e-300)), F.col("u2")
+    pi = 3.141592653589793
     if design == "nonmonotone":
-        s = F.rand(seed)
-        rows = base.withColumn("score", s).withColumn("p_true", F.least(F.greatest(F.col("score") + 0.25 * F.sin(2 * 3.141592653589793 * F.col("score")), F.lit(0.01)), F.lit(0.99)))
+        rows = uniforms.withColumn("score", u1).withColumn("p_true", F.least(F.greatest(u1 + 0.25 * F.sin(2 * pi * u1), F.lit(0.01)), F.lit(0.99)))
     else:
         mean, deviation, slope, shift = DESIGNS[design]
-        rows = base.withColumn("_z", F.randn(seed) * deviation + mean)
+        rows = uniforms.withColumn("_z", F.sqrt(-2 * F.ln(u1)) * F.cos(2 * pi * u2) * deviation + mean)
         score = expit(F.col("_z") * slope + shift)
-        rows = rows.select("id", (F.round(score, 2) if design == "heavy_tie" else score).alias("score"), expit(F.col("_z")).alias("p_true"))
-    return rows.withColumn("label", (F.rand(seed + 1) < F.col("p_true")).cast("double"))
+        rows = rows.withColumn("score", F.round(score, 2) if design == "heavy_tie" else score).withColumn("p_true", expit(F.col("_z"))).drop("_z")
+    return rows.withColumn("label", (F.col("u3") < F.col("p_true")).cast("double")).drop("u1", "u2", "u3")
 
 
 RESULT_KEYS = "dataset string, model string, seed int, method string"
