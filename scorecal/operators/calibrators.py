@@ -114,7 +114,7 @@ class Isotonic(Calibrator):
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.out_of_bounds not in ("clip", "nan", "raise"):
             raise ValueError("out_of_bounds must be clip, nan or raise")
-        knots = step_knots(pav_blocks(ties.where("w > 0"), by, increasing=self.increasing), by)
+        knots = step_knots(pav_blocks(ties, by, increasing=self.increasing, weighty=True), by)
         y = F.col("y")
         y = y if self.y_min is None else F.greatest(y, F.lit(float(self.y_min)))
         y = y if self.y_max is None else F.least(y, F.lit(float(self.y_max)))

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from scorecal.operators.ranges import STRETCH, Stretches
 from scorecal.operators.ties import By, join_by
 
-SENT = 1 << 17  # knots
+SENT = 1 << 20  # knots, of 16 bytes
 
 
 class Bisection:
@@ -55,11 +55,11 @@ def _sent(df: DataFrame, knots: DataFrame, score: str, output: str, by: By, step
     if by:
         maps = knots.select(*by).distinct().collect()
         maps = spark.createDataFrame([(*r, i) for i, r in enumerate(maps)], knots.select(*by, F.lit(0).alias("_map")).schema)
-        sorted_ = join_by(knots, maps, by).select("_map", "x", "y").toPandas().sort_values(["_map", "x"])
+        sorted_ = join_by(knots, maps, by).select("_map", "x", "y").toArrow().to_pandas().sort_values(["_map", "x"])
         starts = np.searchsorted(sorted_["_map"].to_numpy(), np.arange(sorted_["_map"].nunique()))
         rows = join_by(df, F.broadcast(maps), by, "left")  # a row for each map
     else:
-        sorted_, starts, rows = knots.select("x", "y").toPandas().sort_values("x"), np.zeros(1, int), df.withColumn("_map", F.lit(0))
+        sorted_, starts, rows = knots.select("x", "y").toArrow().to_pandas().sort_values("x"), np.zeros(1, int), df.withColumn("_map", F.lit(0))
     known = spark.sparkContext.broadcast(Bisection(sorted_["x"].to_numpy(float), sorted_["y"].to_numpy(float), starts))
 
     @F.pandas_udf("double")

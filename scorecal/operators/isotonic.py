@@ -63,7 +63,7 @@ def _pooled(pdf: pd.DataFrame, edges: np.ndarray, sign: float) -> tuple[dict[str
     return _merged(rows, sign * np.concatenate([kernels.pava(v, w) for v, w in parts]), edges)
 
 
-def _local_blocks(ties: DataFrame, by: By, target: str, sign: float, stretches: Stretches) -> DataFrame:
+def _local_blocks(ties: DataFrame, by: By, target: str, sign: float, stretches: Stretches, weighty: bool) -> DataFrame:
     """Blocks of each stretch, or of parts of it, with _part."""
     keys = [*by, "_part"]
 
@@ -79,7 +79,7 @@ def _local_blocks(ties: DataFrame, by: By, target: str, sign: float, stretches:
 
     x, w, v = F.col("x"), F.col("w"), F.col(target)
     wy = F.col("wy") if "wy" in ties.columns else w * v
-    rows = stretches.of(ties, "x").select(*keys, x.alias("x_lo"), x.alias("x_hi"), v.alias("value"), F.col("n").cast("long").alias("n"), "w", wy.alias("wy"), (w * v).alias("_wv"), (x * w).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
+    rows = stretches.of(ties.where("w > 0") if weighty else ties, "x").select(*keys, x.alias("x_lo"), x.alias("x_hi"), v.alias("value"), F.col("n").cast("long").alias("n"), "w", wy.alias("wy"), (w * v).alias("_wv"), (x * w).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
     return rows.repartition(*keys).sortWithinPartitions(*keys, "x_lo").mapInPandas(run, _typed(ties, by) + f"_part int, {LOCAL}")
 
 
@@ -153,17 +153,17 @@ def _by_hull(local: DataFrame, by: By, sign: float, stretches: Stretches, evenly
     return join_by(blocks, blocks.groupBy(*by).agg(F.max("block").alias("last")), by)
 
 
-def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True, meet: int = MEET, stretches: Stretches | None = None, evenly: int = EVENLY) -> DataFrame:
+def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True, meet: int = MEET, stretches: Stretches | None = None, evenly: int = EVENLY, weighty: bool = False) -> DataFrame:
     """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre); last is the segment's last block.
 
     ``centre`` is the mean score by weight, or of the distinct scores where a
     block has no weight.  Up to ``meet`` blocks of a segment are pooled in one
-    task, more by convex hulls.
+    task, more by convex hulls.  ``weighty`` leaves out scores without weight.
     """
     sign = 1.0 if increasing else -1.0
     ties = kept(ties)
     found = stretches or Stretches(ties.select("x"))
-    local = kept(_local_blocks(ties, by, target, sign, found))
+    local = kept(_local_blocks(ties, by, target, sign, found, weighty))
     most = local.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     blocks = _in_one_task(local, by, sign) if most <= meet else _by_hull(local, by, sign, found, evenly)
     centre = F.when(F.col("w") > 0, F.try_divide("_wx", "w")).otherwise(F.col("_x") / F.col("_k"))

@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FOLDER = f"kept-{uuid.uuid4().hex}"  # of this driver
+
+
+def _root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a local session uses ``/tmp/checkpoints``."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return f"{(found or '/tmp/checkpoints').rstrip('/')}/{_FOLDER}"
+
+
+def _clear(spark: SparkSession, root: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended; the folder's owner cleans up
+        pass
+
+
+_cleared: set[str] = set()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and written under ``spark.checkpoint.dir``.
+    """df computed once and written as Parquet, which cuts the lineage and tells Spark its size.
 
-    Where it is unset, a local session uses ``/tmp/checkpoints``; a cluster
-    session must name a shared folder.  What has been written already is
-    returned as it is.
+    What has been written already is returned as it is.  The files go when the
+    application ends.
     """
     if getattr(df, "_scorecal_kept", False):
         return df
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(named or "/tmp/checkpoints")
-    written = df.checkpoint()
+    spark = df.sparkSession
+    root = _root(spark)
+    if root not in _cleared:
+        _cleared.add(root)
+        atexit.register(_clear, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
     written._scorecal_kept = True
     return written
