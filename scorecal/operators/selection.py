@@ -41,7 +41,7 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", fo
         raise ValueError("folds must be 2 or more")
     hashed = kept(df.withColumn("_hash", F.xxhash64(*key, F.lit(seed))).withColumn("_y", F.col(label).cast("double")))
     sound = F.col("_y").isin(0.0, 1.0)
-    counts = hashed.groupBy(*by).agg(F.min(F.coalesce(sound, F.lit(False))).alias("_binary"), F.count_if("_y = 0").alias("_no"), F.count_if("_y = 1").alias("_yes"), F.count("*").alias("_all"))
+    counts = hashed.groupBy(*by).agg(F.min(F.coalesce(sound, F.lit(False))).alias("_binary"), F.count_if(F.col("_y") == 0).alias("_no"), F.count_if(F.col("_y") == 1).alias("_yes"), F.count("*").alias("_all"))
     rarer = F.when(~F.col("_binary"), F.col("_all")).when(F.least("_no", "_yes") > 0, F.least("_no", "_yes")).otherwise(F.greatest("_no", "_yes"))
     counts = counts.select(*by, "_binary", F.greatest(F.lit(2), F.least(F.lit(folds), rarer, F.col("_all"))).alias("_folds"))
     rows = join_by(hashed, counts, by).withColumn("_class", F.when(F.col("_binary"), F.col("_y")).otherwise(0.0))
