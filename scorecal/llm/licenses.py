@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +80,6 @@ RULES = [
     ("CC0-1.0", "open", ["cc0-line"]),
     ("LicenseRef-Reserved", "reserved", ["reserved"]),
 ]
-LONGEST = 60 + max(map(len, SENTENCES))
-SHORTEST = min(map(len, SENTENCES))
 
 
 # Marks put into a text: a sentence's certain end, and a place where it may end or go on.
@@ -91,7 +90,7 @@ _WHITE = r"\x20\x09-\x0D"
 def marked(text: Column) -> Column:
     """Words of a text, parted by blanks and marks.
 
-    Words are lower-case letters and digits, and dots before digits.  Blank
+    Words are lower-case letters of any script and digits, and dots before digits.  Blank
     lines and . ! ? that white space follows end a sentence.  At other line
     ends and after ; : it may end or go on, so that wrapped sentences are found
     as well as lines.  Comment leaders go with the line end before them.
@@ -103,7 +102,7 @@ def marked(text: Column) -> Column:
     x = F.regexp_replace(x, rf"[.!?][{_WHITE}{MAYBE}]+", END)
     x = F.regexp_replace(x, rf"[;:][{_WHITE}{MAYBE}]+", MAYBE)
     x = F.regexp_replace(x, r"\.(?![0-9])", " ")
-    return F.regexp_replace(x, rf"[^a-z0-9.{END}{MAYBE}]+", " ")
+    return F.regexp_replace(x, rf"[^\p{{L}}\p{{N}}.{END}{MAYBE}]+", " ")
 
 
 def known_pattern(known: dict[str, str]) -> str:
@@ -128,6 +127,16 @@ def rule_pattern(parts: list[str]) -> str:
     return "," + ",([^,]+,)*".join(re.escape(p).replace("\\-", "-") for p in parts) + ","
 
 
+def wider_rules(rules: list) -> list[list[int]]:
+    """For each rule the earlier ones that have all its sentences in their order, and more."""
+
+    def within(few: list[str], many: list[str]) -> bool:
+        rest = iter(many)
+        return len(few) < len(many) and all(any(x == y for y in rest) for x in few)
+
+    return [[i for i in range(j) if within(rules[j][2], rules[i][2])] for j in range(len(rules))]
+
+
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences that each document's sentences declare.
 
@@ -138,7 +147,8 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: lis
     null and empty texts have no sentences.  Repeated rows each get a row; an
     empty table gives none; other columns are not read.
 
-    A sentence may be wrapped over lines, with comment leaders; a blank line ends it.
+    A rule does not count where an earlier one that has all its sentences and
+    more matches.  A sentence may be wrapped over lines, with comment leaders; a blank line ends it.
 
     ``known`` maps normalised sentences to identifiers and ``rules`` lists
     (licence, kind, identifiers in order).
@@ -152,7 +162,9 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: lis
     joined = F.array_join("ids", ",")
     wrapped = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_license_sentences"), joined.alias("sentence_ids"))
-    hits = F.array_distinct(F.filter(F.array(*(F.when(wrapped.rlike(rule_pattern(parts)), F.lit(f"{name}|{kind}")) for name, kind, parts in rules)), lambda x: x.isNotNull()))
+    match = [wrapped.rlike(rule_pattern(parts)) for _, _, parts in rules]
+    own = [reduce(lambda a, i: a & ~match[i], wider, match[j]) for j, wider in enumerate(wider_rules(rules))]
+    hits = F.array_distinct(F.filter(F.array(*(F.when(own[j], F.lit(f"{name}|{kind}")) for j, (name, kind, _) in enumerate(rules))), lambda x: x.isNotNull()))
     rows = rows.withColumn("hits", F.when(F.col("n_license_sentences") > 0, hits).otherwise(F.array().cast("array<string>")))
     first = F.try_element_at("hits", F.lit(1))
     return rows.select(

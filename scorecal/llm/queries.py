@@ -13,7 +13,7 @@ from scorecal.llm.divergence import source_divergence
 from scorecal.llm.exact_dedup import exact_dedup
 from scorecal.llm.importance import importance_resample
 from scorecal.llm.langid import identify_languages
-from scorecal.llm.licenses import LONGEST, RULES, SENTENCES, SHORTEST, scan_licenses
+from scorecal.llm.licenses import RULES, SENTENCES, scan_licenses
 from scorecal.llm.line_dedup import line_dedup
 from scorecal.llm.mixing import mix_sources
 from scorecal.llm.near_dedup import near_dedup
@@ -99,7 +99,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_source_mixing": sql.mixing(DOMAIN_SQL, WEIGHTS, 1.0, 3, 7),
-    "op6_license_scan": sql.license_scan(SENTENCES, RULES, SHORTEST, 4 * LONGEST),
+    "op6_license_scan": sql.license_scan(SENTENCES, RULES),
     "op8_quality_rules": sql.quality_rules(QUALITY_RULES, 0.04, 0.05),
     "op10_exact_dedup": sql.EXACT_DEDUP,
     "op11_source_divergence": DIVERGENCE_SQL.format(min_docs=30, top=50),

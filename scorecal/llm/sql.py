@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from scorecal.llm.licenses import wider_rules
+
 EXACT_DEDUP = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -20,25 +22,41 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def license_scan(known: dict[str, str], rules: list, shortest: int, longest: int) -> str:
-    """SQL of the licence scan; the sentence and rule tables are the operator's parameters."""
+def license_scan(known: dict[str, str], rules: list) -> str:
+    """SQL of the licence scan; the sentence and rule tables are the operator's parameters.
+
+    Marks 1 (a sentence's end) and 2 (perhaps one) stand twice, since a match
+    takes the mark behind it.
+    """
     table = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in known.items())
-    cases = ", ".join(f"CASE WHEN regexp_matches(w, {_text(',' + ',([^,]+,)*'.join(parts) + ',')}) THEN {_text(name + '|' + kind)} END" for name, kind, parts in rules)
+    match = [f"regexp_matches(w, {_text(',' + ',([^,]+,)*'.join(parts) + ',')})" for _, _, parts in rules]
+    own = [" AND NOT ".join([match[j], *(match[i] for i in wider)]) for j, wider in enumerate(wider_rules(rules))]
+    cases = ", ".join(f"CASE WHEN {own[j]} THEN {_text(name + '|' + kind)} END" for j, (name, kind, _) in enumerate(rules))
+    longest = sorted(known, key=lambda x: (-len(x), x))
+    sentences = "|".join(r"[ \x02]+".join(w.replace(".", r"\.") for w in x.split(" ")) for x in longest)
+    whole = rf"[\x01\x02] *({sentences}) *[\x01\x02]"
+    white = r"\x20\x09-\x0D"
+    steps = [
+        (r"\n[^\p{L}\p{N}]*\n", "chr(1) || chr(10)"),
+        (r"\n[^\p{L}\p{N}.\n]*(?:\.[^\p{L}\p{N}.\n]+)?(?:(?:dnl|rem)[\x20\x09]+)?", "chr(2)"),
+        (rf"\bv\.[{white}\x02]+([0-9])", r"'v' || chr(2) || '\1'"),
+        (rf"[.!?][{white}\x02]+", "chr(1)"),
+        (rf"[;:][{white}\x02]+", "chr(2)"),
+        (r"\.([^0-9]|$)", r"' \1'"),
+        (r"\.([^0-9]|$)", r"' \1'"),
+        (r"[^\p{L}\p{N}.\x01\x02]+", "' '"),
+        (r"([\x01\x02])", r"'\1\1'"),
+    ]
+    x = "chr(10) || translate(lower(coalesce(text, '')), chr(1) || chr(2), '  ') || chr(10) || chr(10)"
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, {_text(pattern)}, {by}, 'g')"
     return rf"""
 WITH known(sentence, id) AS (VALUES {table}),
-s AS (
-  SELECT doc_id, r, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))) AS line,
-         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)), 1) AS pos
-  FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)
-), n AS (
-  SELECT r, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), '\.([^0-9]|$)', ' \1', 'g'), '\s+', ' ', 'g')) AS sentence
-  FROM s WHERE length(line) BETWEEN {shortest} AND {longest}
-), f AS (
-  SELECT r, count(*) AS k, string_agg(id, ',' ORDER BY pos) AS ids FROM n JOIN known USING (sentence) GROUP BY r
-), d AS (
-  SELECT doc_id, coalesce(k, 0) AS k, coalesce(ids, '') AS ids, ',' || coalesce(ids, '') || ',' AS w
-  FROM (SELECT doc_id, row_number() OVER () AS r FROM documents) LEFT JOIN f USING (r)
-), h AS (SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL) AS hits FROM d),
+m AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({x}, {_text(whole)}, 1) AS found FROM documents),
+n AS (SELECT r, unnest(list_transform(found, lambda s: trim(regexp_replace(s, '[ \x02]+', ' ', 'g')))) AS sentence, generate_subscripts(found, 1) AS pos FROM m),
+f AS (SELECT r, count(*) AS k, string_agg(id, ',' ORDER BY pos) AS ids FROM n JOIN known USING (sentence) GROUP BY r),
+d AS (SELECT doc_id, coalesce(k, 0) AS k, coalesce(ids, '') AS ids, ',' || coalesce(ids, '') || ',' AS w FROM m LEFT JOIN f USING (r)),
+h AS (SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL) AS hits FROM d),
 u AS (SELECT *, list_filter(hits, lambda x, i: list_position(hits, x) = i) AS first_hits FROM h)
 SELECT doc_id, k AS n_license_sentences, ids AS sentence_ids,
        array_to_string(list_transform(first_hits, lambda x: split_part(x, '|', 1)), ',') AS licenses,
