@@ -19,8 +19,8 @@ def checked_matrix(df: DataFrame, probabilities: str = "probabilities", label: s
 
 
 def one_vs_rest(df: DataFrame, probabilities: str = "probabilities", label: str = "label", by: By = ()) -> DataFrame:
-    """(by, class, score, label): each row once for each class."""
-    rows = df.select(*by, F.col(label).cast("int").alias("_y"), F.posexplode(probabilities).alias("class", "score"))
+    """(by, class, score, label): each row once for each class; vectors and labels are checked."""
+    rows = checked_matrix(df, probabilities, label).select(*by, F.col(label).cast("int").alias("_y"), F.posexplode(probabilities).alias("class", "score"))
     return rows.select(*by, "class", "score", (F.col("class") == F.col("_y")).cast("double").alias("label"))
 
 
@@ -48,6 +48,7 @@ def classwise_ece(df: DataFrame, n_bins: int = 15, estimator: str = "debiased",
 
 def top_label_ece(df: DataFrame, n_bins: int = 15, estimator: str = "debiased", probabilities: str = "probabilities", label: str = "label", by: By = ()) -> DataFrame:
     """Error of the largest probability as confidence in the first class that has it."""
+    df = checked_matrix(df, probabilities, label)
     top = F.array_max(probabilities)
     right = (F.array_position(probabilities, top) - 1 == F.col(label)).cast("double")
     rows = df.select(*by, top.alias("score"), right.alias("label"))

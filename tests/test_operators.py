@@ -11,6 +11,7 @@ from scorecal.operators.ties import equal_mass_bins, tie_table
 from scorecal.sources.scored import read_results, synthetic, write_results
 from scorecal.streaming.monitor import windowed_bins
 
+# Five published scores and labels; the metrics of them that the tests name are known.
 P, Y = [0.2, 0.7, 0.8, 0.4, 0.6], [0, 1, 1, 0, 1]
 
 
