@@ -22,6 +22,7 @@ from scorecal.operators.curves import apply_linear, apply_step
 from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_blocks, step_knots, with_running_max
 from scorecal.operators.keep import kept
 from scorecal.operators.ranges import Stretches, running, with_neighbours
+from scorecal.operators.splines import fit_splines, with_value
 from scorecal.operators.ties import By, checked_weights, join_by, ordered, tie_table
 
 # The grids of settings chosen by cross-validation.
@@ -98,6 +99,24 @@ class Calibrator:
         return self.fit(df, score, label, **more).transform(df, score, output)
 
 
+class SplineModel(Model):
+    """Fitted splines (by, t, theta): ``transform`` evaluates them at every score; ``knots`` are points of a grid."""
+
+    def __init__(self, coefficients: DataFrame, by: By, degree: int, link: str, clip: bool, points: int, params: dict):
+        self.coefficients, self.shape = coefficients, (degree, link, clip)
+        span = coefficients.select("*", F.get("t", F.lit(degree)).alias("_lo"), F.get("t", F.size("t") - degree - 1).alias("_hi"))
+        grid = span.select(*by, "t", "theta", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_at"))
+        grid = grid.withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_at") / (points - 1))
+        knots = with_value(grid, F.col("x"), F.col("t"), F.col("theta"), *self.shape, "y").select(*by, "x", "y")
+        super().__init__(knots, by, params=params)
+
+    def transform(self, df: DataFrame, score: str = "score", output: str = "calibrated") -> DataFrame:
+        x = F.col(score).cast("double")
+        found = self.coefficients.select(*self.by, F.col("t").alias("_sp_knots"), F.col("theta").alias("_sp_coefficients"))
+        out = with_value(join_by(df, found, self.by, "left"), x, F.col("_sp_knots"), F.col("_sp_coefficients"), *self.shape, output)
+        return out.drop("_sp_knots", "_sp_coefficients")
+
+
 def _clip(y: Column, clip: bool) -> Column:
     return F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)) if clip else y
 
@@ -254,15 +273,12 @@ class MonotoneSpline(Calibrator):
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.link not in ("logit", "identity"):
             raise ValueError("link must be logit or identity")
-        fixed = (self.n_knots, self.alpha)
-        degree, kind, link, clip, points = self.degree, self.knots, self.link, self.clip_output, self.points
-
-        def kernel(x, y, w, n, n_knots=fixed[0], alpha=fixed[1]):
-            at, predict = _spline(x, y, w, n, int(n_knots), float(alpha), degree, kind, link, clip)
-            grid = np.unique(np.concatenate([np.linspace(at[0], at[-1], points), at, x[:: max(1, len(x) // points)]]))
-            return grid, np.maximum.accumulate(predict(grid))
-
-        return Model(_grouped(ties, by, kernel, "n_knots", "alpha"), by, params=_settings(ties, by, "n_knots", "alpha") or {"n_knots": fixed[0], "alpha": fixed[1]})
+        ties = kept(ties)
+        each = lambda c, fixed: F.first(c) if c in ties.columns else F.first(F.lit(fixed))
+        settings = ties.groupBy(*by).agg(F.count("*").alias("_n"), each("n_knots", self.n_knots).alias("n_knots"), each("alpha", self.alpha).alias("alpha"))
+        found = fit_splines(ties, kept(settings.where("_n > 0").drop("_n")), self.degree, self.knots, self.link, by)
+        params = _settings(ties, by, "n_knots", "alpha") or {"n_knots": self.n_knots, "alpha": self.alpha}
+        return SplineModel(found, by, self.degree, self.link, self.clip_output, self.points, params)
 
     def automatic(self) -> bool:
         return "auto" in (self.alpha, self.n_knots)

@@ -37,14 +37,14 @@ def uniform_errors(df: DataFrame, score: str = "score", label: str = "label", n_
     return bins.groupBy(*by).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def quantiles(df: DataFrame, column: str, at: list[float], by: By = ()) -> DataFrame:
+def quantiles(df: DataFrame, column: str, at: list[float], by: By = (), count: str | None = None) -> DataFrame:
     """(by, _e): the exact quantiles, between neighbouring ranks in a line; ranks come from counts of equal values.
 
-    Null and NaN take no part.
+    Null and NaN take no part.  ``count`` is how often each row counts.
     """
     x = F.col(column).cast("double")
     sound = df.where(x.isNotNull() & ~F.isnan(x))
-    counts = kept(sound.groupBy(*by, x.alias("x")).agg(F.count("*").alias("n")))
+    counts = kept(sound.groupBy(*by, x.alias("x")).agg((F.sum(count) if count else F.count("*")).alias("n")))
     ranked = join_by(running(counts, {"hi": F.col("n")}, by).drop("_part"), counts.groupBy(*by).agg((F.sum("n") - 1).alias("_top")), by)
     place = F.col("_top") * F.col("at")
     every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("at")) for k, q in enumerate(at)))
