@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
+from scorecal.operators.close import with_close_runs
 from scorecal.operators.corp import score_decomposition
 from scorecal.operators.metrics import basic_metrics, equal_mass_errors, smooth_error, sweep_error
 from scorecal.operators.resample import bootstrap_ci
@@ -19,19 +20,22 @@ from scorecal.operators.ranges import Stretches, running, with_neighbours
 from scorecal.operators.ties import By, join_by, tie_table, with_ranks
 
 
-def plateaus(df: DataFrame, score: str = "score", calibrated: str = "calibrated", label: str | None = None, min_width: int = 2, by: By = ()) -> DataFrame:
-    """Runs of ``min_width`` or more rows of equal output along the score.
+def plateaus(df: DataFrame, score: str = "score", calibrated: str = "calibrated", label: str | None = None, min_width: int = 2, by: By = (), rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """Runs of ``min_width`` or more rows along the score with outputs within ``atol + rtol * |value|`` of their first one.
 
     (by, plateau_id, x_lo, x_hi, value, width, label_var, density): density is very_sparse
     under 5 rows, sparse under 10, else adequate.  Runs are found on distinct
-    (score, output) cells.
+    (score, output) cells; with both tolerances 0 outputs must be equal.
     """
     y = F.col(label).cast("double") if label else F.lit(None).cast("double")
     cells = df.groupBy(*by, F.col(score).cast("double").alias("x"), F.col(calibrated).cast("double").alias("z")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
     cells = kept(cells)
     stretches = Stretches(cells.select("x"))
-    near = with_neighbours(stretches.of(cells, "x"), F.col("z"), by, ["x", "z"])
-    new = kept(near.withColumn("_new", F.coalesce((F.col("z") != F.col("before")).cast("int"), F.lit(0))).drop("before", "after", "_part"))
+    if rtol or atol:
+        new = with_close_runs(cells, "z", ["x", "z"], stretches, rtol, atol, by).withColumn("z", F.col("_anchor")).drop("_anchor")
+    else:
+        near = with_neighbours(stretches.of(cells, "x"), F.col("z"), by, ["x", "z"])
+        new = kept(near.withColumn("_new", F.coalesce((F.col("z") != F.col("before")).cast("int"), F.lit(0))).drop("before", "after", "_part"))
     runs = running(new, {"run": F.col("_new")}, by, ["x", "z"], stretches)
     m = F.sum("s") / F.sum("n")
     out = runs.groupBy(*by, "run").agg(F.min("x").alias("x_lo"), F.max("x").alias("x_hi"), F.first("z").alias("value"), F.sum("n").alias("width"), F.greatest(F.sum("q") / F.sum("n") - m * m, F.lit(0.0)).alias("label_var"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scorecal.functions import kernels
 from scorecal.functions import scores as S
+from scorecal.operators.close import close_pairs
 from scorecal.operators.keep import kept
 from scorecal.operators.ranges import running
 from scorecal.operators.ties import By, join_by, ordered, summaries_of, tie_table, validated, with_ranks
@@ -192,16 +193,23 @@ def diversity_index(df: DataFrame, score: str = "score", reference: float | None
     return df.groupBy(*by).agg(own.alias("diversity"))
 
 
-def tie_preservation(df: DataFrame, original: str, calibrated: str, by: By = ()) -> DataFrame:
+def tie_preservation(df: DataFrame, original: str, calibrated: str, by: By = (), tolerance: float = 1e-10) -> DataFrame:
     """Share of the original's tied pairs kept, less the share of all pairs newly tied, within [0, 1].
 
-    Pairs are counted from the sizes of groups of equal values.
+    Values are tied when they differ by ``tolerance`` at most.  At 0, pairs
+    are counted from the sizes of groups of equal values, else by ``close_pairs``.
     """
     pairs = lambda n: n * (n - 1) / 2
-    cells = df.groupBy(*by, F.col(original).alias("_o"), F.col(calibrated).alias("_c")).agg(F.count("*").alias("k"))
-    kept = cells.groupBy(*by).agg(F.sum(pairs(F.col("k"))).alias("kept"), F.sum("k").alias("n"))
-    one = lambda c, name: cells.groupBy(*by, c).agg(F.sum("k").alias("k")).groupBy(*by).agg(F.sum(pairs(F.col("k"))).alias(name))
-    t = join_by(join_by(kept, one("_o", "tied_o"), by), one("_c", "tied_c"), by)
+    value = lambda c, name: F.col(c).cast("double").alias(name)
+    cells = kept(df.groupBy(*by, value(original, "_o"), value(calibrated, "_c")).agg(F.count("*").alias("k")))
+    sums = cells.groupBy(*by).agg(F.sum(pairs(F.col("k"))).alias("kept"), F.sum("k").alias("n"))
+    if tolerance == 0:
+        one = lambda c, name: cells.groupBy(*by, c).agg(F.sum("k").alias("k")).groupBy(*by).agg(F.sum(pairs(F.col("k"))).alias(name))
+    else:
+        both = close_pairs(cells, "_o", "_c", tolerance, by=by).withColumnRenamed("pairs", "kept")
+        sums = join_by(sums.drop("kept"), both, by)
+        one = lambda c, name: close_pairs(cells.groupBy(*by, c).agg(F.sum("k").alias("k")).withColumn("_z", F.lit(0.0)), c, "_z", tolerance, by=by).withColumnRenamed("pairs", name)
+    t = join_by(join_by(sums, one("_o", "tied_o"), by), one("_c", "tied_c"), by)
     share = F.coalesce(F.try_divide(F.col("kept"), F.col("tied_o")), F.lit(1.0))
     new = F.coalesce(F.try_divide(F.col("tied_c") - F.col("kept"), pairs(F.col("n"))), F.lit(0.0))
     return t.select(*by, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share - new)).alias("tie_preservation"))

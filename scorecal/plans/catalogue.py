@@ -247,6 +247,27 @@ def q_ties_kept(spark, sf):
     return rounded(metrics.tie_preservation(df, "score", "calibrated", FLAG), "tie_preservation")
 
 
+# No multiple of the scores' last decimal, so that no difference lies on the bound.
+NEAR_BY = 0.0000100005
+NEAR_TIES = f"""v6 AS (SELECT l_returnflag, score AS o, round(score * score, 9) AS c FROM v),
+x AS (SELECT l_returnflag, o, c, count(*) AS k FROM v6 GROUP BY ALL), n AS (SELECT l_returnflag, sum(k) AS n FROM x GROUP BY l_returnflag),
+w AS (SELECT l_returnflag, 'o' AS side, o AS v, sum(k) AS k FROM x GROUP BY ALL UNION ALL SELECT l_returnflag, 'c', c, sum(k) FROM x GROUP BY ALL),
+e AS (SELECT *, sum(k) OVER (PARTITION BY l_returnflag, side ORDER BY v RANGE BETWEEN CURRENT ROW AND {NEAR_BY!r} FOLLOWING) - k AS more FROM w),
+s AS (SELECT l_returnflag, sum(k * (k - 1) / 2 + k * more) FILTER (side = 'o') AS tied_o, sum(k * (k - 1) / 2 + k * more) FILTER (side = 'c') AS tied_c FROM e GROUP BY l_returnflag),
+b AS (SELECT l_returnflag, o, c, k, floor(o / {NEAR_BY!r}) AS slot FROM x),
+j AS (SELECT a.l_returnflag, sum(a.k * d.k) AS pairs FROM b a JOIN (SELECT *, slot AS at FROM b UNION ALL SELECT *, slot - 1 FROM b) d ON a.l_returnflag = d.l_returnflag AND a.slot = d.at
+  AND (d.o > a.o OR (d.o = a.o AND d.c > a.c)) AND d.o - a.o <= {NEAR_BY!r} AND abs(d.c - a.c) <= {NEAR_BY!r} GROUP BY a.l_returnflag),
+q AS (SELECT x.l_returnflag, sum(x.k * (x.k - 1) / 2) AS kept FROM x GROUP BY x.l_returnflag),
+z AS (SELECT l_returnflag, (kept + coalesce(pairs, 0)) AS kept, tied_o, tied_c, n FROM q LEFT JOIN j USING (l_returnflag) JOIN s USING (l_returnflag) JOIN n USING (l_returnflag))"""
+
+
+@query("tie_preservation_within", with_(VIEW, NEAR_TIES) + "SELECT l_returnflag, round(greatest(0, least(1, coalesce(kept / nullif(tied_o, 0), 1) - coalesce((tied_c - kept) / nullif(n * (n - 1) / 2, 0), 0))), 9) AS tie_preservation FROM z")
+def q_ties_within(spark, sf):
+    """Squares as the outputs, which tie low scores and part high ones."""
+    df = scored_lineitem(spark, sf).withColumn("calibrated", F.round(F.col("score") * F.col("score"), 9))
+    return rounded(metrics.tie_preservation(df, "score", "calibrated", FLAG, NEAR_BY), "tie_preservation", to=9)
+
+
 # Isotonic curves and decompositions.
 
 
