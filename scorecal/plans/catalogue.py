@@ -17,7 +17,7 @@ from scorecal.operators import calibrators as C
 from scorecal.operators import corp, diagnostics, metrics, multiclass, resample, selection
 
 from scorecal.operators.ties import bin_summaries, equal_mass_bins, tie_table
-from scorecal.plans import bench_grid, plot_data
+from scorecal.plans import bench_grid, bench_run, plot_data
 from scorecal.sources.scored import CLASS_PROBS, DESIGNS, SCORED_DOCS, SCORED_LINEITEM, UNIFORMS, class_probabilities, lineitem_uniforms, scored_lineitem, synthetic
 from scorecal.streaming.monitor import window_errors, windowed_bins
 
@@ -522,6 +522,22 @@ def q_intervals(spark, sf):
     return rounded(bench_grid.paired_intervals(bench_grid.against_baseline(_method_cells(spark, sf), "raw")), "delta", "lower", "upper")
 
 
+HALVES = "v2 AS (SELECT concat_ws('|', l_returnflag, l_linestatus, seed) AS l_returnflag, l_returnflag AS dataset, l_linestatus AS model, seed::INT AS seed, score, label, p_true, (l_orderkey + seed) % 2 = 1 AS test FROM v CROSS JOIN (SELECT unnest([0, 1]) AS seed) s), vf AS (SELECT * FROM v2 WHERE NOT test)"
+HELD = """kk AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY l_returnflag ORDER BY x)), lo AS (SELECT l_returnflag, arg_min(y, x) AS y0 FROM k GROUP BY l_returnflag),
+hh AS (SELECT h.*, CASE WHEN kk.x IS NULL THEN lo.y0 WHEN kk.x1 IS NULL THEN kk.y ELSE kk.y + (h.score - kk.x) / (kk.x1 - kk.x) * (kk.y1 - kk.y) END AS p FROM (SELECT * FROM v2 WHERE test) h ASOF LEFT JOIN kk ON h.l_returnflag = kk.l_returnflag AND h.score >= kk.x JOIN lo ON lo.l_returnflag = h.l_returnflag),
+nf AS (SELECT l_returnflag, count(*) AS n_fit FROM vf GROUP BY l_returnflag),
+mm AS (SELECT *, 'isotonic' AS method FROM hh UNION ALL SELECT * REPLACE (score AS p), 'raw' FROM hh)"""
+
+
+@query("bench_cells", with_(VIEW, HALVES, ties_sql(view="vf"), fit_sql(), RUNS, STEPS, HELD) + f"SELECT dataset, model, seed, method, n_fit, n_test, {r6('base_rate', 'brier', 'true_error')} FROM (SELECT dataset, model, seed, method, n_fit, count(*) AS n_test, avg(label) AS base_rate, avg((p - label) * (p - label)) AS brier, avg(abs(p - p_true)) AS true_error FROM mm JOIN nf USING (l_returnflag) GROUP BY ALL)")
+def q_cells(spark, sf):
+    """Isotonic maps and raw scores on both halves of every segment, as cells of two seeds."""
+    v = scored_lineitem(spark, sf).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = v.select(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("model"), "seed", "score", "label", F.col("p_true").cast("double").alias("p_true"), ((F.col("l_orderkey") + F.col("seed")) % 2 == 1).alias("test"))
+    out = bench_run.run_cells(rows, {"raw": None, "isotonic": C.Isotonic()}, measures=["brier", "true_error"], truth="p_true")
+    return rounded(out.drop("seconds", "n_distinct_input"), "base_rate", "brier", "true_error")
+
+
 @query("score_histogram", with_(VIEW6) + f"SELECT len(list_filter([{', '.join(f'{e!r}e0' for e in S.edges(30)[1:-1])}], lambda e: score >= e))::INT AS bin, sum(weight) AS mass FROM v GROUP BY bin")
 def q_histogram(spark, sf):
     return plot_data.score_histogram(scored_lineitem(spark, sf, 6), weight="weight")
