@@ -21,6 +21,7 @@ from scorecal.functions import scores as S
 from scorecal.operators.curves import apply_linear, apply_step
 from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_blocks, step_knots, with_running_max
 from scorecal.operators.keep import kept
+from scorecal.operators.nearly import nearly_isotonic_fit
 from scorecal.operators.ranges import Stretches, running, with_neighbours
 from scorecal.operators.splines import fit_splines, with_value
 from scorecal.operators.ties import By, checked_weights, join_by, ordered, tie_table
@@ -231,13 +232,11 @@ class NearlyIsotonic(Calibrator):
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
         if self.method not in ("path", "cvx"):  # both have the same optimum
             raise ValueError("method must be path or cvx")
-        fixed, clip = self.lam, self.clip_output
-
-        def kernel(x, y, w, n, lam=fixed):
-            z = kernels.nearly_isotonic(y, w, lam)
-            return x, np.clip(z, 0, 1) if clip else z
-
-        return Model(_grouped(ties, by, kernel, "lam"), by, params=_settings(ties, by, "lam") or {"lam": fixed})
+        ties = kept(ties)
+        lam = F.col("lam") if "lam" in ties.columns else F.lit(float(self.lam))
+        fit = nearly_isotonic_fit(ties, lam, by)
+        knots = fit.select(*by, "x", _clip(F.col("z"), self.clip_output).alias("y"))
+        return Model(knots, by, params=_settings(ties, by, "lam") or {"lam": self.lam})
 
     def automatic(self) -> bool:
         return self.lam == "auto"
