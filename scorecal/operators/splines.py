@@ -23,6 +23,7 @@ from scorecal.operators.metrics import quantiles
 from scorecal.operators.ties import By, join_by
 
 PASSES = 400  # Newton steps and halvings
+SLOTS = 64  # parts of a knot interval for the first guess, about
 
 
 def knot_table(ties: DataFrame, n_knots: list[int], degree: int, kind: str, by: By = ()) -> DataFrame:
@@ -136,7 +137,8 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
     ``ties`` is a written tie table and ``settings`` (by, n_knots, alpha) has a
     row for each segment.  On the probability scale one pass gives all sums; on
     the log-odds scale a pass adds up the sums at each open segment's trial
-    point, and a step is halved until the loss falls.  Segments without weight
+    point, and a step is halved until the loss falls.  The first point is the
+    fit of scores merged within parts of knot intervals.  Segments without weight
     start and stay at 0 on their link's scale.
     """
     counts = sorted(r[0] for r in settings.select("n_knots").distinct().collect()) or [3]  # of a grid
@@ -174,10 +176,25 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
 
         return kept(join_by(sums, state, by).groupBy(*keys).applyInPandas(solved, types + "t array<double>, theta array<double>, n_knots int, alpha double"))
 
+    w = F.col("w")
+    slots = [F.floor(c * SLOTS).alias(f"_slot{i}") for i, c in enumerate((b[0], b[-1]))]  # along an interval one falls and one rises
+    merged = rows.where("w > 0").groupBy(*own, *slots).agg(F.sum(w).alias("w"), F.sum("wy").alias("wy"), *(F.avg(c).alias(f"m{j}") for j, c in enumerate(b)))
+
+    def warm(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = len(column(pdf, "t")) - degree - 1
+        basis = np.zeros((len(pdf), p))
+        for j in range(degree + 1):
+            basis[np.arange(len(pdf)), pdf["_sp_c"].to_numpy(int) + j] = pdf[f"m{j}"]
+        w = pdf["w"].to_numpy(float)
+        design = basis[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+        return head(pdf, _warm=kernels.fit_spline(design, pdf["wy"].to_numpy(float) / w, w, column(pdf, "alpha"), link))
+
+    first = join_by(merged.drop("_slot0", "_slot1"), state.select(*by, "t", "alpha"), by)
+    state = join_by(state, first.groupBy(*keys).applyInPandas(warm, types + "_warm array<double>"), by, "left")
     zeros = F.array_repeat(F.lit(0.0), F.size("t") - degree - 2)
-    flat = F.concat(F.array("_start"), zeros)
+    flat = F.coalesce("_warm", F.concat(F.array("_start"), zeros))
     inf = F.lit(float("inf"))
-    state = state.select("*", flat.alias("beta"), flat.alias("trial"), flat.alias("step"), F.lit(1.0).alias("size"), inf.alias("loss"), F.lit(False).alias("done"))
+    state = kept(state.select(*(c for c in state.columns if c != "_warm"), flat.alias("beta"), flat.alias("trial"), flat.alias("step"), F.lit(1.0).alias("size"), inf.alias("loss"), F.lit(False).alias("done")))
     schema = types + "t array<double>, n_knots int, alpha double, _w double, _start double, beta array<double>, trial array<double>, step array<double>, size double, loss double, done boolean"
 
     def advanced(pdf: pd.DataFrame) -> pd.DataFrame:
