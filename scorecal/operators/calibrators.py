@@ -12,7 +12,6 @@ from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from scorecal.operators.isotonic import bounded_fit, centred_knots, pav_blocks,
 from scorecal.operators.keep import kept
 from scorecal.operators.nearly import nearly_isotonic_fit
 from scorecal.operators.ranges import Stretches, running, with_neighbours
+from scorecal.operators.smoothed import smoothed_fit
 from scorecal.operators.splines import fit_splines, with_value
 from scorecal.operators.ties import By, checked_weights, join_by, ordered, tie_table
 
@@ -202,22 +202,6 @@ def _settings(ties: DataFrame, by: By, *names: str) -> dict:
     return {"chosen": found} if by else found.first().asDict()
 
 
-def _grouped(ties: DataFrame, by: By, kernel, *settings: str) -> DataFrame:
-    """Knots of a kernel(x, y, w, n, *settings) -> (x, y) run on each segment's tie table."""
-    keys = list(by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        x, y = kernel(*(pdf[c].to_numpy() for c in ("x", "y", "w", "n")), *(pdf[c].iloc[0] for c in settings if c in pdf))
-        out = pd.DataFrame({"x": x, "y": y})
-        for c in reversed(keys):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    types = "".join(f"`{c}` {ties.schema[c].dataType.simpleString()}, " for c in by)
-    return ties.groupBy(*keys).applyInPandas(run, types + "x double, y double")
-
-
 @dataclass(kw_only=True)
 class NearlyIsotonic(Calibrator):
     """Least squares with a price ``lam`` on falls, by the exact solution path."""
@@ -330,13 +314,8 @@ class SmoothedIsotonic(Calibrator):
     weighted = False
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
-        s = self
-
-        def kernel(x, y, w, n):
-            z = kernels.smooth_isotonic(x, kernels.pava(y, w), s.window_length, s.poly_order, s.adaptive, s.min_window, s.max_window)
-            return x, np.clip(z, 0, 1) if s.clip_output else z
-
-        return Model(_grouped(ties, by, kernel), by)
+        fit = smoothed_fit(ties, self.window_length, self.poly_order, self.adaptive, self.min_window, self.max_window, by)
+        return Model(fit.select(*by, "x", _clip(F.col("z"), self.clip_output).alias("y")), by)
 
 
 @dataclass(kw_only=True)

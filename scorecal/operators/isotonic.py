@@ -154,7 +154,7 @@ def _by_hull(local: DataFrame, by: By, sign: float, stretches: Stretches, evenly
 
 
 def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True, meet: int = MEET, stretches: Stretches | None = None, evenly: int = EVENLY, weighty: bool = False) -> DataFrame:
-    """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre); last is the segment's last block.
+    """Runs of equal fitted value: (by, block, last, x_lo, x_hi, value, n, w, wy, centre, scores); last is the segment's last block, ``scores`` the number of distinct ones.
 
     ``centre`` is the mean score by weight, or of the distinct scores where a
     block has no weight.  Up to ``meet`` blocks of a segment are pooled in one
@@ -167,7 +167,7 @@ def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool
     most = local.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     blocks = _in_one_task(local, by, sign) if most <= meet else _by_hull(local, by, sign, found, evenly)
     centre = F.when(F.col("w") > 0, F.try_divide("_wx", "w")).otherwise(F.col("_x") / F.col("_k"))
-    return blocks.withColumn("centre", centre).select(*by, "block", "last", "x_lo", "x_hi", "value", "n", "w", "wy", "centre")
+    return blocks.withColumn("centre", centre).select(*by, "block", "last", "x_lo", "x_hi", "value", "n", "w", "wy", "centre", F.col("_k").alias("scores"))
 
 
 def centred_knots(runs: DataFrame, by: By = ()) -> DataFrame:
