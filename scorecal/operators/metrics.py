@@ -128,9 +128,10 @@ def bin_sensitivity(df: DataFrame, bins: range = range(2, 51), score: str = "sco
 def sweep_error(df: DataFrame, score: str = "score", label: str = "label", by: By = (), step: int = 64, ranked: DataFrame | None = None) -> DataFrame:
     """sweep_ece (l1) and sweep_bins: bins grow while their label means keep rising.
 
-    Numbers of bins are tried in blocks of ``step``, all segments at once, on
-    one table of running sums; the segments that pass a whole block go on to
-    the next.
+    Numbers of bins are tried in blocks, of ``step`` at first and then of as
+    many as were tried before while their bins are some millions, all segments
+    at once, on one table of running sums; the segments that pass a whole block
+    go on to the next.
     """
     r = with_ranks(tie_table(df, score, label, by=by), by) if ranked is None else ranked
     top = kept(r.groupBy(*by).agg(F.first("total").alias("_rows")))
@@ -143,6 +144,7 @@ def sweep_error(df: DataFrame, score: str = "score", label: str = "label", by: B
         best = kept(best.withColumn("_last", F.array_max(risen)))
         done.append(best.where("_last is not null").select(*by, F.col("_last.n_bins").alias("n_bins"), F.col("_last.plugin").alias("sweep_ece"), F.col("_last.occupied").alias("sweep_bins")))
         first += step
+        step = max(64, min(first - 1, (1 << 22) // first))
         open_ = best.where(F.col("_stop").isNull() & (F.col("_rows") >= first)).select(*by, "_rows")
         if open_.isEmpty():
             break

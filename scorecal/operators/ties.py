@@ -6,8 +6,10 @@ run on it only.  ``by`` columns make every result per segment in one pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +86,50 @@ def bin_summaries(binned: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def _cuts(total: int, bins: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks above ``low`` and through ``high`` of ideal cuts, ascending, and the place in ``bins`` of the number of bins that each is of."""
+    most = np.minimum(bins, total)
+    first = np.maximum(1, -(-(low + 1) * most // total))
+    count = np.maximum(0, np.minimum(most - 1, -(-(high + 1) * most // total) - 1) - first + 1)
+    which = np.repeat(np.arange(len(bins)), count)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - first, count)
+    at = k * total // most[which]
+    order = np.argsort(at, kind="stable")
+    return at[order], which[order]
+
+
+def bin_ends(ranked: DataFrame, bins: Iterable[int], by: By = ()) -> DataFrame:
+    """(by, hi, sx, sy, total, n_bins): the scores of a table of ``with_ranks`` at which a bin ends, once for each number of bins."""
+    wanted = np.array(bins, np.int64)
+    rows = ranked.select(*by, "hi", "sx", "sy", "total", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi, total = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("lo", "hi", "total"))
+            found = []
+            for n in np.unique(total).tolist():
+                mine = np.flatnonzero(total == n)
+                at, which = _cuts(n, wanted, int(lo[mine].min()), int(hi[mine].max()))
+                first, last = (np.searchsorted(at, v[mine], side="right") for v in (lo, hi))
+                rows, count = mine[last > first], (last - first)[last > first]
+                cut = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[last > first], count)
+                top = mine[hi[mine] == n]
+                found.append(np.stack([np.concatenate([np.repeat(rows, count), np.repeat(top, len(wanted))]), np.concatenate([which[cut], np.tile(np.arange(len(wanted)), len(top))])]))
+            row, which = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), int)
+            if len(row):
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(wanted[which].astype(np.int32))], [*taken.schema.names[:-1], "n_bins"])
+
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, types + "n_bins int")
+
+
 def summaries_of(ranked: DataFrame, bins: Iterable[int], by: By = ()) -> DataFrame:
     """(by, n_bins, bin, n, conf, acc, total) for each number of bins, from one table of ``with_ranks``.
 
     Only the scores at which a bin ends are taken, with the sums through them.
     """
-    ends = lambda b: (cuts_through(F.col("hi"), b) > cuts_through(F.col("lo"), b)) | (F.col("hi") == F.col("total"))
-    edges = ranked.select(*by, "hi", "sx", "sy", "total", F.explode(F.filter(F.array(*map(F.lit, bins)), ends)).alias("n_bins"))
+    edges = bin_ends(ranked, bins, by)
     along = ordered([*by, "n_bins"], "hi")  # over bins
     own = lambda c: F.col(c) - F.coalesce(F.lag(c).over(along), F.lit(0))
     rows = edges.select(*by, "n_bins", (F.row_number().over(along) - 1).alias("bin"), own("hi").alias("n"), own("sx").alias("_x"), own("sy").alias("_y"), "total")

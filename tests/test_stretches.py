@@ -143,3 +143,18 @@ def test_no_window_over_a_segments_scores(spark):
     for df in (metrics.auc(rows, by=["g"]), metrics.rank_metrics(rows, "score", "label", ["g"]), ties.with_ranks(ties.tie_table(rows, by=["g"]), ["g"])):
         plan = df._jdf.queryExecution().analyzed().toString()
         assert all("_part" in spec for spec in re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", plan) if re.search(r"\bx#|\bscore#", spec))
+
+
+def test_bin_ends_agree_with_counting_cuts(spark):
+    from scorecal.operators.ties import bin_ends, cuts_through, tie_table, with_ranks
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(np.round(v, d)), float(v > 0.4)) for g, n, d in (("a", 700, 2), ("b", 300, 6), (None, 5, 1)) for v in rng.random(n)]
+    ranked = with_ranks(tie_table(spark.createDataFrame(rows, "g string, score double, label double"), by=["g"]), ["g"])
+    bins = [1, 2, 3, 7, 50, 299, 300, 301, 1000]
+    ends = lambda b: (cuts_through(F.col("hi"), b) > cuts_through(F.col("lo"), b)) | (F.col("hi") == F.col("total"))
+    want = ranked.select("g", "hi", "sx", "sy", "total", F.explode(F.filter(F.array(*map(F.lit, bins)), ends)).alias("n_bins"))
+    got = bin_ends(ranked, bins, ["g"])
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "MapInArrow" in metrics.summaries_of(ranked, bins, ["g"])._jdf.queryExecution().toString()  # no row meets each number of bins
