@@ -7,11 +7,13 @@ as they are; ``digits`` rounds them first, only where it is given.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -386,23 +388,37 @@ class TemperatureScaler:
     rounds: int = 6
     parallel: int = 16
 
-    def loss(self, df: DataFrame, log_temperatures: list[float], probabilities: str, label: str) -> list[float]:
-        p = F.transform(probabilities, lambda v: F.ln(F.greatest(v, F.lit(S.EPS))))
-        rows = df.select(p.alias("_l"), F.col(label).cast("int").alias("_y"))
-
-        def nll(t: float) -> Column:
-            z = F.transform("_l", lambda v: v * math.exp(-t))
-            top = F.array_max(z)
-            return F.avg(top + F.ln(F.aggregate(z, F.lit(0.0), lambda s, v: s + F.exp(v - top))) - F.get(z, F.col("_y")))
-
-        return list(rows.agg(*(nll(t).alias(f"t{i}") for i, t in enumerate(log_temperatures))).first())
+    def loss(self, cells: DataFrame, log_temperatures: list[float]) -> list[float]:
+        """The mean log loss at each temperature, from cells (_l, _y, _n): log probabilities, label and rows."""
+        sharp = np.exp(-np.array(log_temperatures))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, weight = np.zeros(len(sharp)), 0
+            for batch in batches:
+                l, y, n = (batch.column(c) for c in range(3))
+                n, y = n.to_numpy(), y.to_numpy()
+                sizes, values = np.diff(l.offsets.to_numpy()), l.flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(sizes) - sizes
+                top, own = np.maximum.reduceat(values, starts), values[starts + y]
+                for i, a in enumerate(sharp):
+                    z = np.exp((values - np.repeat(top, sizes)) * a)
+                    total[i] += np.dot(n, np.log(np.add.reduceat(z, starts)) - (own - top) * a)
+                weight += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sharp), dtype=np.int32)), pa.array(total), pa.array(np.full(len(sharp), weight))], ["i", "total", "n"])
+
+        found = cells.mapInArrow(run, "i int, total double, n long").groupBy("i").agg((F.sum("total") / F.sum("n")).alias("loss"))
+        return [r["loss"] for r in sorted(found.collect())]
 
     def fit(self, df: DataFrame, probabilities: str = "probabilities", label: str = "label") -> float:
-        """The temperature; each round evaluates a whole bracket in one pass over the rows."""
+        """The temperature; each round evaluates a whole bracket in one pass over the distinct (probabilities, label)."""
+        y = F.col(label).cast("int")
+        told = (y >= 0) & (y < F.size(probabilities)) & F.forall(probabilities, lambda v: v.isNotNull())
+        cells = df.where(told).groupBy(F.col(probabilities).cast("array<double>").alias("_p"), y.alias("_y")).agg(F.count("*").alias("_n"))
+        cells = kept(cells.select(F.transform("_p", lambda v: F.ln(F.greatest(v, F.lit(S.EPS)))).alias("_l"), "_y", "_n"))
         lo, hi = -self.max_log_temperature, self.max_log_temperature
         for _ in range(self.rounds):
             at = [lo + (hi - lo) * k / self.parallel for k in range(self.parallel + 1)]
-            found = self.loss(df, at, probabilities, label)
+            found = self.loss(cells, at)
             best = found.index(min(found))
             lo, hi = at[max(0, best - 1)], at[min(self.parallel, best + 1)]
         return math.exp((lo + hi) / 2)

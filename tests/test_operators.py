@@ -255,3 +255,16 @@ def test_learning_curve_samples_are_whole(spark):
     assert sizes == {10: 3, 5000: 3}
     few = diagnostics.learning_curve(rows, ["id"], [1], 5).collect()
     assert [(r["size"], r.trials, r.diversity) for r in few] == [(1, 5, 1.0)]
+
+
+def test_temperature_passes_over_distinct_rows(spark, monkeypatch):
+    """Rounds read each distinct (probabilities, label) once, with its rows; vectors may differ in length."""
+    rows = [([0.7, 0.3], 0)] * 60 + [([0.7, 0.3], 1)] * 40 + [([0.2, 0.5, 0.3], 1)] * 30 + [([0.2, 0.5, 0.3], 2)] * 25 + [([0.5, 0.5], None), ([0.5, 0.5], 2)]
+    df = spark.createDataFrame(rows, "probabilities array<double>, label int")
+    seen, loss = [], C.TemperatureScaler.loss
+    monkeypatch.setattr(C.TemperatureScaler, "loss", lambda self, cells, *rest: seen.append(cells.count()) or loss(self, cells, *rest))
+    found = C.TemperatureScaler().fit(df)
+    assert seen == [4] * 6
+    at = np.linspace(-3, 3, 200_001)
+    mean = sum(n * (np.log(np.sum([np.array(v) ** np.exp(-at)[:, None] for v in [p]][0], axis=1)) - np.exp(-at) * np.log(p[y])) for p, y, n in (([0.7, 0.3], 0, 60), ([0.7, 0.3], 1, 40), ([0.2, 0.5, 0.3], 1, 30), ([0.2, 0.5, 0.3], 2, 25)))
+    assert found == pytest.approx(float(np.exp(at[mean.argmin()])), abs=1e-4)
