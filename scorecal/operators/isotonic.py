@@ -1,12 +1,10 @@
 """Isotonic projection of tie tables, without a task that needs a segment's scores or its blocks.
 
 Stretches of the score axis are pooled on their own, which keeps every block
-boundary that the whole could have.  Where a segment is left with few blocks,
-one task pools them.  Otherwise the boundaries are points of the cumulative
-sum diagram (weight, weighted target), whose lower convex hull is the fit.
-Each round spans a coarse hull over some of the points and drops those that
-lie above it or above the line between their neighbours, until what is left
-is convex.
+boundary that the whole could have.  Where a segment is left with few blocks, one task pools them.
+Otherwise groups of neighbouring stretches are pooled on their own, and in each
+round the groups end amid those of the round before, until values rise over the
+ends of groups as well.
 """
 
 from __future__ import annotations
@@ -20,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
-from scorecal.operators.curves import apply_linear, apply_step
+from scorecal.operators.curves import apply_step
 from scorecal.operators.keep import kept
-from scorecal.operators.ranges import Stretches, running, with_neighbours
+from scorecal.operators.ranges import Stretches, running
 from scorecal.operators.ties import By, join_by
 
 MEET = 1 << 14  # blocks of a segment that may meet in one task
-EVENLY = 32  # points of each stretch that span the coarse hull, beside some at its ends
+EVENLY = 4  # stretches of most blocks that a group can hold, so that its ends move
 
 
 def _typed(df: DataFrame, by: By) -> str:
@@ -96,61 +94,39 @@ def _in_one_task(local: DataFrame, by: By, sign: float) -> DataFrame:
     return local.groupBy(*keys).applyInPandas(run, _typed(local, by) + f"block long, last long, {BLOCKS}, _wx double, _x double, _k long")
 
 
-def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The lower convex hull of points sorted by at_w, from (0, 0) on, as its points."""
-    at: list[tuple[float, float]] = [(0.0, 0.0)]
-    for w, s in zip(pdf["at_w"].tolist(), pdf["at_s"].tolist(), strict=True):
-        if w == 0:
-            continue
-        while len(at) > 1 and (at[-1][1] - at[-2][1]) / (at[-1][0] - at[-2][0]) >= (s - at[-1][1]) / (w - at[-1][0]):
-            at.pop()
-        at.append((w, s))
-    return pd.DataFrame(at, columns=["x", "y"])
+def _in_groups(local: DataFrame, by: By, sign: float, meet: int, evenly: int) -> DataFrame:
+    """Blocks of segments whose local blocks are many.
 
-
-def _convex_points(points: DataFrame, by: By, evenly: int) -> DataFrame:
-    """The points (by, _part, x_lo, at_w, at_s) that are on the lower convex hull.
-
-    A point above a line between two others is not, whichever those are, so
-    every round drops rightly; it ends when each is below its neighbours' line.
+    Neighbouring stretches are pooled in groups of about as many blocks, whose
+    ends lie amid the groups of the round before; it ends when no group's last
+    value reaches the next one's first.
     """
-    keys = list(by)
-    origin = F.struct(F.lit(0.0).alias("at_w"), F.lit(0.0).alias("at_s"))
-    slope = lambda a, b: (b["at_s"] - a["at_s"]) / (b["at_w"] - a["at_w"])
-    live = points
+    keys, types = list(by), _typed(local, by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, first = _pooled(pdf.sort_values("x_lo"), np.zeros(1, int), sign)
+        taken = pdf.sort_values("x_lo")[[*keys, "_part", "_group"]].iloc[first].reset_index(drop=True)
+        mean = np.divide(found["_wv"], found["w"], out=found["value"].copy(), where=(found["_k"] > 1) & (found["w"] > 0))
+        return taken.assign(_at=np.arange(len(first)), **(found | {"value": mean}))
+
+    own, over = [*by, "_group"], Window.partitionBy(*by).orderBy("_part")  # a segment's stretches
+    groups = Window.partitionBy(*by).orderBy("_group")  # a segment's groups
+    half, live = 0, local
     while True:
-        own = Window.partitionBy(*by, "_part")
-        placed = live.withColumn("_r", F.row_number().over(own.orderBy("at_w")) - 1).withColumn("_c", F.count("*").over(own))
-        back = F.col("_c") - 1 - F.col("_r")
-        power = lambda c: F.bit_count(c + 1) == 1
-        some = placed.where(power(F.col("_r")) | power(back) | (F.col("_r") % F.ceil(F.col("_c") / evenly) == 0)).select(*by, "at_w", "at_s")
-
-        def span(pdf: pd.DataFrame) -> pd.DataFrame:
-            hull = _hull(pdf.sort_values("at_w"))
-            return pdf[keys].iloc[:1].loc[lambda d: d.index.repeat(len(hull))].reset_index(drop=True).assign(x=hull["x"], y=hull["y"])
-
-        hull = kept(some.groupBy(*keys).applyInPandas(span, _typed(points, by) + "x double, y double"))
-        lined = apply_linear(live, hull, "at_w", "_line", by).where(F.col("at_s") <= F.col("_line") + F.abs("_line") * 1e-12).drop("_line")
-        near = with_neighbours(kept(lined), F.struct("at_w", "at_s"), by, "at_w")
-        here, before = F.struct("at_w", "at_s"), F.when(F.col("before").isNotNull(), F.col("before")).otherwise(origin)
-        above = F.col("after").isNotNull() & (F.col("at_w") > 0) & (slope(before, here) >= slope(here, F.col("after")))
-        judged = kept(near.withColumn("_above", F.coalesce(above, F.lit(False))).drop("before", "after"))
-        live = judged.where("not _above").drop("_above")
-        if judged.where("_above").isEmpty():
-            return live
-
-
-def _by_hull(local: DataFrame, by: By, sign: float, stretches: Stretches, evenly: int) -> DataFrame:
-    placed = kept(running(local.drop("_part"), {"at_w": F.col("w"), "at_s": sign * F.col("_wv")}, by, "x_lo", stretches))
-    near = with_neighbours(placed.select(*by, "_part", "x_lo", "at_w", "at_s"), F.col("at_w"), by, "x_lo")
-    points = near.where("after is null or after > at_w").drop("before", "after")  # of equal weights the last
-    ends = _convex_points(kept(points), by, evenly).select(*by, "x_lo", F.lit(1).alias("_end"))
-    rows = join_by(placed.drop("_part"), ends, [*by, "x_lo"], "left").withColumn("_end", F.coalesce("_end", F.lit(0)))
-    rows = running(kept(rows), {"_through": F.col("_end")}, by, "x_lo", stretches).withColumn("block", (F.col("_through") - F.col("_end")).cast("long"))
-    total = F.sum("_wv")
-    value = F.when(F.count("*") == 1, F.first("value")).when(F.sum("w") > 0, F.try_divide(total, F.sum("w"))).otherwise(F.min_by("value", "x_lo"))
-    blocks = rows.groupBy(*by, "block").agg(F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), value.alias("value"), *(F.sum(c).alias(c) for c in SUMS if c != "_wv"))
-    return join_by(blocks, blocks.groupBy(*by).agg(F.max("block").alias("last")), by)
+        parts = live.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+        size = max(meet, evenly * (parts.agg(F.max("_c")).first()[0] or 0), 1)
+        before = F.coalesce(F.sum("_c").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        dealt = parts.select(*by, "_part", F.floor((before + half) / size).alias("_group"))
+        rows = join_by(live.select(*by, "_part", *(c.split()[0] for c in LOCAL.split(", "))), dealt, [*by, "_part"])
+        pooled = kept(rows.groupBy(*own).applyInPandas(run, f"{types}_part int, _group long, _at long, {LOCAL}"))
+        value = F.lit(sign) * F.col("value")
+        ends = pooled.groupBy(*own).agg(F.min_by(value, "_at").alias("_first"), F.max_by(value, "_at").alias("_last"), F.count("*").alias("_c"))
+        ends = kept(ends.select(*own, "_c", (F.col("_last") >= F.lead("_first").over(groups)).alias("_falls")))
+        if ends.where("_falls").isEmpty():
+            break
+        half, live = (0 if half else size // 2), pooled.drop("_group", "_at")
+    starts = ends.select(*own, F.coalesce(F.sum("_c").over(groups.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), (F.sum("_c").over(Window.partitionBy(*by)) - 1).alias("last"))
+    return join_by(pooled, starts, own).withColumn("block", F.col("_start") + F.col("_at"))
 
 
 def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool = True, meet: int = MEET, stretches: Stretches | None = None, evenly: int = EVENLY, weighty: bool = False) -> DataFrame:
@@ -158,14 +134,14 @@ def pav_blocks(ties: DataFrame, by: By = (), target: str = "y", increasing: bool
 
     ``centre`` is the mean score by weight, or of the distinct scores where a
     block has no weight.  Up to ``meet`` blocks of a segment are pooled in one
-    task, more by convex hulls.  ``weighty`` leaves out scores without weight.
+    task, more in groups of as many, or of ``evenly`` stretches.  ``weighty`` leaves out scores without weight.
     """
     sign = 1.0 if increasing else -1.0
     ties = kept(ties)
     found = stretches or Stretches(ties.select("x"))
     local = kept(_local_blocks(ties, by, target, sign, found, weighty))
     most = local.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    blocks = _in_one_task(local, by, sign) if most <= meet else _by_hull(local, by, sign, found, evenly)
+    blocks = _in_one_task(local, by, sign) if most <= meet else _in_groups(local, by, sign, meet, evenly)
     centre = F.when(F.col("w") > 0, F.try_divide("_wx", "w")).otherwise(F.col("_x") / F.col("_k"))
     return blocks.withColumn("centre", centre).select(*by, "block", "last", "x_lo", "x_hi", "value", "n", "w", "wy", "centre", F.col("_k").alias("scores"))
 

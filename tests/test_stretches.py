@@ -158,3 +158,21 @@ def test_bin_ends_agree_with_counting_cuts(spark):
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "MapInArrow" in metrics.summaries_of(ranked, bins, ["g"])._jdf.queryExecution().toString()  # no row meets each number of bins
+
+
+def test_groups_pool_over_their_ends_in_few_writes(spark, monkeypatch):
+    """Teeth of rising labels fall back again and again: all of it is one block, whatever the groups; rising labels take one round."""
+    writes = []
+    monkeypatch.setattr(isotonic, "kept", lambda df: writes.append(1) or kept(df))
+    n = 6000
+    i = F.col("id")
+    base = spark.range(n).select((i / 1e4).alias("x"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("w"), ((i % 500) / 500).alias("saw"), (i / n).alias("up"))
+    for shape, blocks, most in (("saw", None, 20), ("up", n, 4)):
+        writes.clear()
+        df = base.select("x", "n", "w", F.col(shape).alias("wy"), F.col(shape).alias("y"))
+        out = isotonic.pav_blocks(df, stretches=Stretches(df.select("x"), rows=100), meet=0).toPandas().sort_values("block")
+        at = df.orderBy("x").toPandas()
+        found = out["value"].to_numpy()[np.searchsorted(out["x_lo"].to_numpy(), at["x"].to_numpy(), side="right") - 1]
+        assert np.allclose(found, kernels.pava(at["y"].to_numpy()), atol=1e-12)
+        assert len(out) == blocks if blocks else len(out) < 510
+        assert len(writes) <= most
