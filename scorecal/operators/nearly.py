@@ -1,7 +1,7 @@
 """Nearly isotonic fits in pieces that do not depend on each other.
 
 The price on the fall from a score to the next one is settled by a dual value
-in [0, lam].  A stretch of scores is solved twice, with its outer duals both at
+in [0, lam].  Some scores amid a stretch, more where need be, are solved twice, with its outer duals both at
 0 and both at lam.  Duals inside rise with the outer ones, so one that is lam
 in the first solution, or 0 in the second, is so in the whole fit, and the fit
 can be cut there: what lies between two cuts is solved alone, with their duals.
@@ -20,10 +20,29 @@ from scorecal.operators.keep import kept
 from scorecal.operators.ranges import STRETCH, Stretches
 from scorecal.operators.segments import By, join_by
 
+ABOUT = 1 << 10  # scores on each side of a stretch's middle, among which a cut is looked for first
 GAP = 1e-10  # of lam, by which a dual may be off its bound where the fit is cut
 
 
-def nearly_isotonic_fit(ties: DataFrame, lam: Column, by: By = (), rows: int = STRETCH) -> DataFrame:
+def settled_place(y: np.ndarray, w: np.ndarray, price: float, first: bool, last: bool, about: int) -> tuple[int, float] | None:
+    """The settled place nearest to the middle among ``about`` scores on each side of it, more where none is, and its dual."""
+    middle, half = len(y) // 2, about
+    while True:
+        lo, hi = max(0, middle - half), min(len(y), middle + half)
+        opens, closes = first and lo == 0, last and hi == len(y)  # no fall lies beyond
+        _, low = kernels.nearly_isotonic_between(y[lo:hi], w[lo:hi], price, 0.0, 0.0)
+        _, high = kernels.nearly_isotonic_between(y[lo:hi], w[lo:hi], price, 0.0 if opens else price, 0.0 if closes else price)
+        settled = np.flatnonzero((low >= price * (1 - GAP)) | (high <= price * GAP))
+        settled = settled[settled < hi - lo - 1] if closes else settled
+        if len(settled):
+            at = settled[np.abs(lo + settled - middle).argmin()]
+            return int(lo + at), price if low[at] >= price * (1 - GAP) else 0.0
+        if hi - lo == len(y):
+            return None
+        half *= 4
+
+
+def nearly_isotonic_fit(ties: DataFrame, lam: Column, by: By = (), rows: int = STRETCH, about: int = ABOUT) -> DataFrame:
     """(by, x, z): the minimiser of sum w (y - z)^2 + lam * (sum of falls), weights positive.
 
     A stretch is cut at one place, so a task holds two stretches of scores
@@ -37,19 +56,12 @@ def nearly_isotonic_fit(ties: DataFrame, lam: Column, by: By = (), rows: int = S
     keys, part_keys = list(by), own
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The settled place nearest to the stretch's middle, and its dual."""
+        """A settled place near the stretch's middle, and its dual."""
         pdf = pdf.sort_values("x")
         price, first, last = float(pdf["_lam"].iloc[0]), bool(pdf["_first"].iloc[0]), bool(pdf["_last"].iloc[0])
-        y, w = pdf["y"].to_numpy(), pdf["w"].to_numpy(float)
-        _, low = kernels.nearly_isotonic_between(y, w, price, 0.0, 0.0)
-        _, high = kernels.nearly_isotonic_between(y, w, price, 0.0 if first else price, 0.0 if last else price)
-        settled = np.flatnonzero((low >= price * (1 - GAP)) | (high <= price * GAP))
-        settled = settled[settled < len(y) - 1] if last else settled
-        out = pdf[part_keys].iloc[:1].assign(_cut=np.nan, _dual=np.nan)
-        if len(settled):
-            at = settled[np.abs(settled - len(y) // 2).argmin()]
-            out = out.assign(_cut=pdf["x"].iloc[at], _dual=price if low[at] >= price * (1 - GAP) else 0.0)
-        return out
+        found = settled_place(pdf["y"].to_numpy(), pdf["w"].to_numpy(float), price, first, last, about)
+        at, dual = (pdf["x"].iloc[found[0]], found[1]) if found else (np.nan, np.nan)
+        return pdf[part_keys].iloc[:1].assign(_cut=at, _dual=dual)
 
     def solved(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")

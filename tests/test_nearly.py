@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorecal.functions import kernels
 from scorecal.operators import calibrators as C
-from scorecal.operators.nearly import nearly_isotonic_fit
+from scorecal.operators.nearly import nearly_isotonic_fit, settled_place
 from scorecal.operators.ties import tie_table
 
 RNG = np.random.default_rng(8)
@@ -48,3 +48,22 @@ def test_duals_stay_within_the_price():
     assert dual.min() > -1e-9 and dual.max() < 0.7 + 1e-9 and abs(dual[-1]) < 1e-9
     low = kernels.nearly_isotonic_between(y[100:200], w[100:200], 0.7, dual[99], dual[199])[0]
     assert np.abs(low - z[100:200]).max() < 1e-9  # a piece with its neighbours' duals
+
+
+def test_a_cut_is_found_among_few_scores(monkeypatch):
+    n, lam = 4000, 1.5
+    y, w = (RNG.random(n) < np.linspace(0, 1, n)) * 1.0, np.ones(n)
+    z, sizes, solve = kernels.nearly_isotonic(y, w, lam), [], kernels.nearly_isotonic_between
+    dual = 2 * np.cumsum(w * (y - z))
+    monkeypatch.setattr(kernels, "nearly_isotonic_between", lambda v, *more: sizes.append(len(v)) or solve(v, *more))
+    at, found = settled_place(y, w, lam, True, True, 100)
+    assert abs(dual[at] - found) < 1e-8
+    assert max(sizes) < n  # not the whole stretch
+
+
+def test_a_cut_is_looked_for_in_the_whole_stretch():
+    y, w = np.array([0.0, 0.0, 1.0, 0.0, 1.0, 1.0]), np.ones(6)
+    at, found = settled_place(y, w, 0.1, True, True, 1)
+    z = kernels.nearly_isotonic(y, w, 0.1)
+    assert at < 5 and abs(2 * np.cumsum(w * (y - z))[at] - found) < 1e-8
+    assert settled_place(np.linspace(1, 0, 40), np.ones(40), 1e6, False, False, 4) is None
