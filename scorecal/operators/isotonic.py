@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +25,7 @@ from scorecal.operators.ranges import Stretches, running
 from scorecal.operators.ties import By, join_by
 
 MEET = 1 << 14  # blocks of a segment that may meet in one task
+TOGETHER = 8  # stretches of the table, all segments together, in a task that sorts them
 EVENLY = 4  # stretches of most blocks that a group can hold, so that its ends move
 
 
@@ -55,30 +57,34 @@ def _merged(rows: dict[str, np.ndarray], z: np.ndarray, edges: np.ndarray) -> tu
     return {"x_lo": rows["x_lo"][first], "x_hi": rows["x_hi"][last], "value": z[first]} | {c: np.add.reduceat(rows[c], first) for c in SUMS}, first
 
 
-def _pooled(pdf: pd.DataFrame, edges: np.ndarray, sign: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    rows = {c: pdf[c].to_numpy() for c in ("x_lo", "x_hi", "value", *SUMS)}
+def _pooled(pdf: pd.DataFrame | dict[str, np.ndarray], edges: np.ndarray, sign: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    rows = {c: np.asarray(pdf[c]) for c in ("x_lo", "x_hi", "value", *SUMS)}
     parts = zip(np.split(sign * rows["value"], edges[1:]), np.split(rows["w"], edges[1:]), strict=True)
     return _merged(rows, sign * np.concatenate([kernels.pava(v, w) for v, w in parts]), edges)
 
 
 def _local_blocks(ties: DataFrame, by: By, target: str, sign: float, stretches: Stretches, weighty: bool) -> DataFrame:
     """Blocks of each stretch, or of parts of it, with _part."""
-    keys = [*by, "_part"]
+    keys, columns = [*by, "_part"], [c.split()[0] for c in LOCAL.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by segment, stretch and score; each batch is pooled within segments and stretches."""
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            names = np.stack([pd.factorize(pdf[c])[0] for c in keys])
+            names = np.stack([c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in batch.columns[: len(keys)]])
             edges = np.concatenate([[0], 1 + np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0))])
-            found, first = _pooled(pdf, edges, sign)
-            yield pdf[keys].iloc[first].reset_index(drop=True).assign(**found)
+            x, v, n, w, wy = (c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keys) :])
+            rows = {"x_lo": x, "x_hi": x, "value": v, "n": n, "w": w, "wy": wy, "_wv": w * v, "_wx": x * w, "_x": x, "_k": np.ones(len(x), np.int64)}
+            found, first = _pooled(rows, edges, sign)
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).take(pa.array(first)).columns, *(pa.array(found[c]) for c in columns)], [*keys, *columns])
 
     x, w, v = F.col("x"), F.col("w"), F.col(target)
     wy = F.col("wy") if "wy" in ties.columns else w * v
-    rows = stretches.of(ties.where("w > 0") if weighty else ties, "x").select(*keys, x.alias("x_lo"), x.alias("x_hi"), v.alias("value"), F.col("n").cast("long").alias("n"), "w", wy.alias("wy"), (w * v).alias("_wv"), (x * w).alias("_wx"), x.alias("_x"), F.lit(1).cast("long").alias("_k"))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "x_lo").mapInPandas(run, _typed(ties, by) + f"_part int, {LOCAL}")
+    rows = stretches.of(ties.where("w > 0") if weighty else ties, "x").select(*keys, x.cast("double").alias("x"), v.cast("double").alias("value"), F.col("n").cast("long").alias("n"), w.cast("double").alias("w"), wy.cast("double").alias("wy"))
+    least = -(-len(stretches) // TOGETHER)  # tasks, as the table grows
+    more = [least] if least > int(ties.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return rows.repartition(*more, *keys).sortWithinPartitions(*keys, "x").mapInArrow(run, _typed(ties, by) + f"_part int, {LOCAL}")
 
 
 def _in_one_task(local: DataFrame, by: By, sign: float) -> DataFrame:

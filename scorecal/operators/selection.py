@@ -187,6 +187,22 @@ def select_setting(ties: DataFrame, make: Callable, grid: Sequence, folds: int =
     return grid[found["i"]]
 
 
+def _without_each_fold(dealt: DataFrame, folds: int, score: str, label: str, by: By, digits: int | None) -> DataFrame:
+    """The tie table of the rows outside each fold, with _fold.
+
+    A score's sums of all folds are one row, so rows are grouped and moved
+    once; a score that only one fold has is left out of that fold's table.
+    """
+    x, y = F.col(score).cast("double"), F.col(label).cast("double")
+    x = x if digits is None else F.round(x, digits)
+    outside = lambda k: F.col("_fold") != k
+    each = [(F.count_if(outside(k)).alias(f"_n{k}"), F.sum(F.when(outside(k), y)).alias(f"_y{k}")) for k in range(folds)]
+    sums = dealt.groupBy(*by, x.alias("x")).agg(*(c for pair in each for c in pair))
+    tables = F.array(*(F.struct(F.lit(k).alias("_fold"), F.col(f"_n{k}").alias("n"), F.col(f"_y{k}").alias("wy")) for k in range(folds)))
+    rows = sums.select(*by, "x", F.inline(F.filter(tables, lambda t: t["n"] > 0)))
+    return rows.select(*by, "_fold", "x", "n", F.col("n").cast("double").alias("w"), "wy", (F.col("wy") / F.col("n")).alias("y"))
+
+
 def cross_val_calibrate(df: DataFrame, calibrator, key: Sequence[str], score: str = "score", label: str = "label", folds: int = 5, seed: int = 0, output: str = "calibrated", by: By = (), stratified: bool = False) -> DataFrame:
     """df with each row's output of the map fitted on the other folds.
 
@@ -200,9 +216,7 @@ def cross_val_calibrate(df: DataFrame, calibrator, key: Sequence[str], score: st
         train = dealt.withColumn("_to", F.explode(F.array(*map(F.lit, range(folds))))).where("_fold <> _to").drop("_fold").withColumnRenamed("_to", "_fold")
         held = join_by(train, dealt.select(*own).distinct().withColumn("_held", F.lit(True)), own).drop("_held")
         return calibrator.fit(held, score, label, by=own).transform(dealt, score, output).drop("_fold")
-    ties = tie_table(dealt, score, label, by=own, digits=calibrator.digits)
-    others = ties.withColumn("_to", F.explode(F.array(*map(F.lit, range(folds))))).where("_fold <> _to")
-    train = others.groupBy(*by, F.col("_to").alias("_fold"), "x").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("wy").alias("wy")).withColumn("y", F.coalesce(F.try_divide("wy", "w"), F.lit(0.0)))
+    train = _without_each_fold(validated(dealt, score, label), folds, score, label, by, calibrator.digits)
     model = calibrator.fit_ties(train, own)
     model.knots = kept(model.knots)
     return model.transform(dealt, score, output).drop("_fold")

@@ -98,3 +98,15 @@ def test_out_of_fold_with_strata_and_auto(rows):
     out = selection.cross_val_calibrate(df, C.RelaxedIsotonic(epsilon="auto"), ["id"], folds=3, by=["g"], stratified=True)
     assert out.count() == 900 and out.where("calibrated is null or calibrated not between 0 and 1").count() == 0
     assert metrics.basic_metrics(out, "calibrated").first().brier < 0.25
+
+
+def test_tables_outside_each_fold_move_rows_once(spark, rows):
+    df, pdf = rows
+    dealt = selection.with_folds(df, ["id"], 4, name="_fold")
+    train = selection._without_each_fold(dealt, 4, "score", "label", ["g"], None)
+    assert train._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    own = dealt.toPandas()
+    want = pd.concat([own[own["_fold"] != k].assign(_fold=k, x=lambda d: d["score"]) for k in range(4)]).groupby(["g", "_fold", "x"])["label"].agg(["count", "sum"])
+    got = train.toPandas().set_index(["g", "_fold", "x"]).sort_index()
+    assert len(got) == len(want) and np.array_equal(got["n"], want["count"]) and np.array_equal(got["wy"], want["sum"])
+    assert np.array_equal(got["w"], got["n"]) and np.allclose(got["y"], got["wy"] / got["n"])

@@ -176,3 +176,11 @@ def test_groups_pool_over_their_ends_in_few_writes(spark, monkeypatch):
         assert np.allclose(found, kernels.pava(at["y"].to_numpy()), atol=1e-12)
         assert len(out) == blocks if blocks else len(out) < 510
         assert len(writes) <= most
+
+
+def test_tasks_that_sort_follow_the_table(spark):
+    ties = spark.range(2000).select((F.col("id") / 2000).alias("x"), F.lit(1).alias("n"), F.lit(1.0).alias("w"), (F.col("id") % 3 / 2).alias("wy"), (F.col("id") % 3 / 2).alias("y"))
+    stretches = Stretches(ties.select("x"), rows=10)
+    local = isotonic._local_blocks(ties, [], "y", 1.0, stretches, False)
+    assert local.rdd.getNumPartitions() >= len(stretches) / isotonic.TOGETHER > 20
+    assert local.agg(F.sum("n"), F.sum("_k"), F.sum("wy")).first()[:] == (2000, 2000, ties.agg(F.sum("wy")).first()[0])
