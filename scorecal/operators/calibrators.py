@@ -75,13 +75,14 @@ class Calibrator:
     digits: int | None = None
     weighted = True
 
-    def fit(self, df: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, by: By = ()) -> Model:
+    def fit(self, df: DataFrame, score: str = "score", label: str = "label", weight: str | None = None, by: By = (), ties: DataFrame | None = None) -> Model:
+        """The map of the rows; ``ties`` may hand in their tie table."""
         if weight is not None:
             if not self.weighted:
                 raise ValueError(f"{type(self).__name__} takes no weights")
             df = checked_weights(df, weight)
         settings = self.chosen(df, score, label, weight, by) if self.automatic() else None
-        ties = kept(tie_table(df, score, label, weight, by, self.digits))
+        ties = kept(tie_table(df, score, label, weight, by, self.digits) if ties is None else ties)
         model = self.fit_ties(ties if settings is None else join_by(ties, settings, by), by)
         model.knots = kept(model.knots)
         return model

@@ -16,6 +16,7 @@ from scorecal.functions import scores as S
 from scorecal.operators import calibrators as C
 from scorecal.operators import corp, diagnostics, metrics, multiclass, resample, selection
 
+from scorecal.operators.keep import kept
 from scorecal.operators.ties import bin_summaries, equal_mass_bins, tie_table
 from scorecal.plans import bench_grid, bench_run, plot_data
 from scorecal.sources.scored import CLASS_PROBS, DESIGNS, SCORED_DOCS, SCORED_LINEITEM, UNIFORMS, class_probabilities, lineitem_uniforms, scored_lineitem, synthetic
@@ -314,16 +315,16 @@ LINES = "g AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(x) OVER
 PER_SCORE = "SELECT l_returnflag, x AS score, n, round(calibrated, 9) + 0.0 AS calibrated FROM o"
 
 
-def applied(model: C.Model, df: DataFrame, to: int = 9) -> DataFrame:
-    """The map's output at each distinct score, of rows sent through transform."""
-    out = model.transform(df)
-    return rounded(out.groupBy("l_returnflag", "score").agg(F.count("*").alias("n"), F.first("calibrated").alias("calibrated")), "calibrated", to=to)
+def applied(model: C.Model, ties: DataFrame, to: int = 9) -> DataFrame:
+    """The map's output at each distinct score: rows of one score get one output, so each score is sent through transform once."""
+    return rounded(model.transform(ties.select("l_returnflag", F.col("x").alias("score"), "n")), "calibrated", to=to)
 
 
 def fitted(make, to: int = 9):
     def run(spark, sf):
         df = scored_lineitem(spark, sf)
-        return applied(make().fit(df, by=FLAG), df, to)
+        ties = kept(tie_table(df, by=FLAG))  # one scan for the fit and its outputs
+        return applied(make().fit(df, by=FLAG, ties=ties), ties, to)
 
     return run
 

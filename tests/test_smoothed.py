@@ -1,6 +1,7 @@
 """Smoothed isotonic fits by stretches, against the same on a whole segment."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -45,3 +46,17 @@ def test_adaptive_windows_of_many_scores_take_seconds():
         t = (np.arange(size[r]) - size[r] // 2) / (size[r] // 2)
         fit = np.polynomial.polynomial.polyfit(t, steps.value(start[r] + np.arange(size[r])), min(3, size[r] - 1))
         assert z[r] == pytest.approx(np.polynomial.polynomial.polyval(t[r - start[r]], fit), abs=1e-9)
+
+
+def test_windows_of_many_places_are_worked_on_in_parts():
+    m = 300_000
+    at = np.arange(100, m, 1000)
+    steps, place = k.Steps(at, np.linspace(0.1, 1, len(at)), 0.0), np.arange(m)
+    size = np.full(m, 30_001)
+    start = np.clip(place - 15_000, 0, m - 30_001)
+    tracemalloc.start()
+    got = k.smoothed_steps(steps, place, size, start, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert np.array_equal(got[:100], k.smoothed_steps(steps, place[:100], size[:100], start[:100], 3))
