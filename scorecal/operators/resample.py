@@ -32,9 +32,9 @@ PARTS = 64
 
 
 def _ties(x, y, n):
-    at, where = np.unique(x, return_inverse=True)
-    w = np.bincount(where, n)
-    return at, w, np.bincount(where, n * y)
+    """The distinct scores of ascending x, their weights and weighted labels."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], np.add.reduceat(n, first), np.add.reduceat(n * y, first)
 
 
 class Metric:
@@ -330,8 +330,8 @@ def resampling_bands(df: DataFrame, kind: str = "consistency", level: float = 0.
 
     consistency: labels are drawn from the scores themselves; confidence: from
     the fitted curve.  Each stretch of scores draws on its own and pools its
-    blocks; those of a resample are pooled again, and the stretch, drawn anew
-    from the same seeds, takes over the values of its blocks.
+    blocks, which keep their numbers of scores; those of a resample are pooled
+    again, and the stretch takes over the values of its blocks.
     """
     if not 0 < level < 1 or n_resamples < 2:
         raise ValueError("level must lie in (0, 1), n_resamples be 2 or more")
@@ -345,40 +345,33 @@ def resampling_bands(df: DataFrame, kind: str = "consistency", level: float = 0.
     own = [*keys, "_part"]
     tail = (1 - level) / 2
 
-    def drawn(pdf: pd.DataFrame):
-        """The stretch's scores, and of each resample the block of each score and the blocks' sums."""
+    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of each resample the blocks' weights, labels and numbers of scores."""
         pdf = pdf.sort_values("x")
         segment, part, n, p = _segment(pdf, keys), int(pdf["_part"].iloc[0]), pdf["n"].to_numpy(), pdf["p"].to_numpy()
 
         def each(r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             k = _generator(seed, r, segment, part + 1).binomial(n, p)
             z = kernels.pava(k / n, n)
-            new = np.concatenate([[True], z[1:] != z[:-1]])
-            first = np.flatnonzero(new)
-            return np.cumsum(new) - 1, np.add.reduceat(n, first), np.add.reduceat(k, first)
-
-        return segment, part, pdf["x"].to_numpy(), each
+            first = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]]))
+            return np.add.reduceat(n, first), np.add.reduceat(k, first), np.diff(np.append(first, len(n))).astype(np.int32)
 
-    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        segment, part, _, each = drawn(pdf)
-        rows = [(r, part, *map(np.asarray, each(r)[1:])) for r in range(n_resamples)]
-        return _of(segment, keys, pd.DataFrame(rows, columns=["resample", "_part", "w", "s"]))
+        rows = [(r, part, *each(r)) for r in range(n_resamples)]
+        return _of(segment, keys, pd.DataFrame(rows, columns=["resample", "_part", "w", "s", "m"]))
 
     def pooled(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_part")
         w, s = np.concatenate(list(pdf["w"])).astype(float), np.concatenate(list(pdf["s"]))
         z = np.split(kernels.pava(s / w, w), np.cumsum([len(v) for v in pdf["w"]])[:-1])
-        out = pd.DataFrame({"resample": pdf["resample"].to_numpy(), "_part": pdf["_part"].to_numpy(), "z": z})
+        out = pd.DataFrame({"resample": pdf["resample"].to_numpy(), "_part": pdf["_part"].to_numpy(), "z": z, "m": pdf["m"].to_numpy()})
         return _of(_segment(pdf, keys), keys, out)
 
     def band(own_ties: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        segment, _, x, each = drawn(own_ties)
-        z = dict(zip(values["resample"], values["z"], strict=True))
-        every = np.stack([np.asarray(z[r])[each(r)[0]] for r in range(n_resamples)])
+        every = np.stack([np.repeat(z, m) for z, m in zip(values["z"], values["m"], strict=True)])
         lower, upper = np.quantile(every, [tail, 1 - tail], axis=0)
-        return _of(segment, keys, pd.DataFrame({"x": x, "lower": lower, "upper": upper}))
+        return _of(_segment(own_ties, keys), keys, pd.DataFrame({"x": np.sort(own_ties["x"].to_numpy()), "lower": lower, "upper": upper}))
 
     head = _types(ties, by)
-    found = placed.groupBy(*own).applyInPandas(blocks, head + "resample int, _part int, w array<long>, s array<long>")
-    values = kept(found.groupBy(*keys, "resample").applyInPandas(pooled, head + "resample int, _part int, z array<double>"))
+    found = placed.groupBy(*own).applyInPandas(blocks, head + "resample int, _part int, w array<long>, s array<long>, m array<int>")
+    values = kept(found.groupBy(*keys, "resample").applyInPandas(pooled, head + "resample int, _part int, z array<double>, m array<int>"))
     return placed.groupBy(*own).cogroup(values.groupBy(*own)).applyInPandas(band, head + "x double, lower double, upper double")

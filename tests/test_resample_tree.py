@@ -95,3 +95,20 @@ def test_fast_pooling_is_the_plain_one():
         for y in (RNG.random(n), RNG.integers(0, 2, n) * 1.0, -np.arange(n) * 1.0, np.append(np.arange(n - 1.0), -1e6), np.sin(np.arange(n) / 9)):
             w = RNG.integers(1, 5, n) * 1.0
             assert np.allclose(kernels.pava(y, w), kernels._pooled(y, w), atol=1e-9)
+
+
+def test_bands_draw_each_stretch_once(spark, tmp_path, monkeypatch):
+    own, path = resample._generator, str(tmp_path / "draws")
+
+    def counted(*at):
+        with open(path, "a") as f:
+            f.write("x")
+        return own(*at)
+
+    df = spark.range(600).select((F.col("id") / 600).alias("score"), (F.col("id") % 2).cast("double").alias("label"))
+    stretches = Stretches.of_distinct(df.select("score"), 100)
+    monkeypatch.setattr(resample, "_generator", counted)
+    out = resample.resampling_bands(df, n_resamples=7, scores=100).toPandas()
+    assert len(out) == 600 and (out["lower"] <= out["upper"]).all() and len(stretches) > 2
+    with open(path) as f:
+        assert len(f.read()) == 7 * len(stretches)
