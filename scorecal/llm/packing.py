@@ -36,6 +36,9 @@ _FOLLOWS = np.zeros(256, bool)
 _FOLLOWS[0x21:0x7F] = True
 _FOLLOWS[0xC3:0xF5] = True
 _FOLLOWS[[0xE1, 0xE2, 0xE3]] = False
+_SPACED = frozenset(bytes([0x20, b]) for b in np.flatnonzero(_FOLLOWS).tolist())
+RUN = 1 << 16  # bytes of chunks that are encoded end to end, about
+SLICE = 4 << 20  # bytes of texts whose chunks are told apart together
 
 
 class Encoder:
@@ -65,21 +68,19 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode chunks, end to end as far as that leaves their ids alone, and file the ids."""
-        spaced = [c for c in new if c[:1] == b" " and len(c) > 1 and _FOLLOWS[c[1]]]
-        rest = [c for c in new if not (c[:1] == b" " and len(c) > 1 and _FOLLOWS[c[1]])]
-        runs, size = [[]], 0
-        for c in spaced:
-            if size > 1 << 16:
-                runs.append([])
-                size = 0
-            runs[-1].append(c)
-            size += len(c)
+        spaced, rest = [], []
+        for c in new:
+            (spaced if c[:2] in _SPACED else rest).append(c)
+        ends, at, runs = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced))), 0, []
+        while at < len(spaced):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN)) + 1
+            runs.append(spaced[at:stop])
+            at = stop
         runs += [[c] for c in rest]
-        runs = [r for r in runs if r]
         for run, found in zip(runs, self.tokenizer.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
             edge = np.concatenate([[0], np.cumsum(self.width[ids])])
-            ends = np.searchsorted(edge, np.cumsum([len(c) for c in run]))
+            ends = np.searchsorted(edge, np.cumsum(np.fromiter(map(len, run), np.int64, len(run))))
             n, used = len(self.known), self.at[len(self.known)]
             while n + len(run) >= len(self.at):
                 self.at = np.concatenate([self.at, np.zeros_like(self.at)])
@@ -117,10 +118,12 @@ class Encoder:
         chunks = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
         if len(self.known) > self.remember:
             self._forget()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[which]
+        number = [self.known.get(c, -1) for c in chunks]
+        if new := [i for i, n in enumerate(number) if n < 0]:
+            self._learn(list(dict.fromkeys(chunks[i] for i in new)))
+            for i in new:
+                number[i] = self.known[chunks[i]]
+        number = np.array(number, np.int64)[which]
         begin = self.at[number]
         length = self.at[number + 1] - begin
         out = np.concatenate([[0], np.cumsum(length)])
@@ -214,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, min_cut: int = 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, bins = Encoder(tokenizer), Bins(capacity, TaskContext.get().partitionId() << 40)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, at = encode(batch.column("text"))
             for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
                 whole = np.append(ids[lo:hi], np.uint32(end_id))

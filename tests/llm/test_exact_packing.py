@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scorecal.llm import packing
 from scorecal.llm.exact_dedup import Patricia, exact_dedup, owner
 from scorecal.llm.packing import cuts, pack
 from scorecal.llm.queries import tokenizer_path
@@ -108,3 +109,16 @@ def test_packing_empty_and_cuts(spark):
     assert cuts(2048 * 2 + 1024 + 65, 2048, 64) == [2048, 2048, 1024, 64, 1]
     for capacity in (100, 2048):
         assert all(sum(cuts(n, capacity, 10)) == n for n in range(1, 500))
+
+
+def test_chunks_meet_in_runs_and_slices_with_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    texts = ["one two\u00a0three  four\n five", "", " lone", "\u3042 \u3044 two two", None] + [f"word{i} w{i % 7} \u00e9{i}" for i in range(300)]
+    monkeypatch.setattr(packing, "RUN", 64)
+    encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    for part in (texts[:200], texts[100:]):  # chunks known and new
+        ids, at = encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in part]
+    assert packing.SLICE > 2 << 20  # fewer slices meet a chunk again
