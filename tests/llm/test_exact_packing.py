@@ -122,3 +122,21 @@ def test_chunks_meet_in_runs_and_slices_with_the_ids_of_whole_texts(monkeypatch)
         ids, at = encode(pa.array(part, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in part]
     assert packing.SLICE > 2 << 20  # fewer slices meet a chunk again
+
+
+def test_words_are_learnt_once_whatever_marks_follow_and_stay_known():
+    import random
+
+    rng = random.Random(5)
+    bits = ["a", "b", "re", "'", "'s", "\n", "\n", " ", "  ", "\t", ".", "!", "_", "<|endoftext|>", "<|", "|>", "é", "×", "÷", "ß", "́", " ", "あ", "12", "٣", "²", " ", "\x00", "’"]
+    encode = packing.Encoder(tokenizer_path(), remember=50)
+    for _ in range(6):
+        texts = ["".join(rng.choices(bits, k=rng.choice([1, 2, 5, 40]))) for _ in range(200)]
+        ids, at = encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = packing.Encoder(tokenizer_path(), remember=8)
+    for i in range(4):
+        encode(pa.array([f"x cats. cats, cats!\ncats\nDogs (cats) new{'abcd'[i]}"]))
+    assert {b" cats", b"cats", b"Dogs", b"\n", b"."} <= set(encode.known) and b" cats." not in encode.known
+    assert b" newa" not in encode.known  # met in one slice only, and too many are known
+    assert packing._encoder(tokenizer_path()) is packing._encoder(tokenizer_path())
