@@ -233,26 +233,53 @@ def smooth_grid(df: DataFrame, m: int | Column, score: str = "score", label: str
     return rows.groupBy(*by, F.col("p.i").alias("i")).agg(F.sum(F.col("r") * F.col("p.s")).alias("residual"), F.sum(F.col("n") * F.col("p.s")).alias("mass"))
 
 
+class _NoGrid(Exception):
+    pass
+
+
 def smooth_error(df: DataFrame, sigma: float | None = None, score: str = "score", label: str = "label", by: By = (), ties: DataFrame | None = None) -> DataFrame:
-    """smece and its bandwidth sigma, per segment; the bandwidth solves sigma = error unless given."""
+    """smece and its bandwidth sigma, per segment; the bandwidth solves sigma = error unless given.
+
+    Bandwidths of 0.02 and more share one grid.  The finer grids are summed up
+    for the segments alone whose error is below them.
+    """
     if sigma is not None and sigma <= 0:
         raise ValueError("sigma must be positive")
     t = tie_table(df, score, label, by=by) if ties is None else ties
-    wanted = sorted({kernels.grid_size(sigma)} if sigma else {kernels.grid_size(k / 1024) for k in range(1, 1025)})
-    every = t.withColumn("m", F.explode(F.array(*map(F.lit, wanted))))  # all sizes in one aggregation
-    grids = smooth_grid(df, F.col("m"), by=[*by, "m"], ties=every)
+    if sigma:
+        return _smoothed(t, [kernels.grid_size(sigma)], sigma, by)
+    t = kept(t)
+    found = kept(_smoothed(t, [kernels.grid_size(1.0)], None, by))
+    open_ = found.where("sigma is null").select(*by, F.lit(True).alias("_open"))
+    if open_.isEmpty():
+        return found
+    rest = join_by(t, open_, by).drop("_open") if by else t
+    every = sorted({kernels.grid_size(k / 1024) for k in range(1, 1025)})
+    return found.where("sigma is not null").unionByName(_smoothed(rest, every, None, by))
+
+
+def _smoothed(ties: DataFrame, sizes: list[int], sigma: float | None, by: By) -> DataFrame:
+    """smece and sigma from grids of some sizes, all in one aggregation; null where the bandwidth needs another size."""
+    every = ties.withColumn("m", F.explode(F.array(*map(F.lit, sizes))))
+    grids = smooth_grid(ties, F.col("m"), by=[*by, "m"], ties=every)
     keys = list(by)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         def dense(m: int) -> tuple[np.ndarray, np.ndarray]:
+            if m not in sizes:
+                raise _NoGrid(m)
             own = pdf[pdf["m"] == m]
             r, d = np.zeros(m), np.zeros(m)
             r[own["i"]], d[own["i"]] = own["residual"], own["mass"]
             return r, d
 
         error = lambda s: kernels.smoothed_error(*dense(kernels.grid_size(s)), s)
-        s = sigma or kernels.chosen_bandwidth(error)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "smece": [error(s)], "sigma": [float(s)]})
-
-    types = "".join(f"`{c}` {t.schema[c].dataType.simpleString()}, " for c in by)
+        try:
+            s = sigma or kernels.chosen_bandwidth(error)
+            found = {"smece": [error(s)], "sigma": [float(s)]}
+        except _NoGrid:
+            found = {"smece": [None], "sigma": [None]}
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, **found})
+
+    types = "".join(f"`{c}` {ties.schema[c].dataType.simpleString()}, " for c in by)
     return grids.groupBy(*keys).applyInPandas(solve, types + "smece double, sigma double")
