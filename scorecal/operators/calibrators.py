@@ -81,8 +81,8 @@ class Calibrator:
             if not self.weighted:
                 raise ValueError(f"{type(self).__name__} takes no weights")
             df = checked_weights(df, weight)
-        settings = self.chosen(df, score, label, weight, by) if self.automatic() else None
         ties = kept(tie_table(df, score, label, weight, by, self.digits) if ties is None else ties)
+        settings = self.chosen(df, score, label, weight, by, ties) if self.automatic() else None
         model = self.fit_ties(ties if settings is None else join_by(ties, settings, by), by)
         model.knots = kept(model.knots)
         return model
@@ -91,7 +91,7 @@ class Calibrator:
         """Whether settings are left to cross-validation."""
         return False
 
-    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By, ties: DataFrame | None = None) -> DataFrame:
         """(by, ...): the settings of each segment, by cross-validation on its rows."""
         raise NotImplementedError
 
@@ -168,7 +168,7 @@ class RelaxedIsotonic(Calibrator):
     def automatic(self) -> bool:
         return self.epsilon == "auto" and not (self.min_slope != "auto" and self.min_slope > 0)
 
-    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By, ties: DataFrame | None = None) -> DataFrame:
         from scorecal.operators.selection import select_by_cv
 
         clip = self.clip_output
@@ -178,7 +178,7 @@ class RelaxedIsotonic(Calibrator):
             z = np.clip(z, 0, 1) if clip else z
             return lambda at: np.interp(at, x, z)
 
-        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed)
+        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed, ties=ties)
         return found.select(*by, F.element_at(F.array(*map(F.lit, EPSILON_GRID)), F.col("setting") + 1).alias("epsilon"))
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
@@ -228,7 +228,7 @@ class NearlyIsotonic(Calibrator):
     def automatic(self) -> bool:
         return self.lam == "auto"
 
-    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By, ties: DataFrame | None = None) -> DataFrame:
         from scorecal.operators.selection import select_by_cv
 
         clip = self.clip_output
@@ -238,7 +238,7 @@ class NearlyIsotonic(Calibrator):
             z = np.clip(z, 0, 1) if clip else z
             return lambda at: np.interp(at, x, z)
 
-        found = select_by_cv(df, fitted, LAM_GRID, score, label, weight, by, self.cv, self.scoring)
+        found = select_by_cv(df, fitted, LAM_GRID, score, label, weight, by, self.cv, self.scoring, ties=ties)
         return found.select(*by, F.element_at(F.array(*map(F.lit, LAM_GRID)), F.col("setting") + 1).alias("lam"))
 
 
@@ -269,7 +269,7 @@ class MonotoneSpline(Calibrator):
     def automatic(self) -> bool:
         return "auto" in (self.alpha, self.n_knots)
 
-    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By) -> DataFrame:
+    def chosen(self, df: DataFrame, score: str, label: str, weight: str | None, by: By, ties: DataFrame | None = None) -> DataFrame:
         from scorecal.operators.selection import select_by_cv
 
         counts = [5, 10, 20] if self.n_knots == "auto" else [self.n_knots]
@@ -280,7 +280,7 @@ class MonotoneSpline(Calibrator):
         def fitted(x, y, w, n, setting):
             return _spline(x, y, w, n, *setting, degree, kind, link, clip)[1]
 
-        found = select_by_cv(df, fitted, grid, score, label, weight, by, self.cv, self.scoring)
+        found = select_by_cv(df, fitted, grid, score, label, weight, by, self.cv, self.scoring, ties=ties)
         each = F.element_at(F.array(*(F.struct(F.lit(k).alias("n_knots"), F.lit(a).alias("alpha")) for k, a in grid)), F.col("setting") + 1)
         return found.select(*by, each["n_knots"].alias("n_knots"), each["alpha"].alias("alpha"))
 

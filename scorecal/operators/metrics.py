@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorecal.functions import kernels
 from scorecal.functions import scores as S
 from scorecal.operators.close import close_pairs
 from scorecal.operators.keep import kept
-from scorecal.operators.ranges import running
+from scorecal.operators.ranges import Stretches, running
 from scorecal.operators.ties import By, join_by, ordered, summaries_of, tie_table, validated, with_ranks
 
 
@@ -41,19 +42,27 @@ def uniform_errors(df: DataFrame, score: str = "score", label: str = "label", n_
 def quantiles(df: DataFrame, column: str, at: list[float], by: By = (), count: str | None = None) -> DataFrame:
     """(by, _e): the exact quantiles, between neighbouring ranks in a line; ranks come from counts of equal values.
 
-    Null and NaN take no part.  ``count`` is how often each row counts.
+    Null and NaN take no part.  ``count`` is how often each row counts.  Sums
+    over stretches of the axis tell those with a wanted rank; only these are sorted.
     """
     x = F.col(column).cast("double")
     sound = df.where(x.isNotNull() & ~F.isnan(x))
     counts = kept(sound.groupBy(*by, x.alias("x")).agg((F.sum(count) if count else F.count("*")).alias("n")))
-    ranked = join_by(running(counts, {"hi": F.col("n")}, by).drop("_part"), counts.groupBy(*by).agg((F.sum("n") - 1).alias("_top")), by)
-    place = F.col("_top") * F.col("at")
+    rows, own = Stretches(counts.select("x")).of(counts, "x"), [*by, "_part"]
+    sizes, over = rows.groupBy(*own).agg(F.sum("n").alias("_size")), Window.partitionBy(*by).orderBy("_part")  # a segment's stretches
+    placed = sizes.select(*own, "_size", (F.sum("_size").over(over) - F.col("_size")).alias("_before"), (F.sum("_size").over(Window.partitionBy(*by)) - 1).alias("_top"))
+    inside = lambda r, before, n: (r >= before) & (r < before + n)
+    low, high = F.floor("place"), F.ceil("place")
+    either = lambda before, n: inside(low, before, n) | inside(high, before, n)
     every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("at")) for k, q in enumerate(at)))
-    inside = lambda r: (r >= F.col("hi") - F.col("n")) & (r < F.col("hi"))
-    ends = lambda s: (inside(F.floor(F.col("_top") * s["at"])), inside(F.ceil(F.col("_top") * s["at"])))
-    hits = F.transform(F.filter(every, lambda s: ends(s)[0] | ends(s)[1]), lambda s: F.struct(s["k"].alias("k"), s["at"].alias("at"), ends(s)[0].alias("low"), ends(s)[1].alias("high")))
-    rows = ranked.select(*by, "x", "_top", F.explode(hits).alias("s")).select(*by, "x", "_top", "s.*")
-    each = rows.groupBy(*by, "k").agg(F.max(F.when(F.col("low"), F.col("x"))).alias("a"), F.max(F.when(F.col("high"), F.col("x"))).alias("b"), F.first(place - F.floor(place)).alias("part"))
+    asked = placed.withColumn("s", F.explode(every)).withColumns({"k": F.col("s.k"), "place": F.col("_top") * F.col("s.at")})
+    # Written, so that Spark sends it round: a row for each quantile and stretch that has its rank.
+    asked = kept(asked.where(either(F.col("_before"), F.col("_size"))).select(*own, "_before", "k", "place"))
+    near = join_by(rows, asked.select(*own, "_before").distinct(), own)
+    rank = F.col("_before") + F.sum("n").over(Window.partitionBy(*own).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    met = join_by(near.withColumn("_lo", rank).drop("_before"), asked.drop("_before"), own).where(either(F.col("_lo"), F.col("n")))
+    here = lambda r: F.max(F.when(inside(r, F.col("_lo"), F.col("n")), F.col("x")))
+    each = met.groupBy(*by, "k").agg(here(low).alias("a"), here(high).alias("b"), F.first(F.col("place") - low).alias("part"))
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda s: s["v"]).alias("_e"))
 

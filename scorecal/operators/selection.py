@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecal.functions import scores as S
@@ -50,20 +50,51 @@ def stratified_folds(df: DataFrame, key: Sequence[str], label: str = "label", fo
     return ranked.withColumn(name, fold.cast("int")).select(*df.columns, name)
 
 
-def _thinned(cells: DataFrame, by: By, most: int, seed: int) -> DataFrame:
-    """Cells with n drawn binomially so that a segment keeps about ``most`` rows; segments of fewer are whole."""
-    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("_all"))
-    rows = join_by(cells, cells.groupBy(*by).agg(F.sum("n").alias("_all")), by).withColumn("_share", share).withColumn("_seed", F.xxhash64("x", "y", "w", F.lit(seed)))
+def _share(most: int) -> Column:
+    """The part of a segment's rows, of which there are _all, that ``most`` of them are."""
+    return F.least(F.lit(1.0), F.lit(float(most)) / F.col("_all"))
+
+
+def _hash(seed: int) -> Column:
+    return F.xxhash64("x", "y", "w", F.lit(seed))
+
+
+def _in_reach(rows: DataFrame, totals: DataFrame, by: By, most: int, seed: int) -> DataFrame:
+    """The rows of all cells of which ``_thinned`` can draw any.
+
+    A cell of n rows is drawn from where its hash lies below 1 - (1 - share)**n,
+    which is at most n * share; n is at most _most, the rows of the segment's
+    most frequent score.  So whole cells stay or go before they are counted.
+    """
+    place = _hash(seed).cast("double") / 2.0**64
+    place = F.when(place < 0, place + 1.0).otherwise(place)
+    reach = _share(most) * F.col("_most") * (1 + 1e-9)
+    return join_by(rows, totals, by).where((place < reach) | (reach >= 1)).select(*rows.columns)
+
+
+def _thinned(cells: DataFrame, by: By, most: int, seed: int, totals: DataFrame | None = None) -> DataFrame:
+    """Cells with n drawn binomially so that a segment keeps about ``most`` rows; segments of fewer are whole.
+
+    The cell's hash tells the first of its rows that is drawn, a geometric
+    number; those after it are drawn binomially.  ``totals`` has the rows of
+    each segment, where ``cells`` are not all.
+    """
+    found = cells.groupBy(*by).agg(F.sum("n").alias("_all")) if totals is None else totals
+    rows = join_by(cells, found.select(*by, "_all"), by).withColumn("_share", _share(most)).withColumn("_seed", _hash(seed))
 
     @F.pandas_udf("long")
     def drawn(n: pd.Series, share: pd.Series, seed: pd.Series) -> pd.Series:
         """From a hash of the cell, so that the draw does not depend on the table's layout."""
-        out = n.to_numpy().copy()
-        one = seed.to_numpy().view(np.uint64).astype(float) / 2.0**64 < share.to_numpy()
-        part = share.to_numpy() < 1
-        out[part & (out == 1)] = one[part & (out == 1)]
-        for i in np.flatnonzero(part & (n.to_numpy() > 1)):
-            out[i] = np.random.Generator(np.random.PCG64(int(seed.iloc[i]) % 2**63)).binomial(int(n.iloc[i]), float(share.iloc[i]))
+        out, share, seeds = n.to_numpy().copy(), share.to_numpy(), seed.to_numpy()
+        place = seeds.view(np.uint64).astype(float) / 2.0**64
+        one, part = place < share, share < 1
+        with np.errstate(divide="ignore"):
+            before = np.where(one, 0, np.log1p(-place) / np.log1p(-np.where(part, share, 0.5)))
+        met = part & np.where(out == 1, one, before < out)
+        out[part & ~met] = 0
+        for i in np.flatnonzero(met & (out > 1)):
+            after = np.random.Generator(np.random.PCG64(int(seeds[i]) % 2**63))
+            out[i] = 1 + after.binomial(int(out[i]) - 1 - int(before[i]), float(share[i]))
         return pd.Series(out)
 
     return rows.withColumn("n", drawn("n", "_share", "_seed")).where("n > 0").select(*cells.columns)
@@ -105,13 +136,14 @@ def held_out_losses(rows: pd.DataFrame, fitted: Callable, settings: Sequence, fo
     return out
 
 
-def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str = "score", label: str = "label", weight: str | None = None, by: By = (), folds: int = 5, scoring: str = "log_loss", max_rows: int = 20_000, seed: int = 0) -> DataFrame:
+def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str = "score", label: str = "label", weight: str | None = None, by: By = (), folds: int = 5, scoring: str = "log_loss", max_rows: int = 20_000, seed: int = 0, ties: DataFrame | None = None) -> DataFrame:
     """(by, setting): for each segment the place of the first best of ``settings`` by its held-out score.
 
     ``fitted(x, y, w, n, setting)`` fits a tie table and returns a function of
     scores.  As selection only has to rank settings, a segment takes part with
     about ``max_rows`` rows, drawn by hash; folds are of rows, stratified, and
     fits see the weights of their rows.  Each setting of each segment is a task.
+    ``ties`` may hand in the rows' tie table, from which scores are counted.
     """
     if scoring not in SCORINGS:
         raise ValueError(f"scoring must be one of {sorted(SCORINGS)}")
@@ -120,8 +152,10 @@ def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str
     keys = list(by)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = validated(df, score, label).select(*by, F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
-    cells = kept(rows.groupBy(*by, "x", "y", "w").agg(F.count("*").alias("n")))
-    sample = kept(_thinned(cells, by, max_rows, seed)).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
+    counts = rows.groupBy(*by, "x").agg(F.count("*").alias("n")) if ties is None else ties
+    totals = kept(counts.groupBy(*by).agg(F.sum("n").alias("_all"), F.max("n").alias("_most")))
+    cells = kept(_in_reach(rows, totals, by, max_rows, seed).groupBy(*by, "x", "y", "w").agg(F.count("*").alias("n")))
+    sample = kept(_thinned(cells, by, max_rows, seed, totals)).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(pdf["setting"].iloc[0])

@@ -110,3 +110,31 @@ def test_tables_outside_each_fold_move_rows_once(spark, rows):
     got = train.toPandas().set_index(["g", "_fold", "x"]).sort_index()
     assert len(got) == len(want) and np.array_equal(got["n"], want["count"]) and np.array_equal(got["wy"], want["sum"])
     assert np.array_equal(got["w"], got["n"]) and np.allclose(got["y"], got["wy"] / got["n"])
+
+
+def test_only_cells_in_reach_of_a_draw_are_counted(spark):
+    """Their draws are those from all cells, and a large segment's other rows are left before they are counted."""
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), (F.floor(F.col("id") / 4) / 15_000).alias("x"), (F.pmod(F.hash("id"), F.lit(3)) == 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    ties = df.groupBy("g", "x").agg(F.count("*").alias("n"))
+    totals = ties.groupBy("g").agg(F.sum("n").alias("_all"), F.max("n").alias("_most"))
+    cells = lambda rows: rows.groupBy("g", "x", "y", "w").agg(F.count("*").alias("n"))
+    near = selection._in_reach(df, totals, ["g"], 1000, 0)
+    assert near.count() < 6000
+    want = sorted(map(tuple, selection._thinned(cells(df), ["g"], 1000, 0).collect()))
+    assert want == sorted(map(tuple, selection._thinned(cells(near), ["g"], 1000, 0, totals).collect()))
+    assert 1700 < sum(r[-1] for r in want) < 2300 and {r[-1] for r in want} == {1, 2}
+    assert selection._in_reach(df, totals, ["g"], 10**9, 0).count() == 60_000
+
+
+def test_quantiles_sort_only_stretches_that_hold_one(spark, monkeypatch):
+    from scorecal.operators import ranges
+
+    monkeypatch.setattr(ranges.Stretches.__init__, "__kwdefaults__", {"rows": 50})
+    pdf = pd.DataFrame({"g": np.arange(4000) % 2, "x": RNG.random(4000).round(3), "n": 1 + np.arange(4000) % 3})
+    at = [0.0, 0.123, 0.5, 1.0]
+    found = metrics.quantiles(spark.createDataFrame(pdf), "x", at, ["g"], count="n")
+    for r in found.collect():
+        own = pdf[pdf["g"] == r.g]
+        assert np.allclose(r["_e"], np.quantile(np.repeat(own["x"], own["n"]), at), rtol=0, atol=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan[plan.index("Window [") :], "the window sorts what the broadcast leaves"
