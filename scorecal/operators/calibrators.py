@@ -189,7 +189,8 @@ class RelaxedIsotonic(Calibrator):
             raise ValueError("epsilon and min_slope must not be negative, nor both positive")
         least = F.lit(slope)
         if self.min_slope == "auto" and self.epsilon == "auto":
-            ties = join_by(ties, ties.groupBy(*by).agg(F.count("*").alias("_m")), by)
+            # Written, as other tables of a row for each segment, so that Spark sends it round and no task gets a whole segment.
+            ties = join_by(ties, kept(ties.groupBy(*by).agg(F.count("*").alias("_m"))), by)
             least = F.when(epsilon == 0, F.lit(0.01) / F.col("_m")).otherwise(0.0)
         ties = kept(ties.withColumn("_least", least - epsilon))
         fit = bounded_fit(ties, "_least", by)
@@ -201,7 +202,7 @@ def _settings(ties: DataFrame, by: By, *names: str) -> dict:
     """The chosen settings: values without segments, a table (by, ...) with them."""
     if not set(names) <= set(ties.columns):
         return {}
-    found = ties.groupBy(*by).agg(*(F.first(n).alias(n) for n in names))
+    found = kept(ties.groupBy(*by).agg(*(F.first(n).alias(n) for n in names)))
     return {"chosen": found} if by else found.first().asDict()
 
 

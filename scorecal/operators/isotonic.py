@@ -167,8 +167,8 @@ def step_knots(runs: DataFrame, by: By = ()) -> DataFrame:
 def bounded_fit(ties: DataFrame, least_step: float | str, by: By = ()) -> DataFrame:
     """As ``pav_fit``, with neighbours rising by ``least_step`` (a number or a column) or more."""
     step = F.lit(float(least_step)) if not isinstance(least_step, str) else F.col(least_step)
-    ties = kept(ties.withColumn("_step", step))
-    first = ties.groupBy(*by).agg(F.min_by("_step", "x").alias("_first"))
+    ties = kept(ties).withColumn("_step", step)
+    first = kept(ties.groupBy(*by).agg(F.min_by("_step", "x").alias("_first")))  # small when written, so that it is sent round
     shifted = join_by(running(ties, {"_shift": F.col("_step")}, by).drop("_part"), first, by).withColumn("_shift", F.col("_shift") - F.col("_first"))
     moved = kept(shifted.withColumn("_moved", F.col("y") - F.col("_shift")))
     return pav_fit(moved, by, "_moved").withColumn("z", F.col("z") + F.col("_shift")).drop("_shift", "_moved", "_step", "_first")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scorecal.operators.keep import kept
 from scorecal.operators.segments import By, join_by
 
 STRETCH = 1 << 16  # rows of a stretch, about
@@ -84,7 +85,8 @@ def running(df: DataFrame, sums: dict[str, Column] | None = None, by: By = (), o
         return local
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*own).agg(*(f(f"_s_{k}").alias(f"_t_{k}") for k, f in kinds.items()))
-    before = totals.select(*own, *(f(f"_t_{k}").over(earlier).alias(f"_before_{k}") for k, f in kinds.items()))
+    # Written, so that Spark sends it round and the sorted stretches stay where they are.
+    before = kept(totals.select(*own, *(f(f"_t_{k}").over(earlier).alias(f"_before_{k}") for k, f in kinds.items())))
     out = join_by(local, before, own)
     whole = {k: F.col(k) + F.coalesce(F.col(f"_before_{k}"), F.lit(0)) for k in sums} | {k: F.greatest(k, f"_before_{k}") for k in tops}
     return out.withColumns(whole).drop(*(f"_before_{k}" for k in kinds))

@@ -138,3 +138,28 @@ def test_quantiles_sort_only_stretches_that_hold_one(spark, monkeypatch):
         assert np.allclose(r["_e"], np.quantile(np.repeat(own["x"], own["n"]), at), rtol=0, atol=1e-12)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan[plan.index("Window [") :], "the window sorts what the broadcast leaves"
+
+
+def test_no_task_gets_a_segment_by_the_joins_of_a_relaxed_fit(spark, monkeypatch):
+    """Tables of a row for each segment are sent round, where the tie table is too large for it."""
+    from scorecal.operators import isotonic
+
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), F.rand(1).alias("score"), (F.rand(2) < 0.5).cast("double").alias("label"))
+    plans, write = {}, isotonic.kept
+
+    def told(out):
+        for c in ("_least", "_moved"):
+            if out.columns[-1] == c and c not in plans:
+                plans[c] = out._jdf.queryExecution().executedPlan().toString()
+        return write(out)
+
+    monkeypatch.setattr(isotonic, "kept", told)
+    monkeypatch.setattr(C, "kept", told)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        model = C.RelaxedIsotonic(epsilon="auto", min_slope="auto").fit(df, by=["g"])
+        plans["chosen"] = model.knots.join(model.params["chosen"], "g")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(plans) == {"_least", "_moved", "chosen"}
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans.values())
