@@ -1,6 +1,8 @@
 import random
 import re
+import time
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,48 @@ def test_runs_hold_two_blocks_and_all_pairs_meet(spark, monkeypatch):
     assert met == {frozenset(x) for x in combinations(range(n), 2) if max(x) >= main}
 
 
+def test_a_large_group_is_not_sent_more_often_as_it_grows(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    sent = {}
+    for n in (1000, 4000):
+        rest = spark.range(n).selectExpr("id", "id as root", "7L as group", f"{n}L as size", "1L as top", "-1L as main", "5L as n", "id as s0")
+        sent[n] = minhash._blocked(rest, []).count() / n
+    assert sent[1000] == sent[4000] <= minhash.BLOCKS + 1
+
+
+def test_links_are_confirmed_on_sets_made_from_texts(monkeypatch):
+    """A run has texts, and holds few sets at a time."""
+    rows = near_copies(60, 1, 8, edits=14)
+    texts, made = [t for _, t in rows], []
+    sets = lambda column: made.extend(column.to_pylist()) or nd.shingles(column, 3, True)
+    n = len(rows)
+    columns = {"group": [1] * n, "block": [0] * n, "id": range(n), "root": range(n), "probe": [True] * n, "member": [True] * n, "n": [len(x) for x in nd.shingles(pa.array(texts), 3, True)], "text": texts}
+    batch = pa.record_batch([pa.array(list(v)) for v in columns.values()], list(columns))
+    monkeypatch.setattr(minhash._Sets.__init__, "__defaults__", (100,))
+    monkeypatch.setattr(minhash._meetings, "__defaults__", (200,))
+    found = [e for out in minhash._links(minhash._Plausible(85, 100, 0, 0.6, 0), sets)(iter([batch])) for e in zip(out["v"].to_pylist(), out["m"].to_pylist(), strict=True)]
+    root = list(range(n))
+    for v, m in found:
+        a, b = root[v], root[m]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert sorted((str(i), len(shingle_set(t, 3)), str(root[i])) for i, t in enumerate(texts)) == brute_force(list(enumerate(texts)), 3, 85, 100)
+    assert len(made) > len(set(made)), "sets were let go and made again"
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {str(f) for d in dirs for f in Path(d.getPath()).glob("*/shuffle_*")}
+
+    before = files()
+    out = Scratch(spark, "t").save(spark.range(1000).repartition(7, "id"), "r")
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 1000
+
+
 def test_small_blocks_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rows = near_copies(150, 1, 5, edits=9) + near_copies(60, 2, 8, edits=14)
