@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorecal.operators.keep import without_leftovers
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -24,21 +24,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-#: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def without_leftovers(spark: SparkSession) -> Iterator[None]:
-    """Within it, a written table's shuffle files go as soon as it is written."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 class Scratch:
     """Named Parquet tables of one operator run.
 

@@ -7,7 +7,7 @@ as they are; ``digits`` rounds them first, only where it is given.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import NormalDist
@@ -25,7 +25,7 @@ from scorecal.operators.keep import kept
 from scorecal.operators.nearly import nearly_isotonic_fit
 from scorecal.operators.ranges import Stretches, running, with_neighbours
 from scorecal.operators.smoothed import smoothed_fit
-from scorecal.operators.splines import fit_splines, with_value
+from scorecal.operators.splines import fit_splines, spline_value, with_basis, with_value
 from scorecal.operators.ties import By, checked_weights, join_by, ordered, tie_table
 
 # The grids of settings chosen by cross-validation.
@@ -178,7 +178,10 @@ class RelaxedIsotonic(Calibrator):
             z = np.clip(z, 0, 1) if clip else z
             return lambda at: np.interp(at, x, z)
 
-        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed, ties=ties)
+        def spread(i: int) -> Callable:
+            return lambda train, held, own: _lines(bounded_fit(train, -EPSILON_GRID[i], own), held, own, i, clip)
+
+        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed, ties=ties, spread=[*map(spread, range(len(EPSILON_GRID)))])
         return found.select(*by, F.element_at(F.array(*map(F.lit, EPSILON_GRID)), F.col("setting") + 1).alias("epsilon"))
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
@@ -198,6 +201,12 @@ class RelaxedIsotonic(Calibrator):
         return Model(knots, by, params=_settings(ties, by, "epsilon") or {"epsilon": fixed, "min_slope": slope})
 
 
+def _lines(fit: DataFrame, held: DataFrame, by: By, setting: int, clip: bool) -> DataFrame:
+    """``held`` with p, by lines between the fit's scores, and setting."""
+    knots = kept(fit.select(*by, "x", _clip(F.col("z"), clip).alias("y")))
+    return apply_linear(held, knots, "x", "p", by).withColumn("setting", F.lit(setting))
+
+
 def _settings(ties: DataFrame, by: By, *names: str) -> dict:
     """The chosen settings: values without segments, a table (by, ...) with them."""
     if not set(names) <= set(ties.columns):
@@ -239,7 +248,10 @@ class NearlyIsotonic(Calibrator):
             z = np.clip(z, 0, 1) if clip else z
             return lambda at: np.interp(at, x, z)
 
-        found = select_by_cv(df, fitted, LAM_GRID, score, label, weight, by, self.cv, self.scoring, ties=ties)
+        def spread(i: int) -> Callable:
+            return lambda train, held, own: _lines(nearly_isotonic_fit(train, F.lit(LAM_GRID[i]), own), held, own, i, clip)
+
+        found = select_by_cv(df, fitted, LAM_GRID, score, label, weight, by, self.cv, self.scoring, ties=ties, spread=[*map(spread, range(len(LAM_GRID)))])
         return found.select(*by, F.element_at(F.array(*map(F.lit, LAM_GRID)), F.col("setting") + 1).alias("lam"))
 
 
@@ -281,8 +293,18 @@ class MonotoneSpline(Calibrator):
         def fitted(x, y, w, n, setting):
             return _spline(x, y, w, n, *setting, degree, kind, link, clip)[1]
 
-        found = select_by_cv(df, fitted, grid, score, label, weight, by, self.cv, self.scoring, ties=ties)
-        each = F.element_at(F.array(*(F.struct(F.lit(k).alias("n_knots"), F.lit(a).alias("alpha")) for k, a in grid)), F.col("setting") + 1)
+        every = F.array(*(F.struct(F.lit(k).alias("n_knots"), F.lit(a).alias("alpha")) for k, a in grid))
+
+        def spread(train: DataFrame, held: DataFrame, own: list[str]) -> DataFrame:
+            """All settings at once, as they share passes over the scores."""
+            tried = kept(train.select(*own).distinct()).select(*own, F.posexplode(every).alias("setting", "_s")).select(*own, "setting", "_s.*")
+            found = fit_splines(train, kept(tried), degree, kind, link, own, ["setting"])
+            shape = [*own, "n_knots"]
+            based = with_basis(join_by(held, kept(found.select(*shape, "t").distinct()), own), F.col("x"), F.col("t"), degree)
+            return join_by(based, found.select(*shape, "setting", "theta"), shape).withColumn("p", spline_value("theta", degree, link, clip))
+
+        found = select_by_cv(df, fitted, grid, score, label, weight, by, self.cv, self.scoring, ties=ties, spread=[spread])
+        each = F.element_at(every, F.col("setting") + 1)
         return found.select(*by, each["n_knots"].alias("n_knots"), each["alpha"].alias("alpha"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecal.functions import scores as S
-from scorecal.operators.keep import kept
+from scorecal.operators.keep import kept, passing
 from scorecal.operators.ranges import Stretches, running
 from scorecal.operators.ties import By, join_by, tie_table, validated
 
@@ -136,14 +136,63 @@ def held_out_losses(rows: pd.DataFrame, fitted: Callable, settings: Sequence, fo
     return out
 
 
-def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str = "score", label: str = "label", weight: str | None = None, by: By = (), folds: int = 5, scoring: str = "log_loss", max_rows: int = 20_000, seed: int = 0, ties: DataFrame | None = None) -> DataFrame:
+def drawn_rows(cells: DataFrame, by: By = (), most: int = 20_000, seed: int = 0) -> DataFrame:
+    """From cells (by, x, y, w), one for each row, those of about ``most`` rows of each segment with n; for first trials only, settings are chosen on all rows."""
+    totals = kept(cells.groupBy(*by, "x").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("_all"), F.max("n").alias("_most")))
+    near = _in_reach(cells, totals, by, most, seed).groupBy(*by, "x", "y", "w").agg(F.count("*").alias("n"))
+    return _thinned(near, by, most, seed, totals)
+
+
+def _loss(scoring: str) -> Column:
+    """The summed loss of held-out scores (p, w, wy); Brier up to what no setting changes."""
+    q = S.clipped(F.col("p"))
+    if scoring == "log_loss":
+        return F.sum(-(F.col("wy") * F.ln(q) + (F.col("w") - F.col("wy")) * F.ln(1 - q)))
+    return F.sum(F.col("w") * F.col("p") * F.col("p") - 2 * F.col("wy") * F.col("p") + F.col("wy"))
+
+
+def _train_and_held(rows: DataFrame, by: By, folds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (by, x, y, w) the tie tables (by, _fold, x, ...) outside and inside each stratified fold.
+
+    A score's sums of all folds are one row, so rows are grouped and moved once.
+    """
+    dealt = stratified_folds(rows, ["x", "y", "w"], "y", folds, seed, "_fold", by)
+    inside = lambda k: F.col("_fold") == k
+    sums = {"n": lambda k: F.count_if(inside(k)), "w": lambda k: F.sum(F.when(inside(k), F.col("w")).otherwise(0.0)), "wy": lambda k: F.sum(F.when(inside(k), F.col("w") * F.col("y")).otherwise(0.0))}
+    folded = kept(dealt.groupBy(*by, "x").agg(*(f(k).alias(f"_{c}{k}") for c, f in sums.items() for k in range(folds))))
+
+    def table(of: Callable[[int], list[int]]) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(k).alias("_fold"), *(reduce(lambda a, b: a + b, (F.col(f"_{c}{j}") for j in of(k))).alias(c) for c in sums)) for k in range(folds)))
+        return folded.select(*by, "x", F.inline(F.filter(each, lambda t: t["n"] > 0))).withColumn("y", F.coalesce(F.try_divide("wy", "w"), F.lit(0.0)))
+
+    return kept(table(lambda k: [j for j in range(folds) if j != k])), kept(table(lambda k: [k]))
+
+
+def select_by_cv(
+    df: DataFrame,
+    fitted: Callable,
+    settings: Sequence,
+    score: str = "score",
+    label: str = "label",
+    weight: str | None = None,
+    by: By = (),
+    folds: int = 5,
+    scoring: str = "log_loss",
+    max_rows: int = 20_000,
+    seed: int = 0,
+    ties: DataFrame | None = None,
+    spread: Sequence[Callable] = (),
+) -> DataFrame:
     """(by, setting): for each segment the place of the first best of ``settings`` by its held-out score.
 
-    ``fitted(x, y, w, n, setting)`` fits a tie table and returns a function of
-    scores.  As selection only has to rank settings, a segment takes part with
-    about ``max_rows`` rows, drawn by hash; folds are of rows, stratified, and
-    fits see the weights of their rows.  Each setting of each segment is a task.
-    ``ties`` may hand in the rows' tie table, from which scores are counted.
+    All rows take part.  Folds are of rows, stratified, and fits see the
+    weights of their rows.  For a segment of up to ``max_rows`` rows, each
+    setting is a task: ``fitted(x, y, w, n, setting)`` fits a tie table and
+    returns a function of scores.  Larger segments are fitted by ``spread``,
+    which together try all settings: each takes the tie tables outside and inside the
+    folds and their segments (by, _fold), and returns the inner table with
+    setting, its place, and p, the fit's output.  ``ties`` may hand in the
+    rows' tie table, from which scores are counted.
     """
     if scoring not in SCORINGS:
         raise ValueError(f"scoring must be one of {sorted(SCORINGS)}")
@@ -153,9 +202,9 @@ def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = validated(df, score, label).select(*by, F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"), w.alias("w"))
     counts = rows.groupBy(*by, "x").agg(F.count("*").alias("n")) if ties is None else ties
-    totals = kept(counts.groupBy(*by).agg(F.sum("n").alias("_all"), F.max("n").alias("_most")))
-    cells = kept(_in_reach(rows, totals, by, max_rows, seed).groupBy(*by, "x", "y", "w").agg(F.count("*").alias("n")))
-    sample = kept(_thinned(cells, by, max_rows, seed, totals)).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
+    totals = kept(counts.groupBy(*by).agg(F.sum("n").alias("_all")))
+    large = totals.where(F.col("_all") > max_rows).count() if spread else 0
+    of_size = lambda which: join_by(rows, totals.where(which), by).select(*rows.columns)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(pdf["setting"].iloc[0])
@@ -163,8 +212,19 @@ def select_by_cv(df: DataFrame, fitted: Callable, settings: Sequence, score: str
         (loss,) = held_out_losses(whole, fitted, [settings[i]], folds, scoring, seed)
         return pdf[keys].iloc[:1].assign(setting=i, loss=loss)
 
+    few = of_size(F.col("_all") <= max_rows) if large else rows
+    few = kept(few.groupBy(*by, "x", "y", "w").agg(F.count("*").alias("n"))).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
     types = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
-    every = sample.groupBy(*keys, "setting").applyInPandas(scored, types + "setting int, loss double").where("loss is not null and not isnan(loss)")
+    losses = [few.groupBy(*keys, "setting").applyInPandas(scored, types + "setting int, loss double")]
+    if large:
+        spark = df.sparkSession
+        with passing(spark):
+            train, held = _train_and_held(of_size(F.col("_all") > max_rows), by, folds, seed)
+            for tried in spread:
+                with passing(spark):
+                    out = tried(train, held, [*by, "_fold"]).groupBy(*keys, "setting").agg((_loss(scoring) / F.sum("w")).alias("loss"))
+                    losses.append(kept(out, lasting=True))
+    every = reduce(DataFrame.unionByName, losses).where("loss is not null and not isnan(loss)")
     found = kept(every.groupBy(*by).agg(F.min_by("setting", F.struct("loss", "setting")).alias("setting")))
     if found.where("setting is null").count() or found.isEmpty():
         raise ValueError("no setting could be scored")

@@ -96,13 +96,18 @@ def with_basis(df: DataFrame, x: Column, t: Column, degree: int) -> DataFrame:
 def with_value(df: DataFrame, x: Column, t: Column, theta: Column, degree: int, link: str, clip: bool, output: str) -> DataFrame:
     """df with the spline of coefficients ``theta`` at x, null where x is null or NaN or there are none."""
     df = with_basis(df.withColumn("_sp_theta", theta), x, t, degree)
-    eta = reduce(lambda a, b: a + b, (F.col(f"_sp_b{j}") * F.get("_sp_theta", F.col("_sp_c") + j) for j in range(degree + 1)))
-    value = S.expit(eta) if link == "logit" else eta
-    value = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) if clip else value
+    value = spline_value("_sp_theta", degree, link, clip)
     df = df.withColumn("_sp_out", F.when(x.isNotNull() & ~F.isnan(x) & F.col("_sp_theta").isNotNull(), value)).drop("_sp_theta", *basis_columns(degree))
     return df.drop(output).withColumnRenamed("_sp_out", output) if output in df.columns else df.withColumnRenamed("_sp_out", output)
 
 
+def spline_value(theta: str, degree: int, link: str, clip: bool) -> Column:
+    """The spline of coefficients ``theta`` where ``with_basis`` has put its values."""
+    eta = reduce(lambda a, b: a + b, (F.col(f"_sp_b{j}") * F.get(theta, F.col("_sp_c") + j) for j in range(degree + 1)))
+    value = S.expit(eta) if link == "logit" else eta
+    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) if clip else value
+
+
 def basis_columns(degree: int) -> list[str]:
     return ["_sp_c", *(f"_sp_b{j}" for j in range(degree + 1))]
 
@@ -131,11 +136,12 @@ def _unbanded(pdf: pd.DataFrame, p: int, degree: int) -> tuple[np.ndarray, np.nd
     return g[::-1].cumsum()[::-1], h[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
 
 
-def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str = "quantile", link: str = "logit", by: By = ()) -> DataFrame:
-    """(by, t, theta, n_knots, alpha): penalised monotone splines by projected Newton steps.
+def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str = "quantile", link: str = "logit", by: By = (), per: By = ()) -> DataFrame:
+    """(by, per, t, theta, n_knots, alpha): penalised monotone splines by projected Newton steps.
 
-    ``ties`` is a written tie table and ``settings`` (by, n_knots, alpha) has a
-    row for each segment.  On the probability scale one pass gives all sums; on
+    ``ties`` is a written tie table and ``settings`` (by, per, n_knots, alpha) has a
+    row for each segment, or several that ``per`` tells apart: they share the
+    segment's scores and basis values, and a pass adds up the sums of all.  On the probability scale one pass gives all sums; on
     the log-odds scale a pass adds up the sums at each open segment's trial
     point, and a step is halved until the loss falls.  The first point is the
     fit of scores merged within parts of knot intervals.  Segments without weight
@@ -146,13 +152,16 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
     totals = ties.groupBy(*by).agg(F.sum("w").alias("_w"), F.sum("wy").alias("_wy"))
     start = F.coalesce(F.try_divide("_wy", "_w"), F.lit(0.5 if link == "logit" else 0.0))
     start = S.logit(F.least(F.greatest(start, F.lit(1e-6)), F.lit(1 - 1e-6))) if link == "logit" else start
-    state = kept(join_by(wanted, totals, by).select(*by, "t", "n_knots", F.col("alpha").cast("double").alias("alpha"), "_w", start.cast("double").alias("_start")))
-    based = with_basis(join_by(ties, state.select(*by, "t"), by), F.col("x"), F.col("t"), degree)
-    rows = kept(based.select(*by, *basis_columns(degree), "w", "wy"))
+    state = kept(join_by(wanted, totals, by).select(*by, *per, "t", "n_knots", F.col("alpha").cast("double").alias("alpha"), "_w", start.cast("double").alias("_start")))
+    shape = [*by, "n_knots"] if per else list(by)
+    shapes = kept(state.select(*shape, "t").distinct()) if per else state.select(*by, "t")
+    based = with_basis(join_by(ties, shapes, by), F.col("x"), F.col("t"), degree)
+    rows = kept(based.select(*shape, *basis_columns(degree), "w", "wy"))
     b = [F.col(f"_sp_b{j}") for j in range(degree + 1)]
-    types = "".join(f"`{c}` {state.schema[c].dataType.simpleString()}, " for c in by)
-    keys = list(by)
-    own = [*by, "_sp_c"]
+    keys = [*by, *per]
+    types = "".join(f"`{c}` {state.schema[c].dataType.simpleString()}, " for c in keys)
+    own = [*keys, "_sp_c"]
+    told = [*keys, *(c for c in shape if c not in by)]
 
     def column(pdf: pd.DataFrame, name: str):
         return pdf[name].iloc[0]
@@ -162,7 +171,7 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
 
     if link == "identity":
         w = F.col("w")
-        sums = rows.groupBy(*own).agg(*(F.sum(2 * w * b[i] * b[j]).alias(f"h{i}{j}") for i, j in _pairs(degree)), *(F.sum(-2 * F.col("wy") * b[i]).alias(f"g{i}") for i in range(degree + 1)))
+        sums = rows.groupBy(*shape, "_sp_c").agg(*(F.sum(2 * w * b[i] * b[j]).alias(f"h{i}{j}") for i, j in _pairs(degree)), *(F.sum(-2 * F.col("wy") * b[i]).alias(f"g{i}") for i in range(degree + 1)))
 
         def solved(pdf: pd.DataFrame) -> pd.DataFrame:
             p = len(column(pdf, "t")) - degree - 1
@@ -174,11 +183,11 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
             beta = kernels.projected_newton(beta, loss, lambda v: (g + h @ v, h), float(column(pdf, "_w")))
             return head(pdf, t=column(pdf, "t"), theta=np.cumsum(beta), n_knots=column(pdf, "n_knots"), alpha=column(pdf, "alpha"))
 
-        return kept(join_by(sums, state, by).groupBy(*keys).applyInPandas(solved, types + "t array<double>, theta array<double>, n_knots int, alpha double"))
+        return kept(join_by(sums, state, shape).groupBy(*keys).applyInPandas(solved, types + "t array<double>, theta array<double>, n_knots int, alpha double"))
 
     w = F.col("w")
     slots = [F.floor(c * SLOTS).alias(f"_slot{i}") for i, c in enumerate((b[0], b[-1]))]  # along an interval one falls and one rises
-    merged = rows.where("w > 0").groupBy(*own, *slots).agg(F.sum(w).alias("w"), F.sum("wy").alias("wy"), *(F.avg(c).alias(f"m{j}") for j, c in enumerate(b)))
+    merged = rows.where("w > 0").groupBy(*shape, "_sp_c", *slots).agg(F.sum(w).alias("w"), F.sum("wy").alias("wy"), *(F.avg(c).alias(f"m{j}") for j, c in enumerate(b)))
 
     def warm(pdf: pd.DataFrame) -> pd.DataFrame:
         p = len(column(pdf, "t")) - degree - 1
@@ -189,8 +198,8 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
         design = basis[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
         return head(pdf, _warm=kernels.fit_spline(design, pdf["wy"].to_numpy(float) / w, w, column(pdf, "alpha"), link))
 
-    first = join_by(merged.drop("_slot0", "_slot1"), state.select(*by, "t", "alpha"), by)
-    state = join_by(state, first.groupBy(*keys).applyInPandas(warm, types + "_warm array<double>"), by, "left")
+    first = join_by(merged.drop("_slot0", "_slot1"), state.select(*told, "t", "alpha"), shape)
+    state = join_by(state, first.groupBy(*keys).applyInPandas(warm, types + "_warm array<double>"), keys, "left")
     zeros = F.array_repeat(F.lit(0.0), F.size("t") - degree - 2)
     flat = F.coalesce("_warm", F.concat(F.array("_start"), zeros))
     inf = F.lit(float("inf"))
@@ -220,18 +229,18 @@ def fit_splines(ties: DataFrame, settings: DataFrame, degree: int = 3, kind: str
 
     finished = []
     for left in range(PASSES, 0, -1):
-        open_ = join_by(rows, state.select(*by, _coefficients("trial").alias("theta")), by)
+        open_ = join_by(rows, state.select(*told, _coefficients("trial").alias("theta")), shape)
         eta = reduce(lambda p, q: p + q, (b[j] * F.get("theta", F.col("_sp_c") + j) for j in range(degree + 1)))
         open_ = open_.select(*own, "w", "wy", *b, eta.alias("_eta"))
         open_ = open_.select("*", S.expit(F.col("_eta")).alias("_mu"))
         r, curve = F.col("w") * F.col("_mu") - F.col("wy"), F.col("w") * F.greatest(F.col("_mu") * (1 - F.col("_mu")), F.lit(1e-10))
         loss = F.col("w") * S.softplus(F.col("_eta")) - F.col("wy") * F.col("_eta")
         sums = open_.groupBy(*own).agg(*(F.sum(curve * b[i] * b[j]).alias(f"h{i}{j}") for i, j in _pairs(degree)), *(F.sum(r * b[i]).alias(f"g{i}") for i in range(degree + 1)), F.sum(loss).alias("own"))
-        state = kept(join_by(sums, state, by).groupBy(*keys).applyInPandas(advanced, schema))
+        state = kept(join_by(sums, state, keys).groupBy(*keys).applyInPandas(advanced, schema))
         ended, live = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
         if ended or not live or left == 1:
             finished.append(state if left == 1 else state.where("done"))
         if not live:
             break
         state = state.where("not done") if ended else state
-    return kept(reduce(DataFrame.unionByName, finished).select(*by, "t", _coefficients("beta").alias("theta"), "n_knots", "alpha"))
+    return kept(reduce(DataFrame.unionByName, finished).select(*keys, "t", _coefficients("beta").alias("theta"), "n_knots", "alpha"))

@@ -82,6 +82,54 @@ def test_nearly_isotonic_and_spline_choose(rows):
     assert spline.params["n_knots"] in (5, 10, 20) and spline.params["alpha"] in C.ALPHA_GRID
 
 
+@pytest.mark.parametrize("kind", ["relaxed", "nearly", "spline", "identity"])
+def test_large_segments_are_scored_on_all_rows(spark, rows, monkeypatch, kind):
+    """Beyond ``max_rows`` fits are spread, and each setting's held-out loss is that of a plain loop over all rows.
+
+    Log loss near 0 and 1 hangs on rounding, so raw means are scored by Brier.
+    """
+    df, pdf = rows
+    weight = None if kind == "nearly" else "weight"
+    model, grid = {
+        "relaxed": (C.RelaxedIsotonic(epsilon="auto", scoring="brier"), C.EPSILON_GRID),
+        "nearly": (C.NearlyIsotonic(lam="auto", cv=3, scoring="brier"), C.LAM_GRID),
+        "spline": (C.MonotoneSpline(n_knots="auto", alpha="auto", cv=3), [(k, float(a)) for k in (5, 10, 20) for a in C.ALPHA_GRID]),
+        "identity": (C.MonotoneSpline(alpha="auto", link="identity"), [(10, float(a)) for a in C.ALPHA_GRID]),
+    }[kind]
+    seen, plain, choose = [], {}, selection.select_by_cv
+
+    def told(out, **more):
+        found = keep(out, **more)
+        seen.extend(found.collect() if more else [])
+        return found
+
+    def small(df, fitted, *args, **more):
+        plain["fit"] = fitted
+        return choose(df, fitted, *args, **more, max_rows=350)
+
+    keep = selection.kept
+    monkeypatch.setattr(selection, "kept", told)
+    monkeypatch.setattr(selection, "select_by_cv", small)
+    chosen = {r.g: r for r in model.fit(df, weight=weight, by=["g"]).params["chosen"].collect()}
+    losses = {r.setting: r.loss for r in seen if r.g == "b"}
+    assert {r.g for r in seen} == {"b"} and set(losses) == set(range(len(grid))), "a has 300 rows, b 600"
+
+    own = df.where("g = 'b'").select("g", F.col("score").alias("x"), F.col("label").alias("y"), (F.lit(1.0) if weight is None else F.col("weight")).alias("w"))
+    dealt = selection.stratified_folds(own, ["x", "y", "w"], "y", model.cv, 0, "fold", ["g"]).toPandas()
+    assert len(dealt) == 600
+    for i, setting in enumerate(grid):
+        total = 0.0
+        for k in range(model.cv):
+            ties = dealt[dealt["fold"] != k].assign(wy=lambda d: d["w"] * d["y"]).groupby("x").agg(w=("w", "sum"), wy=("wy", "sum"), n=("w", "size"))
+            held = dealt[dealt["fold"] == k]
+            p = plain["fit"](ties.index.to_numpy(), (ties["wy"] / ties["w"]).to_numpy(), ties["w"].to_numpy(), ties["n"].to_numpy(), setting)(held["x"].to_numpy())
+            q, y, w = np.clip(p, 2.2e-16, 1 - 2.2e-16), held["y"], held["w"]
+            total += (w * ((y - p) ** 2 if model.scoring == "brier" else -(y * np.log(q) + (1 - y) * np.log(1 - q)))).sum()
+        assert np.isclose(losses[i], total / dealt["w"].sum(), rtol=1e-5)
+    best = grid[min(losses, key=lambda i: (losses[i], i))]
+    assert (best if isinstance(best, tuple) else (best,)) == tuple(v for c, v in chosen["b"].asDict().items() if c != "g")
+
+
 def test_samples_are_bounded_and_repeatable(spark, rows):
     df, _ = rows
     cells = df.groupBy("g", F.col("score").alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w")).agg((F.count("*") * 50).alias("n"))
