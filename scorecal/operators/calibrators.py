@@ -178,10 +178,20 @@ class RelaxedIsotonic(Calibrator):
             z = np.clip(z, 0, 1) if clip else z
             return lambda at: np.interp(at, x, z)
 
-        def spread(i: int) -> Callable:
-            return lambda train, held, own: _lines(bounded_fit(train, -EPSILON_GRID[i], own), held, own, i, clip)
-
-        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed, ties=ties, spread=[*map(spread, range(len(EPSILON_GRID)))])
+        def spread(train: DataFrame, held: DataFrame, own: list[str]) -> DataFrame:
+            """All settings along ranks of scores, between which held-out scores lie: a fit is its blocks less epsilon a rank."""
+            rank, names = F.col("_rank").cast("double"), [f"_moved{i}" for i in range(len(EPSILON_GRID))]
+            moved = {c: F.col("y") + e * (rank - 1) for c, e in zip(names, EPSILON_GRID, strict=True)}
+            ranked = kept(running(train, {"_rank": F.lit(1)}, own).select(*own, F.col("x").alias("_x"), rank.alias("x"), "n", "w", "wy", *(v.alias(c) for c, v in moved.items())))
+            among = kept(apply_linear(held, ranked.select(*own, F.col("_x").alias("x"), F.col("x").alias("y")), "x", "_at", own))
+            outs = []
+            for i, (c, e) in enumerate(zip(names, EPSILON_GRID, strict=True)):
+                knots = kept(step_knots(pav_blocks(ranked, own, c), own))
+                out = apply_linear(among, knots, "_at", "p", own).withColumn("p", F.col("p") - e * (F.col("_at") - 1))
+                outs.append(out.withColumn("p", _clip(F.col("p"), clip)).withColumn("setting", F.lit(i)))
+            return reduce(DataFrame.unionByName, outs)
+
+        found = select_by_cv(df, fitted, EPSILON_GRID, score, label, weight, by, self.cv, self.scoring, seed=self.seed, ties=ties, spread=[spread])
         return found.select(*by, F.element_at(F.array(*map(F.lit, EPSILON_GRID)), F.col("setting") + 1).alias("epsilon"))
 
     def fit_ties(self, ties: DataFrame, by: By = ()) -> Model:
